@@ -1,0 +1,36 @@
+"""Versioned result folders: each micro-batch writes ``v{batch_id}``;
+readers take the newest complete version. A batch retried after a failure
+rewrites the same version, so results stay exact."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def _fs(spark: SparkSession, root: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+
+
+def latest_version(spark: SparkSession, root: str, below: int | None = None) -> str | None:
+    fs, p, jvm = _fs(spark, root)
+    if not fs.exists(p):
+        return None
+    best = None
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if not name.startswith("v") or not name[1:].isdigit():
+            continue
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            continue
+        v = int(name[1:])
+        if below is not None and v >= below:
+            continue
+        if best is None or v > best:
+            best = v
+    return None if best is None else f"{root.rstrip('/')}/v{best:010d}"
+
+
+def version_path(root: str, batch_id: int) -> str:
+    return f"{root.rstrip('/')}/v{batch_id:010d}"
