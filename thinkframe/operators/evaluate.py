@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_SEED_BASE, EVAL_FAMILIES
 from ..functions.formatting import format_question
-from ..functions.grading import grade
-from ..functions.text import split_think_answer, whitespace_token_count
+from ..functions.text import whitespace_token_count
 from ..sources.families import eval_family
 
 ROUND_KEYS = ("repeat", "question_id")
@@ -162,23 +161,24 @@ def grade_traces(folded: DataFrame, questions: DataFrame, benchmark, model_famil
     = max(0, full count - count in the round-0 text); the count is a
     pluggable Column function (default: whitespace words; see U1).
     """
+    from ..functions import staged
     prefix = eval_family(model_family)[2]
     j = folded.join(questions, question_key, "inner")
-    s = split_think_answer(F.lit(prefix), F.col("text"))
-    j = j.withColumn("_s", s)
-    g = grade(benchmark, F.col("_s.answer"), F.col("reference"))
-    init = split_think_answer(F.lit(prefix), F.col("initial_round_text"))["thinking"]
-    rt = F.when(F.col("_s.thinking") == "", F.lit(0)).otherwise(token_count(F.col("_s.thinking")))
-    it = F.when(init == "", F.lit(0)).otherwise(token_count(init))
+    j = staged.with_split_think_answer(j, prefix, "text", "thinking", "final_answer_text")
+    j = staged.with_split_think_answer(j, prefix, "initial_round_text", "_init_thinking", "_init_answer")
+    b = F.lit(benchmark) if isinstance(benchmark, str) else benchmark
+    j = staged.with_grade(j.withColumn("benchmark", b), "benchmark", "final_answer_text", "reference",
+                          "is_correct", "extracted_answer")
+    rt = F.when(F.col("thinking") == "", F.lit(0)).otherwise(token_count(F.col("thinking")))
+    j = j.withColumn("reasoning_tokens", rt.cast("long"))
+    it = F.when(F.col("_init_thinking") == "", F.lit(0)).otherwise(token_count(F.col("_init_thinking")))
     return j.select(
-        "repeat", F.lit(benchmark).alias("benchmark") if isinstance(benchmark, str) else benchmark.alias("benchmark"),
-        question_key, "reference",
-        F.col("text").alias("raw_response"),
-        F.col("_s.thinking").alias("thinking"), F.col("_s.answer").alias("final_answer_text"),
-        g["extracted"].alias("extracted_answer"), g["is_correct"].alias("is_correct"),
+        "repeat", "benchmark", question_key, "reference", F.col("text").alias("raw_response"),
+        "thinking", "final_answer_text", "extracted_answer", "is_correct",
         "was_truncated", "still_truncated", "prompt_tokens", "output_tokens", "continuation_output_tokens",
-        rt.cast("long").alias("reasoning_tokens"),
-        F.when(F.col("was_truncated"), F.greatest(F.lit(0), rt - it)).cast("long").alias("reasoning_tokens_added"))
+        "reasoning_tokens",
+        F.when(F.col("was_truncated"), F.greatest(F.lit(0), F.col("reasoning_tokens") - it))
+        .cast("long").alias("reasoning_tokens_added"))
 
 
 def seed_for_repeat(repeat: Column, seed_base: int = DEFAULT_SEED_BASE) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import functions as tf
+from ..functions import staged
 from ..constants import EVAL_MODEL_FAMILIES, TRAIN_FAMILIES
 from ..operators import evaluate, prepare, report, stats
 from ..sources import benchmarks, fixtures
@@ -90,17 +91,15 @@ def q_catalog_upsert(spark, sf):
 # -------------------------------------------------------------------- masking
 def _masked(spark, sf):
     o, c = think_tags("qwen3")
-    t = fixtures.token_arrays(spark, sf)
-    m = t.select("ex_id", "variant", "labels", tf.think_mask("token_texts", "labels", o, c).alias("m"))
-    return m
+    t = fixtures.token_arrays(spark, sf).select("ex_id", "variant", "token_texts", "labels")
+    return staged.apply_think_mask(t, o, c)
 
 
 def q_think_mask(spark, sf):
     m = _masked(spark, sf)
-    lab = F.col("m.labels")
+    lab = F.col("masked_labels")
     return _flat(m.select(
-        "ex_id", "variant", F.col("m.mask_status").alias("mask_status"),
-        F.col("m.mask_start").alias("mask_start"), F.col("m.mask_end").alias("mask_end"),
+        "ex_id", "variant", "mask_status", "mask_start", "mask_end",
         F.size(lab).alias("n_tokens"),
         F.size(F.filter(lab, lambda x: x == -100)).alias("n_ignored"),
         F.md5(F.array_join(F.transform(lab, lambda x: x.cast("string")), ",")).alias("labels_md5")))
@@ -108,8 +107,8 @@ def q_think_mask(spark, sf):
 
 def q_mask_fail_open_audit(spark, sf):
     m = _masked(spark, sf)
-    width = F.coalesce(F.col("m.mask_end") - F.col("m.mask_start"), F.lit(0))
-    g = m.groupBy("variant", F.col("m.mask_status").alias("mask_status")).agg(
+    width = F.coalesce(F.col("mask_end") - F.col("mask_start"), F.lit(0))
+    g = m.groupBy("variant", "mask_status").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(width).alias("n_masked_tokens"))
     return _flat(g)
 
@@ -207,28 +206,26 @@ def q_split_think_answer(spark, sf):
 
 def q_last_boxed(spark, sf):
     r = fixtures.model_responses(spark, sf)
-    return _flat(r.select("question_id", tf.last_boxed(F.col("response")).alias("boxed")))
+    return _flat(staged.with_last_boxed(r, "response", "boxed").select("question_id", "boxed"))
 
 
 def q_grade_math(spark, sf):
     r = fixtures.model_responses(spark, sf)
-    a = tf.split_think_answer(F.lit(""), F.col("response"))["answer"]
-    g = r.withColumn("_a", a).withColumn("_g", tf.grade_math(F.col("_a"), F.col("reference")))
-    return _flat(g.select("question_id", "lang", "reference", F.col("_g.is_correct").alias("is_correct"),
-                          F.col("_g.extracted").alias("extracted")))
+    a = staged.with_split_think_answer(r, "", "response")
+    g = staged.with_grade_math(a, "answer", "reference")
+    return _flat(g.select("question_id", "lang", "reference", "is_correct", "extracted"))
 
 
 def q_grade_letter(spark, sf):
     r = fixtures.model_responses(spark, sf)
-    r = r.withColumn("_a", tf.split_think_answer(F.lit(""), F.col("response"))["answer"])
+    r = staged.with_split_think_answer(r, "", "response")
     bench = F.when(F.col("question_id") % 2 == 0, F.lit("gpqa_diamond")).otherwise(F.lit("math500"))
     ref = F.when(F.col("question_id") % 2 == 0, F.col("ref_letter")).otherwise(F.col("reference"))
-    r = (r.withColumn("benchmark", bench)
-         .withColumn("_l", tf.grade_letter(F.col("_a"), F.col("ref_letter")))
-         .withColumn("_d", tf.grade(F.col("benchmark"), F.col("_a"), ref)))
-    return _flat(r.select("question_id", "benchmark", "ref_letter",
-                          F.col("_l.is_correct").alias("letter_correct"), F.col("_l.extracted").alias("letter"),
-                          F.col("_d.is_correct").alias("is_correct"), F.col("_d.extracted").alias("extracted")))
+    r = r.withColumn("benchmark", bench).withColumn("_ref", ref)
+    r = staged.with_grade_letter(r, "answer", "ref_letter", "letter_correct", "letter")
+    r = staged.with_grade(r, "benchmark", "answer", "_ref")
+    return _flat(r.select("question_id", "benchmark", "ref_letter", "letter_correct", "letter",
+                          "is_correct", "extracted"))
 
 
 def q_eval_traces(spark, sf):
