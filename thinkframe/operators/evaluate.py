@@ -98,7 +98,8 @@ def check_run_metadata(runs: DataFrame, mode: str = "quarantine") -> DataFrame:
            .when((F.col("mode") != "base") & F.col("checkpoint_dir").isNull(),
                  F.lit("checkpoint_dir is required unless mode='base'")))
     if mode == "strict":
-        return runs.withColumn("metadata_error", F.when(err.isNotNull(), F.raise_error(err)))
+        return runs.where(F.when(err.isNotNull(), F.raise_error(err)).otherwise(F.lit(True))) \
+                   .withColumn("metadata_error", F.lit(None).cast("string"))
     return runs.withColumn("metadata_error", err)
 
 

@@ -53,8 +53,9 @@ def check_required(df: DataFrame, mode: str = "strict"):
         msg = F.concat(F.lit("Example "), F.col("ex_id").cast("string"),
                        F.lit(" is missing required field(s) "), F.array_join("missing_fields", ", "),
                        F.lit(". Every example needs: " + ", ".join(REQUIRED_FIELDS)))
-        return tagged.withColumn("missing_fields", F.when(bad_cond, F.raise_error(msg))
-                                 .otherwise(F.col("missing_fields"))).drop("missing_fields")
+        # A filter predicate is evaluated for every row, so the check cannot be
+        # pruned away the way an unused column would be.
+        return tagged.where(F.when(bad_cond, F.raise_error(msg)).otherwise(F.lit(True))).drop("missing_fields")
     if mode == "quarantine":
         return tagged.where(~bad_cond).drop("missing_fields"), tagged.where(bad_cond)
     raise ValueError(f"unknown mode {mode!r}; use 'strict' or 'quarantine'")

@@ -127,8 +127,8 @@ def with_eval_family(df: DataFrame, family_col: str = "model_family", max_new_to
     mnt = F.col("max_new_tokens") if max_new_tokens is None else F.lit(max_new_tokens)
     out = df.join(dim, on=family_col, how="left")
     if strict:
-        out = out.withColumn("template", F.when(F.col("template").isNull(), F.raise_error(
-            F.concat(F.lit("Unsupported eval model_family "), F.col(family_col)))).otherwise(F.col("template")))
+        out = out.where(F.when(F.col("template").isNull(), F.raise_error(
+            F.concat(F.lit("Unsupported eval model_family "), F.col(family_col)))).otherwise(F.lit(True)))
     cont = F.coalesce(F.col("continuation_max_new_tokens_override"), mnt)
     return (out.withColumn("continuation_max_new_tokens", cont)
             .withColumn("max_model_len", F.least(
