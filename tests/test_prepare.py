@@ -115,3 +115,21 @@ def test_catalog_upsert_and_sinks(spark, tmpdir_path):
     assert rows["task_qwen3_cotgen_train"].file_name == "data/dataset_key=task_qwen3_cotgen_train"
     assert rows["task_qwen3_cotgen_train"].formatting == "sharegpt"
     assert rows["task_qwen3_cotgen_train"].tags["assistant_tag"] == "gpt"
+
+
+def test_trace_and_summary_sinks(spark, tmpdir_path):
+    from thinkframe.sinks import write_run_summaries, write_traces
+    tr = spark.createDataFrame([(0, "aime24", 1, True), (1, "gpqa_diamond", 2, False)],
+                               "repeat int, benchmark string, question_id int, is_correct boolean")
+    p = os.path.join(tmpdir_path, "traces")
+    write_traces(tr, p)
+    write_traces(tr, p)
+    assert spark.read.json(p).count() == 4
+    assert spark.read.json(p).where("benchmark = 'aime24'").count() == 2
+    s = spark.createDataFrame([("d", "cotgen", "aime24", "run1", 0.5), ("d", "cotgen", "aime24", "run2", 0.7)],
+                              "dataset_name string, mode string, benchmark string, run_id string, accuracy_mean double")
+    sp = os.path.join(tmpdir_path, "summaries")
+    write_run_summaries(s, sp)
+    write_run_summaries(s.where("run_id = 'run2'").withColumn("accuracy_mean", F.lit(0.9)), sp)
+    got = {r.run_id: r.accuracy_mean for r in spark.read.json(sp).collect()}
+    assert got == {"run1": 0.5, "run2": 0.9}

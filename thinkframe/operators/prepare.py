@@ -31,37 +31,49 @@ def split_hash(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-def holdout_threshold(df: DataFrame, n_val: int, id_col: str = "ex_id", seed: int = DEFAULT_SEED):
-    """(hash, id) of the ``n_val``-th smallest ``md5('{seed}:{id}')``.
+def _cut(hist, need: int):
+    """(bucket, rows before it, rows in it) of the bucket holding the need-th row."""
+    cum = 0
+    for row in hist:
+        if cum + row["count"] >= need:
+            return row["b"], cum, row["count"]
+        cum += row["count"]
+    raise ValueError("n_val exceeds the number of rows")
+
+
+def _histogram(base: DataFrame, prefix: str):
+    cur = base.where(F.col("_h").startswith(prefix)) if prefix else base
+    return (cur.groupBy(F.substring("_h", len(prefix) + 1, HASH_DIGITS_PER_LEVEL).alias("b"))
+            .count().orderBy("b").collect())          # <= 16^HASH_DIGITS_PER_LEVEL rows
+
+
+def holdout_threshold(df: DataFrame, val_fraction: float, id_col: str = "ex_id", seed: int = DEFAULT_SEED):
+    """``(n, n_val, hash, id)``: the row count, the validation size
+    ``max(1, int(n * val_fraction))`` and the (hash, id) of the ``n_val``-th
+    smallest ``md5('{seed}:{id}')``.
 
     Exact selection without a global sort: each pass counts rows per next 4
     hex digits of the hash inside the current prefix (at most 65,536 groups,
-    partial aggregation first), finds the bucket holding the cut, and narrows
-    the prefix. Once the cut bucket holds few rows, it is ranked exactly.
-    Each pass reads only ``id_col``.
+    partial aggregation first); the first pass also yields ``n``. The bucket
+    holding the cut narrows the prefix; once it holds few rows it is ranked
+    exactly. Each pass reads only ``id_col``.
     """
-    h = split_hash(id_col, seed)
-    base = df.select(h.alias("_h"), F.col(id_col).alias("_id"))
+    base = df.select(split_hash(id_col, seed).alias("_h"), F.col(id_col).alias("_id"))
+    hist = _histogram(base, "")
+    n = sum(r["count"] for r in hist)
+    if n == 0:
+        return 0, 0, None, None
+    n_val = max(1, int(n * val_fraction))
     prefix, need = "", n_val
     while True:
-        cur = base.where(F.col("_h").startswith(prefix)) if prefix else base
-        depth = len(prefix)
-        hist = (cur.groupBy(F.substring("_h", depth + 1, HASH_DIGITS_PER_LEVEL).alias("b"))
-                .count().orderBy("b").collect())          # <= 65,536 rows
-        cum = 0
-        for row in hist:
-            if cum + row["count"] >= need:
-                bucket, bucket_n = row["b"], row["count"]
-                break
-            cum += row["count"]
-        else:
-            raise ValueError("n_val exceeds the number of rows")
-        need -= cum
+        bucket, before, bucket_n = _cut(hist, need)
+        need -= before
         prefix += bucket
         if bucket_n <= EXACT_FINISH_ROWS or len(prefix) >= 32:
             r = (base.where(F.col("_h").startswith(prefix)).orderBy("_h", "_id")
                  .offset(need - 1).limit(1).collect()[0])
-            return r["_h"], r["_id"]
+            return n, n_val, r["_h"], r["_id"]
+        hist = _histogram(base, prefix)
 
 
 def holdout_split(df: DataFrame, val_fraction: float = DEFAULT_VAL_FRACTION, seed: int = DEFAULT_SEED,
@@ -78,11 +90,9 @@ def holdout_split(df: DataFrame, val_fraction: float = DEFAULT_VAL_FRACTION, see
     """
     if val_fraction <= 0:
         return df.withColumn("split", F.lit("train"))
-    n = df.count()
+    n, n_val, th_h, th_id = holdout_threshold(df, val_fraction, id_col, seed)
     if n == 0:
         return df.withColumn("split", F.lit("train"))
-    n_val = max(1, int(n * val_fraction))
-    th_h, th_id = holdout_threshold(df, n_val, id_col, seed)
     h = split_hash(id_col, seed)
     is_val = (h < F.lit(th_h)) | ((h == F.lit(th_h)) & (F.col(id_col) <= F.lit(th_id)))
     return df.withColumn("split", F.when(is_val, "val").otherwise("train"))

@@ -362,6 +362,13 @@ def fold_sql(src: str, maxr: str, keys: str = '"repeat", question_id', extra_any
  FROM fk GROUP BY {keys} HAVING min("round")=0)"""
 
 
+Q["generation_requests"] = with_(BENCH, f"""gq0 AS (SELECT benchmark, pos, id,
+  {strip('question')}||{NL}||{NL}||{sqlstr(MATH_DIRECTIVE)} AS prompt_text FROM bu)""") + f"""
+SELECT benchmark, pos, id, cast(r.rep as bigint) AS "repeat", cast({words('prompt_text')} as bigint) AS prompt_words,
+ cast(least(32768, greatest(1, 40864 - {words('prompt_text')})) as bigint) AS max_tokens,
+ cast(12345 + r.rep as bigint) AS seed
+FROM gq0 CROSS JOIN (SELECT 0 AS rep UNION ALL SELECT 1 UNION ALL SELECT 2) r"""
+
 Q["fold_rounds"] = with_(F3, fold_sql("f3", "2")) + """
 SELECT cast("repeat" as bigint) AS "repeat", question_id, text, initial_round_text, prompt_tokens, output_tokens,
  initial_round_output_tokens, continuation_output_tokens, was_truncated, still_truncated, num_rounds, last_round FROM fold"""

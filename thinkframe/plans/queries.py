@@ -13,7 +13,7 @@ from .. import functions as tf
 from ..functions import staged
 from ..constants import EVAL_MODEL_FAMILIES, TRAIN_FAMILIES
 from ..operators import evaluate, prepare, report, stats
-from ..sources import benchmarks, fixtures
+from ..sources import benchmarks, families, fixtures
 from ..sources.examples import missing_fields
 from ..sources.families import forced_assistant_prefix, think_tags
 from ..sources.tables import read_table
@@ -157,6 +157,19 @@ def q_format_questions(spark, sf):
                           F.col("messages")[0]["content"].alias("prompt_text")))
 
 
+def q_generation_requests(spark, sf):
+    """J8 + P9 + P12: round-0 generation requests, one per (repeat, question):
+    formatted prompt, its length (whitespace words), the round-0 token budget
+    for a qwen3 run and the per-repeat seed."""
+    qs = evaluate.questions_with_prompts(benchmarks.load_benchmarks(_benchmark_sources(spark, sf)))
+    r = evaluate.repeat_questions(qs.select("benchmark", "pos", "id", "prompt_text"), 3)
+    plen = tf.whitespace_token_count(F.col("prompt_text"))
+    mml = families.required_max_model_len("qwen3", 32768)
+    budget = evaluate.round_budget(F.lit(0), plen, F.lit(32768), F.lit(4000), F.lit(mml))
+    return _flat(r.select("benchmark", "pos", "id", "repeat", plen.alias("prompt_words"),
+                          budget.alias("max_tokens"), evaluate.seed_for_repeat(F.col("repeat")).alias("seed")))
+
+
 # ------------------------------------------------------------------ generation
 def _folded(spark, sf, max_rounds=2):
     return evaluate.fold_rounds(fixtures.generation_rounds(spark, sf), max_rounds)
@@ -350,6 +363,7 @@ QUERIES = {
     "benchmark_union": q_benchmark_union,
     "choice_permutation": q_choice_permutation,
     "format_questions": q_format_questions,
+    "generation_requests": q_generation_requests,
     "fold_rounds": q_fold_rounds,
     "continuation_worklist": q_continuation_worklist,
     "split_think_answer": q_split_think_answer,
