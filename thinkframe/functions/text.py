@@ -51,6 +51,9 @@ def split_think_answer(prefix, text, open_tag: str = EVAL_THINK_OPEN,
 
 def whitespace_token_count(c) -> Column:
     """Default reasoning-token counter: number of whitespace-separated words
-    (str.split() semantics); 0 for empty text."""
-    t = py_strip(c)
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, WS_REGEX_CLASS + "+", -1)))
+    (str.split() semantics); 0 for empty text. Every whitespace character is
+    first mapped to a plain space with ``translate``, so the split is on one
+    literal character (no regex character class, several times faster on
+    long texts)."""
+    spaced = F.translate(col(c), WS, " " * len(WS))
+    return F.size(F.array_remove(F.split(spaced, " ", -1), ""))

@@ -162,12 +162,13 @@ def q_generation_requests(spark, sf):
     formatted prompt, its length (whitespace words), the round-0 token budget
     for a qwen3 run and the per-repeat seed."""
     qs = evaluate.questions_with_prompts(benchmarks.load_benchmarks(_benchmark_sources(spark, sf)))
-    r = evaluate.repeat_questions(qs.select("benchmark", "pos", "id", "prompt_text"), 3)
-    plen = tf.whitespace_token_count(F.col("prompt_text"))
+    qs = qs.select("benchmark", "pos", "id", tf.whitespace_token_count(F.col("prompt_text")).alias("prompt_words"))
     mml = families.required_max_model_len("qwen3", 32768)
-    budget = evaluate.round_budget(F.lit(0), plen, F.lit(32768), F.lit(4000), F.lit(mml))
-    return _flat(r.select("benchmark", "pos", "id", "repeat", plen.alias("prompt_words"),
-                          budget.alias("max_tokens"), evaluate.seed_for_repeat(F.col("repeat")).alias("seed")))
+    budget = evaluate.round_budget(F.lit(0), F.col("prompt_words"), F.lit(32768), F.lit(4000), F.lit(mml))
+    qs = qs.withColumn("max_tokens", budget)            # per question, before the fan-out
+    r = evaluate.repeat_questions(qs, 3)
+    return _flat(r.select("benchmark", "pos", "id", "repeat", "prompt_words", "max_tokens",
+                          evaluate.seed_for_repeat(F.col("repeat")).alias("seed")))
 
 
 # ------------------------------------------------------------------ generation
