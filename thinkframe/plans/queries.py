@@ -82,9 +82,13 @@ def _catalog_flat(cat: DataFrame) -> DataFrame:
 
 
 def q_catalog_upsert(spark, sf):
-    old = (prepare.catalog_entries(_records(spark, sf, "s1k11_correct_only_qwen3"), "data/v1")
-           .unionByName(prepare.catalog_entries(_records(spark, sf, DATASET), "data/v1")))
-    new = prepare.catalog_entries(_records(spark, sf, DATASET), "data/v2")
+    # Both datasets are built from the same examples with the same seed, so the
+    # split is computed once and the older dataset's keys are derived from it.
+    recs = _records(spark, sf, DATASET)
+    older = recs.withColumn("dataset_key", F.regexp_replace("dataset_key", "^" + DATASET, "s1k11_correct_only_qwen3"))
+    old = (prepare.catalog_entries(older, "data/v1")
+           .unionByName(prepare.catalog_entries(recs, "data/v1")))
+    new = prepare.catalog_entries(recs, "data/v2")
     return _catalog_flat(prepare.upsert_catalog(old, new))
 
 

@@ -24,6 +24,7 @@ def start_run_summary_stream(spark: SparkSession, trace_dir: str, schema, out_di
     per_repeat = repeat_stats(src, run_keys)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
+        # Written once, then re-read: the stateful aggregation is not recomputed.
         batch.write.mode("overwrite").parquet(version_path(out_dir + "/per_repeat", batch_id))
         pr = batch.sparkSession.read.parquet(version_path(out_dir + "/per_repeat", batch_id))
         run_summary(pr, run_keys, num_repeats).write.mode("overwrite").parquet(
