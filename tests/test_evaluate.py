@@ -148,3 +148,19 @@ def test_tokenizer_hook(spark, tmpdir_path):
     df = spark.createDataFrame([("hello world  again",), ("",)], "t string")
     rows = df.select(token_count_udf(path)(F.col("t")).alias("n"), token_texts_udf(path)(F.col("t")).alias("p")).collect()
     assert rows[0].n == 3 and "".join(rows[0].p) == "hello world  again" and rows[1].n == 0
+
+
+def test_eval_summary_records(spark):
+    pr = stats.repeat_stats(_traces(spark))
+    s = stats.run_summary(pr, num_repeats=2)
+    runs = spark.createDataFrame([("d", "cotgen", "aime24", "run1", "qwen3", "ck", 32768, None, None, "out")],
+                                 "dataset_name string, mode string, benchmark string, run_id string, model_family string, "
+                                 "checkpoint_dir string, max_new_tokens int, temperature double, max_continuation_rounds long, "
+                                 "output_dir string")
+    r = stats.eval_summary_records(s, runs).first()
+    assert r.continuation_max_new_tokens == 4000 and r.max_continuation_rounds == 1
+    assert dict(r.sampling_params) == {"temperature": 0.6, "top_p": 0.95, "top_k": 20.0, "min_p": 0.0}
+    assert r.trace_file == "out/d_cotgen_aime24_run1_traces.jsonl" and r.is_complete
+    runs2 = runs.withColumn("model_family", F.lit("dsr1_qwen7b")).withColumn("max_continuation_rounds", F.lit(5).cast("long"))
+    r2 = stats.eval_summary_records(s, runs2).first()
+    assert r2.continuation_max_new_tokens == 32768 and r2.max_continuation_rounds == 5

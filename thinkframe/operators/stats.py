@@ -158,3 +158,39 @@ def next_run_id(files: DataFrame, keys=("dataset_name", "mode", "benchmark"),
     g = files.groupBy(*keys).agg(F.max(n).alias("max_run"))
     return g.select(*keys, F.coalesce(F.col("max_run"), F.lit(0)).alias("max_run"),
                     F.concat(F.lit("run"), (F.coalesce(F.col("max_run"), F.lit(0)) + 1).cast("string")).alias("next_run_id"))
+
+
+def eval_summary_records(summary: DataFrame, runs: DataFrame, run_keys=RUN_KEYS) -> DataFrame:
+    """Per-run statistics joined with the run configuration.
+
+    ``runs`` has one row per run: the run keys, ``model_family``,
+    ``checkpoint_dir``, ``max_new_tokens``, optional ``temperature``,
+    ``top_p``, ``max_samples``, ``continuation_max_new_tokens`` and
+    ``max_continuation_rounds`` overrides, and ``output_dir``. Adds the
+    effective ``sampling_params`` (P12), the continuation settings (S11
+    defaults unless overridden) and ``trace_file``. Both sides hold one row
+    per run; the family settings come from the 5-row broadcast dimension.
+    """
+    from ..sources.families import eval_family_dim
+    from .evaluate import effective_sampling_params
+
+    def opt(c, t):
+        return F.col(c) if c in runs.columns else F.lit(None).cast(t)
+
+    dim = eval_family_dim(runs.sparkSession).select(
+        "model_family", F.col("sampling_params").alias("_fam_params"),
+        F.col("max_continuation_rounds").alias("_fam_rounds"),
+        F.col("continuation_max_new_tokens_override").alias("_fam_cont"))
+    r = runs.join(dim, "model_family", "left")
+    name = F.concat_ws("_", *[F.col(k) for k in run_keys])
+    cfg = r.select(
+        *run_keys, "model_family", "checkpoint_dir", opt("max_samples", "long").alias("max_samples"),
+        effective_sampling_params(F.col("_fam_params"), opt("temperature", "double"), opt("top_p", "double"))
+        .alias("sampling_params"),
+        F.col("max_new_tokens").cast("long").alias("max_new_tokens"),
+        F.coalesce(opt("continuation_max_new_tokens", "long"), F.col("_fam_cont"), F.col("max_new_tokens"))
+        .cast("long").alias("continuation_max_new_tokens"),
+        F.coalesce(opt("max_continuation_rounds", "long"), F.col("_fam_rounds")).cast("long")
+        .alias("max_continuation_rounds"),
+        F.concat(F.col("output_dir"), F.lit("/"), name, F.lit("_traces.jsonl")).alias("trace_file"))
+    return summary.join(cfg, list(run_keys), "left")
