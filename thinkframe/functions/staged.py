@@ -57,38 +57,53 @@ def with_last_boxed(df: DataFrame, text_col: str, out_col: str = "boxed") -> Dat
     return d.drop("_segs", "_k")
 
 
+def _math_grade(d: DataFrame, box_col: str, reference_col: str, correct_col: str, extracted_col: str) -> DataFrame:
+    d = d.withColumn("_np", normalize_math_answer(F.col(box_col))).withColumn(
+        "_nr", normalize_math_answer(F.col(reference_col)))
+    ok = F.when(F.col(box_col).isNull(), F.lit(False)).otherwise(
+        (F.col("_np") == F.col("_nr")) | numeric_equal(F.col("_np"), F.col("_nr")))
+    d = d.withColumn(correct_col, F.coalesce(ok, F.lit(False))).withColumn(extracted_col, F.col(box_col))
+    return d.drop("_np", "_nr")
+
+
+def _letter_grade(d: DataFrame, answer_col: str, box_col: str, reference_col: str, correct_col: str,
+                  extracted_col: str) -> DataFrame:
+    d = d.withColumn("_tl", _letters(F.col(answer_col)))
+    letter = F.coalesce(F.get(_letters(F.col(box_col)), 0), F.get(F.col("_tl"), F.size("_tl") - 1))
+    d = d.withColumn(extracted_col, letter)
+    d = d.withColumn(correct_col, F.coalesce(F.col(extracted_col) == F.col(reference_col), F.lit(False)))
+    return d.drop("_tl")
+
+
 def with_grade_math(df: DataFrame, answer_col: str, reference_col: str, correct_col: str = "is_correct",
                     extracted_col: str = "extracted") -> DataFrame:
     """A5 (see ``grade_math``) as staged columns."""
     d = with_last_boxed(df, answer_col, "_box")
-    d = d.withColumn("_np", normalize_math_answer(F.col("_box"))).withColumn(
-        "_nr", normalize_math_answer(F.col(reference_col)))
-    ok = F.when(F.col("_box").isNull(), F.lit(False)).otherwise(
-        (F.col("_np") == F.col("_nr")) | numeric_equal(F.col("_np"), F.col("_nr")))
-    d = d.withColumn(correct_col, F.coalesce(ok, F.lit(False))).withColumn(extracted_col, F.col("_box"))
-    return d.drop("_box", "_np", "_nr")
+    return _math_grade(d, "_box", reference_col, correct_col, extracted_col).drop("_box")
 
 
 def with_grade_letter(df: DataFrame, answer_col: str, reference_col: str, correct_col: str = "is_correct",
                       extracted_col: str = "extracted") -> DataFrame:
     """A6 (see ``grade_letter``) as staged columns."""
     d = with_last_boxed(df, answer_col, "_box")
-    d = d.withColumn("_tl", _letters(F.col(answer_col)))
-    letter = F.coalesce(F.get(_letters(F.col("_box")), 0), F.get(F.col("_tl"), F.size("_tl") - 1))
-    d = d.withColumn(extracted_col, letter)
-    d = d.withColumn(correct_col, F.coalesce(F.col(extracted_col) == F.col(reference_col), F.lit(False)))
-    return d.drop("_box", "_tl")
+    return _letter_grade(d, answer_col, "_box", reference_col, correct_col, extracted_col).drop("_box")
 
 
 def with_grade(df: DataFrame, benchmark_col: str, answer_col: str, reference_col: str,
-               correct_col: str = "is_correct", extracted_col: str = "extracted") -> DataFrame:
-    """Letter grading for gpqa_diamond rows, boxed-math grading otherwise."""
-    d = with_grade_math(df, answer_col, reference_col, "_mc", "_me")
-    d = with_grade_letter(d, answer_col, reference_col, "_lc", "_le")
+               correct_col: str = "is_correct", extracted_col: str = "extracted",
+               keep_parts: bool = False) -> DataFrame:
+    """Letter grading for gpqa_diamond rows, boxed-math grading otherwise.
+    The last box is extracted once and shared by both graders. With
+    ``keep_parts`` the per-grader results stay as ``math_correct``,
+    ``math_extracted``, ``letter_correct``, ``letter_extracted``."""
+    d = with_last_boxed(df, answer_col, "_box")
+    d = _math_grade(d, "_box", reference_col, "math_correct", "math_extracted")
+    d = _letter_grade(d, answer_col, "_box", reference_col, "letter_correct", "letter_extracted")
     is_l = F.col(benchmark_col) == "gpqa_diamond"
-    d = (d.withColumn(correct_col, F.when(is_l, F.col("_lc")).otherwise(F.col("_mc")))
-         .withColumn(extracted_col, F.when(is_l, F.col("_le")).otherwise(F.col("_me"))))
-    return d.drop("_mc", "_me", "_lc", "_le")
+    d = (d.withColumn(correct_col, F.when(is_l, F.col("letter_correct")).otherwise(F.col("math_correct")))
+         .withColumn(extracted_col, F.when(is_l, F.col("letter_extracted")).otherwise(F.col("math_extracted"))))
+    d = d.drop("_box")
+    return d if keep_parts else d.drop("math_correct", "math_extracted", "letter_correct", "letter_extracted")
 
 
 def apply_think_mask(df: DataFrame, think_open: str, think_close: str, token_col: str = "token_texts",

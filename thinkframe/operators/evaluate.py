@@ -37,15 +37,15 @@ def fold_rounds(rounds: DataFrame, max_continuation_rounds, keys=ROUND_KEYS) ->
     kept = F.slice(rs, 1, F.when(stop > 0, stop).otherwise(F.size(rs)).cast("int"))
     first = F.element_at(F.col("_kept"), 1)
     out_tok = F.aggregate(F.col("_kept"), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["output_tokens"], F.lit(0)))
-    g = g.withColumn("_kept", kept).where(first["round"] == 0)
+    g = g.withColumn("_kept", kept).where(first["round"] == 0).withColumn("_out", out_tok)
     return g.select(
         *keys,
         F.array_join(F.transform("_kept", lambda x: x["text"]), "").alias("text"),
         first["text"].alias("initial_round_text"),
         first["prompt_tokens"].alias("prompt_tokens"),
-        out_tok.alias("output_tokens"),
+        F.col("_out").alias("output_tokens"),
         first["output_tokens"].alias("initial_round_output_tokens"),
-        (out_tok - first["output_tokens"]).alias("continuation_output_tokens"),
+        (F.col("_out") - first["output_tokens"]).alias("continuation_output_tokens"),
         (first["fin"] == "length").alias("was_truncated"),
         (F.element_at(F.col("_kept"), -1)["fin"] == "length").alias("still_truncated"),
         F.size("_kept").alias("num_rounds"),

@@ -237,11 +237,15 @@ def q_grade_math(spark, sf):
 def q_grade_letter(spark, sf):
     r = fixtures.model_responses(spark, sf)
     r = staged.with_split_think_answer(r, "", "response")
-    bench = F.when(F.col("question_id") % 2 == 0, F.lit("gpqa_diamond")).otherwise(F.lit("math500"))
-    ref = F.when(F.col("question_id") % 2 == 0, F.col("ref_letter")).otherwise(F.col("reference"))
-    r = r.withColumn("benchmark", bench).withColumn("_ref", ref)
-    r = staged.with_grade_letter(r, "answer", "ref_letter", "letter_correct", "letter")
-    r = staged.with_grade(r, "benchmark", "answer", "_ref")
+    even = F.col("question_id") % 2 == 0
+    r = (r.withColumn("benchmark", F.when(even, F.lit("gpqa_diamond")).otherwise(F.lit("math500")))
+         .withColumn("_ref", F.when(even, F.col("ref_letter")).otherwise(F.col("reference"))))
+    # The letter grade against ref_letter on every row, and the dispatched grade.
+    r = staged.with_last_boxed(r, "answer", "_box")
+    r = staged._letter_grade(r, "answer", "_box", "ref_letter", "letter_correct", "letter")
+    r = staged._math_grade(r, "_box", "_ref", "_mc", "_me")
+    r = (r.withColumn("is_correct", F.when(even, F.col("letter_correct")).otherwise(F.col("_mc")))
+         .withColumn("extracted", F.when(even, F.col("letter")).otherwise(F.col("_me"))))
     return _flat(r.select("question_id", "benchmark", "ref_letter", "letter_correct", "letter",
                           "is_correct", "extracted"))
 

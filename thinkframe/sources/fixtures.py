@@ -204,8 +204,7 @@ def token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = ex.select("ex_id", v.alias("variant"), "prompt", resp.alias("response"))
     prompt_toks = F.array(*[F.col("prompt").substr(F.lit(i * k + 1), F.lit(k)) for i in range(MASK_PROMPT_TOKENS)])
     resp_toks = F.regexp_extract_all(F.col("response"), F.lit(f"(?s).{{1,{k}}}"), 0)
-    n_all = F.lit(MASK_PROMPT_TOKENS) + F.size(resp_toks)
+    toks = df.select("ex_id", "variant", "response", F.concat(prompt_toks, resp_toks).alias("token_texts"))
     labels = F.concat(F.array_repeat(F.lit(IGNORE_INDEX), MASK_PROMPT_TOKENS),
-                      F.sequence(F.lit(MASK_PROMPT_TOKENS), n_all - 1))
-    return df.select("ex_id", "variant", "response", F.concat(prompt_toks, resp_toks).alias("token_texts"),
-                     labels.alias("labels"))
+                      F.sequence(F.lit(MASK_PROMPT_TOKENS), F.size("token_texts") - 1))
+    return toks.withColumn("labels", labels)
