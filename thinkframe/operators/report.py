@@ -155,6 +155,12 @@ def mode_pivot(rows: DataFrame, models) -> DataFrame:
     benchmark) in the full grid, with ``{mode}_acc`` / ``{mode}_progress``
     and ``delta_cotcond_vs_cotgen_pct``. Base runs have no ablation of their
     own and appear in every ablation."""
+    # Only cells of the requested grid can appear in the output, so rows are
+    # restricted to it first; the pivoted side then has at most
+    # len(models) x len(ablations) x len(benchmarks) rows, a proven bound that
+    # makes the broadcast below safe.
+    rows = rows.where(F.col("model").isin(*models) & F.col("benchmark").isin(*PIVOT_BENCHMARKS)
+                      & (F.col("ablation").isin(*PIVOT_ABLATIONS) | (F.col("mode") == "base")))
     best = best_run_per_cell(rows)
     base = (best.where(F.col("mode") == "base")
             .withColumn("ablation", F.explode(F.array(*[F.lit(a) for a in PIVOT_ABLATIONS]))))
@@ -166,7 +172,7 @@ def mode_pivot(rows: DataFrame, models) -> DataFrame:
           .agg(F.min_by("accuracy_mean", F.col("source_path")).alias("acc"),
                F.min_by("progress", F.col("source_path")).alias("progress")))
     sk = _skeleton(rows.sparkSession, models)
-    out = sk.join(pv, ["model", "ablation", "benchmark"], "left")
+    out = sk.join(F.broadcast(pv), ["model", "ablation", "benchmark"], "left")
     g, c = F.col("cotgen_acc"), F.col("cotcond_acc")
     delta = F.when(g.isNotNull() & c.isNotNull() & (g != 0), (c - g) / g * 100)
     return out.select("model", "ablation", "benchmark",

@@ -160,7 +160,7 @@ def next_run_id(files: DataFrame, keys=("dataset_name", "mode", "benchmark"),
                     F.concat(F.lit("run"), (F.coalesce(F.col("max_run"), F.lit(0)) + 1).cast("string")).alias("next_run_id"))
 
 
-def eval_summary_records(summary: DataFrame, runs: DataFrame, run_keys=RUN_KEYS) -> DataFrame:
+def eval_summary_records(summary: DataFrame, runs: DataFrame | None = None, run_keys=RUN_KEYS) -> DataFrame:
     """Per-run statistics joined with the run configuration.
 
     ``runs`` has one row per run: the run keys, ``model_family``,
@@ -170,21 +170,28 @@ def eval_summary_records(summary: DataFrame, runs: DataFrame, run_keys=RUN_KEYS)
     effective ``sampling_params`` (P12), the continuation settings (S11
     defaults unless overridden) and ``trace_file``. Both sides hold one row
     per run; the family settings come from the 5-row broadcast dimension.
+    With ``runs=None`` the configuration columns are read from ``summary``
+    itself (no join).
     """
     from ..sources.families import eval_family_dim
     from .evaluate import effective_sampling_params
 
+    src = summary if runs is None else runs
+
     def opt(c, t):
-        return F.col(c) if c in runs.columns else F.lit(None).cast(t)
+        return F.col(c) if c in src.columns else F.lit(None).cast(t)
 
-    dim = eval_family_dim(runs.sparkSession).select(
+    dim = eval_family_dim(src.sparkSession).select(
         "model_family", F.col("sampling_params").alias("_fam_params"),
         F.col("max_continuation_rounds").alias("_fam_rounds"),
         F.col("continuation_max_new_tokens_override").alias("_fam_cont"))
-    r = runs.join(dim, "model_family", "left")
+    r = src.join(dim, "model_family", "left")
     name = F.concat_ws("_", *[F.col(k) for k in run_keys])
+    keep = [c for c in src.columns if c not in ("max_samples", "max_new_tokens", "continuation_max_new_tokens",
+                                                "max_continuation_rounds", "output_dir")] if runs is None \
+        else [*run_keys, "model_family", "checkpoint_dir"]
     cfg = r.select(
-        *run_keys, "model_family", "checkpoint_dir", opt("max_samples", "long").alias("max_samples"),
+        *keep, opt("max_samples", "long").alias("max_samples"),
         effective_sampling_params(F.col("_fam_params"), opt("temperature", "double"), opt("top_p", "double"))
         .alias("sampling_params"),
         F.col("max_new_tokens").cast("long").alias("max_new_tokens"),
@@ -193,4 +200,4 @@ def eval_summary_records(summary: DataFrame, runs: DataFrame, run_keys=RUN_KEYS)
         F.coalesce(opt("max_continuation_rounds", "long"), F.col("_fam_rounds")).cast("long")
         .alias("max_continuation_rounds"),
         F.concat(F.col("output_dir"), F.lit("/"), name, F.lit("_traces.jsonl")).alias("trace_file"))
-    return summary.join(cfg, list(run_keys), "left")
+    return cfg if runs is None else summary.join(cfg, list(run_keys), "left")

@@ -285,9 +285,8 @@ def q_running_summary(spark, sf):
     return _flat(stats.running_summary(_per_repeat(spark, sf)))
 
 
-def eval_runs(spark, sf) -> DataFrame:
-    """F5 run configuration: one row per run found in F4."""
-    runs = _traces_f4(spark, sf).select(*stats.RUN_KEYS).distinct()
+def with_run_config(summary: DataFrame) -> DataFrame:
+    """F5 run configuration, one value per run, derived from the run keys."""
     model = tf.parse_dataset_name(F.col("dataset_name"))["model"]
     bad_base = (F.col("mode") == "base") & (F.col("run_id") == "run3")
     bad_tuned = (F.col("mode") == "cotcond") & (F.col("benchmark") == "aime25") & (F.col("run_id") == "run2")
@@ -295,22 +294,20 @@ def eval_runs(spark, sf) -> DataFrame:
             .when(F.col("mode") == "base", F.lit(None).cast("string"))
             .when(bad_tuned, F.lit(None).cast("string"))
             .otherwise(F.concat(F.lit("ckpt/"), F.col("run_id"))))
-    return runs.select(
-        *stats.RUN_KEYS, model.alias("model_family"), ckpt.alias("checkpoint_dir"),
-        F.lit(32768).alias("max_new_tokens"),
-        F.when(F.col("run_id") == "run2", F.lit(0.7)).alias("temperature"),
-        F.when((F.col("run_id") == "run3") & (F.col("benchmark") == "gpqa_diamond"), F.lit(0.9)).alias("top_p"),
-        F.lit("eval_results").alias("output_dir"))
+    return (summary.withColumn("model_family", model).withColumn("checkpoint_dir", ckpt)
+            .withColumn("max_new_tokens", F.lit(32768))
+            .withColumn("temperature", F.when(F.col("run_id") == "run2", F.lit(0.7)))
+            .withColumn("top_p", F.when((F.col("run_id") == "run3") & (F.col("benchmark") == "gpqa_diamond"),
+                                        F.lit(0.9)))
+            .withColumn("output_dir", F.lit("eval_results")))
 
 
 def eval_summaries(spark, sf) -> DataFrame:
     """evaluation run summaries (D11) from F4 and the run configuration."""
     s = stats.run_summary(_per_repeat(spark, sf), with_per_repeat=False)
-    runs = eval_runs(spark, sf)
-    rec = stats.eval_summary_records(s, runs)
+    rec = stats.eval_summary_records(with_run_config(s))
     rn = tf.run_name("dataset_name", "mode", "benchmark", "run_id")
-    return (rec.join(runs.select(*stats.RUN_KEYS, "temperature", "top_p"), list(stats.RUN_KEYS), "left")
-            .withColumn("file_name", F.concat(rn, F.lit("_summary.json")))
+    return (rec.withColumn("file_name", F.concat(rn, F.lit("_summary.json")))
             .withColumn("source_path", F.concat(F.lit("eval_results/"), rn, F.lit("_summary.json"))))
 
 
