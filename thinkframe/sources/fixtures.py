@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..constants import DEFAULT_THINK_CLOSE, DEFAULT_THINK_OPEN, IGNORE_INDEX
 from ..functions.text import py_strip
@@ -79,13 +78,27 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generation_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rounds (question_id, repeat, round, text, prompt_tokens,
     output_tokens, finish_reason) from assistant turns, three repeats,
-    at most three rounds; all but a conversation's last turn end in 'length'."""
-    c = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
-    by_conv = Window.partitionBy("conv_id")
-    c = (c.select("conv_id", "turn", "text")
-         .withColumn("round", F.row_number().over(by_conv.orderBy("turn")) - 1)
-         .withColumn("mx", F.count(F.lit(1)).over(by_conv) - 1)
-         .where(F.col("round") <= 2))
+    at most three rounds; all but a conversation's last turn end in 'length'.
+
+    The round number is the rank of the turn among the conversation's
+    assistant turns. Only ranks 0-2 are kept, so they come from three
+    per-conversation minimum aggregates (partial aggregation, joined back on
+    conv_id) instead of a window: a conversation holding a large share of all
+    turns is never sorted inside a single task.
+    """
+    a = (read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+         .select("conv_id", "turn", "text"))
+    # Ranks from the narrow key rows only; the text rows are shuffled once, at the end.
+    keys = a.select("conv_id", "turn")
+    per = keys.groupBy("conv_id").agg(F.min("turn").alias("t0"), F.count(F.lit(1)).alias("n"))
+    for prev, nxt in (("t0", "t1"), ("t1", "t2")):
+        m = (keys.join(per.select("conv_id", prev), "conv_id").where(F.col("turn") > F.col(prev))
+             .groupBy("conv_id").agg(F.min("turn").alias(nxt)))
+        per = per.join(m, "conv_id", "left")
+    a = a.join(per, "conv_id")
+    rnd = (F.when(F.col("turn") == F.col("t0"), 0).when(F.col("turn") == F.col("t1"), 1)
+           .when(F.col("turn") == F.col("t2"), 2))
+    c = a.select("conv_id", "text", rnd.alias("round"), (F.col("n") - 1).alias("mx")).where(F.col("round").isNotNull())
     r = c.withColumn("repeat", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     fin = (F.when(F.col("round") < F.col("mx"), F.lit("length"))
            .when((F.length("text") + F.col("repeat")) % 4 == 0, F.lit("length"))
