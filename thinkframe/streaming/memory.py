@@ -105,26 +105,29 @@ def read_current_peaks(spark: SparkSession, out_dir: str) -> DataFrame | None:
     return _combine(spark.read.parquet(c), spark.read.parquet(o))
 
 
-def stream_memory_peak_from_table(spark: SparkSession, samples: DataFrame, n_files: int = 4,
-                                  files_per_batch: int = 2) -> DataFrame:
-    """Land ``samples`` as ``n_files`` files in time order (as a live sampler
-    would), stream them and return the peaks (equal to the batch
-    ``memory_peak``)."""
+def stream_memory_peak_from_table(spark: SparkSession, samples: DataFrame, n_chunks: int = 4,
+                                  files_per_batch: int = 8) -> DataFrame:
+    """Land ``samples`` in ``n_chunks`` time chunks, one after the other (as a
+    live sampler would), each written in parallel by every task; stream them
+    and return the peaks (equal to the batch ``memory_peak``). Files of one
+    chunk may be read in any order, so the watermark delay covers a chunk's
+    time span."""
     root = scratch_path(spark, "st2")
     stage = root + "/samples"
     bounds = samples.agg(F.min("sample_ts").alias("lo"), F.max("sample_ts").alias("hi")).collect()[0]
     ts = F.col("sample_ts").cast("long")
     lo, hi = bounds["lo"], bounds["hi"]
+    step = 1
     if lo is None:
         samples.write.mode("overwrite").parquet(stage + "/part=0")
     else:
         a, b = int(lo.timestamp()), int(hi.timestamp()) + 1
-        step = max(1, (b - a + n_files - 1) // n_files)
-        for i in range(n_files):          # sequential writes keep file order = time order
+        step = max(1, (b - a + n_chunks - 1) // n_chunks)
+        for i in range(n_chunks):         # sequential chunks keep chunk order = time order
             part = samples.where((ts >= a + i * step) & (ts < a + (i + 1) * step))
-            part.coalesce(1).write.mode("overwrite").parquet(f"{stage}/part={i}")
+            part.write.mode("overwrite").parquet(f"{stage}/part={i}")
     schema = spark.read.parquet(stage).drop("part").schema
     q = start_memory_stream(spark, stage + "/*", schema, root + "/out", root + "/checkpoint",
-                            files_per_batch=files_per_batch)
+                            watermark=f"{step + MEMORY_SAMPLE_SECONDS} seconds", files_per_batch=files_per_batch)
     q.awaitTermination()
     return read_current_peaks(spark, root + "/out")

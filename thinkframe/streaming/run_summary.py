@@ -40,13 +40,15 @@ def read_current_summary(spark: SparkSession, out_dir: str) -> DataFrame | None:
 
 
 def stream_run_summary_from_table(spark: SparkSession, traces: DataFrame, run_keys=RUN_KEYS,
-                                  num_repeats: int = 3) -> DataFrame:
-    """Land ``traces`` as one file per repeat, run the stream to completion
-    and return the final summary (equal to the batch ``run_summary``)."""
+                                  num_repeats: int = 3, files_per_batch: int = 8) -> DataFrame:
+    """Land ``traces`` partitioned by repeat (written in parallel by every
+    task), run the stream to completion and return the final summary (equal
+    to the batch ``run_summary``)."""
     root = scratch_path(spark, "st1")
     stage = root + "/traces"
-    traces.repartition(3, "repeat").write.mode("overwrite").parquet(stage)
+    traces.write.mode("overwrite").partitionBy("repeat").parquet(stage)
     schema = spark.read.parquet(stage).schema
-    q = start_run_summary_stream(spark, stage, schema, root + "/out", root + "/checkpoint", run_keys, num_repeats)
+    q = start_run_summary_stream(spark, stage, schema, root + "/out", root + "/checkpoint", run_keys, num_repeats,
+                                 files_per_batch)
     q.awaitTermination()
     return read_current_summary(spark, root + "/out")
