@@ -173,8 +173,12 @@ def grade_traces(folded: DataFrame, questions: DataFrame, benchmark, model_famil
     rt = F.when(F.col("thinking") == "", F.lit(0)).otherwise(token_count(F.col("thinking")))
     j = j.withColumn("reasoning_tokens", rt.cast("long"))
     it = F.when(F.col("_init_thinking") == "", F.lit(0)).otherwise(token_count(F.col("_init_thinking")))
+    extra = [c for c in folded.columns if c not in ("repeat", question_key, "text", "initial_round_text",
+                                                    "prompt_tokens", "output_tokens", "initial_round_output_tokens",
+                                                    "continuation_output_tokens", "was_truncated", "still_truncated",
+                                                    "num_rounds", "last_round", "benchmark")]
     return j.select(
-        "repeat", "benchmark", question_key, "reference", F.col("text").alias("raw_response"),
+        *extra, "repeat", "benchmark", question_key, "reference", F.col("text").alias("raw_response"),
         "thinking", "final_answer_text", "extracted_answer", "is_correct",
         "was_truncated", "still_truncated", "prompt_tokens", "output_tokens", "continuation_output_tokens",
         "reasoning_tokens",

@@ -16,20 +16,30 @@ RAW_EXAMPLE_SCHEMA = T.StructType([
 ])
 
 
-def load_examples(spark: SparkSession, path: str, id_field: str = "ex_id") -> DataFrame:
+def load_examples(spark: SparkSession, path: str, id_field: str = "ex_id", fmt: str | None = None) -> DataFrame:
     """Read raw ``{prompt, thinking, answer}`` examples.
 
-    ``.jsonl`` files are read as JSON lines (blank lines are skipped, and the
-    input is splittable across tasks); anything else is read as one JSON
-    array per file (not splittable, so prefer JSONL or Parquet at scale).
-    The schema is explicit, so a missing key and an explicit null both read
-    as NULL. Examples without an id get ``md5`` of their three fields as
-    ``ex_id`` (exact copies then share an id).
+    ``fmt``: ``"jsonl"`` (JSON lines; blank lines are skipped and the input
+    is splittable across tasks), ``"json"`` (one JSON array per file, not
+    splittable; prefer JSONL or Parquet at scale) or ``"parquet"``. By
+    default it follows the suffix (``.jsonl``, ``.parquet``, else JSON
+    array). The schema is explicit, so a missing key and an explicit null
+    both read as NULL. Examples without an id get ``md5`` of their three
+    fields as ``ex_id`` (exact copies then share an id).
     """
+    if fmt is None:
+        fmt = "jsonl" if path.endswith(".jsonl") else "parquet" if path.endswith(".parquet") else "json"
     schema = RAW_EXAMPLE_SCHEMA
     if id_field != "ex_id":
         schema = T.StructType([T.StructField(id_field, T.StringType(), True)] + RAW_EXAMPLE_SCHEMA.fields[1:])
-    df = spark.read.schema(schema).json(path, multiLine=not path.endswith(".jsonl"))
+    if fmt == "parquet":
+        raw = spark.read.parquet(path)
+        df = raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                          for f in schema.fields])
+    elif fmt in ("json", "jsonl"):
+        df = spark.read.schema(schema).json(path, multiLine=(fmt == "json"))
+    else:
+        raise ValueError(f"unknown format {fmt!r}")
     if id_field != "ex_id":
         df = df.withColumnRenamed(id_field, "ex_id")
     content_id = F.md5(F.concat_ws("\u0000", *[F.coalesce(F.col(c), F.lit("\u0001")) for c in REQUIRED_FIELDS]))
