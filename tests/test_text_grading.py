@@ -89,7 +89,8 @@ def test_whitespace_token_count(spark):
 
 
 def test_python_float_guard(spark):
-    vals = ["1.", ".5", "+1.5", "1e5", "1_000", "1__0", "_1", "1d", "0x1p3", " 3 ", "1e-3", "abc"]
+    vals = ["1.", ".5", "+1.5", "1e5", "1_000", "1__0", "_1", "1d", "0x1p3", " 3 ", "1e-3", "abc",
+            "٣", "３.５", "१०", "1_٢"]
     df = spark.createDataFrame([(v,) for v in vals], "s string")
     got = [r[0] for r in df.select(tf.python_float(F.col("s"))).collect()]
 

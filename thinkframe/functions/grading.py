@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,13 @@ BOXED_MARK = "\\boxed{"
 PY_FLOAT_PATTERN = (r"^[+-]?((\d(_?\d)*)?\.\d(_?\d)*|\d(_?\d)*\.?)"
                     r"([eE][+-]?\d(_?\d)*)?$")
 
+# Every Unicode decimal digit (category Nd) and its ASCII value, built by rule:
+# Python's float() accepts these digits, so they are mapped to ASCII before
+# the syntax check and the cast.
+_ND = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Nd"]
+ND_DIGITS = "".join(_ND)
+ND_ASCII = "".join(str(unicodedata.digit(ch)) for ch in _ND)
+
 # Word-character complement used instead of \b (Java's and RE2's \b are not
 # Unicode-aware the way Python's str patterns are).
 NON_WORD_RUN = r"[^\p{L}\p{N}_]+"
@@ -73,8 +82,9 @@ def normalize_math_answer(s) -> Column:
 
 
 def python_float(s) -> Column:
-    """float(s) where Python accepts it (ASCII digits), else NULL."""
-    t = py_strip(s)
+    """float(s) where Python accepts it, else NULL (any Unicode decimal digit
+    counts as its ASCII value, as in Python)."""
+    t = F.translate(py_strip(s), ND_DIGITS, ND_ASCII)
     return F.when(t.rlike(PY_FLOAT_PATTERN),
                   F.regexp_replace(t, "_", "").try_cast("double"))
 

@@ -6,6 +6,7 @@ code, so the driver can compare results."""
 from __future__ import annotations
 
 from ..constants import (DEFAULT_SYSTEM_PROMPT, GPQA_DIRECTIVE, MATH_DIRECTIVE)
+from ..functions.grading import ND_ASCII, ND_DIGITS
 from ..functions.text import WS, WS_REGEX_CLASS
 
 WS_SQL = "(" + "||".join(f"chr({ord(c)})" for c in WS) + ")"
@@ -243,7 +244,7 @@ def norm_cte(name: str, src: str, pred: str, ref: str) -> str:
 
 
 def pyfloat(x: str) -> str:
-    t = strip(x)
+    t = f"translate({strip(x)}, {sqlstr(ND_DIGITS)}, {sqlstr(ND_ASCII)})"
     return f"CASE WHEN regexp_matches({t}, {sqlstr(PY_FLOAT)}) THEN try_cast(replace({t}, '_', '') AS double) END"
 
 
