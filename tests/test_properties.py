@@ -66,3 +66,27 @@ def test_mask_matches_brute_force(spark, token_lists, n_prompt):
     got_col = [list(r[0]) for r in df.select(tf.think_mask("token_texts", "labels", "<t>", "</t>")["labels"]).collect()]
     want = [brute_mask(toks, n_prompt, "<t>", "</t>") for toks in token_lists]
     assert got == want and got_col == want
+
+
+def brute_split(prefix, text, op="<think>", cl="</think>"):
+    full = prefix + text
+    for i in range(len(full)):
+        if full.startswith(op, i):
+            j = full.find(cl, i + len(op))
+            if j >= 0:
+                return full[i + len(op):j].strip(), full[j + len(cl):].strip()
+    return "", full.strip()
+
+
+SPLIT_PIECES = st.sampled_from(["<think>", "</think>", "a", " ", "\n", "<", "think>", "</", "　", "b"])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(SPLIT_PIECES, max_size=10).map("".join), min_size=1, max_size=10),
+       st.sampled_from(["", "<think>\n"]))
+def test_split_matches_brute_force(spark, texts, prefix):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [(r.s.thinking, r.s.answer) for r in df.select(tf.split_think_answer(F.lit(prefix), F.col("t")).alias("s")).collect()]
+    got_staged = [(r.thinking, r.answer) for r in staged.with_split_think_answer(df, prefix, "t").collect()]
+    want = [brute_split(prefix, t) for t in texts]
+    assert got == want and got_staged == want
