@@ -166,7 +166,9 @@ def grade_traces(folded: DataFrame, questions: DataFrame, benchmark, model_famil
     prefix = eval_family(model_family)[2]
     j = folded.join(questions, question_key, "inner")
     j = staged.with_split_think_answer(j, prefix, "text", "thinking", "final_answer_text")
-    j = staged.with_split_think_answer(j, prefix, "initial_round_text", "_init_thinking", "_init_answer")
+    # The round-0 split is only needed for truncated rows (A16); other rows skip it.
+    j = j.withColumn("_init_src", F.when(F.col("was_truncated"), F.col("initial_round_text")))
+    j = staged.with_split_think_answer(j, prefix, "_init_src", "_init_thinking", "_init_answer")
     b = F.lit(benchmark) if isinstance(benchmark, str) else benchmark
     j = staged.with_grade(j.withColumn("benchmark", b), "benchmark", "final_answer_text", "reference",
                           "is_correct", "extracted_answer")
