@@ -1,10 +1,13 @@
 """ST1: incremental run summary over trace files.
 
-Trace files land in a folder as repeats finish. The stream aggregates
+Trace files land in a folder as repeats finish. The stream keeps
 per-(run, repeat) statistics (G2-G5) as a stateful streaming aggregation in
-complete mode (state = one row per run and repeat, not per trace row), and
-each micro-batch recomputes the per-run summary (G6-G8) from those rows and
-writes it as a new version. At any time the newest version is the summary
+update mode (state = one row per run and repeat, not per trace row), so each
+micro-batch emits only the (run, repeat) rows that changed. The batch writer
+merges them into the per-repeat table and recomputes the summary (G6-G8)
+only for the runs it touched; other runs' summaries are carried over. Both
+tables are published as a new version per batch id (a retried batch
+rewrites the same version). At any time the newest version is the summary
 over the repeats that have landed; a restarted query resumes from its
 checkpoint. No watermark is needed: late rows simply update their repeat.
 """
@@ -22,15 +25,28 @@ def start_run_summary_stream(spark: SparkSession, trace_dir: str, schema, out_di
                              run_keys=RUN_KEYS, num_repeats: int = 3, files_per_batch: int = 1):
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(trace_dir))
     per_repeat = repeat_stats(src, run_keys)
+    keys = [*run_keys, "repeat"]
+    pr_root, sum_root = out_dir + "/per_repeat", out_dir + "/summary"
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        # Written once, then re-read: the stateful aggregation is not recomputed.
-        batch.write.mode("overwrite").parquet(version_path(out_dir + "/per_repeat", batch_id))
-        pr = batch.sparkSession.read.parquet(version_path(out_dir + "/per_repeat", batch_id))
-        run_summary(pr, run_keys, num_repeats).write.mode("overwrite").parquet(
-            version_path(out_dir + "/summary", batch_id))
+        batch = batch.persist()
+        if batch.isEmpty():
+            batch.unpersist()
+            return
+        s = batch.sparkSession
+        prev_pr, prev_sum = latest_version(s, pr_root, below=batch_id), latest_version(s, sum_root, below=batch_id)
+        old_pr = s.read.parquet(prev_pr) if prev_pr else batch.limit(0)
+        merged = old_pr.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+        merged.write.mode("overwrite").parquet(version_path(pr_root, batch_id))
+        pr = s.read.parquet(version_path(pr_root, batch_id))
+        touched = batch.select(*run_keys).distinct()
+        fresh = run_summary(pr.join(touched, list(run_keys), "left_semi"), run_keys, num_repeats)
+        if prev_sum:
+            fresh = s.read.parquet(prev_sum).join(touched, list(run_keys), "left_anti").unionByName(fresh)
+        fresh.write.mode("overwrite").parquet(version_path(sum_root, batch_id))
+        batch.unpersist()
 
-    return (per_repeat.writeStream.outputMode("complete").foreachBatch(publish)
+    return (per_repeat.writeStream.outputMode("update").foreachBatch(publish)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
