@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..constants import (DEFAULT_SEED, DEFAULT_SYSTEM_PROMPT, DEFAULT_VAL_FRACTION, EVAL_MODEL_FAMILIES,
                          FINAL_TABLE_FIELDS, TRAIN_SUMMARY_FIELDS)
 from ..operators import evaluate, prepare, report, stats
-from ..session import local_path
 from ..sinks import read_catalog, write_catalog, write_csv_table, write_records, write_run_summaries, write_traces
 from ..sources.examples import check_required, load_examples
 from ..sources.summaries import load_eval_summaries, load_train_summaries
