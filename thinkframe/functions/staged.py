@@ -25,16 +25,15 @@ def with_split_think_answer(df: DataFrame, prefix, text_col: str, thinking_col:
     """A1 (see ``split_think_answer``) as staged columns."""
     lo, lc = len(open_tag), len(close_tag)
     p = prefix if not isinstance(prefix, str) else F.lit(prefix)
-    d = df.withColumn("_full", F.concat(p, F.col(text_col)))
-    d = d.withColumn("_o", F.instr(F.col("_full"), open_tag))
+    full0 = F.concat(p, F.col(text_col))
+    d = df.withColumns({"_full": full0, "_o": F.instr(full0, open_tag)})   # concat shared by codegen CSE
     d = d.withColumn("_c", F.when(F.col("_o") > 0, F.position(F.lit(close_tag), F.col("_full"), F.col("_o") + lo))
                      .otherwise(F.lit(0)))
     full, o, c = F.col("_full"), F.col("_o"), F.col("_c")
     matched = (o > 0) & (c > 0)
-    d = d.withColumn(thinking_col, F.when(matched, py_strip(full.substr(o + F.lit(lo), c - o - F.lit(lo))))
-                     .otherwise(F.lit("")))
-    d = d.withColumn(answer_col, F.when(matched, py_strip(full.substr(c + F.lit(lc), F.lit(2147483647))))
-                     .otherwise(py_strip(full)))
+    d = d.withColumns({
+        thinking_col: F.when(matched, py_strip(full.substr(o + F.lit(lo), c - o - F.lit(lo)))).otherwise(F.lit("")),
+        answer_col: F.when(matched, py_strip(full.substr(c + F.lit(lc), F.lit(2147483647)))).otherwise(py_strip(full))})
     return d.drop("_full", "_o", "_c")
 
 
@@ -58,11 +57,11 @@ def with_last_boxed(df: DataFrame, text_col: str, out_col: str = "boxed") -> Dat
 
 
 def _math_grade(d: DataFrame, box_col: str, reference_col: str, correct_col: str, extracted_col: str) -> DataFrame:
-    d = d.withColumn("_np", normalize_math_answer(F.col(box_col))).withColumn(
-        "_nr", normalize_math_answer(F.col(reference_col)))
+    d = d.withColumns({"_np": normalize_math_answer(F.col(box_col)),
+                       "_nr": normalize_math_answer(F.col(reference_col))})
     ok = F.when(F.col(box_col).isNull(), F.lit(False)).otherwise(
         (F.col("_np") == F.col("_nr")) | numeric_equal(F.col("_np"), F.col("_nr")))
-    d = d.withColumn(correct_col, F.coalesce(ok, F.lit(False))).withColumn(extracted_col, F.col(box_col))
+    d = d.withColumns({correct_col: F.coalesce(ok, F.lit(False)), extracted_col: F.col(box_col)})
     return d.drop("_np", "_nr")
 
 
@@ -100,8 +99,8 @@ def with_grade(df: DataFrame, benchmark_col: str, answer_col: str, reference_col
     d = _math_grade(d, "_box", reference_col, "math_correct", "math_extracted")
     d = _letter_grade(d, answer_col, "_box", reference_col, "letter_correct", "letter_extracted")
     is_l = F.col(benchmark_col) == "gpqa_diamond"
-    d = (d.withColumn(correct_col, F.when(is_l, F.col("letter_correct")).otherwise(F.col("math_correct")))
-         .withColumn(extracted_col, F.when(is_l, F.col("letter_extracted")).otherwise(F.col("math_extracted"))))
+    d = d.withColumns({correct_col: F.when(is_l, F.col("letter_correct")).otherwise(F.col("math_correct")),
+                       extracted_col: F.when(is_l, F.col("letter_extracted")).otherwise(F.col("math_extracted"))})
     d = d.drop("_box")
     return d if keep_parts else d.drop("math_correct", "math_extracted", "letter_correct", "letter_extracted")
 
@@ -115,7 +114,7 @@ def apply_think_mask(df: DataFrame, think_open: str, think_close: str, token_col
     d = d.withColumn("_span", F.slice(toks, F.greatest(F.col("_rs"), F.lit(1)),
                                       F.greatest(F.size(toks) - F.col("_rs") + 1, F.lit(0))))
     d = d.withColumn("_dec", F.array_join("_span", ""))
-    d = d.withColumn("_o", F.instr(F.col("_dec"), think_open) - 1).withColumn("_c", find_last(F.col("_dec"), think_close))
+    d = d.withColumns({"_o": F.instr(F.col("_dec"), think_open) - 1, "_c": find_last(F.col("_dec"), think_close)})
     init = F.struct(F.lit(0).alias("cum"), F.lit(0).alias("a"), F.lit(0).alias("b"),
                     (F.col("_o") + F.lit(len(think_open))).alias("ta"), F.col("_c").alias("tb"))
 
@@ -128,15 +127,15 @@ def apply_think_mask(df: DataFrame, think_open: str, think_close: str, token_col
 
     d = d.withColumn("_acc", F.aggregate(F.col("_span"), init, step))
     n = F.size("_span")
-    d = d.withColumn("_cs", F.least(n, F.col("_acc.a") + 1)).withColumn("_ce", F.least(n, F.col("_acc.b") + 1))
+    d = d.withColumns({"_cs": F.least(n, F.col("_acc.a") + 1), "_ce": F.least(n, F.col("_acc.b") + 1)})
     rs, o, c, cs, ce = (F.col(x) for x in ("_rs", "_o", "_c", "_cs", "_ce"))
     status = (F.when(rs == 0, F.lit("no_response")).when(o < 0, F.lit("no_open_tag"))
               .when(c < 0, F.lit("no_close_tag")).when(c <= o, F.lit("close_before_open"))
               .when(ce <= cs, F.lit("empty_span")).otherwise(F.lit("masked")))
     d = d.withColumn("mask_status", status)
     masked = F.col("mask_status") == "masked"
-    d = (d.withColumn("mask_start", F.when(masked, (rs - 1 + cs).cast("int")))
-         .withColumn("mask_end", F.when(masked, (rs - 1 + ce).cast("int"))))
+    d = d.withColumns({"mask_start": F.when(masked, (rs - 1 + cs).cast("int")),
+                       "mask_end": F.when(masked, (rs - 1 + ce).cast("int"))})
     lo, hi = F.col("mask_start"), F.col("mask_end")
     d = d.withColumn(out_col, F.when(masked, F.concat(
         F.slice(lab, 1, lo), F.array_repeat(F.lit(IGNORE_INDEX), hi - lo),

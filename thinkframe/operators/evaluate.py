@@ -173,8 +173,8 @@ def grade_traces(folded: DataFrame, questions: DataFrame, benchmark, model_famil
     j = staged.with_grade(j.withColumn("benchmark", b), "benchmark", "final_answer_text", "reference",
                           "is_correct", "extracted_answer")
     rt = F.when(F.col("thinking") == "", F.lit(0)).otherwise(token_count(F.col("thinking")))
-    j = j.withColumn("reasoning_tokens", rt.cast("long"))
     it = F.when(F.col("_init_thinking") == "", F.lit(0)).otherwise(token_count(F.col("_init_thinking")))
+    j = j.withColumns({"reasoning_tokens": rt.cast("long"), "_init_tokens": it})
     extra = [c for c in folded.columns if c not in ("repeat", question_key, "text", "initial_round_text",
                                                     "prompt_tokens", "output_tokens", "initial_round_output_tokens",
                                                     "continuation_output_tokens", "was_truncated", "still_truncated",
@@ -184,7 +184,7 @@ def grade_traces(folded: DataFrame, questions: DataFrame, benchmark, model_famil
         "thinking", "final_answer_text", "extracted_answer", "is_correct",
         "was_truncated", "still_truncated", "prompt_tokens", "output_tokens", "continuation_output_tokens",
         "reasoning_tokens",
-        F.when(F.col("was_truncated"), F.greatest(F.lit(0), F.col("reasoning_tokens") - it))
+        F.when(F.col("was_truncated"), F.greatest(F.lit(0), F.col("reasoning_tokens") - F.col("_init_tokens")))
         .cast("long").alias("reasoning_tokens_added"))
 
 

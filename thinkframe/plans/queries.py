@@ -294,12 +294,11 @@ def with_run_config(summary: DataFrame) -> DataFrame:
             .when(F.col("mode") == "base", F.lit(None).cast("string"))
             .when(bad_tuned, F.lit(None).cast("string"))
             .otherwise(F.concat(F.lit("ckpt/"), F.col("run_id"))))
-    return (summary.withColumn("model_family", model).withColumn("checkpoint_dir", ckpt)
-            .withColumn("max_new_tokens", F.lit(32768))
-            .withColumn("temperature", F.when(F.col("run_id") == "run2", F.lit(0.7)))
-            .withColumn("top_p", F.when((F.col("run_id") == "run3") & (F.col("benchmark") == "gpqa_diamond"),
-                                        F.lit(0.9)))
-            .withColumn("output_dir", F.lit("eval_results")))
+    return summary.withColumns({
+        "model_family": model, "checkpoint_dir": ckpt, "max_new_tokens": F.lit(32768),
+        "temperature": F.when(F.col("run_id") == "run2", F.lit(0.7)),
+        "top_p": F.when((F.col("run_id") == "run3") & (F.col("benchmark") == "gpqa_diamond"), F.lit(0.9)),
+        "output_dir": F.lit("eval_results")})
 
 
 def eval_summaries(spark, sf) -> DataFrame:
@@ -307,8 +306,8 @@ def eval_summaries(spark, sf) -> DataFrame:
     s = stats.run_summary(_per_repeat(spark, sf), with_per_repeat=False)
     rec = stats.eval_summary_records(with_run_config(s))
     rn = tf.run_name("dataset_name", "mode", "benchmark", "run_id")
-    return (rec.withColumn("file_name", F.concat(rn, F.lit("_summary.json")))
-            .withColumn("source_path", F.concat(F.lit("eval_results/"), rn, F.lit("_summary.json"))))
+    return rec.withColumns({"file_name": F.concat(rn, F.lit("_summary.json")),
+                            "source_path": F.concat(F.lit("eval_results/"), rn, F.lit("_summary.json"))})
 
 
 def q_next_run_id(spark, sf):

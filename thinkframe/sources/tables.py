@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+# One resolved DataFrame (plan + file index, not data) per session and path:
+# resolving a Parquet source lists its files and reads a footer, which costs
+# more than building most query plans on small inputs. The driver tables are
+# read-only, so reusing the resolved relation is safe.
+_RESOLVED: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, reuse: bool = True) -> DataFrame:
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if not reuse:
+        return spark.read.parquet(path)
+    per = _RESOLVED.setdefault(spark, {})
+    if path not in per:
+        per[path] = spark.read.parquet(path)
+    return per[path]
