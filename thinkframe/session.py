@@ -10,13 +10,19 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "thinkframe") -> SparkSession:
+                app_name: str = "thinkframe", conf: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings the library assumes.
 
     AQE stays on so joins against summaries or dimension tables are
     re-planned to broadcast joins from their measured runtime size, and skewed
     shuffle partitions are split. The session time zone is pinned to UTC
-    because every timestamp the library formats is UTC.
+    because every timestamp the library formats is UTC. ``conf`` adds or
+    overrides settings, e.g. for a large cluster::
+
+        {"spark.sql.shuffle.partitions": "8000",
+         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+         "spark.sql.files.maxPartitionBytes": "512m",
+         "spark.checkpoint.dir": "<shared folder>"}
     """
     b = SparkSession.builder.appName(app_name)
     if master:
@@ -29,6 +35,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (conf or {}).items():
+        b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
