@@ -67,11 +67,13 @@ def _math_grade(d: DataFrame, box_col: str, reference_col: str, correct_col: str
 
 def _letter_grade(d: DataFrame, answer_col: str, box_col: str, reference_col: str, correct_col: str,
                   extracted_col: str) -> DataFrame:
-    d = d.withColumn("_tl", _letters(F.col(answer_col)))
-    letter = F.coalesce(F.get(_letters(F.col(box_col)), 0), F.get(F.col("_tl"), F.size("_tl") - 1))
+    d = d.withColumn("_bl", F.get(_letters(F.col(box_col)), 0))
+    # The whole-answer scan runs only for rows whose box holds no letter.
+    d = d.withColumn("_tl", F.when(F.col("_bl").isNull(), _letters(F.col(answer_col))))
+    letter = F.coalesce(F.col("_bl"), F.get(F.col("_tl"), F.size("_tl") - 1))
     d = d.withColumn(extracted_col, letter)
     d = d.withColumn(correct_col, F.coalesce(F.col(extracted_col) == F.col(reference_col), F.lit(False)))
-    return d.drop("_tl")
+    return d.drop("_bl", "_tl")
 
 
 def with_grade_math(df: DataFrame, answer_col: str, reference_col: str, correct_col: str = "is_correct",
