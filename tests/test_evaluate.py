@@ -164,3 +164,15 @@ def test_eval_summary_records(spark):
     runs2 = runs.withColumn("model_family", F.lit("dsr1_qwen7b")).withColumn("max_continuation_rounds", F.lit(5).cast("long"))
     r2 = stats.eval_summary_records(s, runs2).first()
     assert r2.continuation_max_new_tokens == 32768 and r2.max_continuation_rounds == 5
+
+
+def test_with_train_family(spark):
+    df = spark.createDataFrame([("gemma4", "t", "a"), ("qwen3", "t", "a")], "model_family string, thinking string, answer string")
+    from thinkframe.functions import think_response
+    r = families.with_train_family(df).select(
+        "model_family", think_response(F.col("thinking"), F.col("answer"), F.col("think_open"), F.col("think_close")).alias("r"))
+    got = {x.model_family: x.r for x in r.collect()}
+    assert got == {"gemma4": "<|channel>thought\nt<channel|>a", "qwen3": "<think>\nt\n</think>\n\na"}
+    bad = spark.createDataFrame([("llama3",)], "model_family string")
+    with pytest.raises(Exception, match="Unsupported training model_family"):
+        families.with_train_family(bad).collect()

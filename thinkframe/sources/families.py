@@ -134,3 +134,14 @@ def with_eval_family(df: DataFrame, family_col: str = "model_family", max_new_to
             .withColumn("max_model_len", F.least(
                 F.lit(prompt_headroom) + mnt + F.col("max_continuation_rounds") * cont,
                 F.col("native_max_context"))))
+
+
+def with_train_family(df: DataFrame, family_col: str = "model_family", strict: bool = True) -> DataFrame:
+    """S10 per row: attach the training family's template and tags (broadcast
+    join against the 2-row dimension). Unknown families fail the query when
+    ``strict``; otherwise their settings are NULL."""
+    out = df.join(train_family_dim(df.sparkSession), on=family_col, how="left")
+    if strict:
+        out = out.where(F.when(F.col("template").isNull(), F.raise_error(
+            F.concat(F.lit("Unsupported training model_family "), F.col(family_col)))).otherwise(F.lit(True)))
+    return out
