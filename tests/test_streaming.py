@@ -25,3 +25,27 @@ def test_stream_memory_peak_equals_batch(spark):
     s = fixtures.memory_samples(spark, SF_SMALL)
     cols = ["run_id", "peak_gpu_memory_mib_total", "num_samples"]
     assert _rows(stream_memory_peak_from_table(spark, s), cols) == _rows(report.memory_peak(s), cols)
+
+
+def test_stream_run_summary_incremental_restart(spark):
+    """Repeats land over time; a restarted query continues from its
+    checkpoint and the published summary always covers the landed repeats."""
+    from pyspark.sql import functions as F
+    from thinkframe.session import scratch_path
+    from thinkframe.streaming.run_summary import read_current_summary, start_run_summary_stream
+
+    traces = Q._traces_f4(spark, SF_SMALL)
+    root = scratch_path(spark, "st1-restart")
+    stage, out, ck = root + "/traces", root + "/out", root + "/ck"
+    traces.where("repeat = 0").write.mode("append").partitionBy("repeat").parquet(stage)
+    schema = spark.read.parquet(stage).schema
+    start_run_summary_stream(spark, stage, schema, out, ck).awaitTermination()
+    cols = ["dataset_name", "mode", "benchmark", "run_id", "num_repeats_completed", "is_complete", "accuracy_mean"]
+    first = stats.run_summary(stats.repeat_stats(traces.where("repeat = 0")))
+    assert _rows(read_current_summary(spark, out), cols) == _rows(first, cols)
+    traces.where("repeat > 0").write.mode("append").partitionBy("repeat").parquet(stage)
+    start_run_summary_stream(spark, stage, schema, out, ck).awaitTermination()     # restart, same checkpoint
+    full = stats.run_summary(stats.repeat_stats(traces))
+    got = read_current_summary(spark, out)
+    assert _rows(got, cols) == _rows(full, cols)
+    assert got.where(F.col("is_complete")).count() > 0 and got.where(~F.col("is_complete")).count() > 0
