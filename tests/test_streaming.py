@@ -49,3 +49,21 @@ def test_stream_run_summary_incremental_restart(spark):
     got = read_current_summary(spark, out)
     assert _rows(got, cols) == _rows(full, cols)
     assert got.where(F.col("is_complete")).count() > 0 and got.where(~F.col("is_complete")).count() > 0
+
+
+def test_stream_memory_peak_restart(spark):
+    from pyspark.sql import functions as F
+    from thinkframe.session import scratch_path
+    from thinkframe.streaming.memory import read_current_peaks, start_memory_stream
+
+    s = fixtures.memory_samples(spark, SF_SMALL)
+    cut = s.agg(F.percentile_approx(F.col("sample_ts").cast("long"), 0.5)).first()[0]
+    root = scratch_path(spark, "st2-restart")
+    stage, out, ck = root + "/samples", root + "/out", root + "/ck"
+    s.where(F.col("sample_ts").cast("long") < cut).write.parquet(stage + "/part=0")
+    schema = spark.read.parquet(stage).drop("part").schema
+    start_memory_stream(spark, stage + "/*", schema, out, ck, watermark="2 hours").awaitTermination()
+    s.where(F.col("sample_ts").cast("long") >= cut).write.parquet(stage + "/part=1")
+    start_memory_stream(spark, stage + "/*", schema, out, ck, watermark="2 hours").awaitTermination()
+    cols = ["run_id", "peak_gpu_memory_mib_total", "num_samples"]
+    assert _rows(read_current_peaks(spark, out), cols) == _rows(report.memory_peak(s), cols)
