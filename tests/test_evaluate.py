@@ -148,6 +148,14 @@ def test_tokenizer_hook(spark, tmpdir_path):
     df = spark.createDataFrame([("hello world  again",), ("",)], "t string")
     rows = df.select(token_count_udf(path)(F.col("t")).alias("n"), token_texts_udf(path)(F.col("t")).alias("p")).collect()
     assert rows[0].n == 3 and "".join(rows[0].p) == "hello world  again" and rows[1].n == 0
+    from thinkframe.functions.staged import apply_think_mask
+    from thinkframe.functions.tokens import encode_for_mask
+    ex = spark.createDataFrame([("hello", "<think> hello world </think> hello")], "prompt string, response string")
+    m = apply_think_mask(encode_for_mask(ex, "prompt", "response", path), "<think>", "</think>").first()
+    assert m.labels[0] == -100 and -100 not in m.labels[1:] and len(m.labels) == len(m.token_texts)
+    assert "".join(m.token_texts) == "hello<think> hello world </think> hello"
+    kept = [t for t, l in zip(m.token_texts, m.masked_labels) if l != -100]
+    assert "".join(kept).replace(" ", "") == "<think></think>hello" and m.mask_status == "masked"
 
 
 def test_eval_summary_records(spark):

@@ -64,3 +64,29 @@ def count_with(udf) -> "callable":
     """Adapt a token-count UDF to the ``token_count`` argument of
     ``grade_traces`` (a Column -> Column function)."""
     return lambda c: udf(c) if isinstance(c, Column) else udf(F.col(c))
+
+
+def token_ids_udf(tokenizer_path: str):
+    """Column -> array<int>: token ids (no special tokens)."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tok = _load(tokenizer_path)
+        for s in batches:
+            texts = s.fillna("").tolist()
+            yield pd.Series([list(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)])
+
+    return ids
+
+
+def encode_for_mask(df, prompt_col: str, response_col: str, tokenizer_path: str):
+    """Prompt + response text -> ``token_texts`` and ``labels`` for the loss
+    mask: prompt labels are -100, response labels are the response token ids
+    (the shape a supervised-training encoder produces). Tokenization runs in
+    Arrow-batched pandas UDFs; the rest stays in Spark expressions."""
+    texts, ids = token_texts_udf(tokenizer_path), token_ids_udf(tokenizer_path)
+    d = df.withColumns({"_pt": texts(F.col(prompt_col)), "_rt": texts(F.col(response_col)),
+                        "_rid": ids(F.col(response_col))})
+    return (d.withColumns({"token_texts": F.concat("_pt", "_rt"),
+                           "labels": F.concat(F.array_repeat(F.lit(-100), F.size("_pt")), F.col("_rid"))})
+            .drop("_pt", "_rt", "_rid"))
