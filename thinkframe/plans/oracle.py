@@ -484,6 +484,16 @@ Q["next_run_id"] = with_(*EVAL_CTES, """nr AS (SELECT dataset_name, mode, benchm
 SELECT dataset_name, mode, benchmark, coalesce(max(n), 0) AS max_run,
  'run'||cast(coalesce(max(n), 0)+1 as varchar) AS next_run_id FROM nr GROUP BY dataset_name, mode, benchmark"""
 
+Q["summary_records"] = with_(*EVAL_CTES) + """
+SELECT dataset_name, mode, benchmark, run_id, model_family, checkpoint_dir, num_repeats,
+ cast(num_repeats_completed as bigint) AS num_repeats_completed, is_complete, cast(32768 as bigint) AS max_new_tokens,
+ cast(CASE WHEN model_family IN ('qwen3','qwen3_0p6b','qwen3_4b') THEN 4000 ELSE 32768 END as bigint) AS continuation_max_new_tokens,
+ cast(CASE WHEN model_family IN ('qwen3','qwen3_0p6b','qwen3_4b') THEN 1 ELSE 2 END as bigint) AS max_continuation_rounds,
+ 'eval_results/'||dataset_name||'_'||mode||'_'||benchmark||'_'||run_id||'_traces.jsonl' AS trace_file,
+ round(coalesce(temperature, 0.6), 9) AS temperature, round(coalesce(top_p, 0.95), 9) AS top_p,
+ cast(CASE WHEN model_family IN ('qwen3','qwen3_0p6b','qwen3_4b') THEN 4 ELSE 2 END as bigint) AS num_params
+FROM f5"""
+
 Q["run_metadata_check"] = with_(*EVAL_CTES) + """
 SELECT dataset_name, mode, benchmark, run_id, model_family,
  CASE WHEN mode='base' AND checkpoint_dir IS NOT NULL

@@ -310,6 +310,16 @@ def eval_summaries(spark, sf) -> DataFrame:
                             "source_path": F.concat(F.lit("eval_results/"), rn, F.lit("_summary.json"))})
 
 
+def q_summary_records(spark, sf):
+    """D11 assembly: run configuration fields of each summary record."""
+    r = eval_summaries(spark, sf)
+    m = F.col("sampling_params")
+    return _flat(r.select(*stats.RUN_KEYS, "model_family", "checkpoint_dir", "num_repeats",
+                          "num_repeats_completed", "is_complete", "max_new_tokens", "continuation_max_new_tokens",
+                          "max_continuation_rounds", "trace_file", m["temperature"].alias("temperature"),
+                          m["top_p"].alias("top_p"), F.size(m).alias("num_params")))
+
+
 def q_next_run_id(spark, sf):
     return _flat(stats.next_run_id(eval_summaries(spark, sf)))
 
@@ -388,6 +398,7 @@ QUERIES = {
     "repeat_stats": q_repeat_stats,
     "run_summary": q_run_summary,
     "running_summary": q_running_summary,
+    "summary_records": q_summary_records,
     "next_run_id": q_next_run_id,
     "run_metadata_check": q_run_metadata_check,
     "train_comparison": q_train_comparison,
