@@ -1,4 +1,11 @@
-"""Column -> Column functions (string, regex, array work), all JVM-side."""
+"""Column -> Column functions (string, regex, array work), all JVM-side.
+
+Argument convention: *data* arguments (texts, answers, references, token
+arrays, labels) take a column name or a ``Column``; *parameter* arguments
+(tags, prefixes, benchmark names, system prompts) take a Python literal or a
+``Column``. ``staged`` holds DataFrame-level forms of the heavier functions
+that compute each intermediate once per row.
+"""
 
 from .text import (WS, WS_REGEX_CLASS, py_strip, find_last, split_think_answer,
                    whitespace_token_count)
