@@ -23,19 +23,25 @@ def _existing_globs(dirs, pattern: str = "*_summary.json") -> list[str]:
     return out
 
 
-def read_summaries(spark: SparkSession, dirs, schema) -> DataFrame:
-    paths = _existing_globs([dirs] if isinstance(dirs, str) else list(dirs))
+SUMMARY_FILES = "*_summary.json"          # one pretty-printed JSON document per file
+SPARK_SUMMARIES = "run_name=*/*.json"      # JSON lines written by sinks.write_run_summaries
+
+
+def read_summaries(spark: SparkSession, dirs, schema, pattern: str = SUMMARY_FILES) -> DataFrame:
+    paths = _existing_globs([dirs] if isinstance(dirs, str) else list(dirs), pattern)
     if not paths:
         return spark.createDataFrame([], schema).withColumn("source_path", F.lit(None).cast("string"))
-    df = spark.read.schema(schema).json(paths, multiLine=True)
+    df = spark.read.schema(schema).json(paths, multiLine=(pattern == SUMMARY_FILES))
     return df.withColumn("source_path", F.col("_metadata.file_path"))
 
 
-def load_train_summaries(spark: SparkSession, results_dir) -> DataFrame:
+def load_train_summaries(spark: SparkSession, results_dir, pattern: str = SUMMARY_FILES) -> DataFrame:
     """Training summaries."""
-    return read_summaries(spark, results_dir, schemas.TRAIN_SUMMARY)
+    return read_summaries(spark, results_dir, schemas.TRAIN_SUMMARY, pattern)
 
 
-def load_eval_summaries(spark: SparkSession, eval_dirs) -> DataFrame:
-    """Evaluation summaries (D11) from several directories."""
-    return read_summaries(spark, eval_dirs, schemas.EVAL_SUMMARY)
+def load_eval_summaries(spark: SparkSession, eval_dirs, pattern: str = SUMMARY_FILES) -> DataFrame:
+    """Evaluation summaries (D11) from several directories (E2). Use
+    ``pattern=SPARK_SUMMARIES`` for summaries written by this library's
+    ``write_run_summaries``."""
+    return read_summaries(spark, eval_dirs, schemas.EVAL_SUMMARY, pattern)
