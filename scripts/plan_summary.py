@@ -22,18 +22,26 @@ def main() -> None:
     print(f"Generated by `scripts/plan_summary.py` at `{sf}` (plans before AQE re-optimisation; AQE may turn "
           "sort-merge joins into broadcast joins at runtime from measured sizes). Streaming queries are "
           "summarised by their batch equivalents.\n")
-    print("| query | exchanges | broadcast joins | sort-merge joins | hash/object aggregates | windows | python |")
-    print("| --- | --- | --- | --- | --- | --- | --- |")
+    print("| query | exchanges | broadcast joins | sort-merge joins | hash/object aggregates | windows | python "
+          "| after AQE: broadcast / sort-merge joins |")
+    print("| --- | --- | --- | --- | --- | --- | --- | --- |")
     scans = {}
     for n, fn in QUERIES.items():
         if n.startswith("stream_"):
             continue
-        p = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        df = fn(spark, sf)
+        p = df._jdf.queryExecution().executedPlan().toString()
+        df.collect()                                       # runs the plan; AQE finalises it
+        node = df._jdf.queryExecution().executedPlan()
+        try:
+            fp = node.executedPlan().toString()            # the adaptive plan's final physical plan
+        except Exception:  # noqa: BLE001 - not an adaptive plan
+            fp = node.toString()
         ex = len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", p))
         aggs = p.count("HashAggregate") + p.count("ObjectHashAggregate") + p.count("SortAggregate")
         py = p.count("EvalPython")
         print(f"| {n} | {ex} | {p.count('BroadcastHashJoin')} | {p.count('SortMergeJoin')} | {aggs} | "
-              f"{p.count('Window [')} | {py} |")
+              f"{p.count('Window [')} | {py} | {fp.count('BroadcastHashJoin')} / {fp.count('SortMergeJoin')} |")
         scans[n] = sorted(set(re.findall(r"Location: InMemoryFileIndex\(1 paths\)\[[^\]]*/([a-z_]+)\.parquet\], "
                                          r"PartitionFilters: \[[^\]]*\], PushedFilters: (\[[^\]]*\]), "
                                          r"ReadSchema: (struct<[^>]*>)", p)))
