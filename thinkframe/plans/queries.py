@@ -39,6 +39,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- preparation
 def q_examples_required_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Required-field check (quarantine view) over F1 with injected NULLs."""
     ex = fixtures.with_injected_nulls(fixtures.raw_examples(spark, sf))
     m = missing_fields(ex)
     return _flat(m.select("ex_id", F.array_join("missing_fields", ",").alias("missing_fields"),
@@ -46,6 +47,7 @@ def q_examples_required_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_think_response(spark, sf):
+    """P2 + S10: reasoning response for both training families over F1."""
     ex = fixtures.raw_examples(spark, sf)
     fams = F.array(*[F.struct(F.lit(k).alias("model_family"), F.lit(v[1]).alias("o"), F.lit(v[2]).alias("c"))
                      for k, v in TRAIN_FAMILIES.items()])
@@ -60,6 +62,7 @@ def _records(spark, sf, name=DATASET):
 
 
 def q_sharegpt_records(spark, sf):
+    """P3, P4, J4, P16, E3 (+ T1): ShareGPT records for both modes and splits."""
     r = _records(spark, sf)
     conv = F.col("conversations")
     return _flat(r.select("ex_id", "dataset_key", "mode", "split", "system",
@@ -68,6 +71,7 @@ def q_sharegpt_records(spark, sf):
 
 
 def q_holdout_split(spark, sf):
+    """T1 + J6: exact seeded holdout over F1."""
     ex = fixtures.raw_examples(spark, sf)
     return _flat(prepare.holdout_split(ex).select("ex_id", "split"))
 
@@ -82,6 +86,7 @@ def _catalog_flat(cat: DataFrame) -> DataFrame:
 
 
 def q_catalog_upsert(spark, sf):
+    """K2: merge new catalog entries into an existing catalog."""
     # Both datasets are built from the same examples with the same seed, so the
     # split is computed once and the older dataset's keys are derived from it.
     recs = _records(spark, sf, DATASET)
@@ -100,6 +105,7 @@ def _masked(spark, sf):
 
 
 def q_think_mask(spark, sf):
+    """Reasoning-content loss mask over F9 token arrays."""
     m = _masked(spark, sf)
     lab = F.col("masked_labels")
     return _flat(m.select(
@@ -110,6 +116,7 @@ def q_think_mask(spark, sf):
 
 
 def q_mask_fail_open_audit(spark, sf):
+    """Mask outcome counts per fixture variant."""
     m = _masked(spark, sf)
     width = F.coalesce(F.col("mask_end") - F.col("mask_start"), F.lit(0))
     g = m.groupBy("variant", "mask_status").agg(
@@ -134,6 +141,7 @@ def _benchmark_sources(spark, sf) -> dict:
 
 
 def q_benchmark_union(spark, sf):
+    """S2-S4 + S6: uniform benchmark rows from three source shapes."""
     u = benchmarks.load_benchmarks(_benchmark_sources(spark, sf))
     return _flat(u.select("benchmark", "pos", "id", "question", "reference",
                           F.col("choices").isNull().alias("no_choices")))
@@ -148,6 +156,7 @@ def _gpqa(spark, sf):
 
 
 def q_choice_permutation(spark, sf):
+    """S5 + A9: seeded choice permutation over F8."""
     g = _gpqa(spark, sf)
     ch = F.col("choices")
     return _flat(g.select("pos", "id", "reference", ch["A"].alias("choice_a"), ch["B"].alias("choice_b"),
@@ -155,6 +164,7 @@ def q_choice_permutation(spark, sf):
 
 
 def q_format_questions(spark, sf):
+    """A8 + P5: question text and chat message for all four benchmarks."""
     qs = benchmarks.load_benchmarks(_benchmark_sources(spark, sf)).unionByName(_gpqa(spark, sf))
     f = evaluate.questions_with_prompts(qs)
     return _flat(f.select("benchmark", "pos", "id", F.col("messages")[0]["role"].alias("role"),
@@ -181,10 +191,12 @@ def _folded(spark, sf, max_rounds=2):
 
 
 def q_fold_rounds(spark, sf):
+    """G1 + P7: fold F3 generation rounds per (repeat, question)."""
     return _flat(_folded(spark, sf))
 
 
 def q_continuation_worklist(spark, sf):
+    """P8-P10 + S11: rows needing another round, with prompt and budget."""
     rounds = fixtures.generation_rounds(spark, sf)
     fam = F.element_at(F.array(*[F.lit(f) for f in EVAL_MODEL_FAMILIES]),
                        (F.col("question_id") % len(EVAL_MODEL_FAMILIES) + 1).cast("int"))
@@ -213,6 +225,7 @@ PREFIX_FAMILIES = ("qwen3", "dsr1_llama8b")
 
 
 def q_split_think_answer(spark, sf):
+    """A1: reasoning/answer split for two forced prefixes over F2."""
     r = fixtures.model_responses(spark, sf)
     fams = F.array(*[F.struct(F.lit(f).alias("model_family"), F.lit(forced_assistant_prefix(f)).alias("prefix"))
                      for f in PREFIX_FAMILIES])
@@ -223,11 +236,13 @@ def q_split_think_answer(spark, sf):
 
 
 def q_last_boxed(spark, sf):
+    """A2: last balanced \\boxed{} over F2."""
     r = fixtures.model_responses(spark, sf)
     return _flat(staged.with_last_boxed(r, "response", "boxed").select("question_id", "boxed"))
 
 
 def q_grade_math(spark, sf):
+    """A1 + A3-A5: math grading of F2 answers."""
     r = fixtures.model_responses(spark, sf)
     a = staged.with_split_think_answer(r, "", "response")
     g = staged.with_grade_math(a, "answer", "reference")
@@ -235,6 +250,7 @@ def q_grade_math(spark, sf):
 
 
 def q_grade_letter(spark, sf):
+    """A6 + A7: letter grading and benchmark dispatch over F2 answers."""
     r = fixtures.model_responses(spark, sf)
     r = staged.with_split_think_answer(r, "", "response")
     even = F.col("question_id") % 2 == 0
@@ -251,6 +267,7 @@ def q_grade_letter(spark, sf):
 
 
 def q_eval_traces(spark, sf):
+    """G1 + J7 + A1 + A7 + A15 + A16: graded trace rows from F3 rounds."""
     folded = _folded(spark, sf)
     qs = fixtures.round_questions(spark, sf)
     t = evaluate.grade_traces(folded, qs, "math500", ROUND_FAMILY)
@@ -269,6 +286,7 @@ def _per_repeat(spark, sf):
 
 
 def q_repeat_stats(spark, sf):
+    """Per-repeat statistics over F4."""
     return _flat(_per_repeat(spark, sf))
 
 
@@ -278,10 +296,12 @@ def _summary_flat(s: DataFrame) -> DataFrame:
 
 
 def q_run_summary(spark, sf):
+    """Per-run summary over F4's repeats."""
     return _summary_flat(stats.run_summary(_per_repeat(spark, sf)))
 
 
 def q_running_summary(spark, sf):
+    """Q3: run statistics after each repeat."""
     return _flat(stats.running_summary(_per_repeat(spark, sf)))
 
 
@@ -321,10 +341,12 @@ def q_summary_records(spark, sf):
 
 
 def q_next_run_id(spark, sf):
+    """G9 + A17 + P15: next auto run id per (dataset, mode, benchmark)."""
     return _flat(stats.next_run_id(eval_summaries(spark, sf)))
 
 
 def q_run_metadata_check(spark, sf):
+    """P11 + P12: checkpoint rule and effective sampling parameters."""
     s = evaluate.check_run_metadata(eval_summaries(spark, sf))
     m = F.col("sampling_params")
     return _flat(s.select("dataset_name", "mode", "benchmark", "run_id", "model_family", "metadata_error",
@@ -339,39 +361,47 @@ def _train_summaries(spark, sf):
 
 
 def q_train_comparison(spark, sf):
+    """P21 + A18 + P14 + Q5: training summaries as the flat comparison table."""
     s = _train_summaries(spark, sf)
     return _flat(report.flatten_train_summary(s).orderBy("source_path"))
 
 
 def q_final_table(spark, sf):
+    """J1 + Q2 + P13 + P17 + A14 + Q4: train x eval table."""
     return _flat(report.final_table(eval_summaries(spark, sf), _train_summaries(spark, sf)))
 
 
 def q_missing_train_rows(spark, sf):
+    """P20: non-base rows without training data."""
     f = report.final_table(eval_summaries(spark, sf), _train_summaries(spark, sf), sort=False)
     return _flat(report.missing_train_rows(f).select("model", "ablation", "training_method", "benchmark", "run_id"))
 
 
 def q_best_run_per_cell(spark, sf):
+    """Q1: best run per (model, ablation, benchmark, mode)."""
     return _flat(report.best_run_per_cell(report.eval_rows(eval_summaries(spark, sf))))
 
 
 def q_mode_pivot(spark, sf):
+    """Mode pivot with deltas."""
     return _flat(report.mode_pivot(report.eval_rows(eval_summaries(spark, sf)), EVAL_MODEL_FAMILIES))
 
 
 def q_memory_peak(spark, sf):
+    """Memory peak per run over F7 samples."""
     return _flat(report.memory_peak(fixtures.memory_samples(spark, sf)))
 
 
 # ------------------------------------------------------------------- streaming
 def q_stream_run_summary(spark, sf):
+    """ST1: streaming run summary (equals run_summary)."""
     from ..streaming.run_summary import stream_run_summary_from_table
     out = stream_run_summary_from_table(spark, _traces_f4(spark, sf))
     return _summary_flat(out)
 
 
 def q_stream_memory_peak(spark, sf):
+    """ST2: streaming memory peak (equals memory_peak)."""
     from ..streaming.memory import stream_memory_peak_from_table
     return _flat(stream_memory_peak_from_table(spark, fixtures.memory_samples(spark, sf)))
 
