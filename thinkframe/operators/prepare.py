@@ -87,6 +87,12 @@ def holdout_split(df: DataFrame, val_fraction: float = DEFAULT_VAL_FRACTION, see
     assignment is a narrow comparison against the selected threshold, so no
     row moves between tasks. (A seeded hash order, not Python's Mersenne
     shuffle: same contract, different picks.)
+
+    The threshold is found eagerly, when this function is called: a few
+    small jobs over ``id_col`` (histogram passes with at most 65,536 result
+    rows each). The input must not change between this call and the jobs
+    that use the result; re-running them after an executor loss recomputes
+    the same assignment, because it depends only on the ids and the seed.
     """
     if val_fraction <= 0:
         return df.withColumn("split", F.lit("train"))
