@@ -63,8 +63,17 @@ MATH_DIRECTIVE = "Please reason step by step, and put your final answer within \
 GPQA_DIRECTIVE = ("Think step by step, then give your final answer as a single "
                   "letter (A, B, C, or D) within \\boxed{}, e.g. \\boxed{A}.")
 CHOICE_LETTERS = ["A", "B", "C", "D"]
+CHOICE_SEED_PREFIX = "gpqa"
 NUMERIC_TOLERANCE = 1e-6
 
+# --- Fixed values: answer extraction and math normalisation -----------------
+BOXED_MARK = "\\boxed{"
+# removed in this order, after stripping whitespace
+LATEX_REMOVALS = ["\\left", "\\right", "\\!", "\\,", "\\;", "\\text{}"]
+TEXT_WRAPPER_PATTERN = r"\\text\{([^}]*)\}"     # \text{x} -> x
+TRAILING_STRIP_CHARS = "."
+EDGE_STRIP_CHARS = "$"
+
 # --- Fixed values: evaluation run defaults ---------------------------------
 DEFAULT_NUM_REPEATS = 3
 DEFAULT_MAX_NEW_TOKENS = 32768
@@ -77,6 +86,11 @@ PIVOT_BENCHMARKS = ["aime24", "aime25", "math500", "gpqa_diamond"]
 PIVOT_ABLATIONS = ["all", "correct_only"]
 PIVOT_MODES = ["base", "cotgen", "cotcond"]
 DATASET_PREFIX = "s1k11_"
+BASE_DATASET_PREFIX = "base_"
+ABLATION_PREFIXES = [("correct_only_", "correct_only"), ("all_", "all")]
+RUN_ID_PREFIX = "run"
+SUMMARY_SUFFIX = "_summary.json"
+TRACES_SUFFIX = "_traces.jsonl"
 
 FINAL_TABLE_FIELDS = [
     "model", "ablation", "training_method", "benchmark", "run_id",

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import (CHOICE_LETTERS, DATASET_PREFIX, GPQA_DIRECTIVE, ISO_SECONDS_FORMAT,
-                         MATH_DIRECTIVE)
+from ..constants import (ABLATION_PREFIXES, BASE_DATASET_PREFIX, CHOICE_LETTERS, DATASET_PREFIX,
+                         GPQA_DIRECTIVE, ISO_SECONDS_FORMAT, MATH_DIRECTIVE, RUN_ID_PREFIX)
 from ._util import col, lit
 from .text import py_strip
 
@@ -68,13 +68,12 @@ def parse_dataset_name(name, prefix: str = DATASET_PREFIX, on_error: str = "rais
     NULL fields so the caller can quarantine them.
     """
     n = col(name)
-    co, al = prefix + "correct_only_", prefix + "all_"
-    model = (F.when(n.startswith("base_"), n.substr(F.lit(6), F.lit(2147483647)))
-             .when(n.startswith(co), n.substr(F.lit(len(co) + 1), F.lit(2147483647)))
-             .when(n.startswith(al), n.substr(F.lit(len(al) + 1), F.lit(2147483647))))
-    ablation = (F.when(n.startswith("base_"), F.lit("base"))
-                .when(n.startswith(co), F.lit("correct_only"))
-                .when(n.startswith(al), F.lit("all")))
+    rest = lambda p: n.substr(F.lit(len(p) + 1), F.lit(2147483647))
+    model = F.when(n.startswith(BASE_DATASET_PREFIX), rest(BASE_DATASET_PREFIX))
+    ablation = F.when(n.startswith(BASE_DATASET_PREFIX), F.lit("base"))
+    for head, label in ABLATION_PREFIXES:
+        model = model.when(n.startswith(prefix + head), rest(prefix + head))
+        ablation = ablation.when(n.startswith(prefix + head), F.lit(label))
     if on_error == "raise":
         bad = F.raise_error(F.concat(F.lit("unrecognized dataset_name: "), n))
         model = F.when(ablation.isNull(), bad).otherwise(model)
@@ -84,7 +83,8 @@ def parse_dataset_name(name, prefix: str = DATASET_PREFIX, on_error: str = "rais
 def run_number(run_id) -> Column:
     """N for run ids of the form ``runN``, else NULL."""
     r = col(run_id)
-    return F.when(r.rlike(r"^run\d+$"), F.regexp_extract(r, r"^run(\d+)$", 1).cast("long"))
+    pat = "^" + RUN_ID_PREFIX + r"(\d+)$"
+    return F.when(r.rlike(pat), F.regexp_extract(r, pat, 1).cast("long"))
 
 
 def iso_seconds(ts) -> Column:

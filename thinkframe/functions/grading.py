@@ -7,12 +7,11 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import CHOICE_LETTERS, NUMERIC_TOLERANCE
+from ..constants import (BOXED_MARK, CHOICE_LETTERS, EDGE_STRIP_CHARS, LATEX_REMOVALS, NUMERIC_TOLERANCE,
+                         TEXT_WRAPPER_PATTERN, TRAILING_STRIP_CHARS)
 from ._util import col, lit
 from .text import py_strip
 
-BOXED_MARK = "\\boxed{"
-
 # Python float() literal syntax (ASCII digits, optional underscores between
 # digits, optional fraction and exponent). Spark's cast is more lenient
 # (accepts "1d", "0x1p3") and rejects "1_000", so the cast is guarded by this
@@ -70,12 +69,12 @@ def normalize_math_answer(s) -> Column:
     \\right; drop \\!, \\,, \\;; drop \\text{}; unwrap \\text{x}; drop spaces;
     strip trailing dots; strip $ at both ends; strip one outer {} pair."""
     x = py_strip(s)
-    for token in ("\\left", "\\right", "\\!", "\\,", "\\;", "\\text{}"):
+    for token in LATEX_REMOVALS:
         x = F.replace(x, F.lit(token), F.lit(""))
-    x = F.regexp_replace(x, r"\\text\{([^}]*)\}", "$1")
+    x = F.regexp_replace(x, TEXT_WRAPPER_PATTERN, "$1")
     x = F.replace(x, F.lit(" "), F.lit(""))
-    x = F.rtrim(x, F.lit("."))
-    x = F.btrim(x, F.lit("$"))
+    x = F.rtrim(x, F.lit(TRAILING_STRIP_CHARS))
+    x = F.btrim(x, F.lit(EDGE_STRIP_CHARS))
     n = F.length(x)
     return F.when(x.startswith("{") & x.endswith("}"),
                   F.when(n >= 2, x.substr(F.lit(2), n - F.lit(2))).otherwise(F.lit(""))).otherwise(x)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (FINAL_TABLE_FIELDS, PIVOT_ABLATIONS, PIVOT_BENCHMARKS, PIVOT_MODES,
-                         TRAIN_RESULT_METRICS, TRAIN_SUMMARY_FIELDS)
+                         SUMMARY_SUFFIX, TRAIN_RESULT_METRICS, TRAIN_SUMMARY_FIELDS)
 from ..functions.formatting import duration_text, iso_seconds, parse_dataset_name
 
 
@@ -43,7 +43,7 @@ def train_run_summary(run_log: DataFrame) -> DataFrame:
         F.when(F.col("peak_mem") > 0, F.col("peak_mem")).alias("peak_gpu_memory_mib_total"),
         F.when(ok, tr).alias("train_results"),
         F.concat(F.lit("results/attempt"), F.col("attempt").cast("string"), F.lit("/"), key,
-                 F.lit("_summary.json")).alias("source_path"))
+                 F.lit(SUMMARY_SUFFIX)).alias("source_path"))
 
 
 def flatten_train_summary(summaries: DataFrame) -> DataFrame:

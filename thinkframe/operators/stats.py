@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..constants import DEFAULT_NUM_REPEATS
+from ..constants import DEFAULT_NUM_REPEATS, RUN_ID_PREFIX, SUMMARY_SUFFIX, TRACES_SUFFIX
 
 RUN_KEYS = ("dataset_name", "mode", "benchmark", "run_id")
 
@@ -141,8 +141,8 @@ def running_summary(per_repeat: DataFrame, run_keys=RUN_KEYS, num_repeats: int =
 
 def summary_run_number(file_name: Column, base: Column) -> Column:
     """N from ``{base}_runN_summary.json``; NULL for other names."""
-    head = F.concat(base, F.lit("_run"))
-    tail = "_summary.json"
+    head = F.concat(base, F.lit("_" + RUN_ID_PREFIX))
+    tail = SUMMARY_SUFFIX
     mid = file_name.substr(F.length(head) + 1, F.length(file_name) - F.length(head) - F.lit(len(tail)))
     ok = file_name.startswith(head) & file_name.endswith(tail) & mid.rlike(r"^[0-9]+$")
     return F.when(ok, mid.cast("long"))
@@ -157,7 +157,8 @@ def next_run_id(files: DataFrame, keys=("dataset_name", "mode", "benchmark"),
     n = summary_run_number(F.col(file_col), base)
     g = files.groupBy(*keys).agg(F.max(n).alias("max_run"))
     return g.select(*keys, F.coalesce(F.col("max_run"), F.lit(0)).alias("max_run"),
-                    F.concat(F.lit("run"), (F.coalesce(F.col("max_run"), F.lit(0)) + 1).cast("string")).alias("next_run_id"))
+                    F.concat(F.lit(RUN_ID_PREFIX), (F.coalesce(F.col("max_run"), F.lit(0)) + 1).cast("string"))
+                    .alias("next_run_id"))
 
 
 def eval_summary_records(summary: DataFrame, runs: DataFrame | None = None, run_keys=RUN_KEYS) -> DataFrame:
@@ -199,5 +200,5 @@ def eval_summary_records(summary: DataFrame, runs: DataFrame | None = None, run_
         .cast("long").alias("continuation_max_new_tokens"),
         F.coalesce(opt("max_continuation_rounds", "long"), F.col("_fam_rounds")).cast("long")
         .alias("max_continuation_rounds"),
-        F.concat(F.col("output_dir"), F.lit("/"), name, F.lit("_traces.jsonl")).alias("trace_file"))
+        F.concat(F.col("output_dir"), F.lit("/"), name, F.lit(TRACES_SUFFIX)).alias("trace_file"))
     return cfg if runs is None else summary.join(cfg, list(run_keys), "left")

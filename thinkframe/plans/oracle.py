@@ -5,7 +5,7 @@ code, so the driver can compare results."""
 
 from __future__ import annotations
 
-from ..constants import (DEFAULT_SYSTEM_PROMPT, GPQA_DIRECTIVE, MATH_DIRECTIVE)
+from ..constants import DEFAULT_SYSTEM_PROMPT, GPQA_DIRECTIVE, LATEX_REMOVALS, MATH_DIRECTIVE
 from ..functions.grading import ND_ASCII, ND_DIGITS
 from ..functions.text import WS, WS_REGEX_CLASS
 
@@ -227,7 +227,7 @@ def boxed_cte(name: str, src: str, text: str) -> str:
 def normalize(x: str) -> str:
     """A3 as one nested expression."""
     s = strip(x)
-    for tok in ("\\left", "\\right", "\\!", "\\,", "\\;", "\\text{}"):
+    for tok in LATEX_REMOVALS:
         s = f"replace({s}, {sqlstr(tok)}, '')"
     s = f"regexp_replace({s}, '\\\\text\\{{([^}}]*)\\}}', '\\1', 'g')"
     s = f"replace({s}, ' ', '')"

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import BENCHMARKS, CHOICE_LETTERS
+from ..constants import BENCHMARKS, CHOICE_LETTERS, CHOICE_SEED_PREFIX
 from ..functions._util import col
 
 CHOICES_TYPE = T.MapType(T.StringType(), T.StringType())
@@ -56,13 +56,13 @@ def _python_random_order(pos: pd.Series) -> pd.Series:
     out = []
     for i in pos:
         order = list(range(4))
-        random.Random(f"gpqa-{int(i)}").shuffle(order)
+        random.Random(f"{CHOICE_SEED_PREFIX}-{int(i)}").shuffle(order)
         out.append(order)
     return pd.Series(out)
 
 
 def permute_choices(df: DataFrame, pos="pos", options=("o0", "o1", "o2", "o3"),
-                    method: str = "md5", seed_prefix: str = "gpqa") -> DataFrame:
+                    method: str = "md5", seed_prefix: str = CHOICE_SEED_PREFIX) -> DataFrame:
     """Shuffle four options (the first is correct) with a per-question seed.
 
     Adds ``choices`` (letter -> option text) and ``reference`` (letter of the
@@ -75,7 +75,7 @@ def permute_choices(df: DataFrame, pos="pos", options=("o0", "o1", "o2", "o3"),
     if method == "md5":
         order = _md5_order(p, seed_prefix)
     elif method == "python_random":
-        if seed_prefix != "gpqa":
+        if seed_prefix != CHOICE_SEED_PREFIX:
             raise ValueError("python_random uses the fixed 'gpqa-{pos}' seed")
         order = _python_random_order(p.cast("long"))
     else:

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..constants import SUMMARY_SUFFIX
 
 
-def _existing_globs(dirs, pattern: str = "*_summary.json") -> list[str]:
+def _existing_globs(dirs, pattern: str) -> list[str]:
     out = []
     for d in dirs:
         local = d[len("file:"):] if d.startswith("file:") else d
@@ -23,7 +24,7 @@ def _existing_globs(dirs, pattern: str = "*_summary.json") -> list[str]:
     return out
 
 
-SUMMARY_FILES = "*_summary.json"          # one pretty-printed JSON document per file
+SUMMARY_FILES = "*" + SUMMARY_SUFFIX       # one pretty-printed JSON document per file
 SPARK_SUMMARIES = "run_name=*/*.json"      # JSON lines written by sinks.write_run_summaries
 
 
