@@ -133,3 +133,9 @@ def test_trace_and_summary_sinks(spark, tmpdir_path):
     write_run_summaries(s.where("run_id = 'run2'").withColumn("accuracy_mean", F.lit(0.9)), sp)
     got = {r.run_id: r.accuracy_mean for r in spark.read.json(sp).collect()}
     assert got == {"run1": 0.5, "run2": 0.9}
+
+
+def test_catalog_relative_paths():
+    assert prepare.catalog_path("/data/lf/task", "/data/lf") == "task"
+    assert prepare.catalog_path("/other/task", "/data/lf") == "/other/task"
+    assert prepare.catalog_path("/data/lf/task/", None) == "/data/lf/task"

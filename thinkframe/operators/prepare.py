@@ -3,6 +3,8 @@ mode fan-out (J4, E3) and the dataset catalog merge (K2)."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,14 +141,25 @@ def _map_lit(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
-def catalog_entries(records: DataFrame, base_path: str) -> DataFrame:
+def catalog_path(base_path: str, catalog_dir: str | None) -> str:
+    """Where entries point: ``base_path`` relative to ``catalog_dir`` when it
+    lies inside it, else ``base_path`` unchanged."""
+    if not catalog_dir:
+        return base_path.rstrip("/")
+    rel = os.path.relpath(base_path, catalog_dir)
+    return base_path.rstrip("/") if rel == ".." or rel.startswith(".." + os.sep) else rel
+
+
+def catalog_entries(records: DataFrame, base_path: str, catalog_dir: str | None = None) -> DataFrame:
     """One catalog entry per ``dataset_key`` found in ``records`` (K2 input),
-    pointing at that key's output folder under ``base_path``; the row count
-    per key is computed with one partial aggregation."""
+    pointing at that key's output folder under ``base_path`` (made relative
+    to ``catalog_dir`` when given and possible); the row count per key is
+    computed with one partial aggregation."""
+    root = catalog_path(base_path, catalog_dir)
     keys = records.groupBy("dataset_key").agg(F.count(F.lit(1)).alias("num_rows"))
     return keys.select(
         "dataset_key",
-        F.concat(F.lit(base_path.rstrip("/") + "/dataset_key="), F.col("dataset_key")).alias("file_name"),
+        F.concat(F.lit(root + "/dataset_key="), F.col("dataset_key")).alias("file_name"),
         F.lit(CATALOG_FORMATTING).alias("formatting"),
         _map_lit(CATALOG_COLUMNS).alias("columns"), _map_lit(CATALOG_TAGS).alias("tags"), "num_rows")
 

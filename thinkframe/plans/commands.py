@@ -4,6 +4,8 @@ DataFrame it wrote so callers can inspect or reuse it."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def build_data(spark: SparkSession, input_path: str, out_dir: str, dataset_name:
     recs = prepare.build_cot_data(raw, dataset_name, model_family, val, val_fraction, system_prompt, seed)
     write_records(recs, out_dir)
     written = spark.read.json(out_dir).where(F.col("dataset_key").startswith(dataset_name + "_"))
-    new = prepare.catalog_entries(written, out_dir)
+    new = prepare.catalog_entries(written, out_dir, catalog_dir=os.path.dirname(catalog_path.rstrip("/")))
     merged = prepare.upsert_catalog(read_catalog(spark, catalog_path), new) if _exists(spark, catalog_path) else new
     target = new_catalog_path or catalog_path.rstrip("/") + ".next"
     write_catalog(merged, target)
