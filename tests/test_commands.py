@@ -68,7 +68,9 @@ def test_summarize_and_tables(spark, tmpdir_path):
     final, missing = commands.build_final_table(spark, td, [ed, os.path.join(tmpdir_path, "nope")],
                                                 os.path.join(tmpdir_path, "final"))
     assert final.count() == 2 and missing == 1
-    pv = commands.build_pivot_table(spark, [ed], ["qwen3", "dsr1_llama8b"], os.path.join(tmpdir_path, "pivot"))
+    pv = commands.build_pivot_table(spark, [ed], ["qwen3", "dsr1_llama8b"], os.path.join(tmpdir_path, "pivot"),
+                                    show=True)
+    assert commands.default_dirs("/p") == ("/p/results", ["/p/eval_results", "/p/eval_results_notebook"])
     assert pv.count() == 16
     r = pv.where("model = 'qwen3' AND ablation = 'all' AND benchmark = 'aime24'").first()
     assert r.cotgen_acc == 0.5 and r.cotgen_progress == "2/3"

@@ -118,4 +118,8 @@ TRAIN_RESULT_METRICS = ["train_runtime", "train_samples_per_second",
                         "train_steps_per_second", "train_loss", "total_flos", "eval_loss"]
 
 ISO_SECONDS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+
+# --- Fixed values: default result folders under a project root -------------
+DEFAULT_TRAIN_RESULTS_DIR = "results"
+DEFAULT_EVAL_RESULTS_DIRS = ["eval_results", "eval_results_notebook"]
 MEMORY_SAMPLE_SECONDS = 5

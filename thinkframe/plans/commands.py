@@ -9,8 +9,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import (DEFAULT_SEED, DEFAULT_SYSTEM_PROMPT, DEFAULT_VAL_FRACTION, EVAL_MODEL_FAMILIES,
-                         FINAL_TABLE_FIELDS, TRAIN_SUMMARY_FIELDS)
+from ..constants import (DEFAULT_EVAL_RESULTS_DIRS, DEFAULT_SEED, DEFAULT_SYSTEM_PROMPT, DEFAULT_TRAIN_RESULTS_DIR,
+                         DEFAULT_VAL_FRACTION, EVAL_MODEL_FAMILIES, FINAL_TABLE_FIELDS, TRAIN_SUMMARY_FIELDS)
 from ..operators import evaluate, prepare, report, stats
 from ..sinks import read_catalog, write_catalog, write_csv_table, write_records, write_run_summaries, write_traces
 from ..sources.examples import check_required, load_examples
@@ -60,12 +60,22 @@ def build_final_table(spark: SparkSession, train_results_dir: str, eval_results_
     return final, report.missing_train_rows(final).count()
 
 
-def build_pivot_table(spark: SparkSession, eval_results_dirs, models=None, out_csv: str | None = None) -> DataFrame:
-    """S8 + Q1 + J2-J5 + E1 + G10 + P18 + P19 (+ K6 when ``out_csv``)."""
-    pv = report.mode_pivot(report.eval_rows(load_eval_summaries(spark, eval_results_dirs)),
-                           list(models or EVAL_MODEL_FAMILIES))
+def default_dirs(root: str) -> tuple[str, list[str]]:
+    """Training-results folder and evaluation-results folders under a project root."""
+    r = root.rstrip("/")
+    return f"{r}/{DEFAULT_TRAIN_RESULTS_DIR}", [f"{r}/{d}" for d in DEFAULT_EVAL_RESULTS_DIRS]
+
+
+def build_pivot_table(spark: SparkSession, eval_results_dirs, models=None, out_csv: str | None = None,
+                      show: bool = False) -> DataFrame:
+    """S8 + Q1 + J2-J5 + E1 + G10 + P18 + P19 (+ K6 when ``out_csv``). With
+    ``show`` the grid (len(models) x 8 rows) is printed to the console."""
+    models = list(models or EVAL_MODEL_FAMILIES)
+    pv = report.mode_pivot(report.eval_rows(load_eval_summaries(spark, eval_results_dirs)), models)
     if out_csv:
         write_csv_table(pv, out_csv)
+    if show:
+        pv.orderBy("model", "ablation", "benchmark").show(len(models) * 8, truncate=False)
     return pv
 
 
