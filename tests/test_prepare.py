@@ -139,3 +139,21 @@ def test_catalog_relative_paths():
     assert prepare.catalog_path("/data/lf/task", "/data/lf") == "task"
     assert prepare.catalog_path("/other/task", "/data/lf") == "/other/task"
     assert prepare.catalog_path("/data/lf/task/", None) == "/data/lf/task"
+
+
+@pytest.mark.parametrize("n,frac,kinds", [(100, 0.5, 3), (301, 0.02, 1), (64, 0.3, 2)])
+def test_holdout_exact_with_copies(spark, monkeypatch, n, frac, kinds):
+    monkeypatch.setattr(prepare, "EXACT_FINISH_ROWS", 3)
+    df = spark.range(n).select(F.md5((F.col("id") % kinds).cast("string")).alias("ex_id"),
+                               (F.col("id") % kinds).alias("kind")).repartition(5)
+    s = prepare.holdout_split(df, frac, seed=3).collect()
+    val = [r for r in s if r.split == "val"]
+    assert len(s) == n and len(val) == max(1, int(n * frac))
+
+
+def test_build_cot_data_identical_examples(spark):
+    df = spark.createDataFrame([("p", "t", "a")] * 3, "prompt string, thinking string, answer string")
+    df = df.withColumn("ex_id", F.md5(F.lit("same")))
+    out = prepare.build_cot_data(df, "t_qwen3", "qwen3", val_fraction=0.25, seed=1)
+    assert out.where("mode = 'cotgen' AND split = 'val'").count() == 1
+    assert out.where("mode = 'cotgen' AND split = 'train'").count() == 2

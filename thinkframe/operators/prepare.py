@@ -50,31 +50,40 @@ def _histogram(base: DataFrame, prefix: str):
 
 
 def holdout_threshold(df: DataFrame, val_fraction: float, id_col: str = "ex_id", seed: int = DEFAULT_SEED):
-    """``(n, n_val, hash, id)``: the row count, the validation size
-    ``max(1, int(n * val_fraction))`` and the (hash, id) of the ``n_val``-th
-    smallest ``md5('{seed}:{id}')``.
+    """``(n, n_val, hash, id, n_below, n_tied)``: the row count, the
+    validation size ``max(1, int(n * val_fraction))``, the (hash, id) key of
+    the ``n_val``-th smallest ``md5('{seed}:{id}')``, the number of rows with
+    a smaller key and the number of rows sharing that key (copies).
 
     Exact selection without a global sort: each pass counts rows per next 4
     hex digits of the hash inside the current prefix (at most 65,536 groups,
     partial aggregation first); the first pass also yields ``n``. The bucket
     holding the cut narrows the prefix; once it holds few rows it is ranked
-    exactly. Each pass reads only ``id_col``.
+    exactly, and at full hash length it is a single key (a group of copies),
+    which is never sorted. Each pass reads only ``id_col``.
     """
     base = df.select(split_hash(id_col, seed).alias("_h"), F.col(id_col).alias("_id"))
     hist = _histogram(base, "")
     n = sum(r["count"] for r in hist)
     if n == 0:
-        return 0, 0, None, None
+        return 0, 0, None, None, 0, 0
     n_val = max(1, int(n * val_fraction))
-    prefix, need = "", n_val
+    prefix, need, before = "", n_val, 0
     while True:
-        bucket, before, bucket_n = _cut(hist, need)
-        need -= before
+        bucket, cum, bucket_n = _cut(hist, need)
+        need -= cum
+        before += cum
         prefix += bucket
-        if bucket_n <= EXACT_FINISH_ROWS or len(prefix) >= 32:
-            r = (base.where(F.col("_h").startswith(prefix)).orderBy("_h", "_id")
-                 .offset(need - 1).limit(1).collect()[0])
-            return n, n_val, r["_h"], r["_id"]
+        if len(prefix) >= 32:                      # one hash value: rows share the key
+            r = base.where(F.col("_h") == prefix).select("_id").limit(1).collect()[0]
+            return n, n_val, prefix, r["_id"], before, bucket_n
+        if bucket_n <= EXACT_FINISH_ROWS:
+            cand = base.where(F.col("_h").startswith(prefix))
+            r = cand.orderBy("_h", "_id").offset(need - 1).limit(1).collect()[0]
+            key_lt = (F.col("_h") < F.lit(r["_h"])) | ((F.col("_h") == F.lit(r["_h"])) & (F.col("_id") < F.lit(r["_id"])))
+            key_eq = (F.col("_h") == F.lit(r["_h"])) & (F.col("_id") == F.lit(r["_id"]))
+            c = cand.agg(F.count_if(key_lt).alias("lt"), F.count_if(key_eq).alias("eq")).collect()[0]
+            return n, n_val, r["_h"], r["_id"], before + c["lt"], c["eq"]
         hist = _histogram(base, prefix)
 
 
@@ -85,25 +94,51 @@ def holdout_split(df: DataFrame, val_fraction: float = DEFAULT_VAL_FRACTION, see
     ``n_val = max(1, int(n * val_fraction))`` rows with the smallest
     ``md5('{seed}:{id}')`` (ties by id) form the validation set; the rest is
     train. ``val_fraction <= 0`` puts everything in train. Deterministic per
-    seed, disjoint, complete and of exact size for unique ids. The final
-    assignment is a narrow comparison against the selected threshold, so no
-    row moves between tasks. (A seeded hash order, not Python's Mersenne
-    shuffle: same contract, different picks.)
+    seed, disjoint, complete and of exact size. The assignment is a narrow
+    comparison against the selected key, so no row moves between tasks.
+    (A seeded hash order, not Python's Mersenne shuffle: same contract,
+    different picks.)
+
+    Copies: examples without an id get a content id, so exact copies share
+    a key. When such a group straddles the cut, exactly the missing number
+    of its rows go to validation: its rows are counted per input partition
+    (a small aggregate) and one cut on the per-partition ordinal picks them.
+    The copies are interchangeable, so the result does not depend on which
+    physical copies are picked. (With duplicated user ids and differing
+    content, which duplicates are picked is not fixed; the sizes are.)
 
     The threshold is found eagerly, when this function is called: a few
     small jobs over ``id_col`` (histogram passes with at most 65,536 result
     rows each). The input must not change between this call and the jobs
-    that use the result; re-running them after an executor loss recomputes
-    the same assignment, because it depends only on the ids and the seed.
+    that use the result.
     """
     if val_fraction <= 0:
         return df.withColumn("split", F.lit("train"))
-    n, n_val, th_h, th_id = holdout_threshold(df, val_fraction, id_col, seed)
+    n, n_val, th_h, th_id, n_below, n_tied = holdout_threshold(df, val_fraction, id_col, seed)
     if n == 0:
         return df.withColumn("split", F.lit("train"))
     h = split_hash(id_col, seed)
-    is_val = (h < F.lit(th_h)) | ((h == F.lit(th_h)) & (F.col(id_col) <= F.lit(th_id)))
-    return df.withColumn("split", F.when(is_val, "val").otherwise("train"))
+    below = (h < F.lit(th_h)) | ((h == F.lit(th_h)) & (F.col(id_col) < F.lit(th_id)))
+    tied = (h == F.lit(th_h)) & (F.col(id_col) == F.lit(th_id))
+    take = n_val - n_below                          # 1 <= take <= n_tied
+    if take >= n_tied:
+        return df.withColumn("split", F.when(below | tied, "val").otherwise("train"))
+    rest = df.where(~tied).withColumn("split", F.when(below, "val").otherwise("train"))
+    group = df.where(tied)
+    counts = sorted((r["p"], r["c"]) for r in
+                    group.groupBy(F.spark_partition_id().alias("p")).count().withColumnRenamed("count", "c").collect())
+    left, cut = take, 0                             # ordinal cut in monotonically_increasing_id units
+    for p, c in counts:                             # <= number of input partitions rows
+        if left <= c:
+            cut = (p << 33) + left
+            break
+        left -= c
+    # Within a partition the ordinal counts only this group's rows (the filter
+    # runs before the id in the same stage), so ordinals below the cut select
+    # exactly `take` copies.
+    picked = group.withColumn("split", F.when(F.monotonically_increasing_id() < F.lit(cut), "val")
+                              .otherwise("train"))
+    return rest.unionByName(picked)
 
 
 def fan_out_modes(df: DataFrame, modes=MODES) -> DataFrame:
