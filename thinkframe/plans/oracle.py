@@ -81,9 +81,10 @@ F4 = """f4 AS (
 
 KEYS = 'dataset_name, mode, benchmark, run_id'
 
-G2 = f"""t4 AS (SELECT *, CASE WHEN was_truncated THEN greatest(0, reasoning_tokens-initial_reasoning_tokens) END
-              AS reasoning_tokens_added FROM f4),
- g2 AS (
+T4_F4 = """t4 AS (SELECT *, CASE WHEN was_truncated THEN greatest(0, reasoning_tokens-initial_reasoning_tokens) END
+              AS reasoning_tokens_added FROM f4)"""
+
+G2_BODY = f"""g2 AS (
  SELECT {KEYS}, "repeat",
   count(*) AS num_questions,
   count(*) FILTER (WHERE is_correct) AS num_correct,
@@ -113,6 +114,8 @@ G2 = f"""t4 AS (SELECT *, CASE WHEN was_truncated THEN greatest(0, reasoning_tok
   median_extended_reasoning_tokens_added
  FROM g2)"""
 
+G2 = T4_F4 + ",\n " + G2_BODY
+
 SUMMARY_COLS = f"""{KEYS},
   count(*) AS num_repeats_completed, count(*)>=3 AS is_complete, max(num_questions) AS num_questions,
   sum(elapsed_seconds) AS total_wall_clock_seconds,
@@ -413,6 +416,15 @@ SELECT question_id, CASE WHEN question_id%2=0 THEN 'gpqa_diamond' ELSE 'math500'
  CASE WHEN question_id%2=0 THEN {letter('answer')} ELSE boxed END AS extracted
 FROM nm"""
 
+EVAL_TRACE_CTES = [F3, RQ, fold_sql("f3", "2"),
+                   "fj AS (SELECT fold.*, rq.reference FROM fold JOIN rq USING (question_id))",
+                   split_cte("s", "fj", O_QWEN, "text"),
+                   "si AS (SELECT * RENAME (thinking AS full_thinking, answer AS full_answer) FROM s)",
+                   split_cte("s2", "(SELECT * EXCLUDE (_full, _o, _cr) FROM si)", O_QWEN,
+                             "CASE WHEN was_truncated THEN initial_round_text END"),
+                   boxed_cte("b", "(SELECT * EXCLUDE (_full, _o, _cr) FROM s2)", "full_answer"),
+                   norm_cte("nm", "b", "boxed", "reference")]
+
 Q["eval_traces"] = with_(F3, RQ, fold_sql("f3", "2"),
                          "fj AS (SELECT fold.*, rq.reference FROM fold JOIN rq USING (question_id))",
                          split_cte("s", "fj", O_QWEN, "text"),
@@ -437,6 +449,16 @@ DOUBLE_PR = {"accuracy", "accuracy_excl_extended", "extended_accuracy", "elapsed
              "output_tokens_per_sec", "queries_per_sec", "mean_reasoning_tokens", "median_reasoning_tokens",
              "mean_extended_reasoning_tokens_added", "median_extended_reasoning_tokens_added"}
 
+Q["eval_run_stats"] = with_(*EVAL_TRACE_CTES, f"""t4 AS (
+ SELECT 's1k11_all_dsr1_llama8b' AS dataset_name, 'cotgen' AS mode, 'math500' AS benchmark, 'run1' AS run_id,
+  "repeat", question_id, {math_correct()} AS is_correct, was_truncated, still_truncated, prompt_tokens, output_tokens,
+  cast({words('full_thinking')} as bigint) AS reasoning_tokens,
+  cast(CASE WHEN was_truncated THEN greatest(0, {words('full_thinking')} - {words('thinking')}) END as bigint)
+   AS reasoning_tokens_added,
+  cast(10+"repeat" as double) AS elapsed_seconds FROM nm)""", G2_BODY) + f"""
+SELECT {KEYS}, cast("repeat" as bigint) AS "repeat", """ + ", ".join(
+    r9(c) + f" AS {c}" if c in DOUBLE_PR else f"cast({c} as bigint) AS {c}" for c in PR_COLS) + " FROM pr"
+
 Q["repeat_stats"] = with_(F4, G2) + f"""
 SELECT {KEYS}, cast("repeat" as bigint) AS "repeat", """ + ", ".join(
     r9(c) + f" AS {c}" if c in DOUBLE_PR else f"cast({c} as bigint) AS {c}" for c in PR_COLS) + " FROM pr"

@@ -274,6 +274,16 @@ def q_eval_traces(spark, sf):
     return _flat(t)
 
 
+def q_eval_run_stats(spark, sf):
+    """G1 -> J7 -> A1/A7 -> A15/A16 -> G2-G5: per-repeat statistics of one run
+    over graded traces from F3 rounds (elapsed seconds per repeat: 10 + repeat)."""
+    folded = _folded(spark, sf)
+    t = evaluate.grade_traces(folded, fixtures.round_questions(spark, sf), "math500", ROUND_FAMILY)
+    t = t.withColumns({"dataset_name": F.lit("s1k11_all_dsr1_llama8b"), "mode": F.lit("cotgen"),
+                       "run_id": F.lit("run1"), "elapsed_seconds": (F.lit(10) + F.col("repeat")).cast("double")})
+    return _flat(stats.repeat_stats(t))
+
+
 # ------------------------------------------------------------------ statistics
 def _traces_f4(spark, sf):
     t = fixtures.graded_traces(spark, sf)
@@ -425,6 +435,7 @@ QUERIES = {
     "grade_math": q_grade_math,
     "grade_letter": q_grade_letter,
     "eval_traces": q_eval_traces,
+    "eval_run_stats": q_eval_run_stats,
     "repeat_stats": q_repeat_stats,
     "run_summary": q_run_summary,
     "running_summary": q_running_summary,
