@@ -49,3 +49,28 @@ def test_entry_smoke(spark):
     out = E.entry(spark)
     rows = out.collect()
     assert len(rows) > 0 and set(out.columns) == {"lang", "num_questions", "num_correct", "num_unanswered", "accuracy"}
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", ["final_table", "repeat_stats", "think_mask", "summary_records"])
+def test_query_types_match_oracle(spark, con, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    rel = con.sql(E.oracle_sql()[name])
+    duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in df.schema.fields:
+        assert SPARK_TO_DUCK.get(f.dataType.simpleString()) == duck[f.name], f.name
+
+
+@pytest.mark.parametrize("tz", ["America/Los_Angeles", "Asia/Kolkata"])
+def test_timestamp_queries_independent_of_session_zone(spark, tz):
+    names = ["train_comparison", "memory_peak"]
+    base = {n: sorted(map(tuple, E.queries()[n](spark, SF_SMALL).collect()), key=repr) for n in names}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", tz)
+    try:
+        for n in names:
+            assert sorted(map(tuple, E.queries()[n](spark, SF_SMALL).collect()), key=repr) == base[n], n
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
