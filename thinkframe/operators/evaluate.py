@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_SEED_BASE, EVAL_FAMILIES
+from ..constants import DEFAULT_SEED_BASE, EVAL_FAMILIES, PROMPT_HEADROOM
 from ..functions.formatting import format_question
 from ..functions.text import whitespace_token_count
 from ..sources.families import eval_family
@@ -54,7 +54,8 @@ def fold_rounds(rounds: DataFrame, max_continuation_rounds, keys=ROUND_KEYS) ->
 
 
 def continuation_worklist(folded: DataFrame, max_new_tokens: int, model_family_col: str = "model_family",
-                          prompts: DataFrame | None = None, prompt_key: str = "question_id") -> DataFrame:
+                          prompts: DataFrame | None = None, prompt_key: str = "question_id",
+                          prompt_headroom: int = PROMPT_HEADROOM) -> DataFrame:
     """P8-P10 with S11: rows that need another round.
 
     A row continues when its last round hit ``length`` and fewer than the
@@ -65,7 +66,7 @@ def continuation_worklist(folded: DataFrame, max_new_tokens: int, model_family_c
     the continuation budget (the next round is never round 0).
     """
     from ..sources.families import with_eval_family
-    df = with_eval_family(folded, model_family_col, max_new_tokens=max_new_tokens)
+    df = with_eval_family(folded, model_family_col, max_new_tokens=max_new_tokens, prompt_headroom=prompt_headroom)
     df = df.where(F.col("still_truncated") & (F.col("last_round") < F.col("max_continuation_rounds")))
     prompt_len = F.col("prompt_tokens") + F.col("output_tokens")
     budget = F.least(F.col("continuation_max_new_tokens"), F.greatest(F.lit(1), F.col("max_model_len") - prompt_len))

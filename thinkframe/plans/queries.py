@@ -206,18 +206,8 @@ def q_continuation_worklist(spark, sf):
     folded = evaluate.fold_rounds(rounds, "max_continuation_rounds",
                                   keys=("repeat", "question_id", "model_family"))
     prompts = fixtures.round_questions(spark, sf).select("question_id", F.col("question").alias("prompt"))
-    from ..sources import families
-    wl = families.with_eval_family(folded, "model_family", max_new_tokens=1024, prompt_headroom=256)
-    wl = wl.where(F.col("still_truncated") & (F.col("last_round") < F.col("max_continuation_rounds")))
-    plen = F.col("prompt_tokens") + F.col("output_tokens")
-    budget = evaluate.round_budget(F.col("last_round") + 1, plen, F.lit(1024),
-                                   F.col("continuation_max_new_tokens"), F.col("max_model_len"))
-    wl = wl.join(prompts, "question_id", "left")
-    return _flat(wl.select("repeat", "question_id", "model_family",
-                           (F.col("last_round") + 1).alias("next_round"),
-                           F.concat(F.col("prompt"), F.col("text")).alias("next_prompt"),
-                           plen.alias("next_prompt_tokens"), "max_model_len",
-                           budget.alias("max_tokens")))
+    wl = evaluate.continuation_worklist(folded, 1024, "model_family", prompts, prompt_headroom=256)
+    return _flat(wl)
 
 
 # --------------------------------------------------------------------- grading
