@@ -56,7 +56,8 @@ def with_last_boxed(df: DataFrame, text_col: str, out_col: str = "boxed") -> Dat
     return d.drop("_segs", "_k")
 
 
-def _math_grade(d: DataFrame, box_col: str, reference_col: str, correct_col: str, extracted_col: str) -> DataFrame:
+def math_grade_from_box(d: DataFrame, box_col: str, reference_col: str, correct_col: str, extracted_col: str) -> DataFrame:
+    """A3-A5 given an already extracted box column (shared by several graders)."""
     d = d.withColumns({"_np": normalize_math_answer(F.col(box_col)),
                        "_nr": normalize_math_answer(F.col(reference_col))})
     ok = F.when(F.col(box_col).isNull(), F.lit(False)).otherwise(
@@ -65,8 +66,9 @@ def _math_grade(d: DataFrame, box_col: str, reference_col: str, correct_col: str
     return d.drop("_np", "_nr")
 
 
-def _letter_grade(d: DataFrame, answer_col: str, box_col: str, reference_col: str, correct_col: str,
+def letter_grade_from_box(d: DataFrame, answer_col: str, box_col: str, reference_col: str, correct_col: str,
                   extracted_col: str) -> DataFrame:
+    """A6 given an already extracted box column (shared by several graders)."""
     d = d.withColumn("_bl", F.get(_letters(F.col(box_col)), 0))
     # The whole-answer scan runs only for rows whose box holds no letter.
     d = d.withColumn("_tl", F.when(F.col("_bl").isNull(), _letters(F.col(answer_col))))
@@ -80,14 +82,14 @@ def with_grade_math(df: DataFrame, answer_col: str, reference_col: str, correct_
                     extracted_col: str = "extracted") -> DataFrame:
     """A5 (see ``grade_math``) as staged columns."""
     d = with_last_boxed(df, answer_col, "_box")
-    return _math_grade(d, "_box", reference_col, correct_col, extracted_col).drop("_box")
+    return math_grade_from_box(d, "_box", reference_col, correct_col, extracted_col).drop("_box")
 
 
 def with_grade_letter(df: DataFrame, answer_col: str, reference_col: str, correct_col: str = "is_correct",
                       extracted_col: str = "extracted") -> DataFrame:
     """A6 (see ``grade_letter``) as staged columns."""
     d = with_last_boxed(df, answer_col, "_box")
-    return _letter_grade(d, answer_col, "_box", reference_col, correct_col, extracted_col).drop("_box")
+    return letter_grade_from_box(d, answer_col, "_box", reference_col, correct_col, extracted_col).drop("_box")
 
 
 def with_grade(df: DataFrame, benchmark_col: str, answer_col: str, reference_col: str,
@@ -98,8 +100,8 @@ def with_grade(df: DataFrame, benchmark_col: str, answer_col: str, reference_col
     ``keep_parts`` the per-grader results stay as ``math_correct``,
     ``math_extracted``, ``letter_correct``, ``letter_extracted``."""
     d = with_last_boxed(df, answer_col, "_box")
-    d = _math_grade(d, "_box", reference_col, "math_correct", "math_extracted")
-    d = _letter_grade(d, answer_col, "_box", reference_col, "letter_correct", "letter_extracted")
+    d = math_grade_from_box(d, "_box", reference_col, "math_correct", "math_extracted")
+    d = letter_grade_from_box(d, answer_col, "_box", reference_col, "letter_correct", "letter_extracted")
     is_l = F.col(benchmark_col) == "gpqa_diamond"
     d = d.withColumns({correct_col: F.when(is_l, F.col("letter_correct")).otherwise(F.col("math_correct")),
                        extracted_col: F.when(is_l, F.col("letter_extracted")).otherwise(F.col("math_extracted"))})

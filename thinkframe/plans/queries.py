@@ -248,8 +248,8 @@ def q_grade_letter(spark, sf):
          .withColumn("_ref", F.when(even, F.col("ref_letter")).otherwise(F.col("reference"))))
     # The letter grade against ref_letter on every row, and the dispatched grade.
     r = staged.with_last_boxed(r, "answer", "_box")
-    r = staged._letter_grade(r, "answer", "_box", "ref_letter", "letter_correct", "letter")
-    r = staged._math_grade(r, "_box", "_ref", "_mc", "_me")
+    r = staged.letter_grade_from_box(r, "answer", "_box", "ref_letter", "letter_correct", "letter")
+    r = staged.math_grade_from_box(r, "_box", "_ref", "_mc", "_me")
     r = (r.withColumn("is_correct", F.when(even, F.col("letter_correct")).otherwise(F.col("_mc")))
          .withColumn("extracted", F.when(even, F.col("letter")).otherwise(F.col("_me"))))
     return _flat(r.select("question_id", "benchmark", "ref_letter", "letter_correct", "letter",
