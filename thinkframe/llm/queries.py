@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bitpack import packed_digest
+from .embeddings import embedding_links
 from .host_rules import host_quality
 from .jaccard_join import jaccard_components
+from .language_id import identify_languages
 from .mixing import mix_documents
+from .packing import pack_documents
 from .shards import shard_rows
 
 
@@ -14,6 +19,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with equal labels and a cosine of 0.98 or more."""
+    return embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents, sources weighing 5, 2, 1 in turn."""
     return mix_documents(_table(spark, sf_dir, "documents"))
@@ -24,20 +38,39 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    return identify_languages(_table(spark, sf_dir, "documents"), _fold(5) == 0)
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts of every document and the verdict with its source's shrunk failure rate."""
     return host_quality(_table(spark, sf_dir, "documents"))
 
 
+def op6_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written bit-packed in id order, and what the files hold of each document."""
+    return packed_digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids in windows of at most 2048, cut by dynamic programming."""
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more."""
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
+    "op4_language_id": op4_language_id,
     "op5_host_rules": op5_host_rules,
+    "op6_bitpack": op6_bitpack,
+    "op8_packing": op8_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
