@@ -183,7 +183,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = staged(source.mapInArrow(_profile(k), "doc_id long, n long, point long"), "profile")
     # 1. A set is a candidate if enough of its first shingles occur in another set. Copies of one set are one point.
-    probe = source.mapInArrow(_probe(k, percent), "key long, point long").repartition("key")
+    probe = source.mapInArrow(_probe(k, percent), "key long, point long").where("key is not null").repartition("key")
     shared = probe.groupBy("key").agg(F.min("point").alias("lo"), F.max("point").alias("hi")).where("lo <> hi").select("key")
     hits = probe.join(shared, "key").groupBy("point").agg(F.count(F.lit(1)).alias("hits"))
     points = profile.where("n > 0").groupBy("point").agg(

@@ -13,6 +13,7 @@ from .language_id import identify_languages
 from .mixing import mix_documents
 from .packing import pack_documents
 from .shards import shard_rows
+from .suffix_dedup import substring_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 100-byte strings that start earlier."""
+    return substring_digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more."""
     return jaccard_components(_table(spark, sf_dir, "documents"))
@@ -71,6 +77,7 @@ QUERIES = {
     "op5_host_rules": op5_host_rules,
     "op6_bitpack": op6_bitpack,
     "op8_packing": op8_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
 

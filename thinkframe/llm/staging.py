@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import tempfile
@@ -40,9 +41,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends there, and lost executors cost nothing."""
+    """``df`` written as Parquet in the shared folder and read again: lineage ends there, and lost executors cost nothing.
+
+    Collecting the driver's garbage lets Spark drop the shuffle files of what was written.
+    """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
