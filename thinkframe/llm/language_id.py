@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .staging import ship_package
+from .staging import nfc, ship_package
 from .words import mix, text_slices
 
 ORDER = 4
@@ -38,7 +39,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-class _Index:
+class KeyIndex:
     """Places of distinct keys, found by open addressing on whole arrays; -1 where a key is unknown."""
 
     def __init__(self, keys: np.ndarray):
@@ -74,7 +75,7 @@ class ContextTrees:
         n = len(languages)
         self.cost: list[np.ndarray] = [np.full((1, n), 8.0)]
         self.escape: list[np.ndarray] = []
-        self.index: list[_Index] = [_Index(np.array([1], dtype=np.int64))]
+        self.index: list[KeyIndex] = [KeyIndex(np.array([1], dtype=np.int64))]
         keys_before = np.array([1], dtype=np.int64)  # the empty gram
         for length in range(1, ORDER + 2):
             keys = np.unique(np.concatenate([k for k, _ in counts[length]]))
@@ -93,7 +94,7 @@ class ContextTrees:
             own = np.log2(np.where(have, (total + kinds)[parent] / np.where(have, count, 1), 1))
             self.escape.append(escape)
             self.cost.append(np.where(have, own, escape[parent] + shorter))
-            self.index.append(_Index(keys))
+            self.index.append(KeyIndex(keys))
             keys_before = keys
         self.cost = [np.rint(c * _UNIT).astype(np.int32) for c in self.cost]
         self.escape = [np.rint(e * _UNIT).astype(np.int32) for e in self.escape]
@@ -167,6 +168,7 @@ def learn_languages(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> Cont
 
 
 def _predict(model):
+    """Adds lang_pred and score to rows that hold a text and whether it has a letter."""
     def run(batches):
         trees: ContextTrees = model.value
         languages = np.array([*trees.languages, UNDETERMINED], dtype=object)
@@ -180,11 +182,25 @@ def _predict(model):
                 score = 1 / np.exp2(-gap).sum(axis=1)
                 silent = ~rows.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
                 best[silent], score[silent] = len(trees.languages), 0.0
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(languages[best], pa.string()), pa.array(score)],
-                                                 ["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(languages[best], pa.string()), pa.array(score)],
+                                                 [*rows.schema.names, "lang_pred", "score"])
     return run
 
 
+def with_language(docs: DataFrame, trees: ContextTrees | None, text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` as a struct ``row``, with lang_pred and score of its text."""
+    text = F.col(text_col)
+    rows = docs.select(F.struct(*[nfc(c) for c in docs.columns]).alias("row"), text.alias("text"),
+                       F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    if trees is None:
+        return rows.select("row", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    names = rows.schema.names
+    flat = rows.select(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], *names[1:])
+    schema = T.StructType([*flat.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = flat.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(trees)), schema)
+    return out.select(F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]).alias("row"), "lang_pred", "score")
+
+
 def identify_languages(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                        train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row; learns from rows that are not ``held_out``.
@@ -195,14 +211,6 @@ def identify_languages(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
     language in order. Repeated rows get equal results; an empty table gives an empty
     result; other columns are ignored. Predictions read the text alone.
     """
-    spark = docs.sparkSession
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text.alias("text"), F.col(lang_col).alias("lang"),
-                       F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     trees = learn_languages(rows.where(~F.col("held_out")).select("text", "lang"), train_bytes)
-    if trees is None:
-        return rows.select("doc_id", "held_out", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    model = spark.sparkContext.broadcast(trees)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.select("doc_id", "held_out", "text", "lettered").mapInArrow(
-        _predict(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return with_language(rows.drop("lang"), trees).select("row.doc_id", "row.held_out", "lang_pred", "score")

@@ -10,6 +10,7 @@ from .embeddings import embedding_links
 from .host_rules import host_quality
 from .jaccard_join import jaccard_components
 from .language_id import identify_languages
+from .lm_scoring import score_texts
 from .mixing import mix_documents
 from .packing import pack_documents
 from .shards import shard_rows
@@ -54,6 +55,11 @@ def op6_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a unigram and a log-bilinear class model."""
+    return score_texts(_table(spark, sf_dir, "documents"), _fold(7) == 2)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids in windows of at most 2048, cut by dynamic programming."""
     return pack_documents(_table(spark, sf_dir, "documents"))
@@ -76,6 +82,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_host_rules": op5_host_rules,
     "op6_bitpack": op6_bitpack,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
