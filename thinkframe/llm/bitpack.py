@@ -145,7 +145,7 @@ def _write(folder: str, path: str, end_id: int, file_bytes_limit: int):
 
 
 def write_packed(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
-                 end_id: int = END_ID, file_mb: int = 16) -> DataFrame:
+                 end_id: int = END_ID, file_mb: int = 4) -> DataFrame:
     """Write the ids of all documents in ascending id order; returns the manifest (name, n_docs, n_ids, first_id).
 
     Files are named in that order; each holds documents of one range of ids. A null
