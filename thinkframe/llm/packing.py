@@ -18,26 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import partitions_for, ship_package
-from .tokens import Encoder, default_vocabulary, encoder
+from .tokens import default_vocabulary, encoder
 
 WINDOW = 2048
 END_ID = 1
 #: What a cut costs, in padded ids: at a sentence's end, and inside a stretch without one.
 SENTENCE_CUT, FORCED_CUT = 2, 8
 #: A stretch without a sentence's end may be cut every so many ids.
-STRETCH = 32
+STRETCH = 64
 #: Ids that are planned together.
 PLAN_IDS = 2_000_000
 
 
-def sentence_ends(enc: Encoder) -> np.ndarray:
-    """For each id whether a sentence may end after it: its text ends in . ! ? or a line break."""
-    out = np.zeros(enc.size, dtype=bool)
-    for i in range(enc.size):
-        out[i] = enc.tokenizer.decode([i], skip_special_tokens=False).endswith((".", "!", "?", "\n"))
-    return out
-
-
 def candidate_cuts(ids: np.ndarray, ends: np.ndarray, is_end: np.ndarray, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window may end (counted in ids, ascending, the stream's end last) and what a cut there costs."""
     places = np.union1d(np.flatnonzero(is_end[ids]) + 1, ends)
@@ -82,7 +74,7 @@ def _pack(path: str, window: int, end_id: int):
         from pyspark import TaskContext
 
         enc, first = encoder(path), TaskContext.get().partitionId() << 40
-        is_end, sequence = sentence_ends(enc), 0
+        is_end, sequence = enc.sentence_ends(), 0
         names: list[int] = []
         streams: list[np.ndarray] = []
         room, end = 0, np.array([end_id], dtype="<u4")

@@ -13,8 +13,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Words a worker remembers (some 130 MB) before it starts afresh, and words encoded at once.
-REMEMBERED, AT_ONCE = 700_000, 4096
+#: Words a worker remembers (some 280 MB) before it starts afresh, and words encoded at once.
+REMEMBERED, AT_ONCE = 1_500_000, 4096
 _CLOSING = ".,"
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -39,6 +39,14 @@ class Encoder:
             self.n_bytes[i] = len(token)
         self.known: dict[str, bytes | None] = {}  # word -> ids with the space before it; None: white space at an end
         self.closing: dict[str, bytes] = {}
+        self._ends: np.ndarray | None = None
+
+    def sentence_ends(self) -> np.ndarray:
+        """For each id whether a sentence may end after it: its text ends in . ! ? or a line break."""
+        if self._ends is None:
+            texts = self.tokenizer.decode_batch([[i] for i in range(self.size)], skip_special_tokens=False)
+            self._ends = np.array([t.endswith((".", "!", "?", "\n")) for t in texts])
+        return self._ends
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
