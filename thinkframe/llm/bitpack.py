@@ -131,14 +131,12 @@ def _write(folder: str, path: str, end_id: int, file_bytes_limit: int):
 
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for doc_id, found in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist())):
-                    names.append(doc_id)
-                    ids.append(np.concatenate([found, end]))
-                    room += len(found) + 1
-                    if room * 2 >= file_bytes_limit:
-                        yield flush()
+            for doc_id, found in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
+                names.append(doc_id)
+                ids.append(np.concatenate([found, end]))
+                room += len(found) + 1
+                if room * 2 >= file_bytes_limit:
+                    yield flush()
         if names:
             yield flush()
     return run

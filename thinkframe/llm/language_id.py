@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .staging import nfc, ship_package
-from .words import mix, text_slices
+from .words import KeyIndex, text_slices
 
 ORDER = 4
 #: Bytes of labelled text a language learns from: whole texts in hash order up to this many.
@@ -39,34 +39,6 @@ def grams(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-class KeyIndex:
-    """Places of distinct keys, found by open addressing on whole arrays; -1 where a key is unknown."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 2).bit_length())
-        self.keys = np.append(keys, -1)
-        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
-        todo, slot = np.arange(len(keys)), self._slot(keys)
-        while len(todo):
-            free = self.slots[slot] < 0
-            self.slots[slot[free]] = todo[free]
-            lost = self.slots[slot] != todo
-            todo, slot = todo[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        out = self.slots[slot]
-        todo = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
-        while len(todo):
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-            out[todo] = self.slots[slot[todo]]
-            todo = todo[(out[todo] >= 0) & (self.keys[out[todo]] != keys[todo])]
-        return out
-
-
 class ContextTrees:
     """Frozen code lengths of all languages, from counts (language, length of the gram, gram, count)."""
 

@@ -15,9 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .language_id import KeyIndex
 from .staging import ship_package, staged
-from .words import mix, text_slices, word_hashes, word_spans
+from .words import KeyIndex, mix, text_slices, word_hashes, word_spans
 
 CLASSES = 96
 END = 0

@@ -102,14 +102,12 @@ def _pack(path: str, window: int, end_id: int):
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for doc_id, found in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist())):
-                    names.append(doc_id)
-                    streams.append(np.concatenate([found, end]))
-                    room += len(found) + 1
-                    if room >= PLAN_IDS:
-                        yield plan()
+            for doc_id, found in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
+                names.append(doc_id)
+                streams.append(np.concatenate([found, end]))
+                room += len(found) + 1
+                if room >= PLAN_IDS:
+                    yield plan()
         if names:
             yield plan()
     return run
