@@ -18,7 +18,7 @@ import pyarrow as pa
 from .words import KeyIndex, text_slices, word_hashes
 
 #: Words a worker remembers (some 40 bytes each) before it starts afresh, and words encoded at once.
-REMEMBERED, AT_ONCE = 3_000_000, 4096
+REMEMBERED, AT_ONCE = 2_000_000, 4096
 _CLOSING = (ord("."), ord(","))
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True

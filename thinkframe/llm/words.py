@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are handled in slices of about this many bytes, which bounds a task's memory; a longer text is a slice alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 800_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
