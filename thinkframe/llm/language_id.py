@@ -122,9 +122,9 @@ def learn_languages(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> Cont
     ship_package(spark)
     rows = labelled.where("lang is not null and text is not null and text <> ''").withColumn("size", F.octet_length("text")).withColumn(
         "draw", F.shiftrightunsigned(F.xxhash64("text"), 1) / float(2**63))
-    share = rows.groupBy("lang").agg((F.lit(2.0 * train_bytes) / F.sum("size")).alias("share"))
-    # Twice the bytes wanted, by hash; the running sum then orders only those.
-    drawn = rows.join(share, "lang").where((F.col("draw") <= F.col("share")) | (F.col("size") >= train_bytes))
+    share = rows.groupBy("lang").agg((F.lit(2.0 * train_bytes) / F.sum("size")).alias("share"), F.min("draw").alias("least"))
+    # Twice the bytes wanted, by hash, and at least one text; the running sum then orders only those. A row a language.
+    drawn = rows.join(F.broadcast(share), "lang").where(F.col("draw") <= F.greatest("share", "least"))
     before = F.sum("size").over(Window.partitionBy("lang").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, -1))
     sample = drawn.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < train_bytes)
     table = sample.select("lang", "text").groupBy("lang").applyInArrow(_count, "lang string, length int, gram long, n long").toArrow()
