@@ -24,21 +24,25 @@ MAX_REPEATS = 3
 FIT_WORDS = 8192
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take (at most ``counts``) so that their words come as near to ``budget`` from below as can be found."""
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, copies: int = 1) -> np.ndarray:
+    """How many documents of each length to take so that their words come as near to ``budget`` from below as can be found.
+
+    Each is taken once at most while that serves; only where it falls short, up to ``copies`` times.
+    """
     order = np.argsort(-lengths)
     size, have = lengths[order].astype(object), counts[order].astype(object)
     total = int((size * have).sum())
-    if total <= budget or not total:
-        take = have.copy()
-    else:
-        take = np.array([int(h) * budget // total for h in have], dtype=object)
+    bulk = max(0, budget - FIT_WORDS)  # the rest is left to the programme
+    take = np.array([min(int(h), int(h) * bulk // max(total, 1)) for h in have], dtype=object)
+    for limit in (have, have * copies):
         left = budget - int((size * take).sum())
         for i in range(len(size)):  # long documents first, leaving room for the programme
-            more = min(have[i] - take[i], max(0, left - FIT_WORDS) // size[i])
+            more = min(limit[i] - take[i], max(0, left - FIT_WORDS) // size[i])
             take[i] += more
             left -= more * size[i]
-        take = _fit_rest(size, have, take, left)
+        take = _fit_rest(size, limit, take, left)
+        if budget == int((size * take).sum()):
+            break
     out = np.empty(len(take), dtype=np.int64)
     out[order] = take
     return out
@@ -46,6 +50,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 
 def _fit_rest(size: np.ndarray, have: np.ndarray, take: np.ndarray, left: int) -> np.ndarray:
     """Bounded knapsack on the remaining words: bit s of ``reach`` says that s words can be made; counts go in powers of two."""
+    left = min(left, int((size * (have - take)).sum()))
     mask, reach, trail = (1 << (left + 1)) - 1, 1, []
     for i in range(len(size) - 1, -1, -1):  # short lengths first
         spare, part = min(have[i] - take[i], left // size[i]), 1
@@ -69,7 +74,7 @@ def _fit_rest(size: np.ndarray, have: np.ndarray, take: np.ndarray, left: int) -
 
 def _fit_source(key, table):
     lengths, counts = table.column("size").to_numpy(), table.column("n").to_numpy()
-    take = fit_counts(lengths, counts, int(table.column("budget")[0].as_py()))
+    take = fit_counts(lengths, counts, int(table.column("budget")[0].as_py()), int(table.column("copies")[0].as_py()))
     return pa.table({"src": table.column("src"), "size": lengths, "take": take})
 
 
@@ -103,7 +108,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``size`` counts the words of the whole text (null: 0). ``taken`` is the words that
     the mix takes of the row: whole rounds of its source times its size, once more
-    if it is chosen for the remainder, so at most three times its size. A null source is
+    if it is chosen for the remainder (more only if the source's other documents cannot fill it), so at most three times its size. A null source is
     a source of its own, last in order. Repeated rows are separate documents; an
     empty table gives an empty result; other columns are ignored. The same
     rows and seed give the same mix.
@@ -119,17 +124,18 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     planned = targets.withColumn("rounds", F.least(rounds, F.lit(MAX_REPEATS))).withColumn(
         "budget", F.round(F.col("target") - F.col("rounds") * F.col("source_size")).cast("long"))
-    fitted = (lengths.where("size > 0").join(planned.where("budget > 0").select("src", "budget"), "src")
+    fitted = (lengths.where("size > 0").join(planned.where("budget > 0").select("src", "budget", (MAX_REPEATS - F.col("rounds")).alias("copies")), "src")
               .groupBy("src").applyInArrow(_fit_source, "src struct<last:boolean,name:string>, size long, take long"))
     plan = lengths.join(planned, "src").join(fitted, ["src", "size"], "left").select(
         "src", "size", "n", "source_size", "target", "rounds", F.coalesce("take", F.lit(0)).alias("take"))
     plan = staged(plan, "plan")
-    # Only lengths of which a part is taken need a draw.
-    part = plan.where("take > 0 and take < n").select("src", "size", "take")
+    # Only lengths whose documents are not all taken alike need a draw.
+    once, more = F.floor(F.col("take") / F.col("n")), F.col("take") % F.col("n")
+    part = plan.where(more > 0).select("src", "size", once.alias("once"), more.alias("more"))
     drawn = spread_rank(sized.join(part, ["src", "size"]), ["src", "size"], F.xxhash64("doc_id", "draw"),
                         [F.xxhash64("draw", "doc_id"), F.col("doc_id")], "rank")
-    chosen = drawn.select("doc_id", "src", "size", (F.col("rank") < F.col("take")).cast("int").alias("extra"), "draw")
-    whole = sized.join(plan.where("take = 0 or take = n").select("src", "size", (F.col("take") > 0).cast("int").alias("extra")), ["src", "size"])
+    chosen = drawn.withColumn("extra", F.col("once") + (F.col("rank") < F.col("more")).cast("int"))
+    whole = sized.join(plan.where(more == 0).select("src", "size", once.alias("extra")), ["src", "size"])
     both = chosen.select("doc_id", "src", "size", "extra").unionByName(whole.select("doc_id", "src", "size", "extra"))
     return (both.join(planned.select("src", "source_size", "target", "rounds"), "src")
             .select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("rounds") + F.col("extra"))).cast("long").alias("taken")))

@@ -147,6 +147,8 @@ def _compare(length: int):
         table = table.combine_chunks()
         anchor, d, th, place = (table.column(c).to_numpy() for c in ("anchor", "d", "th", "place"))
         hot = table.column("hot").to_numpy(zero_copy_only=False)
+        # A repeated row brings its pieces again; (anchor, piece) names them.
+        _, once = np.unique(np.stack([anchor, table.column("piece").to_numpy()]), axis=1, return_index=True)
         parts = table.column("bytes").to_pylist()
         out = {c: [] for c in ("d", "th", "lo", "hi", "w1", "w2")}
 
@@ -154,7 +156,7 @@ def _compare(length: int):
             for c, v in zip(out, (d[i], th[i], lo, hi, w1, w2)):
                 out[c].append(v)
 
-        kept = _shared_sides(anchor, parts, place & 4095, length) if not hot.any() else np.arange(len(parts))
+        kept = once if hot.any() else once[_shared_sides(anchor[once], [parts[i] for i in once], place[once] & 4095, length)]
         if len(kept):
             kept = kept[np.lexsort((place[kept], th[kept], d[kept]))]  # earlier pieces first
             s = np.frombuffer(b"\0".join(parts[i] for i in kept) + b"\0", dtype=np.uint8).astype(np.int64) + 1
