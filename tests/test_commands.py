@@ -101,3 +101,25 @@ def test_evaluate_rounds(spark, tmpdir_path):
     assert (s.num_repeats_completed, s.accuracy_mean, s.num_extended_total) == (2, 0.75, 1)
     assert s.continuation_max_new_tokens == 4000 and s.trace_file == "out/d_cotgen_aime24_run1_traces.jsonl"
     assert spark.read.json(os.path.join(tmpdir_path, "eval", "summaries")).count() == 1
+
+
+def test_second_dataset_leaves_the_first_alone(spark, tmpdir_path):
+    from thinkframe.sinks.writers import write_records
+
+    rows = "dataset_key string, system string, conversations string"
+    write_records(spark.createDataFrame([("task_b_x", "s", "c1"), ("task_b_y", "s", "c2")], rows), tmpdir_path)
+    write_records(spark.createDataFrame([("task_x", "s", "c3")], rows), tmpdir_path)
+    write_records(spark.createDataFrame([("task_b_y", "s", "c4")], rows), tmpdir_path)
+    got = {(r.dataset_key, r.conversations) for r in spark.read.json(tmpdir_path).collect()}
+    assert got == {("task_b_x", "c1"), ("task_b_y", "c4"), ("task_x", "c3")}
+
+
+def test_malformed_summary_is_an_error(spark, tmpdir_path):
+    import pytest
+    from thinkframe.sources.summaries import load_eval_summaries
+
+    assert load_eval_summaries(spark, "file:" + tmpdir_path + "/absent").count() == 0
+    with open(tmpdir_path + "/run" + __import__("thinkframe.constants", fromlist=["x"]).SUMMARY_SUFFIX, "w") as f:
+        f.write("{not json")
+    with pytest.raises(Exception):
+        load_eval_summaries(spark, tmpdir_path).collect()

@@ -10,7 +10,7 @@ import __spark_entry__ as E
 
 from conftest import SF_SMALL
 
-BATCH_QUERIES = sorted(n for n in E.queries() if not n.startswith("stream_"))
+BATCH_QUERIES = sorted(n for n in E.QUERIES if not n.startswith("stream_"))
 
 
 def _plan(spark, name):

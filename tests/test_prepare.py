@@ -64,8 +64,7 @@ def test_explicit_val_input_bypasses_split(spark):
 
 @pytest.mark.parametrize("n,frac", [(1, 0.02), (50, 0.02), (997, 0.1), (3000, 0.5)])
 def test_holdout_exact_disjoint_complete(spark, monkeypatch, n, frac):
-    monkeypatch.setattr(prepare, "EXACT_FINISH_ROWS", 3)          # force several refinement passes
-    monkeypatch.setattr(prepare, "HASH_DIGITS_PER_LEVEL", 1)
+    monkeypatch.setattr(prepare, "BUCKET_DIGITS", 1)
     df = spark.range(n).withColumnRenamed("id", "ex_id")
     s = prepare.holdout_split(df, frac, seed=7).collect()
     val = sorted(r.ex_id for r in s if r.split == "val")
@@ -143,7 +142,7 @@ def test_catalog_relative_paths():
 
 @pytest.mark.parametrize("n,frac,kinds", [(100, 0.5, 3), (301, 0.02, 1), (64, 0.3, 2)])
 def test_holdout_exact_with_copies(spark, monkeypatch, n, frac, kinds):
-    monkeypatch.setattr(prepare, "EXACT_FINISH_ROWS", 3)
+    monkeypatch.setattr(prepare, "BUCKET_DIGITS", 1)
     df = spark.range(n).select(F.md5((F.col("id") % kinds).cast("string")).alias("ex_id"),
                                (F.col("id") % kinds).alias("kind")).repartition(5)
     s = prepare.holdout_split(df, frac, seed=3).collect()
@@ -157,3 +156,14 @@ def test_build_cot_data_identical_examples(spark):
     out = prepare.build_cot_data(df, "t_qwen3", "qwen3", val_fraction=0.25, seed=1)
     assert out.where("mode = 'cotgen' AND split = 'val'").count() == 1
     assert out.where("mode = 'cotgen' AND split = 'train'").count() == 2
+
+
+@pytest.mark.parametrize("frac", [0.3, 0.5])
+def test_holdout_copies_keep_their_size_when_written(spark, tmpdir_path, frac):
+    """6,000 copies in uneven partitions with a wide text: the written split has the exact size."""
+    df = spark.range(6000).select(F.md5(F.lit("copy")).alias("ex_id"), F.repeat(F.lit("wide "), 200).alias("text"),
+                                  (F.col("id") % 4 * 0).alias("b")).repartition("b")
+    path = tmpdir_path + "/split"
+    prepare.holdout_split(df, frac).write.parquet(path)
+    got = {r["split"]: r["count"] for r in spark.read.parquet(path).groupBy("split").count().collect()}
+    assert got == {"val": int(6000 * frac), "train": 6000 - int(6000 * frac)}

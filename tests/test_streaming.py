@@ -67,3 +67,24 @@ def test_stream_memory_peak_restart(spark):
     start_memory_stream(spark, stage + "/*", schema, out, ck, watermark="2 hours").awaitTermination()
     cols = ["run_id", "peak_gpu_memory_mib_total", "num_samples"]
     assert _rows(read_current_peaks(spark, out), cols) == _rows(report.memory_peak(s), cols)
+
+
+def test_stream_memory_peak_exact_times_and_late_rows(spark):
+    """Samples seconds apart stay apart; a late reading and a late failed reading change what was published."""
+    from thinkframe.session import scratch_path
+    from thinkframe.streaming.memory import read_current_peaks, start_memory_stream
+
+    schema = "run_id string, gpu string, sample_ts timestamp, mem double"
+    first = [("r", "g0", "2024-01-01 00:00:00", 10.0), ("r", "g0", "2024-01-01 00:00:02", 11.0), ("r", "g0", "2024-01-01 00:00:04", 12.0),
+             ("q", "g0", "2024-01-01 00:00:00", 10.0), ("q", "g0", "2024-01-01 00:00:10", 7.0)]
+    late = [("r", "g1", "2024-01-01 00:00:02", 5.0), ("q", "g1", "2024-01-01 00:00:00", None), ("q", "g0", "2024-01-01 00:00:20", 6.0)]
+    root = scratch_path(spark, "st2-late")
+    for i, rows in enumerate((first, late)):
+        df = spark.createDataFrame(rows, "run_id string, gpu string, ts string, mem double").selectExpr(
+            "run_id", "gpu", "cast(ts as timestamp) as sample_ts", "mem")
+        df.write.parquet(f"{root}/samples/part={i}")
+        start_memory_stream(spark, root + "/samples/*", schema, root + "/out", root + "/ck", watermark="1 hour").awaitTermination()
+    all_rows = spark.read.parquet(root + "/samples").drop("part")
+    cols = ["run_id", "peak_gpu_memory_mib_total", "num_samples"]
+    got = _rows(read_current_peaks(spark, root + "/out"), cols)
+    assert got == _rows(report.memory_peak(all_rows), cols) == [("q", 7.0, 2), ("r", 16.0, 3)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +14,7 @@ from ..constants import (CATALOG_COLUMNS, CATALOG_FORMATTING, CATALOG_TAGS, DEFA
 from ..functions.formatting import conversation_record, dataset_key, think_response
 from ..sources.families import think_tags
 
-HASH_DIGITS_PER_LEVEL = 4          # 65,536 buckets per refinement pass
-EXACT_FINISH_ROWS = 200_000        # rank exactly once a bucket is this small
+BUCKET_DIGITS = 4                  # 65,536 buckets of the split hash
 
 
 def build_examples(raw: DataFrame, system_prompt: str = DEFAULT_SYSTEM_PROMPT,
@@ -33,112 +32,46 @@ def split_hash(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-def _cut(hist, need: int):
-    """(bucket, rows before it, rows in it) of the bucket holding the need-th row."""
-    cum = 0
-    for row in hist:
-        if cum + row["count"] >= need:
-            return row["b"], cum, row["count"]
-        cum += row["count"]
-    raise ValueError("n_val exceeds the number of rows")
-
-
-def _histogram(base: DataFrame, prefix: str):
-    cur = base.where(F.col("_h").startswith(prefix)) if prefix else base
-    return (cur.groupBy(F.substring("_h", len(prefix) + 1, HASH_DIGITS_PER_LEVEL).alias("b"))
-            .count().orderBy("b").collect())          # <= 16^HASH_DIGITS_PER_LEVEL rows
-
-
-def holdout_threshold(df: DataFrame, val_fraction: float, id_col: str = "ex_id", seed: int = DEFAULT_SEED):
-    """``(n, n_val, hash, id, n_below, n_tied)``: the row count, the
-    validation size ``max(1, int(n * val_fraction))``, the (hash, id) key of
-    the ``n_val``-th smallest ``md5('{seed}:{id}')``, the number of rows with
-    a smaller key and the number of rows sharing that key (copies).
-
-    Exact selection without a global sort: each pass counts rows per next 4
-    hex digits of the hash inside the current prefix (at most 65,536 groups,
-    partial aggregation first); the first pass also yields ``n``. The bucket
-    holding the cut narrows the prefix; once it holds few rows it is ranked
-    exactly, and at full hash length it is a single key (a group of copies),
-    which is never sorted. Each pass reads only ``id_col``.
-    """
-    base = df.select(split_hash(id_col, seed).alias("_h"), F.col(id_col).alias("_id"))
-    hist = _histogram(base, "")
-    n = sum(r["count"] for r in hist)
-    if n == 0:
-        return 0, 0, None, None, 0, 0
-    n_val = max(1, int(n * val_fraction))
-    prefix, need, before = "", n_val, 0
-    while True:
-        bucket, cum, bucket_n = _cut(hist, need)
-        need -= cum
-        before += cum
-        prefix += bucket
-        if len(prefix) >= 32:                      # one hash value: rows share the key
-            r = base.where(F.col("_h") == prefix).select("_id").limit(1).collect()[0]
-            return n, n_val, prefix, r["_id"], before, bucket_n
-        if bucket_n <= EXACT_FINISH_ROWS:
-            cand = base.where(F.col("_h").startswith(prefix))
-            r = cand.orderBy("_h", "_id").offset(need - 1).limit(1).collect()[0]
-            key_lt = (F.col("_h") < F.lit(r["_h"])) | ((F.col("_h") == F.lit(r["_h"])) & (F.col("_id") < F.lit(r["_id"])))
-            key_eq = (F.col("_h") == F.lit(r["_h"])) & (F.col("_id") == F.lit(r["_id"]))
-            c = cand.agg(F.count_if(key_lt).alias("lt"), F.count_if(key_eq).alias("eq")).collect()[0]
-            return n, n_val, r["_h"], r["_id"], before + c["lt"], c["eq"]
-        hist = _histogram(base, prefix)
-
-
 def holdout_split(df: DataFrame, val_fraction: float = DEFAULT_VAL_FRACTION, seed: int = DEFAULT_SEED,
                   id_col: str = "ex_id") -> DataFrame:
     """T1 + J6: add ``split`` = 'val' | 'train'.
 
     ``n_val = max(1, int(n * val_fraction))`` rows with the smallest
-    ``md5('{seed}:{id}')`` (ties by id) form the validation set; the rest is
+    ``md5('{seed}:{id}')`` (ties by id, then by content) form the validation set; the rest is
     train. ``val_fraction <= 0`` puts everything in train. Deterministic per
-    seed, disjoint, complete and of exact size. The assignment is a narrow
-    comparison against the selected key, so no row moves between tasks.
+    seed, disjoint, complete and of exact size.
     (A seeded hash order, not Python's Mersenne shuffle: same contract,
     different picks.)
 
-    Copies: examples without an id get a content id, so exact copies share
-    a key. When such a group straddles the cut, exactly the missing number
-    of its rows go to validation: its rows are counted per input partition
-    (a small aggregate) and one cut on the per-partition ordinal picks them.
-    The copies are interchangeable, so the result does not depend on which
-    physical copies are picked. (With duplicated user ids and differing
-    content, which duplicates are picked is not fixed; the sizes are.)
-
-    The threshold is found eagerly, when this function is called: a few
-    small jobs over ``id_col`` (histogram passes with at most 65,536 result
-    rows each). The input must not change between this call and the jobs
-    that use the result.
+    One lazy plan: rows are counted per hash bucket (65,536 rows, the bound of
+    the broadcast), all buckets but the one that holds the cut are settled by a
+    comparison, and the rows of that one are ranked. Equal rows are ranked as one with a count
+    and expanded again, so a group of copies that straddles the cut is split exactly however large it is.
     """
     if val_fraction <= 0:
         return df.withColumn("split", F.lit("train"))
-    n, n_val, th_h, th_id, n_below, n_tied = holdout_threshold(df, val_fraction, id_col, seed)
-    if n == 0:
-        return df.withColumn("split", F.lit("train"))
-    h = split_hash(id_col, seed)
-    below = (h < F.lit(th_h)) | ((h == F.lit(th_h)) & (F.col(id_col) < F.lit(th_id)))
-    tied = (h == F.lit(th_h)) & (F.col(id_col) == F.lit(th_id))
-    take = n_val - n_below                          # 1 <= take <= n_tied
-    if take >= n_tied:
-        return df.withColumn("split", F.when(below | tied, "val").otherwise("train"))
-    rest = df.where(~tied).withColumn("split", F.when(below, "val").otherwise("train"))
-    group = df.where(tied)
-    counts = sorted((r["p"], r["c"]) for r in
-                    group.groupBy(F.spark_partition_id().alias("p")).count().withColumnRenamed("count", "c").collect())
-    left, cut = take, 0                             # ordinal cut in monotonically_increasing_id units
-    for p, c in counts:                             # <= number of input partitions rows
-        if left <= c:
-            cut = (p << 33) + left
-            break
-        left -= c
-    # Within a partition the ordinal counts only this group's rows (the filter
-    # runs before the id in the same stage), so ordinals below the cut select
-    # exactly `take` copies.
-    picked = group.withColumn("split", F.when(F.monotonically_increasing_id() < F.lit(cut), "val")
-                              .otherwise("train"))
-    return rest.unionByName(picked)
+    cols = df.columns
+    keyed = df.withColumn("_h", F.coalesce(split_hash(id_col, seed), F.lit("0" * 32)))
+    keyed = keyed.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    up_to = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n_val = F.greatest(F.lit(1), F.floor(F.sum("_n").over(total) * F.lit(val_fraction)).cast("long"))
+    cuts = counts.select("_b", (n_val - F.sum("_n").over(up_to) + F.col("_n")).alias("_need"), "_n")
+    placed = keyed.join(F.broadcast(cuts), "_b")
+    settled = placed.where((F.col("_need") <= 0) | (F.col("_need") >= F.col("_n"))).select(
+        *cols, F.when(F.col("_need") > 0, "val").otherwise("train").alias("split"))
+    distinct = placed.where((F.col("_need") > 0) & (F.col("_need") < F.col("_n"))).groupBy(*cols, "_h", "_need").agg(
+        F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy("_need").orderBy("_h", id_col, F.to_json(F.struct(*cols))).rowsBetween(
+        Window.unboundedPreceding, -1)
+    left = F.col("_need") - F.coalesce(F.sum("_n").over(order), F.lit(0))
+    ranked = distinct.withColumn("_val", F.least(F.greatest(left, F.lit(0)), F.col("_n")))
+    halves = F.array(F.struct(F.lit("val").alias("split"), F.col("_val").alias("k")),
+                     F.struct(F.lit("train").alias("split"), (F.col("_n") - F.col("_val")).alias("k")))
+    parts = ranked.select(*cols, F.explode(halves).alias("_s")).where("_s.k > 0")
+    again = parts.select(*cols, F.col("_s.split").alias("split"), F.explode(F.sequence(F.lit(1), F.col("_s.k"))).alias("_i"))
+    return settled.unionByName(again.drop("_i"))
 
 
 def fan_out_modes(df: DataFrame, modes=MODES) -> DataFrame:

@@ -187,6 +187,9 @@ def eval_summary_records(summary: DataFrame, runs: DataFrame | None = None, run_
         F.col("max_continuation_rounds").alias("_fam_rounds"),
         F.col("continuation_max_new_tokens_override").alias("_fam_cont"))
     r = src.join(dim, "model_family", "left")
+    # An unknown family is an error, not a row without settings.
+    r = r.withColumn("_fam_params", F.when(F.col("_fam_rounds").isNull() & F.col("model_family").isNotNull(), F.raise_error(
+        F.concat(F.lit("no evaluation settings for family "), F.col("model_family")))).otherwise(F.col("_fam_params")))
     name = F.concat_ws("_", *[F.col(k) for k in run_keys])
     keep = [c for c in src.columns if c not in ("max_samples", "max_new_tokens", "continuation_max_new_tokens",
                                                 "max_continuation_rounds", "output_dir")] if runs is None \

@@ -36,7 +36,8 @@ def build_data(spark: SparkSession, input_path: str, out_dir: str, dataset_name:
     val = check_required(load_examples(spark, val_input), "strict") if val_input else None
     recs = prepare.build_cot_data(raw, dataset_name, model_family, val, val_fraction, system_prompt, seed)
     write_records(recs, out_dir)
-    written = spark.read.json(out_dir).where(F.col("dataset_key").startswith(dataset_name + "_"))
+    keys = [r.dataset_key for r in recs.select("dataset_key").distinct().collect()]   # four at most
+    written = spark.read.json(out_dir).where(F.col("dataset_key").isin(keys))
     new = prepare.catalog_entries(written, out_dir, catalog_dir=os.path.dirname(catalog_path.rstrip("/")))
     merged = prepare.upsert_catalog(read_catalog(spark, catalog_path), new) if _exists(spark, catalog_path) else new
     target = new_catalog_path or catalog_path.rstrip("/") + ".next"

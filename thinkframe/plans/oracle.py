@@ -41,7 +41,7 @@ F1 = f"""f1 AS (
 F2 = r"""f2 AS (
  SELECT doc_id AS question_id, lang, cast((doc_id*doc_id)%7 as varchar) AS reference,
   substr('ABCD',cast(doc_id%3 as int)+1,1) AS ref_letter,
-  '<think>'||chr(10)||substr(text,1,200)||CASE WHEN doc_id%9=7 THEN '' ELSE chr(10)||'</think>'||chr(10)||chr(10) END||'The answer is '||
+  '<think>'||chr(10)||text||CASE WHEN doc_id%9=7 THEN '' ELSE chr(10)||'</think>'||chr(10)||chr(10) END||'The answer is '||
   CASE doc_id%9
    WHEN 0 THEN chr(92)||'boxed{'||cast(doc_id%7 as varchar)||'}'
    WHEN 1 THEN chr(92)||'boxed{'||chr(92)||'text{'||cast(doc_id%7 as varchar)||'}}'
@@ -60,7 +60,7 @@ F3 = """f3 AS (
   CASE WHEN c.rnd<c.mx THEN 'length' WHEN (length(c.text)+r.rep)%4=0 THEN 'length' ELSE 'stop' END AS finish_reason
  FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn)-1 AS rnd,
               count(*) OVER (PARTITION BY conv_id)-1 AS mx FROM conversations WHERE role='assistant') c
- CROSS JOIN (SELECT 0 AS rep UNION ALL SELECT 1 UNION ALL SELECT 2) r WHERE c.rnd<=2)"""
+ CROSS JOIN (SELECT 0 AS rep UNION ALL SELECT 1 UNION ALL SELECT 2) r)"""
 
 RQ = """rq AS (
  SELECT conv_id AS question_id, arg_min(text, turn) AS question, cast(conv_id%7 as varchar) AS reference
@@ -178,7 +178,7 @@ F6 = """f6 AS (
 F7 = """f7 AS (SELECT 'run'||cast(user_id%10 as varchar) AS run_id, event_type AS gpu,
  date_trunc('hour', ts) AS sample_ts, value AS mem FROM events)"""
 
-F8 = """f8 AS (SELECT doc_id AS pos, 'rec'||cast(doc_id as varchar) AS id, substr(text,1,80) AS question,
+F8 = """f8 AS (SELECT doc_id AS pos, 'rec'||cast(doc_id as varchar) AS id, text AS question,
  'right-'||cast(doc_id as varchar) AS o0, 'wrong1-'||cast(doc_id as varchar) AS o1,
  'wrong2-'||cast(doc_id as varchar) AS o2, 'wrong3-'||cast(doc_id as varchar) AS o3 FROM documents)"""
 
@@ -311,11 +311,11 @@ SELECT dataset_key, base||'/dataset_key='||dataset_key AS file_name, 'sharegpt'
  'human' AS user_tag, 'gpt' AS assistant_tag, num_rows FROM cat"""
 
 F9 = f"""f9 AS (
- SELECT ex_id, cast(v as bigint) AS variant,
+ SELECT ex_id, cast(v as bigint) AS variant, np,
   CASE v WHEN 0 THEN {O_QWEN}||t||{C_QWEN}||a WHEN 1 THEN {O_QWEN}||t||a WHEN 2 THEN {C_QWEN}||t||{O_QWEN}||a
          WHEN 3 THEN {O_QWEN}||t||{C_QWEN}||a||{C_QWEN}||a ELSE {O_QWEN}||{C_QWEN}||a END AS response
- FROM (SELECT ex_id, {strip('thinking')} AS t, {strip('answer')} AS a, cast(floor(ex_id/100)%5 as int) AS v FROM f1)),
- m1 AS (SELECT ex_id, variant, cast(ceil(length(response)/3.0) as bigint) AS n,
+ FROM (SELECT ex_id, cast(ceil(length(prompt)/3.0) as bigint) AS np, {strip('thinking')} AS t, {strip('answer')} AS a, cast(floor(ex_id/100)%5 as int) AS v FROM f1)),
+ m1 AS (SELECT ex_id, variant, np, cast(ceil(length(response)/3.0) as bigint) AS n,
    instr(response, {O_QWEN})-1 AS o,
    CASE WHEN instr(response, {C_QWEN})>0 THEN length(response)-11-instr(reverse(response), reverse({C_QWEN}))+1 ELSE -1 END AS c
    FROM f9),
@@ -326,10 +326,10 @@ F9 = f"""f9 AS (
 
 Q["think_mask"] = with_(F1, F9) + """
 SELECT ex_id, variant, mask_status,
- CASE WHEN mask_status='masked' THEN 5+cs END AS mask_start, CASE WHEN mask_status='masked' THEN 5+ce END AS mask_end,
- 5+n AS n_tokens, 5+CASE WHEN mask_status='masked' THEN ce-cs ELSE 0 END AS n_ignored,
- md5(array_to_string(list_transform(range(5+n), lambda i: CASE WHEN i<5 THEN -100
-      WHEN mask_status='masked' AND i>=5+cs AND i<5+ce THEN -100 ELSE i END), ',')) AS labels_md5
+ CASE WHEN mask_status='masked' THEN np+cs END AS mask_start, CASE WHEN mask_status='masked' THEN np+ce END AS mask_end,
+ np+n AS n_tokens, np+CASE WHEN mask_status='masked' THEN ce-cs ELSE 0 END AS n_ignored,
+ md5(array_to_string(list_transform(range(np+n), lambda i: CASE WHEN i<np THEN -100
+      WHEN mask_status='masked' AND i>=np+cs AND i<np+ce THEN -100 ELSE i END), ',')) AS labels_md5
 FROM m3"""
 
 Q["mask_fail_open_audit"] = with_(F1, F9) + """
@@ -586,12 +586,14 @@ SELECT model, ablation, benchmark, mode, run_id, round(accuracy_mean, 9) AS accu
 
 _MODELS = "('qwen3'), ('dsr1_llama8b'), ('dsr1_qwen7b'), ('qwen3_0p6b'), ('qwen3_4b')"
 Q["mode_pivot"] = with_(*EVAL_CTES, BEST, """cells AS (
- SELECT model, ablation, benchmark, mode, accuracy_mean, source_path,
-   cast(num_repeats_completed as varchar)||'/'||cast(num_repeats_target as varchar) AS progress FROM best WHERE mode<>'base'
- UNION ALL
- SELECT model, a.ablation, benchmark, mode, accuracy_mean, source_path,
-   cast(num_repeats_completed as varchar)||'/'||cast(num_repeats_target as varchar) FROM best
-   CROSS JOIN (VALUES ('all'), ('correct_only')) a(ablation) WHERE mode='base'),
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, ablation, benchmark, mode
+   ORDER BY num_repeats_completed DESC, source_path) AS _rn FROM (
+   SELECT model, ablation, benchmark, mode, accuracy_mean, source_path, num_repeats_completed,
+     cast(num_repeats_completed as varchar)||'/'||cast(num_repeats_target as varchar) AS progress FROM er WHERE mode<>'base'
+   UNION ALL
+   SELECT model, a.ablation, benchmark, mode, accuracy_mean, source_path, num_repeats_completed,
+     cast(num_repeats_completed as varchar)||'/'||cast(num_repeats_target as varchar) FROM er
+     CROSS JOIN (VALUES ('all'), ('correct_only')) a(ablation) WHERE mode='base')) WHERE _rn=1),
  pv AS (SELECT model, ablation, benchmark,
    arg_min(accuracy_mean, source_path) FILTER (WHERE mode='base') AS base_acc,
    arg_min(progress, source_path) FILTER (WHERE mode='base') AS base_progress,

@@ -12,8 +12,10 @@ from ..operators.prepare import CATALOG_SCHEMA
 
 def write_records(records: DataFrame, out_dir: str, fmt: str = "json", mode: str = "overwrite") -> None:
     """K1: ShareGPT records, one folder per ``dataset_key`` (JSON lines by
-    default, or Parquet). Each line is ``{system, conversations}``."""
-    w = records.select("dataset_key", "system", "conversations").write.mode(mode).partitionBy("dataset_key")
+    default, or Parquet). Each line is ``{system, conversations}``. Overwriting
+    replaces the folders of the keys written and leaves other datasets alone."""
+    w = (records.select("dataset_key", "system", "conversations").write.mode(mode)
+         .option("partitionOverwriteMode", "dynamic").partitionBy("dataset_key"))
     (w.json if fmt == "json" else w.parquet)(out_dir)
 
 

@@ -15,7 +15,6 @@ from ..constants import DEFAULT_THINK_CLOSE, DEFAULT_THINK_OPEN, IGNORE_INDEX
 from ..functions.text import py_strip
 from .tables import read_table
 
-MASK_PROMPT_TOKENS = 5
 MASK_TOKEN_CHARS = 3
 
 
@@ -49,7 +48,7 @@ def with_injected_nulls(examples: DataFrame) -> DataFrame:
 
 
 _F2_RESPONSE = """
-'<think>' || chr(10) || substr(text, 1, 200) ||
+'<think>' || chr(10) || text ||
 case when doc_id % 9 = 7 then '' else chr(10) || '</think>' || chr(10) || chr(10) end ||
 'The answer is ' ||
 case doc_id % 9
@@ -77,30 +76,19 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generation_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rounds (question_id, repeat, round, text, prompt_tokens,
-    output_tokens, finish_reason) from assistant turns, three repeats,
-    at most three rounds; all but a conversation's last turn end in 'length'.
-
-    The round number is the rank of the turn among the conversation's
-    assistant turns. Only ranks 0-2 are kept, so they come from three
-    per-conversation minimum aggregates (partial aggregation, joined back on
-    conv_id) instead of a window: a conversation holding a large share of all
-    turns is never sorted inside a single task.
+    output_tokens, finish_reason) from all assistant turns, three repeats;
+    all but a conversation's last turn end in 'length'.
+
+    User and assistant turns alternate after an optional system turn, so the
+    round is (turn - 1) div 2, read off each row, and a turn has a next round
+    if (conv_id, turn + 2) is there: one equi-join on a unique key.
     """
     a = (read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
          .select("conv_id", "turn", "text"))
-    # Ranks from the narrow key rows only; the text rows are shuffled once, at the end.
-    keys = a.select("conv_id", "turn")
-    per = keys.groupBy("conv_id").agg(F.min("turn").alias("t0"), F.count(F.lit(1)).alias("n"))
-    for prev, nxt in (("t0", "t1"), ("t1", "t2")):
-        m = (keys.join(per.select("conv_id", prev), "conv_id").where(F.col("turn") > F.col(prev))
-             .groupBy("conv_id").agg(F.min("turn").alias(nxt)))
-        per = per.join(m, "conv_id", "left")
-    a = a.join(per, "conv_id")
-    rnd = (F.when(F.col("turn") == F.col("t0"), 0).when(F.col("turn") == F.col("t1"), 1)
-           .when(F.col("turn") == F.col("t2"), 2))
-    c = a.select("conv_id", "text", rnd.alias("round"), (F.col("n") - 1).alias("mx")).where(F.col("round").isNotNull())
+    later = a.select("conv_id", (F.col("turn") - 2).alias("turn"), F.lit(True).alias("more"))
+    c = a.join(later, ["conv_id", "turn"], "left").withColumn("round", F.floor((F.col("turn") - 1) / 2))
     r = c.withColumn("repeat", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    fin = (F.when(F.col("round") < F.col("mx"), F.lit("length"))
+    fin = (F.when(F.col("more"), F.lit("length"))
            .when((F.length("text") + F.col("repeat")) % 4 == 0, F.lit("length"))
            .otherwise(F.lit("stop")))
     return r.select(
@@ -190,7 +178,7 @@ def multiple_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     sid = F.col("doc_id").cast("string")
     return d.select(
         F.col("doc_id").alias("pos"), F.concat(F.lit("rec"), sid).alias("id"),
-        F.substring("text", 1, 80).alias("question"),
+        F.col("text").alias("question"),
         F.concat(F.lit("right-"), sid).alias("o0"), F.concat(F.lit("wrong1-"), sid).alias("o1"),
         F.concat(F.lit("wrong2-"), sid).alias("o2"), F.concat(F.lit("wrong3-"), sid).alias("o3"))
 
@@ -208,16 +196,18 @@ def mask_variant_response(thinking: Column, answer: Column, variant: Column,
 def token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token arrays from F1. The response (variant by floor(ex_id/100) % 5:
     normal, no close tag, close before open, second close in the answer,
-    empty thinking) is cut into 3-character tokens; the prompt is five
-    3-character tokens labelled -100; other labels are the token position."""
+    empty thinking) and the whole prompt are cut into 3-character tokens;
+    the prompt's are labelled -100; other labels are the token position."""
     ex = raw_examples(spark, sf_dir)
     v = (F.floor(F.col("ex_id") / 100) % 5).cast("int")
     resp = mask_variant_response(F.col("thinking"), F.col("answer"), v)
     k = MASK_TOKEN_CHARS
     df = ex.select("ex_id", v.alias("variant"), "prompt", resp.alias("response"))
-    prompt_toks = F.array(*[F.col("prompt").substr(F.lit(i * k + 1), F.lit(k)) for i in range(MASK_PROMPT_TOKENS)])
-    resp_toks = F.regexp_extract_all(F.col("response"), F.lit(f"(?s).{{1,{k}}}"), 0)
-    toks = df.select("ex_id", "variant", "response", F.concat(prompt_toks, resp_toks).alias("token_texts"))
-    labels = F.concat(F.array_repeat(F.lit(IGNORE_INDEX), MASK_PROMPT_TOKENS),
-                      F.sequence(F.lit(MASK_PROMPT_TOKENS), F.size("token_texts") - 1))
-    return toks.withColumn("labels", labels)
+    def pieces(c):
+        return F.regexp_extract_all(F.col(c), F.lit(f"(?s).{{1,{k}}}"), 0)
+
+    toks = df.select("ex_id", "variant", "response", F.size(pieces("prompt")).alias("np"),
+                     F.concat(pieces("prompt"), pieces("response")).alias("token_texts"))
+    labels = F.concat(F.array_repeat(F.lit(IGNORE_INDEX), F.col("np")),
+                      F.sequence(F.col("np"), F.size("token_texts") - 1))
+    return toks.withColumn("labels", labels).drop("np")

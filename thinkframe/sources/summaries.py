@@ -3,9 +3,6 @@ path kept as ``source_path``. Missing directories contribute no rows."""
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +10,16 @@ from .. import schemas
 from ..constants import SUMMARY_SUFFIX
 
 
-def _existing_globs(dirs, pattern: str) -> list[str]:
+def _existing_globs(spark: SparkSession, dirs, pattern: str) -> list[str]:
+    """Globs that match a file, on whatever file system each folder is on."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for d in dirs:
-        local = d[len("file:"):] if d.startswith("file:") else d
-        if "://" in d and not d.startswith("file:"):
-            out.append(d.rstrip("/") + "/" + pattern)   # remote stores: let Spark resolve
-        elif glob.glob(os.path.join(local, pattern)):
-            out.append(os.path.join(local, pattern))
+        glob = d.rstrip("/") + "/" + pattern
+        path = jvm.org.apache.hadoop.fs.Path(glob)
+        found = path.getFileSystem(conf).globStatus(path)
+        if found is not None and len(found):
+            out.append(glob)
     return out
 
 
@@ -29,10 +28,10 @@ SPARK_SUMMARIES = "run_name=*/*.json"      # JSON lines written by sinks.write_r
 
 
 def read_summaries(spark: SparkSession, dirs, schema, pattern: str = SUMMARY_FILES) -> DataFrame:
-    paths = _existing_globs([dirs] if isinstance(dirs, str) else list(dirs), pattern)
+    paths = _existing_globs(spark, [dirs] if isinstance(dirs, str) else list(dirs), pattern)
     if not paths:
         return spark.createDataFrame([], schema).withColumn("source_path", F.lit(None).cast("string"))
-    df = spark.read.schema(schema).json(paths, multiLine=(pattern == SUMMARY_FILES))
+    df = spark.read.schema(schema).json(paths, multiLine=(pattern == SUMMARY_FILES), mode="FAILFAST")
     return df.withColumn("source_path", F.col("_metadata.file_path"))
 
 

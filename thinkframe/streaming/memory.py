@@ -1,108 +1,45 @@
 """ST2: running GPU-memory peak over sample files.
 
-Samples are summed over GPUs per run and 5-second tumbling window in a
-stateful streaming aggregation (update mode, with a watermark so Spark drops
-state for closed windows and ignores rows later than the watermark). Each
-micro-batch:
-
-- upserts the changed window totals into an *open-window* table,
-- moves windows that ended before the watermark (they can no longer change)
-  into a per-run *closed* summary (max valid total, number of valid
-  windows, latest event time seen),
-- writes both as a new version keyed by the batch id (a retried batch
-  rewrites the same version).
-
-Both tables stay small: open windows are bounded by the watermark horizon and
-the closed summary has one row per run. The peak per run (G11) combines the
-two; a sample with a failed (NULL) reading is skipped; 0 -> NULL.
+A stateful streaming aggregation sums the GPUs of each exact sample time of a
+run (update mode; with a watermark Spark drops the state of old times and
+ignores rows later than that). Each micro-batch writes only the totals that
+it changed, under its batch id, so a retried batch replaces its own rows. A
+reader takes each sample's latest total and folds the peaks as the batch
+operator does (G11): a failed (NULL) reading voids its sample, whenever it arrives.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..constants import MEMORY_SAMPLE_SECONDS
 from ..session import scratch_path
-from ._versions import latest_version, version_path
-
-WINDOW_KEYS = ["run_id", "window_start"]
-OPEN_SCHEMA = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("window_start", T.TimestampType()),
-                            T.StructField("total", T.DoubleType()), T.StructField("n_fail", T.LongType()),
-                            T.StructField("max_ts", T.TimestampType())])
-CLOSED_SCHEMA = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("peak", T.DoubleType()),
-                              T.StructField("num_samples", T.LongType())])
-
-
-def _interval_seconds(delay: str) -> int:
-    n, unit = delay.split()
-    mult = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
-    return int(n) * mult
-
-
-def _fold_closed(closed_rows: DataFrame) -> DataFrame:
-    valid = F.col("n_fail") == 0
-    return closed_rows.groupBy("run_id").agg(F.max(F.when(valid, F.col("total"))).alias("peak"),
-                                             F.count_if(valid).cast("long").alias("num_samples"))
-
-
-def _combine(closed: DataFrame, open_w: DataFrame) -> DataFrame:
-    both = closed.unionByName(_fold_closed(open_w))
-    g = both.groupBy("run_id").agg(F.max("peak").alias("peak"), F.sum("num_samples").cast("long").alias("num_samples"))
-    return g.select("run_id", F.when(F.col("peak") > 0, F.col("peak")).alias("peak_gpu_memory_mib_total"),
-                    "num_samples")
 
 
 def start_memory_stream(spark: SparkSession, sample_dir: str, schema, out_dir: str, checkpoint: str,
                         watermark: str = "1 hour", files_per_batch: int = 1):
-    delay = _interval_seconds(watermark)
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(sample_dir)
            .withColumn("sample_ts", F.col("sample_ts").cast("timestamp"))
            .withWatermark("sample_ts", watermark))
-    win = src.groupBy("run_id", F.window("sample_ts", f"{MEMORY_SAMPLE_SECONDS} seconds").alias("w")).agg(
-        F.sum("mem").alias("total"), F.count_if(F.col("mem").isNull()).cast("long").alias("n_fail"),
-        F.max("sample_ts").alias("max_ts"))
-    win = win.select("run_id", F.col("w.start").alias("window_start"), "total", "n_fail", "max_ts")
-    open_root, closed_root = out_dir + "/open", out_dir + "/closed"
+    totals = src.groupBy("run_id", "sample_ts").agg(
+        F.sum("mem").alias("total"), F.count_if(F.col("mem").isNull()).cast("long").alias("n_fail"))
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        # The micro-batch and the merged window table are used by several
-        # actions below; persist them so the stateful aggregation runs once.
-        batch = batch.persist()
-        if batch.isEmpty():             # no-data batch (watermark moved): nothing changes
-            batch.unpersist()
-            return
-        s = batch.sparkSession
-        prev_open = latest_version(s, open_root, below=batch_id)
-        prev_closed = latest_version(s, closed_root, below=batch_id)
-        old_open = s.read.parquet(prev_open) if prev_open else s.createDataFrame([], OPEN_SCHEMA)
-        old_closed = s.read.parquet(prev_closed) if prev_closed else s.createDataFrame([], CLOSED_SCHEMA)
-        merged = old_open.join(batch.select(*WINDOW_KEYS), WINDOW_KEYS, "left_anti").unionByName(batch).persist()
-        horizon = merged.agg(F.max("max_ts").alias("m")).first()["m"]
-        if horizon is None:
-            still_open, closed_now = merged, merged.limit(0)
-        else:
-            cut = F.lit(horizon) - F.expr(f"INTERVAL {delay + MEMORY_SAMPLE_SECONDS} SECONDS")
-            closed_now = merged.where(F.col("window_start") < cut)
-            still_open = merged.where(F.col("window_start") >= cut)
-        folded = old_closed.unionByName(_fold_closed(closed_now)).groupBy("run_id").agg(
-            F.max("peak").alias("peak"), F.sum("num_samples").cast("long").alias("num_samples"))
-        folded.write.mode("overwrite").parquet(version_path(closed_root, batch_id))
-        still_open.write.mode("overwrite").parquet(version_path(open_root, batch_id))
-        merged.unpersist()
-        batch.unpersist()
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
-    return (win.writeStream.outputMode("update").foreachBatch(publish)
+    return (totals.writeStream.outputMode("update").foreachBatch(publish)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def read_current_peaks(spark: SparkSession, out_dir: str) -> DataFrame | None:
-    o = latest_version(spark, out_dir + "/open")
-    c = latest_version(spark, out_dir + "/closed")
-    if o is None or c is None:
-        return None
-    return _combine(spark.read.parquet(c), spark.read.parquet(o))
+def read_current_peaks(spark: SparkSession, out_dir: str) -> DataFrame:
+    log = spark.read.parquet(out_dir)
+    latest = log.groupBy("run_id", "sample_ts").agg(F.max_by(F.struct("total", "n_fail"), "batch_id").alias("s"))
+    valid = F.col("s.n_fail") == 0
+    g = latest.groupBy("run_id").agg(F.max(F.when(valid, F.col("s.total"))).alias("peak"),
+                                     F.count_if(valid).cast("long").alias("num_samples"))
+    return g.select("run_id", F.when(F.col("peak") > 0, F.col("peak")).alias("peak_gpu_memory_mib_total"),
+                    "num_samples")
 
 
 def stream_memory_peak_from_table(spark: SparkSession, samples: DataFrame, n_chunks: int = 4,
