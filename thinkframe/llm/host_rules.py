@@ -96,4 +96,4 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     verdicts = host_verdicts(rated)
     return (rated.join(verdicts, "host", "left")
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"), "host_rate"))
+                    (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"), F.round("host_rate", 9).alias("host_rate")))

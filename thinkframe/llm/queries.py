@@ -88,4 +88,62 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+_OP1 = """
+WITH RECURSIVE v AS (
+ SELECT vec_id, label, list_transform(embedding, lambda x: cast(x AS double)) AS e FROM embeddings),
+s AS (
+ SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (
+ SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+ WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.a = v.vec_id"""
+
+_OP5 = f"""
+WITH d AS (
+ SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM i),
+m AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+k AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS j FROM m WHERE n > 1),
+k2 AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id),
+b AS (
+ SELECT d.doc_id, d.source, cast(len(w) AS bigint) AS n_words, cast(length(array_to_string(w, '')) AS bigint) AS word_chars,
+  cast(length(text) - length(translate(text, '#*$%&|<>', '')) AS bigint) AS n_symbols, len(l) AS n_lines,
+  cast(len(l) - len(list_distinct(l)) AS bigint) AS n_dup_lines, cast(coalesce(k2.n, 0) AS bigint) AS n_repeat_words
+ FROM d LEFT JOIN k2 ON k2.doc_id = d.doc_id),
+f AS (
+ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines AS failed FROM b),
+h AS (SELECT source, cast(count(*) AS double) AS n, cast(count(*) FILTER (WHERE failed) AS double) AS k FROM f WHERE source IS NOT NULL GROUP BY source),
+t AS (SELECT sum(k) / sum(n) AS mean, greatest((sum(k * k / n) - sum(k) / sum(n) * sum(k)) / sum(n), 0) AS spread FROM h),
+q AS (SELECT mean, least(greatest(CASE WHEN spread > 0 THEN mean * (1 - mean) / spread - 1 ELSE 1e6 END, 1), 1e6) AS strength FROM t),
+r AS (SELECT source, (k + mean * strength) / (n + strength) AS rate FROM h CROSS JOIN q)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT base_failed AND coalesce(r.rate <= 0.5, true) AS kept, round(r.rate, 9) AS host_rate
+FROM f LEFT JOIN r ON r.source = f.source"""
+
+_OP10 = f"""
+WITH RECURSIVE w AS (
+ SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (
+ SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+p AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT w.doc_id, cast(coalesce(n.n, 0) AS bigint) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id"""
+
+#: The others hold trained models, hashes or dynamic programmes; tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": _OP1, "op5_host_rules": _OP5, "op10_jaccard_join": _OP10}
