@@ -95,9 +95,9 @@ def check_run_metadata(runs: DataFrame, mode: str = "quarantine") -> DataFrame:
     """Mode 'base' must have no checkpoint, every other mode needs one.
     Adds ``metadata_error`` (NULL when fine); ``mode="strict"`` fails instead."""
     err = (F.when((F.col("mode") == "base") & F.col("checkpoint_dir").isNotNull(),
-                  F.lit("checkpoint_dir must be None when mode='base' (base-model eval has no adapter)"))
+                  F.lit("base_with_checkpoint"))
            .when((F.col("mode") != "base") & F.col("checkpoint_dir").isNull(),
-                 F.lit("checkpoint_dir is required unless mode='base'")))
+                 F.lit("checkpoint_missing")))
     if mode == "strict":
         return runs.where(F.when(err.isNotNull(), F.raise_error(err)).otherwise(F.lit(True))) \
                    .withColumn("metadata_error", F.lit(None).cast("string"))

@@ -519,8 +519,8 @@ FROM f5"""
 Q["run_metadata_check"] = with_(*EVAL_CTES) + """
 SELECT dataset_name, mode, benchmark, run_id, model_family,
  CASE WHEN mode='base' AND checkpoint_dir IS NOT NULL
-      THEN 'checkpoint_dir must be None when mode=''base'' (base-model eval has no adapter)'
-      WHEN mode<>'base' AND checkpoint_dir IS NULL THEN 'checkpoint_dir is required unless mode=''base''' END AS metadata_error,
+      THEN 'base_with_checkpoint'
+      WHEN mode<>'base' AND checkpoint_dir IS NULL THEN 'checkpoint_missing' END AS metadata_error,
  round(coalesce(temperature, 0.6), 9) AS temperature, round(coalesce(top_p, 0.95), 9) AS top_p,
  CASE WHEN model_family IN ('qwen3','qwen3_0p6b','qwen3_4b') THEN 20.0::double END AS top_k,
  CASE WHEN model_family IN ('qwen3','qwen3_0p6b','qwen3_4b') THEN 0.0::double END AS min_p,
