@@ -28,6 +28,20 @@ def test_fold_rounds_rules(spark):
     assert g2[1].text == "abc" and not g2[1].still_truncated and g2[1].was_truncated
 
 
+def test_fold_rounds_rejects_faulty_keys(spark):
+    for rows, fault in (([(1, 0, 1, "b", 9, 2, "stop")], "round 0 is missing"),
+                        ([(1, 0, 0, "a", 5, 1, "length"), (1, 0, 1, "b", 9, 2, "length"), (1, 0, 1, "b", 9, 2, "stop")], "occurs twice")):
+        with pytest.raises(Exception, match=fault):
+            evaluate.fold_rounds(spark.createDataFrame(rows, ROUNDS), 2).collect()
+
+
+def test_generation_without_question_is_an_error(spark):
+    folded = evaluate.fold_rounds(spark.createDataFrame([(1, 0, 0, "a", 5, 1, "stop")], ROUNDS), 1)
+    qs = spark.createDataFrame([(2, "q", "7")], "question_id long, question string, reference string")
+    with pytest.raises(Exception, match="no question for generation 1"):
+        evaluate.grade_traces(folded, qs, "math500", "qwen3").collect()
+
+
 def test_required_max_model_len_and_budget(spark):
     assert families.required_max_model_len("qwen3", 32768) == 4096 + 32768 + 4000
     assert families.required_max_model_len("qwen3", 32768, 2, 32768) == 40960
@@ -53,8 +67,9 @@ def test_family_constants():
 
 
 def test_effective_sampling_params(spark):
-    df = spark.createDataFrame([("qwen3", 0.7, None), ("dsr1_llama8b", None, None)], "f string, t double, p double")
-    m = evaluate.effective_sampling_params(evaluate.sampling_params_column(F.col("f")), F.col("t"), F.col("p"),
+    df = spark.createDataFrame([("qwen3", 0.7, None), ("dsr1_llama8b", None, None)], "model_family string, t double, p double")
+    df = df.join(families.eval_family_dim(spark), "model_family").orderBy(F.desc("model_family"))
+    m = evaluate.effective_sampling_params(F.col("sampling_params"), F.col("t"), F.col("p"),
                                            seed=F.lit(12346))
     rows = [dict(r[0]) for r in df.select(m).collect()]
     assert rows[0] == {"temperature": 0.7, "top_p": 0.95, "top_k": 20.0, "min_p": 0.0, "seed": 12346.0}

@@ -3,8 +3,10 @@
 from thinkframe.operators import report, stats
 from thinkframe.plans import queries as Q
 from thinkframe.sources import fixtures
-from thinkframe.streaming.memory import stream_memory_peak_from_table
-from thinkframe.streaming.run_summary import stream_run_summary_from_table
+from thinkframe.session import scratch_path
+from thinkframe.streaming import stream_files
+from thinkframe.streaming.memory import read_current_peaks, start_memory_stream
+from thinkframe.streaming.run_summary import read_current_summary, start_run_summary_stream
 
 from conftest import SF_SMALL
 
@@ -13,38 +15,47 @@ def _rows(df, cols):
     return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*cols).collect())
 
 
-def test_stream_run_summary_equals_batch(spark):
-    traces = Q._traces_f4(spark, SF_SMALL)
+def test_streams_equal_batch_in_small_batches(spark):
+    """Files in any order, one a batch."""
+    root = scratch_path(spark, "small")
+    traces, samples = Q._traces_f4(spark, SF_SMALL), fixtures.memory_samples(spark, SF_SMALL)
+    for name, df in (("t", traces), ("s", samples)):
+        df.repartition(5, "run_id").write.parquet(f"{root}/{name}")
+    start_run_summary_stream(stream_files(spark, root + "/t", traces.schema, 1), root + "/to", root + "/tc").awaitTermination()
     batch = stats.run_summary(stats.repeat_stats(traces))
-    st = stream_run_summary_from_table(spark, traces)
     cols = [c for c in batch.columns if c != "per_repeat"]
-    assert _rows(st, cols) == _rows(batch, cols)
+    assert _rows(read_current_summary(spark, root + "/to"), cols) == _rows(batch, cols)
+    start_memory_stream(stream_files(spark, root + "/s", samples.schema, 1), root + "/so", root + "/sc").awaitTermination()
+    cols = ["run_id", "peak_gpu_memory_mib_total", "num_samples"]
+    assert _rows(read_current_peaks(spark, root + "/so"), cols) == _rows(report.memory_peak(samples), cols)
 
 
-def test_stream_memory_peak_equals_batch(spark):
-    s = fixtures.memory_samples(spark, SF_SMALL)
-    cols = ["run_id", "peak_gpu_memory_mib_total", "num_samples"]
-    assert _rows(stream_memory_peak_from_table(spark, s), cols) == _rows(report.memory_peak(s), cols)
+def test_streams_over_empty_folders(spark):
+    root = scratch_path(spark, "empty")
+    traces, samples = Q._traces_f4(spark, SF_SMALL).limit(0), fixtures.memory_samples(spark, SF_SMALL).limit(0)
+    for name, df in (("t", traces), ("s", samples)):
+        df.write.parquet(f"{root}/{name}")
+    start_run_summary_stream(stream_files(spark, root + "/t", traces.schema), root + "/to", root + "/tc").awaitTermination()
+    start_memory_stream(stream_files(spark, root + "/s", samples.schema), root + "/so", root + "/sc").awaitTermination()
+    assert read_current_summary(spark, root + "/to").count() == read_current_peaks(spark, root + "/so").count() == 0
 
 
 def test_stream_run_summary_incremental_restart(spark):
     """Repeats land over time; a restarted query continues from its
     checkpoint and the published summary always covers the landed repeats."""
     from pyspark.sql import functions as F
-    from thinkframe.session import scratch_path
-    from thinkframe.streaming.run_summary import read_current_summary, start_run_summary_stream
 
     traces = Q._traces_f4(spark, SF_SMALL)
     root = scratch_path(spark, "st1-restart")
     stage, out, ck = root + "/traces", root + "/out", root + "/ck"
     traces.where("repeat = 0").write.mode("append").partitionBy("repeat").parquet(stage)
     schema = spark.read.parquet(stage).schema
-    start_run_summary_stream(spark, stage, schema, out, ck).awaitTermination()
+    start_run_summary_stream(stream_files(spark, stage, schema, 1), out, ck).awaitTermination()
     cols = ["dataset_name", "mode", "benchmark", "run_id", "num_repeats_completed", "is_complete", "accuracy_mean"]
     first = stats.run_summary(stats.repeat_stats(traces.where("repeat = 0")))
     assert _rows(read_current_summary(spark, out), cols) == _rows(first, cols)
     traces.where("repeat > 0").write.mode("append").partitionBy("repeat").parquet(stage)
-    start_run_summary_stream(spark, stage, schema, out, ck).awaitTermination()     # restart, same checkpoint
+    start_run_summary_stream(stream_files(spark, stage, schema, 1), out, ck).awaitTermination()     # restart, same checkpoint
     full = stats.run_summary(stats.repeat_stats(traces))
     got = read_current_summary(spark, out)
     assert _rows(got, cols) == _rows(full, cols)
@@ -53,8 +64,6 @@ def test_stream_run_summary_incremental_restart(spark):
 
 def test_stream_memory_peak_restart(spark):
     from pyspark.sql import functions as F
-    from thinkframe.session import scratch_path
-    from thinkframe.streaming.memory import read_current_peaks, start_memory_stream
 
     s = fixtures.memory_samples(spark, SF_SMALL)
     cut = s.agg(F.percentile_approx(F.col("sample_ts").cast("long"), 0.5)).first()[0]
@@ -62,17 +71,15 @@ def test_stream_memory_peak_restart(spark):
     stage, out, ck = root + "/samples", root + "/out", root + "/ck"
     s.where(F.col("sample_ts").cast("long") < cut).write.parquet(stage + "/part=0")
     schema = spark.read.parquet(stage).drop("part").schema
-    start_memory_stream(spark, stage + "/*", schema, out, ck, watermark="2 hours").awaitTermination()
+    start_memory_stream(stream_files(spark, stage + "/*", schema, 1), out, ck, watermark="2 hours").awaitTermination()
     s.where(F.col("sample_ts").cast("long") >= cut).write.parquet(stage + "/part=1")
-    start_memory_stream(spark, stage + "/*", schema, out, ck, watermark="2 hours").awaitTermination()
+    start_memory_stream(stream_files(spark, stage + "/*", schema, 1), out, ck, watermark="2 hours").awaitTermination()
     cols = ["run_id", "peak_gpu_memory_mib_total", "num_samples"]
     assert _rows(read_current_peaks(spark, out), cols) == _rows(report.memory_peak(s), cols)
 
 
 def test_stream_memory_peak_exact_times_and_late_rows(spark):
     """Samples seconds apart stay apart; a late reading and a late failed reading change what was published."""
-    from thinkframe.session import scratch_path
-    from thinkframe.streaming.memory import read_current_peaks, start_memory_stream
 
     schema = "run_id string, gpu string, sample_ts timestamp, mem double"
     first = [("r", "g0", "2024-01-01 00:00:00", 10.0), ("r", "g0", "2024-01-01 00:00:02", 11.0), ("r", "g0", "2024-01-01 00:00:04", 12.0),
@@ -83,7 +90,7 @@ def test_stream_memory_peak_exact_times_and_late_rows(spark):
         df = spark.createDataFrame(rows, "run_id string, gpu string, ts string, mem double").selectExpr(
             "run_id", "gpu", "cast(ts as timestamp) as sample_ts", "mem")
         df.write.parquet(f"{root}/samples/part={i}")
-        start_memory_stream(spark, root + "/samples/*", schema, root + "/out", root + "/ck", watermark="1 hour").awaitTermination()
+        start_memory_stream(stream_files(spark, root + "/samples/*", schema, 1), root + "/out", root + "/ck", watermark="1 hour").awaitTermination()
     all_rows = spark.read.parquet(root + "/samples").drop("part")
     cols = ["run_id", "peak_gpu_memory_mib_total", "num_samples"]
     got = _rows(read_current_peaks(spark, root + "/out"), cols)

@@ -11,9 +11,9 @@ from .text import (WS, WS_REGEX_CLASS, py_strip, find_last, split_think_answer,
                    whitespace_token_count)
 from .grading import (last_boxed, normalize_math_answer, python_float, numeric_equal,
                       grade_math, grade_letter, grade)
-from .formatting import (think_response, conversation_record, chat_messages,
+from .formatting import (think_response, conversation_record,
                          format_question, dataset_key, run_name, parse_dataset_name,
-                         run_number, iso_seconds, duration_text)
+                         iso_seconds, duration_text)
 from .masking import response_start, char_to_token_index, think_mask
 from .staged import (with_split_think_answer, with_last_boxed, with_grade_math, with_grade_letter,
                      with_grade, apply_think_mask)
@@ -22,8 +22,8 @@ __all__ = [
     "WS", "WS_REGEX_CLASS", "py_strip", "find_last", "split_think_answer",
     "whitespace_token_count", "last_boxed", "normalize_math_answer", "python_float",
     "numeric_equal", "grade_math", "grade_letter", "grade", "think_response",
-    "conversation_record", "chat_messages", "format_question", "dataset_key",
-    "run_name", "parse_dataset_name", "run_number", "iso_seconds", "duration_text",
+    "conversation_record", "format_question", "dataset_key",
+    "run_name", "parse_dataset_name", "iso_seconds", "duration_text",
     "response_start", "char_to_token_index", "think_mask", "with_split_think_answer", "with_last_boxed",
     "with_grade_math", "with_grade_letter", "with_grade", "apply_think_mask",
 ]

@@ -25,11 +25,6 @@ def conversation_record(human, gpt, system) -> Column:
                     F.array(turn("human", col(human)), turn("gpt", col(gpt))).alias("conversations"))
 
 
-def chat_messages(question) -> Column:
-    """A single user message: ``array(struct(role, content))``."""
-    return F.array(F.struct(F.lit("user").alias("role"), col(question).alias("content")))
-
-
 def format_question(benchmark, question, choices=None) -> Column:
     """Question text for the model.
 
@@ -80,13 +75,6 @@ def parse_dataset_name(name, prefix: str = DATASET_PREFIX, on_error: str = "rais
     return F.struct(model.alias("model"), ablation.alias("ablation"))
 
 
-def run_number(run_id) -> Column:
-    """N for run ids of the form ``runN``, else NULL."""
-    r = col(run_id)
-    pat = "^" + RUN_ID_PREFIX + r"(\d+)$"
-    return F.when(r.rlike(pat), F.regexp_extract(r, pat, 1).cast("long"))
-
-
 def iso_seconds(ts) -> Column:
     """UTC timestamp as ``YYYY-MM-DDTHH:MM:SSZ`` (session time zone must be UTC)."""
     return F.date_format(col(ts), ISO_SECONDS_FORMAT)

@@ -93,20 +93,18 @@ def with_grade_letter(df: DataFrame, answer_col: str, reference_col: str, correc
 
 
 def with_grade(df: DataFrame, benchmark_col: str, answer_col: str, reference_col: str,
-               correct_col: str = "is_correct", extracted_col: str = "extracted",
-               keep_parts: bool = False) -> DataFrame:
+               correct_col: str = "is_correct", extracted_col: str = "extracted") -> DataFrame:
     """Letter grading for gpqa_diamond rows, boxed-math grading otherwise.
-    The last box is extracted once and shared by both graders. With
-    ``keep_parts`` the per-grader results stay as ``math_correct``,
-    ``math_extracted``, ``letter_correct``, ``letter_extracted``."""
-    d = with_last_boxed(df, answer_col, "_box")
-    d = math_grade_from_box(d, "_box", reference_col, "math_correct", "math_extracted")
-    d = letter_grade_from_box(d, answer_col, "_box", reference_col, "letter_correct", "letter_extracted")
-    is_l = F.col(benchmark_col) == "gpqa_diamond"
-    d = d.withColumns({correct_col: F.when(is_l, F.col("letter_correct")).otherwise(F.col("math_correct")),
-                       extracted_col: F.when(is_l, F.col("letter_extracted")).otherwise(F.col("math_extracted"))})
-    d = d.drop("_box")
-    return d if keep_parts else d.drop("math_correct", "math_extracted", "letter_correct", "letter_extracted")
+    The last box is extracted once; each grader sees NULLs instead of the other one's rows."""
+    letter = F.coalesce(F.col(benchmark_col) == "gpqa_diamond", F.lit(False))
+    d = with_last_boxed(df, answer_col, "_box").withColumns({
+        "_mbox": F.when(~letter, F.col("_box")), "_lbox": F.when(letter, F.col("_box")),
+        "_mref": F.when(~letter, F.col(reference_col)), "_ltext": F.when(letter, F.col(answer_col))})
+    d = math_grade_from_box(d, "_mbox", "_mref", "_mc", "_me")
+    d = letter_grade_from_box(d, "_ltext", "_lbox", reference_col, "_lc", "_le")
+    d = d.withColumns({correct_col: F.when(letter, F.col("_lc")).otherwise(F.col("_mc")),
+                       extracted_col: F.when(letter, F.col("_le")).otherwise(F.col("_me"))})
+    return d.drop("_box", "_mbox", "_lbox", "_mref", "_ltext", "_mc", "_me", "_lc", "_le")
 
 
 def apply_think_mask(df: DataFrame, think_open: str, think_close: str, token_col: str = "token_texts",

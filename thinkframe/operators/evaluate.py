@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_SEED_BASE, EVAL_FAMILIES, PROMPT_HEADROOM
+from ..constants import DEFAULT_SEED_BASE, PROMPT_HEADROOM
 from ..functions.formatting import format_question
 from ..functions.text import whitespace_token_count
 from ..sources.families import eval_family
@@ -22,7 +22,8 @@ def fold_rounds(rounds: DataFrame, max_continuation_rounds, keys=ROUND_KEYS) ->
     that did not end in ``length`` are dropped. text = rounds concatenated
     in order; prompt tokens, initial text and initial output tokens come
     from round 0; output tokens are summed; ``was_truncated`` = round 0 hit
-    the limit; ``still_truncated`` = the last kept round hit the limit.
+    the limit; ``still_truncated`` = the last kept round hit the limit. A key
+    without round 0 or with a round twice is an error.
 
     One shuffle on the keys with a bounded ``collect_list`` (at most
     ``1 + max_continuation_rounds`` rounds per key after the pushed filter).
@@ -37,7 +38,12 @@ def fold_rounds(rounds: DataFrame, max_continuation_rounds, keys=ROUND_KEYS) ->
     kept = F.slice(rs, 1, F.when(stop > 0, stop).otherwise(F.size(rs)).cast("int"))
     first = F.element_at(F.col("_kept"), 1)
     out_tok = F.aggregate(F.col("_kept"), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["output_tokens"], F.lit(0)))
-    g = g.withColumn("_kept", kept).where(first["round"] == 0).withColumn("_out", out_tok)
+    rounds = F.transform(rs, lambda x: x["round"])
+    fault = (F.when(F.element_at(rounds, 1) != 0, F.lit("round 0 is missing"))
+             .when(F.size(F.array_distinct(rounds)) < F.size(rounds), F.lit("a round occurs twice")))
+    where = F.concat_ws(" ", *[F.concat(F.lit(k + "="), F.col(k).cast("string")) for k in keys])
+    g = g.where(F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.lit(" for "), where))).otherwise(F.lit(True)))
+    g = g.withColumn("_kept", kept).withColumn("_out", out_tok)
     return g.select(
         *keys,
         F.array_join(F.transform("_kept", lambda x: x["text"]), "").alias("text"),
@@ -123,15 +129,6 @@ def effective_sampling_params(family_params: Column, temperature: Column, top_p:
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
 
 
-def sampling_params_column(model_family: Column) -> Column:
-    """The S11 sampling map for a family column (5 fixed entries)."""
-    expr = None
-    for name, f in EVAL_FAMILIES.items():
-        m = F.create_map(*[x for k, v in f[4].items() for x in (F.lit(k), F.lit(float(v)))])
-        expr = F.when(model_family == name, m) if expr is None else expr.when(model_family == name, m)
-    return expr
-
-
 def repeat_questions(questions: DataFrame, num_repeats: int) -> DataFrame:
     """Every question once per repeat (a generator, not a join)."""
     return questions.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(num_repeats - 1))))
@@ -157,7 +154,7 @@ def grade_traces(folded: DataFrame, questions: DataFrame, benchmark, model_famil
     """J7 + A1 + A7 + A15 + A16: one trace row per (repeat, question).
 
     The folded generation is joined to its question (equi-join on the
-    question id), split into reasoning and answer after the family's forced
+    question id; one without a question is an error), split into reasoning and answer after the family's forced
     prefix, graded on the answer part, and its reasoning tokens counted
     (0 for empty reasoning). For truncated rows, ``reasoning_tokens_added``
     = max(0, full count - count in the round-0 text); the count is a
@@ -165,7 +162,9 @@ def grade_traces(folded: DataFrame, questions: DataFrame, benchmark, model_famil
     """
     from ..functions import staged
     prefix = eval_family(model_family)[2]
-    j = folded.join(questions, question_key, "inner")
+    j = folded.join(questions.withColumn("_known", F.lit(True)), question_key, "left")
+    j = j.withColumn("reference", F.when(F.col("_known").isNull(), F.raise_error(F.concat(
+        F.lit("no question for generation "), F.col(question_key).cast("string")))).otherwise(F.col("reference"))).drop("_known")
     j = staged.with_split_think_answer(j, prefix, "text", "thinking", "final_answer_text")
     # The round-0 split is only needed for truncated rows (A16); other rows skip it.
     j = j.withColumn("_init_src", F.when(F.col("was_truncated"), F.col("initial_round_text")))

@@ -5,11 +5,20 @@ code, so the driver can compare results."""
 
 from __future__ import annotations
 
-from ..constants import DEFAULT_SYSTEM_PROMPT, GPQA_DIRECTIVE, LATEX_REMOVALS, MATH_DIRECTIVE
-from ..functions.grading import ND_ASCII, ND_DIGITS
-from ..functions.text import WS, WS_REGEX_CLASS
-
-WS_SQL = "(" + "||".join(f"chr({ord(c)})" for c in WS) + ")"
+import unicodedata
+
+# Fixed values
+SYSTEM_PROMPT = "You are a careful, helpful assistant."
+MATH_DIRECTIVE = "Please reason step by step, and put your final answer within \\boxed{}."
+GPQA_DIRECTIVE = ("Think step by step, then give your final answer as a single "
+                  "letter (A, B, C, or D) within \\boxed{}, e.g. \\boxed{A}.")
+LATEX_REMOVALS = ["\\left", "\\right", "\\!", "\\,", "\\;", "\\text{}"]
+SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200,
+          8201, 8202, 8232, 8233, 8239, 8287, 12288]
+
+DIGITS = [chr(c) for c in range(128, 0x110000) if unicodedata.category(chr(c)) == "Nd"]
+WS_SQL = "(" + "||".join(f"chr({c})" for c in SPACES) + ")"
+WS_REGEX_CLASS = "[" + "".join(f"\\x{{{c:X}}}" for c in SPACES) + "]"
 NL = "chr(10)"
 O_QWEN = f"('<think>'||{NL})"
 C_QWEN = f"({NL}||'</think>'||{NL}||{NL})"
@@ -247,7 +256,7 @@ def norm_cte(name: str, src: str, pred: str, ref: str) -> str:
 
 
 def pyfloat(x: str) -> str:
-    t = f"translate({strip(x)}, {sqlstr(ND_DIGITS)}, {sqlstr(ND_ASCII)})"
+    t = f"translate({strip(x)}, {sqlstr(''.join(DIGITS))}, {sqlstr(''.join(str(unicodedata.decimal(d)) for d in DIGITS))})"
     return f"CASE WHEN regexp_matches({t}, {sqlstr(PY_FLOAT)}) THEN try_cast(replace({t}, '_', '') AS double) END"
 
 
@@ -298,7 +307,7 @@ Q["holdout_split"] = with_(F1, SPLIT.split(",\n recs AS")[0]) + "SELECT ex_id, s
 
 Q["sharegpt_records"] = with_(F1, SPLIT) + f"""
 SELECT ex_id, 's1k11_all_qwen3_'||mode||'_'||split AS dataset_key, mode, split,
- {sqlstr(DEFAULT_SYSTEM_PROMPT)} AS system, human_from, human_value, gpt_from, gpt_value FROM recs"""
+ {sqlstr(SYSTEM_PROMPT)} AS system, human_from, human_value, gpt_from, gpt_value FROM recs"""
 
 Q["catalog_upsert"] = with_(F1, SPLIT) + """,
  k AS (SELECT mode, split, count(*) AS num_rows FROM recs GROUP BY mode, split),
@@ -527,11 +536,13 @@ SELECT dataset_name, mode, benchmark, run_id, model_family,
  cast(CASE WHEN model_family IN ('qwen3','qwen3_0p6b','qwen3_4b') THEN 4 ELSE 2 END as bigint) AS num_params
 FROM f5"""
 
-Q["train_comparison"] = with_(F6) + """
-SELECT dataset_name, mode, status, gpu_ids, num_gpus, start_time, end_time, wall_clock_seconds,
+TRAIN_COLS = """dataset_name, mode, status, gpu_ids, num_gpus, start_time, end_time, wall_clock_seconds,
  round(peak_gpu_memory_mib_total, 9) AS peak_gpu_memory_mib_total, round(train_runtime, 9) AS train_runtime,
  train_samples_per_second, train_steps_per_second, round(train_loss, 9) AS train_loss, round(total_flos, 9) AS total_flos,
- eval_loss, output_dir, config, source_path,
+ eval_loss, output_dir, config"""
+
+Q["train_comparison"] = with_(F6) + f"""
+SELECT {TRAIN_COLS}, source_path,
  printf('%dh%dm%ds', wall_clock_seconds // 3600, (wall_clock_seconds % 3600) // 60, wall_clock_seconds % 60) AS elapsed_text
 FROM ts6"""
 
@@ -616,4 +627,20 @@ SELECT run_id, {r9('CASE WHEN max(CASE WHEN n_fail=0 THEN total END)>0 THEN max(
   AS peak_gpu_memory_mib_total, count(*) FILTER (WHERE n_fail=0) AS num_samples FROM per GROUP BY run_id"""
 Q["stream_memory_peak"] = Q["memory_peak"]
 
+# ------------------------------------------------- written and read back again
+Q["examples_roundtrip"] = Q["examples_required_fields"]
+Q["records_roundtrip"] = with_(F1, SPLIT) + f"""
+SELECT d.name||'_'||mode||'_'||split AS dataset_key, {sqlstr(SYSTEM_PROMPT)} AS system, human_from, human_value, gpt_from, gpt_value
+FROM recs CROSS JOIN (VALUES ('s1k11_all_qwen3'), ('s1k11_correct_only_qwen3')) d(name)"""
+Q["traces_roundtrip"] = Q["eval_traces"]
+Q["eval_summaries_roundtrip"] = Q["summary_records"]
+Q["train_summaries_roundtrip"] = with_(F6) + f"SELECT {TRAIN_COLS} FROM ts6"
+Q["final_table_csv"] = Q["final_table"]
+Q["first_questions"] = with_(BENCH) + "SELECT benchmark, pos, id, question, reference FROM bu WHERE pos < 5"
+Q["eval_row_defaults"] = with_(*EVAL_CTES) + f"""
+SELECT {MODEL} AS model, {ABLATION} AS ablation, benchmark, mode, run_id, round(accuracy_mean, 9) AS accuracy_mean,
+ cast(CASE WHEN run_id='run2' THEN num_repeats_completed ELSE num_repeats END as bigint) AS num_repeats_completed,
+ cast(num_repeats as bigint) AS num_repeats_target, CASE WHEN run_id='run2' THEN is_complete ELSE true END AS is_complete,
+ source_path FROM f5"""
+
 ORACLE_SQL = dict(Q)

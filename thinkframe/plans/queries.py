@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import functions as tf
+from .. import schemas
 from ..functions import staged
-from ..constants import EVAL_MODEL_FAMILIES, TRAIN_FAMILIES
+from ..constants import EVAL_MODEL_FAMILIES, FINAL_TABLE_FIELDS, TRAIN_FAMILIES, TRAIN_SUMMARY_FIELDS
 from ..operators import evaluate, prepare, report, stats
 from ..sources import benchmarks, families, fixtures
-from ..sources.examples import missing_fields
 from ..sources.families import forced_assistant_prefix, think_tags
-from ..sources.tables import read_table
+from ..session import scratch_path
+from ..sinks import write_csv_table, write_records, write_run_summaries, write_traces
+from ..sources.examples import load_examples, missing_fields
+from ..sources.summaries import SPARK_SUMMARIES, load_eval_summaries, load_train_summaries
+from ..sources.tables import read_table, stream_table
+from ..streaming.memory import read_current_peaks, start_memory_stream
+from ..streaming.run_summary import read_current_summary, start_run_summary_stream
 
 DATASET = "s1k11_all_qwen3"
 ROUND_FAMILY = "dsr1_llama8b"
@@ -247,11 +253,8 @@ def q_grade_letter(spark, sf):
     r = (r.withColumn("benchmark", F.when(even, F.lit("gpqa_diamond")).otherwise(F.lit("math500")))
          .withColumn("_ref", F.when(even, F.col("ref_letter")).otherwise(F.col("reference"))))
     # The letter grade against ref_letter on every row, and the dispatched grade.
-    r = staged.with_last_boxed(r, "answer", "_box")
-    r = staged.letter_grade_from_box(r, "answer", "_box", "ref_letter", "letter_correct", "letter")
-    r = staged.math_grade_from_box(r, "_box", "_ref", "_mc", "_me")
-    r = (r.withColumn("is_correct", F.when(even, F.col("letter_correct")).otherwise(F.col("_mc")))
-         .withColumn("extracted", F.when(even, F.col("letter")).otherwise(F.col("_me"))))
+    r = staged.with_grade_letter(r, "answer", "ref_letter", "letter_correct", "letter")
+    r = staged.with_grade(r, "benchmark", "answer", "_ref")
     return _flat(r.select("question_id", "benchmark", "ref_letter", "letter_correct", "letter",
                           "is_correct", "extracted"))
 
@@ -275,8 +278,8 @@ def q_eval_run_stats(spark, sf):
 
 
 # ------------------------------------------------------------------ statistics
-def _traces_f4(spark, sf):
-    t = fixtures.graded_traces(spark, sf)
+def _traces_f4(spark, sf, documents=None):
+    t = fixtures.graded_traces(spark, sf, documents)
     return t.withColumn("reasoning_tokens_added", F.when(
         F.col("was_truncated"), F.greatest(F.lit(0), F.col("reasoning_tokens") - F.col("initial_reasoning_tokens"))))
 
@@ -332,7 +335,10 @@ def eval_summaries(spark, sf) -> DataFrame:
 
 def q_summary_records(spark, sf):
     """D11 assembly: run configuration fields of each summary record."""
-    r = eval_summaries(spark, sf)
+    return _summary_records(eval_summaries(spark, sf))
+
+
+def _summary_records(r: DataFrame) -> DataFrame:
     m = F.col("sampling_params")
     return _flat(r.select(*stats.RUN_KEYS, "model_family", "checkpoint_dir", "num_repeats",
                           "num_repeats_completed", "is_complete", "max_new_tokens", "continuation_max_new_tokens",
@@ -394,16 +400,92 @@ def q_memory_peak(spark, sf):
 
 # ------------------------------------------------------------------- streaming
 def q_stream_run_summary(spark, sf):
-    """ST1: streaming run summary (equals run_summary)."""
-    from ..streaming.run_summary import stream_run_summary_from_table
-    out = stream_run_summary_from_table(spark, _traces_f4(spark, sf))
-    return _summary_flat(out)
+    """ST1: the documents table as a stream of graded traces (equals run_summary)."""
+    root = scratch_path(spark, "st1")
+    traces = _traces_f4(spark, sf, stream_table(spark, sf, "documents"))
+    start_run_summary_stream(traces, root + "/out", root + "/checkpoint").awaitTermination()
+    return _summary_flat(read_current_summary(spark, root + "/out"))
 
 
 def q_stream_memory_peak(spark, sf):
-    """ST2: streaming memory peak (equals memory_peak)."""
-    from ..streaming.memory import stream_memory_peak_from_table
-    return _flat(stream_memory_peak_from_table(spark, fixtures.memory_samples(spark, sf)))
+    """ST2: the events table as a stream of memory samples (equals memory_peak)."""
+    root = scratch_path(spark, "st2")
+    samples = fixtures.memory_samples(spark, sf, stream_table(spark, sf, "events"))
+    start_memory_stream(samples, root + "/out", root + "/checkpoint").awaitTermination()
+    return _flat(read_current_peaks(spark, root + "/out"))
+
+
+# ------------------------------------------------- written and read back again
+def q_examples_roundtrip(spark, sf):
+    """S1 + P1: F1 with NULLs as JSON lines, read through the example reader and checked."""
+    path = scratch_path(spark, "examples") + ".jsonl"
+    fixtures.with_injected_nulls(fixtures.raw_examples(spark, sf)).write.json(path)
+    m = missing_fields(load_examples(spark, path))
+    return _flat(m.select(F.col("ex_id").cast("long").alias("ex_id"), F.array_join("missing_fields", ",").alias("missing_fields"),
+                          (F.size("missing_fields") == 0).alias("is_valid")))
+
+
+def q_records_roundtrip(spark, sf):
+    """K1: records of two datasets written one after the other into one folder and read back."""
+    path = scratch_path(spark, "records")
+    recs = _records(spark, sf)
+    write_records(recs, path)
+    write_records(recs.withColumn("dataset_key", F.regexp_replace("dataset_key", "^" + DATASET, "s1k11_correct_only_qwen3")), path)
+    back = spark.read.schema(T.StructType([*schemas.CONVERSATION_RECORD, T.StructField("dataset_key", T.StringType())])).json(path)
+    conv = F.col("conversations")
+    return _flat(back.select("dataset_key", "system", conv[0]["from"].alias("human_from"), conv[0]["value"].alias("human_value"),
+                             conv[1]["from"].alias("gpt_from"), conv[1]["value"].alias("gpt_value")))
+
+
+def q_traces_roundtrip(spark, sf):
+    """K4: graded traces appended to a folder and read back."""
+    path = scratch_path(spark, "traces")
+    t = q_eval_traces(spark, sf)
+    write_traces(t, path)
+    return spark.read.schema(t.schema).json(path).select(*t.columns)
+
+
+def q_eval_summaries_roundtrip(spark, sf):
+    """K5 + S8 + E2: run summaries written to two folders, read from these and a missing one."""
+    path = scratch_path(spark, "summaries")
+    s = eval_summaries(spark, sf)
+    first = F.col("run_id") == "run1"
+    write_run_summaries(s.where(first), path + "/a")
+    write_run_summaries(s.where(~first), path + "/b")
+    back = load_eval_summaries(spark, [path + "/a", path + "/b", path + "/none"], SPARK_SUMMARIES)
+    return _summary_records(back)
+
+
+def q_train_summaries_roundtrip(spark, sf):
+    """S7 + S9 + P14 + K3: training summaries as JSON files, read, flattened, written as the CSV and read back."""
+    path = scratch_path(spark, "train")
+    _train_summaries(spark, sf).select(*[f.name for f in schemas.TRAIN_SUMMARY]).write.json(path + "/json")
+    flat = report.flatten_train_summary(load_train_summaries(spark, path + "/json", "*.json"))
+    write_csv_table(flat, path + "/csv", TRAIN_SUMMARY_FIELDS, ["source_path"])
+    table = flat.select(*TRAIN_SUMMARY_FIELDS)
+    return _flat(spark.read.schema(table.schema).option("header", True).csv(path + "/csv"))
+
+
+def q_final_table_csv(spark, sf):
+    """K6: the train x eval table written as CSV and read back."""
+    path = scratch_path(spark, "final")
+    table = report.final_table(eval_summaries(spark, sf), _train_summaries(spark, sf))
+    write_csv_table(table, path, FINAL_TABLE_FIELDS)
+    return _flat(spark.read.schema(table.schema).option("header", True).csv(path))
+
+
+def q_first_questions(spark, sf):
+    """The first five questions of each benchmark, the feature of a limited run."""
+    qs = benchmarks.load_benchmarks(_benchmark_sources(spark, sf))
+    return _flat(evaluate.first_n_questions(qs, 5).select("benchmark", "pos", "id", "question", "reference"))
+
+
+def q_eval_row_defaults(spark, sf):
+    """Summaries of an older form, without the completeness fields, take the defaults."""
+    old = F.col("run_id") != "run2"
+    s = eval_summaries(spark, sf).withColumns({
+        "is_complete": F.when(~old, F.col("is_complete")), "num_repeats_completed": F.when(~old, F.col("num_repeats_completed"))})
+    return _flat(report.eval_rows(s))
 
 
 QUERIES = {
@@ -440,4 +522,12 @@ QUERIES = {
     "memory_peak": q_memory_peak,
     "stream_run_summary": q_stream_run_summary,
     "stream_memory_peak": q_stream_memory_peak,
+    "examples_roundtrip": q_examples_roundtrip,
+    "records_roundtrip": q_records_roundtrip,
+    "traces_roundtrip": q_traces_roundtrip,
+    "eval_summaries_roundtrip": q_eval_summaries_roundtrip,
+    "train_summaries_roundtrip": q_train_summaries_roundtrip,
+    "final_table_csv": q_final_table_csv,
+    "first_questions": q_first_questions,
+    "eval_row_defaults": q_eval_row_defaults,
 }

@@ -108,10 +108,10 @@ def round_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("conv_id") % 7).cast("string").alias("reference"))
 
 
-def graded_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graded_traces(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """graded trace rows per (run, repeat, question) from documents;
-    run3 lacks repeat 2 so it is incomplete."""
-    d = read_table(spark, sf_dir, "documents")
+    run3 lacks repeat 2 so it is incomplete. ``documents`` may be a stream of the table."""
+    d = read_table(spark, sf_dir, "documents") if documents is None else documents
     r = d.withColumn("repeat", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     r = r.where(~((F.col("doc_id") % 3 == 2) & (F.col("repeat") == 2)))
     lang, doc, rep = F.col("lang"), F.col("doc_id"), F.col("repeat")
@@ -162,9 +162,9 @@ def train_run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k4") < 2, F.lit("0")).otherwise(F.lit("0,1")).alias("gpu_ids"))
 
 
-def memory_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """one memory value per event: (run_id, gpu, sample_ts, mem)."""
-    e = read_table(spark, sf_dir, "events")
+def memory_samples(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """one memory value per event: (run_id, gpu, sample_ts, mem). ``events`` may be a stream of the table."""
+    e = read_table(spark, sf_dir, "events") if events is None else events
     return e.select(
         F.concat(F.lit("run"), (F.col("user_id") % 10).cast("string")).alias("run_id"),
         F.col("event_type").alias("gpu"),

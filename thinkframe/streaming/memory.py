@@ -1,9 +1,7 @@
-"""ST2: running GPU-memory peak over sample files.
+"""ST2: running GPU-memory peak over samples.
 
 A stateful streaming aggregation sums the GPUs of each exact sample time of a
-run (update mode; with a watermark Spark drops the state of old times and
-ignores rows later than that). Each micro-batch writes only the totals that
-it changed, under its batch id, so a retried batch replaces its own rows. A
+run (update mode). Each micro-batch writes only the totals that it changed. A
 reader takes each sample's latest total and folds the peaks as the batch
 operator does (G11): a failed (NULL) reading voids its sample, whenever it arrives.
 """
@@ -13,58 +11,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import MEMORY_SAMPLE_SECONDS
-from ..session import scratch_path
+from . import latest_rows, write_changes
 
 
-def start_memory_stream(spark: SparkSession, sample_dir: str, schema, out_dir: str, checkpoint: str,
-                        watermark: str = "1 hour", files_per_batch: int = 1):
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(sample_dir)
-           .withColumn("sample_ts", F.col("sample_ts").cast("timestamp"))
-           .withWatermark("sample_ts", watermark))
+def start_memory_stream(samples: DataFrame, out_dir: str, checkpoint: str, watermark: str | None = None):
+    """Start the stream over ``samples`` (run_id, gpu, sample_ts, mem).
+
+    The state is one row per run and sample time. With a ``watermark`` Spark
+    drops the state of old times and ignores rows later than that, which bounds it for a live sampler;
+    without one, rows may come in any order, as from the files of a stored table.
+    """
+    src = samples.withColumn("sample_ts", F.col("sample_ts").cast("timestamp"))
+    if watermark:
+        src = src.withWatermark("sample_ts", watermark)
     totals = src.groupBy("run_id", "sample_ts").agg(
         F.sum("mem").alias("total"), F.count_if(F.col("mem").isNull()).cast("long").alias("n_fail"))
-
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
-
-    return (totals.writeStream.outputMode("update").foreachBatch(publish)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return write_changes(totals, out_dir, checkpoint)
 
 
 def read_current_peaks(spark: SparkSession, out_dir: str) -> DataFrame:
-    log = spark.read.parquet(out_dir)
-    latest = log.groupBy("run_id", "sample_ts").agg(F.max_by(F.struct("total", "n_fail"), "batch_id").alias("s"))
-    valid = F.col("s.n_fail") == 0
-    g = latest.groupBy("run_id").agg(F.max(F.when(valid, F.col("s.total"))).alias("peak"),
-                                     F.count_if(valid).cast("long").alias("num_samples"))
+    """Peak and number of valid samples per run over all that has landed."""
+    valid = F.col("n_fail") == 0
+    g = latest_rows(spark, out_dir, ("run_id", "sample_ts")).groupBy("run_id").agg(
+        F.max(F.when(valid, F.col("total"))).alias("peak"), F.count_if(valid).cast("long").alias("num_samples"))
     return g.select("run_id", F.when(F.col("peak") > 0, F.col("peak")).alias("peak_gpu_memory_mib_total"),
                     "num_samples")
-
-
-def stream_memory_peak_from_table(spark: SparkSession, samples: DataFrame, n_chunks: int = 4,
-                                  files_per_batch: int = 8) -> DataFrame:
-    """Land ``samples`` in ``n_chunks`` time chunks, one after the other (as a
-    live sampler would), each written in parallel by every task; stream them
-    and return the peaks (equal to the batch ``memory_peak``). Files of one
-    chunk may be read in any order, so the watermark delay covers a chunk's
-    time span."""
-    root = scratch_path(spark, "st2")
-    stage = root + "/samples"
-    bounds = samples.agg(F.min("sample_ts").alias("lo"), F.max("sample_ts").alias("hi")).collect()[0]
-    ts = F.col("sample_ts").cast("long")
-    lo, hi = bounds["lo"], bounds["hi"]
-    step = 1
-    if lo is None:
-        samples.write.mode("overwrite").parquet(stage + "/part=0")
-    else:
-        a, b = int(lo.timestamp()), int(hi.timestamp()) + 1
-        step = max(1, (b - a + n_chunks - 1) // n_chunks)
-        for i in range(n_chunks):         # sequential chunks keep chunk order = time order
-            part = samples.where((ts >= a + i * step) & (ts < a + (i + 1) * step))
-            part.write.mode("overwrite").parquet(f"{stage}/part={i}")
-    schema = spark.read.parquet(stage).drop("part").schema
-    q = start_memory_stream(spark, stage + "/*", schema, root + "/out", root + "/checkpoint",
-                            watermark=f"{step + MEMORY_SAMPLE_SECONDS} seconds", files_per_batch=files_per_batch)
-    q.awaitTermination()
-    return read_current_peaks(spark, root + "/out")

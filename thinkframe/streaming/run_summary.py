@@ -1,15 +1,12 @@
 """ST1: incremental run summary over trace files.
 
-Trace files land in a folder as repeats finish. The stream keeps
-per-(run, repeat) statistics (G2-G5) as a stateful streaming aggregation in
-update mode (state = one row per run and repeat, not per trace row), so each
-micro-batch emits only the (run, repeat) rows that changed. The batch writer
-merges them into the per-repeat table and recomputes the summary (G6-G8)
-only for the runs it touched; other runs' summaries are carried over. Both
-tables are published as a new version per batch id (a retried batch
-rewrites the same version). At any time the newest version is the summary
-over the repeats that have landed; a restarted query resumes from its
-checkpoint. No watermark is needed: late rows simply update their repeat.
+The stream keeps per-(run, repeat) statistics (G2-G5) as a stateful
+aggregation in update mode: one state row per run and repeat, not per trace.
+Each micro-batch writes only the (run, repeat) rows that it changed, and a reader
+folds the latest of each into the summaries (G6-G8), so the cost of a batch follows
+its own rows. A restarted query resumes from its checkpoint. No watermark is needed:
+late rows simply update their repeat. The exact medians (G4) keep one
+state entry per distinct token count, which a model's context length bounds.
 """
 
 from __future__ import annotations
@@ -17,54 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.stats import RUN_KEYS, repeat_stats, run_summary
-from ..session import scratch_path
-from ._versions import latest_version, version_path
+from . import latest_rows, write_changes
 
 
-def start_run_summary_stream(spark: SparkSession, trace_dir: str, schema, out_dir: str, checkpoint: str,
-                             run_keys=RUN_KEYS, num_repeats: int = 3, files_per_batch: int = 1):
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(trace_dir))
-    per_repeat = repeat_stats(src, run_keys)
-    keys = [*run_keys, "repeat"]
-    pr_root, sum_root = out_dir + "/per_repeat", out_dir + "/summary"
+def start_run_summary_stream(traces: DataFrame, out_dir: str, checkpoint: str, run_keys=RUN_KEYS):
+    """Start the stream over ``traces`` (graded trace rows)."""
+    return write_changes(repeat_stats(traces, run_keys), out_dir, checkpoint)
 
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        if batch.isEmpty():
-            batch.unpersist()
-            return
-        s = batch.sparkSession
-        prev_pr, prev_sum = latest_version(s, pr_root, below=batch_id), latest_version(s, sum_root, below=batch_id)
-        old_pr = s.read.parquet(prev_pr) if prev_pr else batch.limit(0)
-        merged = old_pr.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        merged.write.mode("overwrite").parquet(version_path(pr_root, batch_id))
-        pr = s.read.parquet(version_path(pr_root, batch_id))
-        touched = batch.select(*run_keys).distinct()
-        fresh = run_summary(pr.join(touched, list(run_keys), "left_semi"), run_keys, num_repeats)
-        if prev_sum:
-            fresh = s.read.parquet(prev_sum).join(touched, list(run_keys), "left_anti").unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(version_path(sum_root, batch_id))
-        batch.unpersist()
 
-    return (per_repeat.writeStream.outputMode("update").foreachBatch(publish)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-
-
-def read_current_summary(spark: SparkSession, out_dir: str) -> DataFrame | None:
-    v = latest_version(spark, out_dir + "/summary")
-    return None if v is None else spark.read.parquet(v)
-
-
-def stream_run_summary_from_table(spark: SparkSession, traces: DataFrame, run_keys=RUN_KEYS,
-                                  num_repeats: int = 3, files_per_batch: int = 8) -> DataFrame:
-    """Land ``traces`` partitioned by repeat (written in parallel by every
-    task), run the stream to completion and return the final summary (equal
-    to the batch ``run_summary``)."""
-    root = scratch_path(spark, "st1")
-    stage = root + "/traces"
-    traces.write.mode("overwrite").partitionBy("repeat").parquet(stage)
-    schema = spark.read.parquet(stage).schema
-    q = start_run_summary_stream(spark, stage, schema, root + "/out", root + "/checkpoint", run_keys, num_repeats,
-                                 files_per_batch)
-    q.awaitTermination()
-    return read_current_summary(spark, root + "/out")
+def read_current_summary(spark: SparkSession, out_dir: str, run_keys=RUN_KEYS, num_repeats: int = 3) -> DataFrame:
+    """Run summaries over the repeats that have landed."""
+    return run_summary(latest_rows(spark, out_dir, (*run_keys, "repeat")), run_keys, num_repeats)
