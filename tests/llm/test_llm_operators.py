@@ -432,3 +432,35 @@ def test_op10_region_recursion_is_exact():
     py = [set(s.tolist()) for s in sets]
     want = labels(range(len(py)), [(a, b) for a in range(len(py)) for b in range(a) if 100 * len(py[a] & py[b]) >= 75 * len(py[a] | py[b])])
     assert [region.root(i) for i in range(len(py))] == [want[i] for i in range(len(py))]
+
+
+def test_null_ids_in_every_document_operator(spark):
+    """Rows without an id, one of them twice and one a copy of a row with an id, beside a null text."""
+    text = " ".join(f"w{i}" for i in range(60))
+    data = [(None, text, "en", "a"), (None, text, "en", "a"), (None, None, "en", "a"), (4, text, "en", None), (5, text + " x", None, "a"), (6, "short one", "de", "b")]
+    df = spark.createDataFrame([(*r, 1.0) for r in data], "doc_id long, text string, lang string, source string, score double")
+    ids = sorted((r[0] for r in data), key=lambda x: (x is not None, x))
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+    def found(out):
+        rows = out.collect()
+        assert sorted((r.doc_id for r in rows), key=lambda x: (x is not None, x)) == ids
+        return rows
+
+    assert all(r.taken <= 3 * r.size for r in found(mixing.mix_documents(df)))
+    assert len({r.shard for r in found(shards.shard_rows(df, 3)) if r.doc_id in (None, 4) and r.text_crc32 is not None}) == 1
+    assert all(r.held_out is False for r in found(identify_languages(df, fold)) if r.doc_id is None)
+    assert sum(r.n_words for r in found(host_rules.host_quality(df))) == 4 * 60 + 1 + 2
+    packed = found(bitpack.packed_digest(df))
+    at = 0
+    for r in sorted(packed, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(packed, key=lambda r: r.start)] == ids
+    assert all(r.score < 0 for r in found(lm_scoring.score_texts(df, fold)))
+    pieces = packing.pack_documents(df).collect()
+    assert sum(r.length for r in pieces) == at and sum(r.doc_id is None for r in pieces) == 3
+    digest = found(suffix_dedup.substring_digest(df))
+    assert {r.n_removed for r in digest if r.doc_id in (4, 5)} == {len(text)}
+    joined = found(jaccard_components(df))
+    assert {r.doc_id: r.component_id for r in joined} == {None: None, 4: 4, 5: 4, 6: 6}

@@ -7,7 +7,7 @@ A file holds the ids of consecutive documents. Every id takes the same
     uint32 width, uint32 ids a block, uint64 ids, uint64 documents, uint64 blocks
     blocks: each ``width`` * ids-a-block / 64 words of 64 bits; the last one padded with zeros
     uint64 byte offset of every block
-    int64 doc_id of every document
+    int64 doc_id of every document, the least int64 for a null one
     uint64 first id of every document, and one past the last
 
 Lane i of a block holds ids i, i + L, i + 2L, ... (L = ids-a-block / 64) so that 64 shifts
@@ -30,6 +30,7 @@ from .tokens import default_vocabulary, encoder
 MAGIC = b"BITPACK1"
 BLOCK_IDS = 4096
 END_ID = 0
+NO_ID = -(2**63)
 _HEAD = struct.Struct("<8sIIQQQ")
 
 
@@ -147,12 +148,11 @@ def write_packed(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     """Write the ids of all documents in ascending id order; returns the manifest (name, n_docs, n_ids, first_id).
 
     Files are named in that order; each holds documents of one range of ids. A null
-    text is empty, so it has the end id alone. Rows with a null id are refused.
+    text is empty, so it has the end id alone. Rows with a null id come first.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("doc_id", F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("null document id"))).otherwise(F.col("doc_id")))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = rows.repartitionByRange(partitions_for(spark, size), "doc_id").sortWithinPartitions("doc_id", "text")
     jvm = spark.sparkContext._jvm
@@ -168,7 +168,7 @@ def write_packed(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 def _read(batches):
     for batch in batches:
         for content, base in zip(batch.column(0), batch.column(1).to_pylist()):
-            rows = [(d, base + a, len(ids), zlib.crc32(ids.tobytes())) for d, a, ids in PackedFile(content.as_buffer().to_pybytes()).documents()]
+            rows = [(None if d == NO_ID else d, base + a, len(ids), zlib.crc32(ids.tobytes())) for d, a, ids in PackedFile(content.as_buffer().to_pybytes()).documents()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
@@ -185,7 +185,7 @@ def read_packed(folder: str, manifest: DataFrame) -> DataFrame:
 def packed_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Write all documents to packed files in the shared folder and read them back: one row per row of ``docs``.
 
-    Null and empty texts hold the end id alone; repeated rows are written as often as they are there;
+    Null and empty texts hold the end id alone; null ids come first and stay null; repeated rows are written as often as they are there;
     an empty table writes no file and gives no row; other columns are ignored.
     """
     folder = shared_path(docs.sparkSession, "packed")

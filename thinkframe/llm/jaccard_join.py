@@ -175,7 +175,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Documents whose shingle sets have 100 * |x & y| >= percent * |x | y| are
     linked; ``component_id`` is the smallest id reachable by links.
     A null or wordless text has no shingles and links with nothing. A row
-    with a null id takes part but has a null component. Repeated rows stay repeated; an empty table
+    with a null id has a null component, and no link goes through a set that only such rows hold. Repeated rows stay repeated; an empty table
     gives an empty result; other columns are ignored. Shingles and sets go by
     64-bit hashes.
     """
