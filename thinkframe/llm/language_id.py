@@ -114,18 +114,19 @@ def _count(key, table):
 def learn_languages(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> ContextTrees | None:
     """Context trees from rows (text, lang); null or empty texts and null languages teach nothing. None if nothing is left.
 
-    A language learns from whole texts in the order of their hash until
+    A language learns from whole distinct texts in the order of their hash until
     ``train_bytes`` are reached, so the model's size does not depend on the
-    table's. The trees must fit the workers: bounded by languages * bytes.
+    table's, nor on how often a text is copied. The trees must fit the workers: bounded by languages * bytes.
     """
     spark = labelled.sparkSession
     ship_package(spark)
-    rows = labelled.where("lang is not null and text is not null and text <> ''").withColumn("size", F.octet_length("text")).withColumn(
-        "draw", F.shiftrightunsigned(F.xxhash64("text"), 1) / float(2**63))
-    share = rows.groupBy("lang").agg((F.lit(2.0 * train_bytes) / F.sum("size")).alias("share"), F.min("draw").alias("least"))
-    # Twice the bytes wanted, by hash, and at least one text; the running sum then orders only those. A row a language.
-    drawn = rows.join(F.broadcast(share), "lang").where(F.col("draw") <= F.greatest("share", "least"))
-    before = F.sum("size").over(Window.partitionBy("lang").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, -1))
+    rows = labelled.where("lang is not null and text is not null and text <> ''").select(
+        "lang", "text", F.octet_length("text").alias("size"), F.shiftrightunsigned(F.xxhash64("text"), 1).alias("draw"))
+    share = rows.groupBy("lang", "draw").agg(F.max("size").alias("size")).groupBy("lang").agg(
+        (F.lit(2.0**64 * train_bytes) / F.sum("size")).alias("share"), F.min("draw").alias("least"))
+    # Twice the bytes wanted, by hash, and at least one text; the running sum then orders only those, one of each. A row a language.
+    drawn = rows.join(F.broadcast(share), "lang").where(F.col("draw") <= F.greatest("share", "least")).dropDuplicates(["lang", "draw"])
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1))
     sample = drawn.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < train_bytes)
     table = sample.select("lang", "text").groupBy("lang").applyInArrow(_count, "lang string, length int, gram long, n long").toArrow()
     languages = sorted(set(table.column("lang").to_pylist()))
