@@ -321,6 +321,39 @@ def test_op7_table_is_normalised():
     assert np.allclose(rows_, 1, atol=1e-4)
 
 
+def test_op7_learns_which_word_follows_which(spark, monkeypatch):
+    rng = random.Random(8)
+    names = [f"{a}{b}zz" for a in "abcdef" for b in "abcdef"]  # one class: each word is followed by the next or the one after
+    texts = []
+    for i in range(400):
+        at, words = rng.randrange(36), []
+        for _ in range(50):
+            words.append(names[at])
+            at = (at + rng.randint(1, 2)) % 36
+        texts.append((i, " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+
+    def held_out():
+        return lm_scoring.score_texts(df, F.col("doc_id") % 5 == 0).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    learned, base = held_out()
+    assert learned > 0.75 * base
+    monkeypatch.setattr(lm_scoring, "train", lambda *_: None)
+    assert learned > 0.75 * held_out()[0]
+
+
+def test_op7_units_are_normalised():
+    rng = np.random.default_rng(5)
+    model = lm_scoring.LogBilinear(np.array([5, 700, 9000]), np.array([10, 5, 1]), steps=20)
+    model.widen(np.array([3, 3, 40]), np.arange(lm_scoring.CLASSES + 3.0))
+    p = model.p
+    for k in p:
+        p[k] = p[k] + rng.normal(0, 1, p[k].shape).astype(np.float32)
+    totals = model.log_totals(np.array([2, 97]))
+    for i, b in enumerate((2, 97)):
+        score = (p["two"] + p["one"][b]) @ p["target"].T + p["bias"][:, 0] - totals[i][:, None]
+        assert np.allclose(np.exp(score.astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
 def test_op8_pieces(docs, rows, nothing):
     enc = Encoder(default_vocabulary())
     want = sorted(([*enc.tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in rows), key=len)
