@@ -301,6 +301,17 @@ def test_tokens_equal_the_library():
     assert [x.tolist() for x in enc.encode(pa.array(texts))] == want
 
 
+def test_added_tokens_equal_a_fresh_library():
+    from tokenizers import Tokenizer
+    fresh = Tokenizer.from_file(default_vocabulary())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y, z. <|endoftext|><|endoftext|>.", "a <|endof", "text|> b", "", "plain words. here", None, "é <|endoftext|>\n"]
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0] and want[0] == [64, 220, 50256, 275]
+    for some in (texts, texts[::-1]):
+        got = [x.tolist() for x in Encoder(default_vocabulary()).encode(pa.array(some))]
+        assert got == (want if some is texts else want[::-1])
+
+
 @pytest.mark.parametrize("frequent", [20, 150_000])
 def test_op7_scores(docs, rows, nothing, monkeypatch, frequent):
     monkeypatch.setattr(lm_scoring, "FREQUENT_WORDS", frequent)

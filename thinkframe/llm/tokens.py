@@ -4,7 +4,7 @@ The vocabulary splits a text before every space that a non-space follows, so the
 of a word with the space before it do not depend on the rest of the text. Each distinct word is
 encoded once a worker, many at a time, and its ids are copied by array operations wherever it stands; a full stop or
 comma after a letter at its end is a piece apart. A text in which a space touches other
-white space is encoded whole. Words are remembered by 64-bit hashes.
+white space, or that holds an added token, is encoded whole. Words are remembered by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -58,18 +58,18 @@ class _Memory:
 
 
 class Encoder:
-    """Encodes texts with the vocabulary file at ``path``; special-token strings in a text are ordinary text."""
+    """Encodes texts with the vocabulary file at ``path``; strings of added tokens in a text become their ids, as in the library."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         # A token of a byte-level vocabulary is written with one character a byte.
         self.n_bytes = np.zeros(self.size, dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.n_bytes[i] = len(token)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.closing = np.array([self._ids([chr(c)])[0][0] for c in _CLOSING], dtype="<u4")
         self.memory = _Memory()
         self._ends: np.ndarray | None = None
@@ -111,7 +111,7 @@ class Encoder:
         hashes, at, inverse = np.unique(word_hashes(data, starts, stops, lower=False).view(np.int64), return_index=True, return_inverse=True)
         word = self._known(hashes, raw, starts[at], stops[at])[inverse]
         size = self.memory.size[word].astype(np.int64)
-        whole = np.unique(text[size < 0])
+        whole = np.unique(np.concatenate([text[size < 0], self._holding(raw, offsets)]))
         skipped = np.isin(text, whole)
         heads = self._ids([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), head_ends.tolist())])
         for i in whole.tolist():
@@ -137,6 +137,16 @@ class Encoder:
             ids[begin[mine] + size[mine]] = c
         return ids, place[np.append(head_at, len(units))]
 
+    def _holding(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Texts in which an added token begins."""
+        found = []
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(token, at + 1)
+        return np.searchsorted(offsets, np.array(found, dtype=np.int64), side="right") - 1
+
     def _known(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Places of the words in the memory, after learning those it lacks."""
         if len(self.memory.keys) > REMEMBERED:
