@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitpack import packed_digest
+from .decontam import contamination
 from .embeddings import embedding_links
+from .filter_audit import filter_audit
 from .host_rules import host_quality
 from .jaccard_join import jaccard_components
 from .language_id import identify_languages
 from .lm_scoring import score_texts
+from .merkle import merkle_manifest
 from .mixing import mix_documents
 from .packing import pack_documents
 from .shards import shard_rows
@@ -75,6 +78,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters does at each step of each of their 120 orders, by language."""
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary Merkle trees by language over all documents, a proof for each, and which ones a tampered length gives away."""
+    return merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside 10-word passages of the benchmark, and the items they come from."""
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_mixing": op2_mixing,
@@ -86,6 +104,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_decontamination": op13_decontamination,
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -145,5 +166,85 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, p.b FROM r JOIN p
 SELECT w.doc_id, cast(coalesce(n.n, 0) AS bigint) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = w.doc_id) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id"""
 
+_OP11 = f"""
+WITH RECURSIVE t AS (
+ SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+m AS (
+ SELECT doc_id, part, cast(len(w) < 100 AS int) + 2 * cast(100 * len(list_distinct(w)) < 80 * len(w) AS int)
+  + 4 * cast(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS int) + 8 * cast(regexp_matches(text, '[#$%&*|]') AS int)
+  + 16 * cast(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS int) AS mask FROM t),
+c AS (
+ SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS n_good,
+  count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS n_toxic FROM m GROUP BY part, mask),
+letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o(prefix, before, bit) AS (
+ SELECT '', 0, 0 UNION ALL SELECT o.prefix || l.letter, o.before | o.bit, l.bit FROM o JOIN letters l ON (o.before | o.bit) & l.bit = 0),
+s AS (
+ SELECT part, prefix, sum(n) FILTER (WHERE mask & (before | bit) = 0) AS kept, sum(n) FILTER (WHERE mask & bit > 0 AND mask & before = 0) AS removed,
+  sum(n) FILTER (WHERE mask & bit > 0 AND mask & before > 0) AS redundant, sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+  sum(n_good) FILTER (WHERE mask & bit > 0 AND mask & before = 0) AS good_lost, sum(n_toxic) FILTER (WHERE mask & bit > 0 AND mask & before = 0) AS toxic_lost
+ FROM o, c WHERE prefix <> '' GROUP BY part, prefix),
+r AS (
+ SELECT s.*, f.prefix AS filter_order, cast(length(s.prefix) AS int) AS step, right(s.prefix, 1) AS letter
+ FROM s JOIN o f ON length(f.prefix) = 5 AND starts_with(f.prefix, s.prefix))
+SELECT part, filter_order, step, cast(coalesce(kept, 0) AS bigint) AS kept, cast(coalesce(removed, 0) AS bigint) AS removed,
+ cast(coalesce(redundant, 0) AS bigint) AS redundant, cast(coalesce(unique_fails, 0) AS bigint) AS unique_fails, cast(coalesce(good_lost, 0) AS bigint) AS good_lost,
+ cast(coalesce(toxic_lost, 0) AS bigint) AS toxic_lost, cast(sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter) AS bigint) AS shapley FROM r"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen(cast({column} AS varchar)) || ':' || cast({column} AS varchar), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+_CRC = """xor(list_reduce(flatten(list_transform(string_split(cast(doc_id AS varchar), ''), lambda c: [cast(unicode(c) AS bigint), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, cast(4294967295 AS bigint)), 4294967295)"""
+
+_OP12 = f"""
+WITH RECURSIVE d AS (
+ SELECT doc_id, coalesce('+' || lang, '') AS tree, {_leaf("n_chars")} AS leaf,
+  CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS shown FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d),
+nodes(tree, level, idx, n, h) AS (
+ SELECT tree, 0, idx, n, leaf FROM l
+ UNION ALL SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 2, n),
+subroots AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, idx, n, h) AS (
+ SELECT 0, idx, n, h FROM subroots
+ UNION ALL SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, idx // 2, n),
+up(tree, leaf_at, idx, n, level, h, proof) AS (
+ SELECT tree, idx, idx, n, 0, shown, '' FROM l
+ UNION ALL
+ SELECT u.tree, leaf_at, u.idx // 2, (u.n + 1) // 2, u.level + 1, sha256(CASE WHEN u.idx % 2 = 0 THEN u.h || coalesce(s.h, '') ELSE s.h || u.h END), proof || coalesce(s.h, '')
+ FROM up u LEFT JOIN nodes s ON s.tree = u.tree AND s.level = u.level AND s.idx = xor(u.idx, 1) WHERE u.n > 1),
+rise(tree, leaf_at, idx, n, level, h, proof) AS (
+ SELECT up.tree, leaf_at, subroots.idx, subroots.n, 0, up.h, proof FROM up JOIN subroots ON subroots.tree = up.tree WHERE up.n = 1
+ UNION ALL
+ SELECT u.tree, leaf_at, u.idx // 2, (u.n + 1) // 2, u.level + 1, sha256(CASE WHEN u.idx % 2 = 0 THEN u.h || coalesce(s.h, '') ELSE s.h || u.h END), proof || coalesce(s.h, '')
+ FROM rise u LEFT JOIN tops s ON s.level = u.level AND s.idx = xor(u.idx, 1) WHERE u.n > 1)
+SELECT l.doc_id, l.leaf, subroots.h AS subroot, tops.h AS root, sha256(rise.proof) AS proof_sha256, rise.h AS folded_root, rise.h = tops.h AS verified
+FROM l JOIN subroots ON subroots.tree = l.tree JOIN rise ON rise.tree = l.tree AND rise.leaf_at = l.idx AND rise.n = 1 JOIN tops ON tops.n = 1"""
+
+_RUNS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_RUNS} AS w FROM documents),
+b AS (SELECT cast(item_id AS varchar) AS item, {_RUNS} AS w FROM benchmark),
+g AS (
+ SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram
+ FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+s AS (SELECT DISTINCT m FROM g),
+p AS (SELECT k, m, w, unnest(range(1, cast(len(w) - m + 2 AS bigint))) AS i FROM d JOIN s ON len(w) >= m),
+h AS (SELECT p.k, p.i, p.m, g.item FROM (SELECT k, i, m, array_to_string(w[i:i + m - 1], ' ') AS gram FROM p) p JOIN g ON g.m = p.m AND g.gram = p.gram),
+n AS (SELECT k, count(DISTINCT j) AS n_hit FROM (SELECT k, unnest(range(i, i + m)) AS j FROM h) GROUP BY k),
+i AS (SELECT k, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY k)
+SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+ sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.k = d.k LEFT JOIN i ON i.k = d.k"""
+
 #: The others hold trained models, hashes or dynamic programmes; tests compare them with brute force.
-ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": _OP1, "op5_host_rules": _OP5, "op10_jaccard_join": _OP10}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": _OP1, "op5_host_rules": _OP5, "op10_jaccard_join": _OP10,
+                              "op11_filter_audit": _OP11, "op12_merkle_manifest": _OP12, "op13_decontamination": _OP13}

@@ -40,15 +40,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/llm/{name}-{uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends there, and lost executors cost nothing.
 
-    Collecting the driver's garbage lets Spark drop the shuffle files of what was written.
+    With ``free`` the driver's garbage is collected, which lets Spark drop the shuffle files of what was written.
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    if free:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -65,12 +65,12 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
         lo = hi
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and where each text's words begin in those arrays (one entry more than texts)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and where each text's words begin in those arrays (one entry more than texts); ``space`` flags the bytes outside words."""
     n = len(data)
     solid = np.empty(n + 2, dtype=bool)
     solid[0] = solid[-1] = False
-    np.logical_not(_SPACE[data], out=solid[1:-1])
+    np.logical_not(space[data], out=solid[1:-1])
     edge = solid[1:] != solid[:-1]
     # A word also ends where its text ends.
     inner = offsets[1:-1]
