@@ -49,7 +49,7 @@ def test_empty_table_goes_through(spark):
 
 def test_run_is_registered(spark):
     import __spark_entry__ as entry
-    assert entry.queries()["pipeline"] is pipeline.run and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d+_", q)}
+    assert entry.queries()["pipeline"] is pipeline.run and {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d+_", q)}
     folder = shared_path(spark, "tables")
     make_docs(spark).write.parquet(f"{folder}/documents.parquet")
     assert pipeline.run(spark, folder).count() > 0
