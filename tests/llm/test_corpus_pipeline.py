@@ -2,7 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
+from thinkframe.llm.mixing import mixed_rows, text_draw
 from thinkframe.llm.staging import shared_path, staged
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int"
@@ -40,6 +43,73 @@ def test_stages_keep_what_they_should(spark):
     assert {r.doc_id for r in pieces} == set(times)
 
 
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, times long, copy string, `a.b` string, _d int, th long, row string, rank int, id string"
+
+
+def make_hard(spark):
+    """Repeated ids with other texts, null ids, copies, and columns named like the stages' own."""
+    line = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(50))
+    rows = [(1, line, "en"), (2, line, "en"), (2, other, "en"), (3, "one short text of its own here", "de"), (3, "another one that shares its id", "de"),
+            (None, line, "en"), (None, "without an id", "en"), (4, None, "en"), (4, "a b c", None), (5, "a b c", "en"), (5, "a b c", "en"), (6, " ".join([*line.split()[:58], "x", "y"]), "en")]
+    return spark.createDataFrame([(*r, "s", len(r[1] or ""), 7, "c", "dot", 1, 2, "r", 3, "i") for r in rows], CLASHES), rows
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    docs, rows = make_hard(spark)
+    got = pipeline.jaccard_join(spark, docs, "")
+    assert got.columns == docs.columns
+    # Brute force: the row of the smallest id of each group, one row of equal ones, and rows that belong to none.
+    sets = [shingles(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    want = {(r[0], r[1]) for r, s in zip(rows, sets) if r[0] is None or not s}
+    for g in set(group):
+        members = [(r[0], r[1]) for r, x, s in zip(rows, group, sets) if x == g and r[0] is not None and s]
+        if members:
+            least = min(m[0] for m in members)
+            assert len({m for m in members if m[0] == least}) == 1
+            want.add(next(m for m in members if m[0] == least))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_mixing_writes_each_row_as_often_as_it_is_taken(spark):
+    docs, rows = make_hard(spark)
+    got = pipeline.mixing(spark, docs, "")
+    assert got.columns == docs.columns
+    taken = {}
+    for r in mixed_rows(docs.withColumn("twin", F.lit(1))).collect():
+        if r.size:
+            taken[r.doc_id, r.draw] = taken.get((r.doc_id, r.draw), 0) + r.taken // r.size
+    counts = {}
+    for r in got.select("doc_id", text_draw(F.col("text")).alias("draw")).collect():
+        counts[r.doc_id, r.draw] = counts.get((r.doc_id, r.draw), 0) + 1
+    assert counts == {k: n for k, n in taken.items() if n}
+
+
+def test_every_stage_takes_any_columns(spark):
+    docs, _ = make_hard(spark)
+    for name, stage in pipeline.STAGES:
+        before, docs = docs, staged(stage(spark, docs, ""), name)
+        assert name == "packing" or docs.columns == before.columns
+    assert docs.count() > 0
+
+
+def test_without_languages_lettered_texts_stay(spark):
+    docs, rows = make_hard(spark)
+    kept = pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+    assert kept.count() == sum(bool(r[1]) for r in rows)
+
+
 def test_empty_table_goes_through(spark):
     docs = make_docs(spark).limit(0)
     for name, stage in pipeline.STAGES:

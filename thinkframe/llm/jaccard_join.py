@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import ship_package, staged
+from .staging import nfc, ship_package, staged
 from .words import mix, shingle_sets, text_slices, word_hashes, word_spans
 
 #: Points of a region joined in one task; larger regions are joined block by block.
@@ -57,8 +57,9 @@ def _profile(k: int):
     def run(batches):
         for batch, lo, sets in _sets(batches, k):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_set_id, sets), pa.int64())],
-                ["doc_id", "n", "point"])
+                [batch.column("doc_id").slice(lo, len(sets)), batch.column("th").slice(lo, len(sets)),
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_set_id, sets), pa.int64())],
+                ["doc_id", "th", "n", "point"])
     return run
 
 
@@ -170,7 +171,13 @@ def _join_blocks(percent: int):
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id) for every row of ``docs``, see ``row_components``."""
+    return row_components(docs, id_col, text_col, k, percent).drop("th", "group")
+
+
+def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, th, group, n_shingles, component_id) for every row of ``docs``: ``th`` hashes the text (null: 42) and ``group`` names the component, so
+    rows that share an id are told apart.
 
     Documents whose shingle sets have 100 * |x & y| >= percent * |x | y| are
     linked; ``component_id`` is the smallest id reachable by links.
@@ -180,8 +187,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     64-bit hashes.
     """
     ship_package(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = staged(source.mapInArrow(_profile(k), "doc_id long, n long, point long"), "profile")
+    source = docs.select(nfc(id_col).cast("long").alias("doc_id"), nfc(text_col).alias("text"))
+    profile = staged(source.withColumn("th", F.xxhash64("text")).mapInArrow(_profile(k), "doc_id long, th long, n long, point long"), "profile")
     # 1. A set is a candidate if enough of its first shingles occur in another set. Copies of one set are one point.
     probe = source.mapInArrow(_probe(k, percent), "key long, point long").where("key is not null").repartition("key")
     shared = probe.groupBy("key").agg(F.min("point").alias("lo"), F.max("point").alias("hi")).where("lo <> hi").select("key")
@@ -208,7 +215,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = components(blocks.groupBy("label", "x", "y").applyInArrow(_join_blocks(percent), "a long, b long"))
     named = points.join(groups, points["point"] == groups["v"], "left").select("point", "doc_id", F.coalesce("label", "point").alias("c"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    ids = named.join(least, "c").select("point", "component_id")
+    ids = named.join(least, "c").select("point", F.col("c").alias("group"), "component_id")
     return (profile.join(ids, "point", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
+            .select("doc_id", "th", "group", F.col("n").alias("n_shingles"),
                     F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))

@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .host_rules import SPACES
 from .ranks import spread_rank
-from .staging import ship_package, staged
+from .staging import nfc, ship_package, staged
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -104,7 +104,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: fl
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                   weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, see ``mixed_rows``."""
+    return mixed_rows(docs, id_col, text_col, source_col, weights, seed).drop("draw")
+
+
+def text_draw(text: Column, seed: int = 17) -> Column:
+    """The hash that settles the order of texts of one length."""
+    return F.xxhash64(text, F.lit(seed))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
+    """One row per row of ``docs``: doc_id, draw (``text_draw``, which tells rows of one id apart), size, source_size, target, taken.
 
     ``size`` counts the words of the whole text (null: 0). ``taken`` is the words that
     the mix takes of the row: whole rounds of its source times its size, once more
@@ -114,11 +125,11 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows and seed give the same mix.
     """
     ship_package(docs.sparkSession)
-    source = F.col(source_col)
+    source = nfc(source_col)
     src = F.struct(source.isNull().alias("last"), F.coalesce(source, F.lit("")).alias("name"))
-    n_words = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACES), lambda w: w != ""))
-    sized = staged(docs.select(F.col(id_col).alias("doc_id"), src.alias("src"), n_words.cast("long").alias("size"),
-                               F.xxhash64(F.col(text_col), F.lit(seed)).alias("draw")), "sized")
+    n_words = F.size(F.filter(F.split(F.coalesce(nfc(text_col), F.lit("")), SPACES), lambda w: w != ""))
+    sized = staged(docs.select(nfc(id_col).alias("doc_id"), src.alias("src"), n_words.cast("long").alias("size"),
+                               text_draw(nfc(text_col), seed).alias("draw")), "sized")
     lengths = staged(sized.groupBy("src", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
     targets = source_targets(lengths.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")), weights)
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -136,6 +147,6 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         [F.xxhash64("draw", "doc_id"), F.col("doc_id")], "rank")
     chosen = drawn.withColumn("extra", F.col("once") + (F.col("rank") < F.col("more")).cast("int"))
     whole = sized.join(plan.where(more == 0).select("src", "size", once.alias("extra")), ["src", "size"])
-    both = chosen.select("doc_id", "src", "size", "extra").unionByName(whole.select("doc_id", "src", "size", "extra"))
+    both = chosen.select("doc_id", "draw", "src", "size", "extra").unionByName(whole.select("doc_id", "draw", "src", "size", "extra"))
     return (both.join(planned.select("src", "source_size", "target", "rounds"), "src")
-            .select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("rounds") + F.col("extra"))).cast("long").alias("taken")))
+            .select("doc_id", "draw", "size", "source_size", "target", (F.col("size") * (F.col("rounds") + F.col("extra"))).cast("long").alias("taken")))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import K, anchor_runs, prefix_sums
-from .staging import ship_package, staged
+from .staging import nfc, ship_package, staged
 from .words import _powers, mix, text_slices
 
 LENGTH = 100
@@ -272,8 +272,8 @@ def _strip(batches):
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     """A text goes by its id and a hash, so that repeated ids with other texts stay apart; null ids come first."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("d"), F.hash(text).alias("th"), text.alias("text"), *more)
+    text = F.coalesce(nfc(text_col), F.lit(""))
+    return docs.select(F.coalesce(nfc(id_col).cast("long"), F.lit(_LEAST)).alias("d"), F.hash(text).alias("th"), text.alias("text"), *more)
 
 
 def substring_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -294,8 +294,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with each text (column ``text_col``) stripped of its repeated strings; whole characters only, so it stays valid UTF-8."""
     spans = staged(repeated_spans(_keyed(docs, id_col, text_col).where("text <> ''"), length), "spans")
     rest = [c for c in docs.columns if c != text_col]
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("_d"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"),
-                       F.col(text_col).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
+    rows = docs.select(F.coalesce(nfc(id_col).cast("long"), F.lit(_LEAST)).alias("_d"), F.hash(F.coalesce(nfc(text_col), F.lit(""))).alias("_th"),
+                       nfc(text_col).alias("text"), *[nfc(c).alias(f"c{i}") for i, c in enumerate(rest)])
     joined = rows.join(spans.withColumnsRenamed({"d": "_d", "th": "_th"}), ["_d", "_th"], "left").drop("_d", "_th")
     schema = joined.drop("spans").schema
     out = joined.select(*schema.names, "spans").mapInArrow(_strip, schema)
