@@ -3,10 +3,15 @@
 import glob
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 
+from thinkframe.operators import prepare
 from thinkframe.plans import commands
+from thinkframe.sinks import commit_catalog, files, read_catalog
+from thinkframe.sinks.catalog import versions
 from thinkframe.sources.examples import load_examples
 
 # Edge white space, an inner line break and two rows that are equal but for the prompt.
@@ -24,25 +29,91 @@ def _write(path, obj):
 
 
 def test_build_data_both_families_and_catalog(spark, tmpdir_path):
-    inp = os.path.join(tmpdir_path, "raw.json")
+    inp, cat, data = (os.path.join(tmpdir_path, n) for n in ("raw.json", "catalog", "data"))
     _write(inp, RAW)
-    cat = os.path.join(tmpdir_path, "catalog_v1")
-    out = commands.build_data(spark, inp, os.path.join(tmpdir_path, "data", "qwen3"), "task_qwen3", cat,
-                              "qwen3", val_fraction=0.25, seed=1, new_catalog_path=cat)
+    out = commands.build_data(spark, inp, data, "task_qwen3", cat, "qwen3", val_fraction=0.25, seed=1)
     assert {r.dataset_key for r in out.collect()} == {
         "task_qwen3_cotgen_train", "task_qwen3_cotgen_val", "task_qwen3_cotcond_train", "task_qwen3_cotcond_val"}
-    cat2 = os.path.join(tmpdir_path, "catalog_v2")
-    out2 = commands.build_data(spark, inp, os.path.join(tmpdir_path, "data", "gemma4"), "task_gemma4", cat,
-                               "gemma4", val_fraction=0.25, seed=1, new_catalog_path=cat2)
+    out2 = commands.build_data(spark, inp, data, "task_gemma4", cat, "gemma4", val_fraction=0.25, seed=1)
     rows = {r.dataset_key: r for r in out2.collect()}
     assert len(rows) == 8 and rows["task_qwen3_cotgen_train"].formatting == "sharegpt"
-    assert rows["task_gemma4_cotcond_val"].num_rows == 1
-    recs = spark.read.json(os.path.join(tmpdir_path, "data", "gemma4"))
+    assert {k: r.num_rows for k, r in rows.items() if "cond" in k} == {
+        "task_qwen3_cotcond_train": 3, "task_qwen3_cotcond_val": 1, "task_gemma4_cotcond_train": 3, "task_gemma4_cotcond_val": 1}
+    assert rows["task_gemma4_cotcond_val"].file_name == "data/dataset_key=task_gemma4_cotcond_val"
+    assert sorted(r.dataset_key for r in read_catalog(spark, cat).collect()) == sorted(rows)
+    recs = spark.read.json(data)
     gen = sorted(json.dumps(r.asDict(True)) for r in recs.where("dataset_key = 'task_gemma4_cotgen_train'").drop("dataset_key").collect())
     cond = sorted(json.dumps(r.asDict(True)) for r in recs.where("dataset_key = 'task_gemma4_cotcond_train'").drop("dataset_key").collect())
     assert gen == cond and "<|channel>thought" in gen[0]
 
 
+def test_build_without_validation_rows_leaves_no_old_ones(spark, tmpdir_path):
+    inp, cat, data = (os.path.join(tmpdir_path, n) for n in ("raw.json", "catalog", "data"))
+    _write(inp, RAW)
+    commands.build_data(spark, inp, data, "t", cat, val_fraction=0.5)
+    out = commands.build_data(spark, inp, data, "t", cat, val_fraction=0)
+    assert {r.dataset_key: r.num_rows for r in out.collect()} == {"t_cotgen_train": 4, "t_cotgen_val": 0, "t_cotcond_train": 4, "t_cotcond_val": 0}
+    assert os.listdir(os.path.join(data, "dataset_key=t_cotgen_val")) == []
+    assert {(r.dataset_key, r.num_rows) for r in read_catalog(spark, cat, 1).collect()} >= {("t_cotgen_val", 2)}
+
+
+def _entry(spark, key, rows=1):
+    return prepare.counted_entries(spark, {key: rows}, "data")
+
+
+def test_writers_at_once_lose_nothing(spark, tmpdir_path):
+    cat = os.path.join(tmpdir_path, "catalog")
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda i: commit_catalog(spark, cat, _entry(spark, f"k{i}", i)), range(8)))
+    assert sorted(got) == list(range(1, 9)) == versions(spark, cat)
+    assert {(r.dataset_key, r.num_rows) for r in read_catalog(spark, cat).collect()} == {(f"k{i}", i) for i in range(8)}
+    # Each version holds the one before it and one entry more.
+    seen = [{r.dataset_key for r in read_catalog(spark, cat, v).collect()} for v in range(1, 9)]
+    assert all(a < b and len(b - a) == 1 for a, b in zip(seen, seen[1:]))
+    assert not [n for n in os.listdir(os.path.join(cat, "versions")) if not n.endswith(".json") and not n.startswith(".")]
+
+
+def test_lost_race_merges_again(spark, tmpdir_path, monkeypatch):
+    from thinkframe.sinks import catalog as module
+    cat, real, raced = os.path.join(tmpdir_path, "catalog"), module.publish_once, []
+
+    def slow(spark, path, text):
+        if not raced:
+            raced.append(path)  # another writer is faster, once
+            commit_catalog(spark, cat, _entry(spark, "other"))
+        return real(spark, path, text)
+    monkeypatch.setattr(module, "publish_once", slow)
+    assert commit_catalog(spark, cat, _entry(spark, "mine")) == 2
+    assert {r.dataset_key for r in read_catalog(spark, cat).collect()} == {"mine", "other"}
+
+
+def test_plain_catalog_is_the_first_base(spark, tmpdir_path):
+    cat = os.path.join(tmpdir_path, "catalog")
+    assert read_catalog(spark, cat).count() == 0 and versions(spark, cat) == []
+    _entry(spark, "old").write.json(cat)
+    assert commit_catalog(spark, cat, _entry(spark, "new")) == 1
+    assert {r.dataset_key for r in read_catalog(spark, cat).collect()} == {"old", "new"}
+    with pytest.raises(ValueError, match="no version 7"):
+        read_catalog(spark, cat, 7)
+
+
+def test_published_file_is_never_replaced(spark, tmpdir_path):
+    for name in ("linked", "renamed"):
+        path = os.path.join(tmpdir_path, name, "a.json")
+        if name == "renamed":  # the way of file systems without hard links
+            jvm = spark.sparkContext._jvm
+            os.makedirs(os.path.dirname(path))
+
+            def put(text):
+                with open(path + ".new", "w") as f:
+                    f.write(text)
+                return files._rename(spark, jvm.org.apache.hadoop.fs.Path("file:" + path + ".new"), jvm.org.apache.hadoop.fs.Path("file:" + path))
+        else:
+            def put(text):
+                return files.publish_once(spark, path, text)
+        assert put("one") and not put("two") and files.read_text(spark, path) == "one"
+
+
 def test_parquet_examples(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "raw.parquet")
     spark.createDataFrame([(r["prompt"], r["thinking"], r["answer"]) for r in RAW],

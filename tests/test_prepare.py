@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from thinkframe.functions import think_response
 from thinkframe.operators import prepare
-from thinkframe.sinks import read_catalog, write_catalog, write_records
+from thinkframe.sinks import commit_catalog, read_catalog, write_records
 from thinkframe.sources import families
 from thinkframe.sources.examples import check_required, load_examples
 
@@ -106,9 +106,9 @@ def test_catalog_upsert_and_sinks(spark, tmpdir_path):
                                  ("task_qwen3_cotgen_train", "old.json", "sharegpt", {}, {}, 9)],
                                 T.StructType(prepare.CATALOG_SCHEMA.fields + [T.StructField("num_rows", T.LongType())]))
     new = prepare.catalog_entries(recs, "data")
-    merged = prepare.upsert_catalog(old, new)
     cat = os.path.join(tmpdir_path, "catalog")
-    write_catalog(merged, cat)
+    commit_catalog(spark, cat, old)
+    commit_catalog(spark, cat, new)
     rows = {r.dataset_key: r for r in read_catalog(spark, cat).collect()}
     assert len(rows) == 5 and rows["other_task"].file_name == "x.json"
     assert rows["task_qwen3_cotgen_train"].file_name == "data/dataset_key=task_qwen3_cotgen_train"

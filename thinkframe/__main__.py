@@ -17,8 +17,7 @@ def _parser() -> argparse.ArgumentParser:
     b.add_argument("--input", required=True)
     b.add_argument("--out_dir", required=True)
     b.add_argument("--dataset_name", required=True)
-    b.add_argument("--catalog", required=True, help="catalog folder (JSON lines)")
-    b.add_argument("--new_catalog", default=None, help="where the merged catalog is written")
+    b.add_argument("--catalog", required=True, help="catalog folder; each build publishes its next version")
     b.add_argument("--model_family", default="qwen3", choices=["qwen3", "gemma4"])
     b.add_argument("--val_input", default=None)
     b.add_argument("--val_fraction", type=float, default=DEFAULT_VAL_FRACTION)
@@ -48,7 +47,7 @@ def main(argv=None) -> int:
     if args.command == "build-data":
         cat = commands.build_data(spark, args.input, args.out_dir, args.dataset_name, args.catalog,
                                   args.model_family, args.val_input, args.val_fraction, args.system_prompt,
-                                  args.seed, args.new_catalog)
+                                  args.seed)
         print(f"catalog has {cat.count()} entries")
     elif args.command == "summarize-training":
         out = args.out_csv or os.path.join(args.results_dir, "comparison")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,13 +118,8 @@ def catalog_path(base_path: str, catalog_dir: str | None) -> str:
     return base_path.rstrip("/") if rel == ".." or rel.startswith(".." + os.sep) else rel
 
 
-def catalog_entries(records: DataFrame, base_path: str, catalog_dir: str | None = None) -> DataFrame:
-    """One catalog entry per ``dataset_key`` found in ``records`` (K2 input),
-    pointing at that key's output folder under ``base_path`` (made relative
-    to ``catalog_dir`` when given and possible); the row count per key is
-    computed with one partial aggregation."""
+def _entries(keys: DataFrame, base_path: str, catalog_dir: str | None) -> DataFrame:
     root = catalog_path(base_path, catalog_dir)
-    keys = records.groupBy("dataset_key").agg(F.count(F.lit(1)).alias("num_rows"))
     return keys.select(
         "dataset_key",
         F.concat(F.lit(root + "/dataset_key="), F.col("dataset_key")).alias("file_name"),
@@ -132,6 +127,19 @@ def catalog_entries(records: DataFrame, base_path: str, catalog_dir: str | None
         _map_lit(CATALOG_COLUMNS).alias("columns"), _map_lit(CATALOG_TAGS).alias("tags"), "num_rows")
 
 
+def catalog_entries(records: DataFrame, base_path: str, catalog_dir: str | None = None) -> DataFrame:
+    """One catalog entry per ``dataset_key`` found in ``records`` (K2 input),
+    pointing at that key's output folder under ``base_path`` (made relative
+    to ``catalog_dir`` when given and possible); the row count per key is
+    computed with one partial aggregation."""
+    return _entries(records.groupBy("dataset_key").agg(F.count(F.lit(1)).alias("num_rows")), base_path, catalog_dir)
+
+
+def counted_entries(spark: SparkSession, counts: dict[str, int], base_path: str, catalog_dir: str | None = None) -> DataFrame:
+    """``catalog_entries`` of keys whose rows have been counted already."""
+    return _entries(spark.createDataFrame(list(counts.items()), "dataset_key string, num_rows long"), base_path, catalog_dir)
+
+
 def upsert_catalog(existing: DataFrame, new: DataFrame) -> DataFrame:
     """K2: entries of ``new`` replace same-key entries of ``existing``; other
     existing keys are kept untouched."""

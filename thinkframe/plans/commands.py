@@ -6,43 +6,39 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import (DEFAULT_EVAL_RESULTS_DIRS, DEFAULT_SEED, DEFAULT_SYSTEM_PROMPT, DEFAULT_TRAIN_RESULTS_DIR,
-                         DEFAULT_VAL_FRACTION, EVAL_MODEL_FAMILIES, FINAL_TABLE_FIELDS, TRAIN_SUMMARY_FIELDS)
+                         DEFAULT_VAL_FRACTION, EVAL_MODEL_FAMILIES, FINAL_TABLE_FIELDS, MODES, TRAIN_SUMMARY_FIELDS)
 from ..operators import evaluate, prepare, report, stats
-from ..sinks import read_catalog, write_catalog, write_csv_table, write_records, write_run_summaries, write_traces
+from ..sinks import commit_catalog, read_catalog, write_csv_table, write_records, write_run_summaries, write_traces
+from ..sinks.files import empty_folder
 from ..sources.examples import check_required, load_examples
 from ..sources.summaries import load_eval_summaries, load_train_summaries
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def build_data(spark: SparkSession, input_path: str, out_dir: str, dataset_name: str, catalog_path: str,
                model_family: str = "qwen3", val_input: str | None = None,
                val_fraction: float = DEFAULT_VAL_FRACTION, system_prompt: str = DEFAULT_SYSTEM_PROMPT,
-               seed: int = DEFAULT_SEED, new_catalog_path: str | None = None) -> DataFrame:
+               seed: int = DEFAULT_SEED) -> DataFrame:
     """S1 + P1 (strict) + T1 + P2-P4 + J4 + K1 + K2: build both modes'
-    train/val records, write them per dataset key, and merge their entries
-    into the catalog (written to ``new_catalog_path``, default
-    ``catalog_path + '.next'``; existing keys of other datasets are kept).
-    Returns the merged catalog."""
+    train/val records, write them per dataset key, and publish their entries
+    as the catalog's next version (existing keys of other datasets are kept, also those of builds that run
+    at the same time). The rows of each key are counted while they are written; a key without rows gets an
+    empty folder. Returns the catalog as of this build."""
     raw = check_required(load_examples(spark, input_path), "strict")
     val = check_required(load_examples(spark, val_input), "strict") if val_input else None
     recs = prepare.build_cot_data(raw, dataset_name, model_family, val, val_fraction, system_prompt, seed)
-    write_records(recs, out_dir)
-    keys = [r.dataset_key for r in recs.select("dataset_key").distinct().collect()]   # four at most
-    written = spark.read.json(out_dir).where(F.col("dataset_key").isin(keys))
-    new = prepare.catalog_entries(written, out_dir, catalog_dir=os.path.dirname(catalog_path.rstrip("/")))
-    merged = prepare.upsert_catalog(read_catalog(spark, catalog_path), new) if _exists(spark, catalog_path) else new
-    target = new_catalog_path or catalog_path.rstrip("/") + ".next"
-    write_catalog(merged, target)
-    return read_catalog(spark, target)
+    keys = [f"{dataset_name}_{mode}_{split}" for mode in MODES for split in ("train", "val")]
+    written = Observation("rows by key")
+    write_records(recs.observe(written, *[F.count_if(F.col("dataset_key") == k).alias(k) for k in keys]), out_dir)
+    counts = written.get
+    for k in keys:
+        if not counts[k]:
+            empty_folder(spark, f"{out_dir.rstrip('/')}/dataset_key={k}")
+    new = prepare.counted_entries(spark, counts, out_dir, os.path.dirname(catalog_path.rstrip("/")))
+    return read_catalog(spark, catalog_path, commit_catalog(spark, catalog_path, new))
 
 
 def summarize_training(spark: SparkSession, results_dir: str, out_csv: str) -> DataFrame:

@@ -319,6 +319,13 @@ SELECT dataset_key, base||'/dataset_key='||dataset_key AS file_name, 'sharegpt'
  'conversations' AS messages_column, 'system' AS system_column, 'from' AS role_tag, 'value' AS content_tag,
  'human' AS user_tag, 'gpt' AS assistant_tag, num_rows FROM cat"""
 
+Q["catalog_versions"] = with_(F1, SPLIT) + """,
+ k AS (SELECT mode||'_'||split AS part, count(*) AS num_rows FROM recs GROUP BY mode, split),
+ v(version, name, base) AS (VALUES (1, 's1k11_all_qwen3', 'data/v1'), (2, 's1k11_all_qwen3', 'data/v2'),
+   (3, 's1k11_all_qwen3', 'data/v2'), (3, 's1k11_correct_only_qwen3', 'data/v1'))
+SELECT cast(version AS bigint) AS version, name||'_'||part AS dataset_key, base||'/dataset_key='||name||'_'||part AS file_name,
+ 'sharegpt' AS formatting, 'conversations' AS messages_column, 'from' AS role_tag, num_rows FROM k, v"""
+
 F9 = f"""f9 AS (
  SELECT ex_id, cast(v as bigint) AS variant, np,
   CASE v WHEN 0 THEN {O_QWEN}||t||{C_QWEN}||a WHEN 1 THEN {O_QWEN}||t||a WHEN 2 THEN {C_QWEN}||t||{O_QWEN}||a

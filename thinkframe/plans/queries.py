@@ -17,7 +17,7 @@ from ..operators import evaluate, prepare, report, stats
 from ..sources import benchmarks, families, fixtures
 from ..sources.families import forced_assistant_prefix, think_tags
 from ..session import scratch_path
-from ..sinks import write_csv_table, write_records, write_run_summaries, write_traces
+from ..sinks import catalog_history, commit_catalog, write_csv_table, write_records, write_run_summaries, write_traces
 from ..sources.examples import load_examples, missing_fields
 from ..sources.summaries import SPARK_SUMMARIES, load_eval_summaries, load_train_summaries
 from ..sources.tables import read_table, stream_table
@@ -103,6 +103,20 @@ def q_catalog_upsert(spark, sf):
     return _catalog_flat(prepare.upsert_catalog(old, new))
 
 
+def q_catalog_versions(spark, sf):
+    """K2: three builds publish their entries one after the other; the entries of every version.
+
+    The builds' record counts come from F1; the second replaces the first one's location, the third is another dataset."""
+    path = scratch_path(spark, "catalog")
+    recs = _records(spark, sf, DATASET)
+    other = recs.withColumn("dataset_key", F.regexp_replace("dataset_key", "^" + DATASET, "s1k11_correct_only_qwen3"))
+    for entries in (prepare.catalog_entries(recs, "data/v1"), prepare.catalog_entries(recs, "data/v2"), prepare.catalog_entries(other, "data/v1")):
+        commit_catalog(spark, path, entries)
+    history = catalog_history(spark, path)
+    return _flat(history.select("version", "dataset_key", "file_name", "formatting", F.col("columns")["messages"].alias("messages_column"),
+                                F.col("tags")["role_tag"].alias("role_tag"), "num_rows"))
+
+
 # -------------------------------------------------------------------- masking
 def _masked(spark, sf):
     o, c = think_tags("qwen3")
@@ -494,6 +508,7 @@ QUERIES = {
     "sharegpt_records": q_sharegpt_records,
     "holdout_split": q_holdout_split,
     "catalog_upsert": q_catalog_upsert,
+    "catalog_versions": q_catalog_versions,
     "think_mask": q_think_mask,
     "mask_fail_open_audit": q_mask_fail_open_audit,
     "benchmark_union": q_benchmark_union,

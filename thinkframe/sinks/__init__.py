@@ -1,7 +1,7 @@
 """Writers for records, catalog, traces, summaries and report tables (K1-K6)."""
 
-from .writers import (write_records, write_catalog, read_catalog, write_csv_table, write_traces,
-                      write_run_summaries)
+from .catalog import catalog_history, commit_catalog, read_catalog
+from .writers import write_csv_table, write_records, write_run_summaries, write_traces
 
-__all__ = ["write_records", "write_catalog", "read_catalog", "write_csv_table", "write_traces",
+__all__ = ["write_records", "commit_catalog", "read_catalog", "catalog_history", "write_csv_table", "write_traces",
            "write_run_summaries"]
