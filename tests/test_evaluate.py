@@ -134,6 +134,10 @@ def test_format_question_and_first_n(spark):
         bad.select(format_question(F.col("b"), F.col("q"))).collect()
     qs = spark.range(10).withColumnRenamed("id", "pos")
     assert evaluate.first_n_questions(qs, 3).count() == 3
+    # Positions need not begin at 0 nor follow each other; ties go by id.
+    gaps = spark.createDataFrame([("a", p, f"q{p}{k}") for p in (16, 10, 12) for k in "yx"] + [("b", 7, "z")], "benchmark string, pos int, id string")
+    assert sorted(r.id for r in evaluate.first_n_questions(gaps, 3).collect()) == ["q10x", "q10y", "q12x", "z"]
+    assert evaluate.first_n_questions(gaps, None).count() == 7
 
 
 def test_choice_permutation_python_random_matches(spark):

@@ -4,7 +4,7 @@ questions (J8) and graded trace rows (J7, A1, A7, A15, A16)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_SEED_BASE, PROMPT_HEADROOM
@@ -142,11 +142,16 @@ def questions_with_prompts(questions: DataFrame) -> DataFrame:
 
 
 def first_n_questions(questions: DataFrame, max_samples: int | None, pos_col: str = "pos") -> DataFrame:
-    """The first ``max_samples`` questions by position per benchmark
-    (positions are 0-based and dense within a benchmark)."""
+    """The first ``max_samples`` questions of each benchmark in order of position (ties by id), whatever the positions are.
+
+    Questions without a ``benchmark`` column are of one benchmark. Spark keeps that many a benchmark in each task before it shuffles, so a large benchmark is no hot key."""
     if max_samples is None:
         return questions
-    return questions.where(F.col(pos_col) < max_samples)
+    order = [c for c in (pos_col, "id") if c in questions.columns]
+    if "benchmark" not in questions.columns:
+        return questions.orderBy(*order).limit(max_samples)
+    order = Window.partitionBy("benchmark").orderBy(*order)
+    return questions.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= max_samples).drop("_at")
 
 
 def grade_traces(folded: DataFrame, questions: DataFrame, benchmark, model_family: str,

@@ -75,28 +75,26 @@ PER_REPEAT_FIELDS = [
 ]
 
 
-def _summary_aggs(num_repeats) -> list[Column]:
-    nr = F.lit(num_repeats) if isinstance(num_repeats, int) else F.col(num_repeats)
+def _summary_columns(num_repeats, of=lambda aggregate: aggregate) -> list[Column]:
+    """The statistics of a run (G6, G8) over its repeats; ``of`` turns each plain aggregate into one over a window, say."""
+    n = of(F.count(F.lit(1))).cast("long")
+    target = F.lit(num_repeats) if isinstance(num_repeats, int) else of(F.first(num_repeats))
+
+    def spread(column):
+        return F.coalesce(of(F.stddev_samp(column)), F.lit(0.0))
+
     return [
-        F.count(F.lit(1)).cast("long").alias("num_repeats_completed"),
-        (F.count(F.lit(1)) >= F.first(nr)).alias("is_complete") if not isinstance(num_repeats, int)
-        else (F.count(F.lit(1)) >= nr).alias("is_complete"),
-        F.max("num_questions").alias("num_questions"),
-        F.sum("elapsed_seconds").alias("total_wall_clock_seconds"),
-        F.avg("accuracy").alias("accuracy_mean"),
-        F.coalesce(F.stddev_samp("accuracy"), F.lit(0.0)).alias("accuracy_std"),
-        F.avg("accuracy_excl_extended").alias("accuracy_mean_excl_extended"),
-        F.coalesce(F.stddev_samp("accuracy_excl_extended"), F.lit(0.0)).alias("accuracy_std_excl_extended"),
-        F.sum("num_extended").alias("num_extended_total"),
-        F.sum("num_extended_correct").alias("num_extended_correct_total"),
-        F.sum("num_extended_incorrect").alias("num_extended_incorrect_total"),
-        F.avg("extended_accuracy").alias("extended_accuracy_mean"),
-        F.sum("num_still_truncated").alias("num_still_truncated_total"),
-        F.avg("mean_extended_reasoning_tokens_added").alias("mean_extended_reasoning_tokens_added_mean"),
-        F.avg("output_tokens_per_sec").alias("output_tokens_per_sec_mean"),
-        F.avg("input_tokens_per_sec").alias("input_tokens_per_sec_mean"),
-        F.avg("queries_per_sec").alias("queries_per_sec_mean"),
-        F.avg("mean_reasoning_tokens").alias("mean_reasoning_tokens_mean"),
+        n.alias("num_repeats_completed"), (n >= target).alias("is_complete"),
+        of(F.max("num_questions")).alias("num_questions"),
+        of(F.sum("elapsed_seconds")).alias("total_wall_clock_seconds"),
+        of(F.avg("accuracy")).alias("accuracy_mean"), spread("accuracy").alias("accuracy_std"),
+        of(F.avg("accuracy_excl_extended")).alias("accuracy_mean_excl_extended"),
+        spread("accuracy_excl_extended").alias("accuracy_std_excl_extended"),
+        *[of(F.sum(c)).alias(c + "_total") for c in ("num_extended", "num_extended_correct", "num_extended_incorrect")],
+        of(F.avg("extended_accuracy")).alias("extended_accuracy_mean"),
+        of(F.sum("num_still_truncated")).alias("num_still_truncated_total"),
+        *[of(F.avg(c)).alias(c + "_mean") for c in ("mean_extended_reasoning_tokens_added", "output_tokens_per_sec",
+                                                    "input_tokens_per_sec", "queries_per_sec", "mean_reasoning_tokens")],
     ]
 
 
@@ -110,7 +108,7 @@ def run_summary(per_repeat: DataFrame, run_keys=RUN_KEYS, num_repeats=DEFAULT_NU
     ``per_repeat`` is the nested, repeat-ordered list (G7, bounded by the
     number of repeats).
     """
-    aggs = _summary_aggs(num_repeats)
+    aggs = _summary_columns(num_repeats)
     if with_per_repeat:
         aggs.append(F.array_sort(F.collect_list(F.struct(*PER_REPEAT_FIELDS))).alias("per_repeat"))
     out = per_repeat.groupBy(*run_keys).agg(*aggs)
@@ -120,23 +118,12 @@ def run_summary(per_repeat: DataFrame, run_keys=RUN_KEYS, num_repeats=DEFAULT_NU
 
 
 def running_summary(per_repeat: DataFrame, run_keys=RUN_KEYS, num_repeats: int = DEFAULT_NUM_REPEATS) -> DataFrame:
-    """Q3: after each repeat, the run statistics over the repeats so far
-    (what the summary file shows while a run is in flight)."""
+    """Q3: after each repeat, the run's summary over the repeats so far
+    (what the summary file shows while a run is in flight): all of ``run_summary`` but the nested list, by
+    the same rules, so the row of a run's last repeat equals it. A run is complete once as many repeats
+    as asked for have landed, whichever they are."""
     w = Window.partitionBy(*run_keys).orderBy("repeat").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per_repeat.select(
-        *run_keys, "repeat",
-        F.count(F.lit(1)).over(w).cast("long").alias("num_repeats_completed"),
-        ((F.col("repeat") + 1) == F.lit(num_repeats)).alias("is_complete"),
-        F.avg("accuracy").over(w).alias("accuracy_mean"),
-        F.coalesce(F.stddev_samp("accuracy").over(w), F.lit(0.0)).alias("accuracy_std"),
-        F.avg("accuracy_excl_extended").over(w).alias("accuracy_mean_excl_extended"),
-        F.coalesce(F.stddev_samp("accuracy_excl_extended").over(w), F.lit(0.0)).alias("accuracy_std_excl_extended"),
-        F.sum("num_extended").over(w).alias("num_extended_total"),
-        F.avg("extended_accuracy").over(w).alias("extended_accuracy_mean"),
-        F.sum("num_still_truncated").over(w).alias("num_still_truncated_total"),
-        F.avg("output_tokens_per_sec").over(w).alias("output_tokens_per_sec_mean"),
-        F.avg("mean_reasoning_tokens").over(w).alias("mean_reasoning_tokens_mean"),
-    )
+    return per_repeat.select(*run_keys, "repeat", *_summary_columns(num_repeats, lambda c: c.over(w)))
 
 
 def summary_run_number(file_name: Column, base: Column) -> Column:

@@ -498,17 +498,24 @@ def _typed(cols) -> str:
 
 Q["run_summary"] = with_(F4, G2, RUNS) + f"SELECT {KEYS}, {_typed(RUN_OUT)} FROM runs"
 Q["stream_run_summary"] = Q["run_summary"]
+Q["stream_summary_files"] = Q["run_summary"]
 
 Q["running_summary"] = with_(F4, G2) + f"""
 SELECT {KEYS}, cast("repeat" as bigint) AS "repeat",
- count(*) OVER w AS num_repeats_completed, ("repeat"+1)=3 AS is_complete,
+ count(*) OVER w AS num_repeats_completed, count(*) OVER w >= 3 AS is_complete, max(num_questions) OVER w AS num_questions,
+ {r9('sum(elapsed_seconds) OVER w')} AS total_wall_clock_seconds,
  {r9('avg(accuracy) OVER w')} AS accuracy_mean, {r9('coalesce(stddev_samp(accuracy) OVER w, 0)')} AS accuracy_std,
  {r9('avg(accuracy_excl_extended) OVER w')} AS accuracy_mean_excl_extended,
  {r9('coalesce(stddev_samp(accuracy_excl_extended) OVER w, 0)')} AS accuracy_std_excl_extended,
  cast(sum(num_extended) OVER w as bigint) AS num_extended_total,
+ cast(sum(num_extended_correct) OVER w as bigint) AS num_extended_correct_total,
+ cast(sum(num_extended_incorrect) OVER w as bigint) AS num_extended_incorrect_total,
  {r9('avg(extended_accuracy) OVER w')} AS extended_accuracy_mean,
  cast(sum(num_still_truncated) OVER w as bigint) AS num_still_truncated_total,
+ {r9('avg(mean_extended_reasoning_tokens_added) OVER w')} AS mean_extended_reasoning_tokens_added_mean,
  {r9('avg(output_tokens_per_sec) OVER w')} AS output_tokens_per_sec_mean,
+ {r9('avg(input_tokens_per_sec) OVER w')} AS input_tokens_per_sec_mean,
+ {r9('avg(queries_per_sec) OVER w')} AS queries_per_sec_mean,
  {r9('avg(mean_reasoning_tokens) OVER w')} AS mean_reasoning_tokens_mean
 FROM pr WINDOW w AS (PARTITION BY {KEYS} ORDER BY "repeat" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
@@ -633,6 +640,7 @@ Q["memory_peak"] = with_(F7, """per AS (SELECT run_id, sample_ts, sum(mem) AS to
 SELECT run_id, {r9('CASE WHEN max(CASE WHEN n_fail=0 THEN total END)>0 THEN max(CASE WHEN n_fail=0 THEN total END) END')}
   AS peak_gpu_memory_mib_total, count(*) FILTER (WHERE n_fail=0) AS num_samples FROM per GROUP BY run_id"""
 Q["stream_memory_peak"] = Q["memory_peak"]
+Q["stream_memory_peak_bounded"] = Q["memory_peak"]
 
 # ------------------------------------------------- written and read back again
 Q["examples_roundtrip"] = Q["examples_required_fields"]
@@ -643,7 +651,7 @@ Q["traces_roundtrip"] = Q["eval_traces"]
 Q["eval_summaries_roundtrip"] = Q["summary_records"]
 Q["train_summaries_roundtrip"] = with_(F6) + f"SELECT {TRAIN_COLS} FROM ts6"
 Q["final_table_csv"] = Q["final_table"]
-Q["first_questions"] = with_(BENCH) + "SELECT benchmark, pos, id, question, reference FROM bu WHERE pos < 5"
+Q["first_questions"] = with_(BENCH) + "SELECT benchmark, pos, id, question, reference FROM bu QUALIFY row_number() OVER (PARTITION BY benchmark ORDER BY pos, id) <= 5"
 Q["eval_row_defaults"] = with_(*EVAL_CTES) + f"""
 SELECT {MODEL} AS model, {ABLATION} AS ablation, benchmark, mode, run_id, round(accuracy_mean, 9) AS accuracy_mean,
  cast(CASE WHEN run_id='run2' THEN num_repeats_completed ELSE num_repeats END as bigint) AS num_repeats_completed,

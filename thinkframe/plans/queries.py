@@ -21,7 +21,7 @@ from ..sinks import catalog_history, commit_catalog, write_csv_table, write_reco
 from ..sources.examples import load_examples, missing_fields
 from ..sources.summaries import SPARK_SUMMARIES, load_eval_summaries, load_train_summaries
 from ..sources.tables import read_table, stream_table
-from ..streaming.memory import read_current_peaks, start_memory_stream
+from ..streaming.memory import read_bounded_peaks, read_current_peaks, start_bounded_memory_stream, start_memory_stream
 from ..streaming.run_summary import read_current_summary, start_run_summary_stream
 
 DATASET = "s1k11_all_qwen3"
@@ -240,9 +240,8 @@ def q_split_think_answer(spark, sf):
     fams = F.array(*[F.struct(F.lit(f).alias("model_family"), F.lit(forced_assistant_prefix(f)).alias("prefix"))
                      for f in PREFIX_FAMILIES])
     x = r.select("question_id", "response", F.explode(fams).alias("f"))
-    s = tf.split_think_answer(F.col("f.prefix"), F.col("response"))
-    return _flat(x.select("question_id", F.col("f.model_family").alias("model_family"),
-                          s["thinking"].alias("thinking"), s["answer"].alias("answer")))
+    s = staged.with_split_think_answer(x, F.col("f.prefix"), "response")
+    return _flat(s.select("question_id", F.col("f.model_family").alias("model_family"), "thinking", "answer"))
 
 
 def q_last_boxed(spark, sf):
@@ -421,6 +420,27 @@ def q_stream_run_summary(spark, sf):
     return _summary_flat(read_current_summary(spark, root + "/out"))
 
 
+def q_stream_summary_files(spark, sf):
+    """ST1 + K5: the documents table as a stream of graded traces; the summary files of the runs, read back (equals run_summary)."""
+    root = scratch_path(spark, "k5")
+    traces = _traces_f4(spark, sf, stream_table(spark, sf, "documents", 1))
+    start_run_summary_stream(traces, root + "/out", root + "/checkpoint", summaries_dir=root + "/summaries",
+                             records=lambda s: stats.eval_summary_records(with_run_config(s))).awaitTermination()
+    back = load_eval_summaries(spark, [root + "/summaries"], SPARK_SUMMARIES)
+    return _summary_flat(back.drop("model_family", "checkpoint_dir", "max_samples", "sampling_params", "max_new_tokens", "continuation_max_new_tokens",
+                                   "max_continuation_rounds", "trace_file", "source_path"))
+
+
+def q_stream_memory_peak_bounded(spark, sf):
+    """ST2: the events table as a stream of memory samples that closes a sample when the newest reading is two days past it.
+
+    Files come in the order of their times, as a sampler writes them. Closed samples and those still open make the peaks (equals memory_peak)."""
+    root = scratch_path(spark, "st2b")
+    samples = fixtures.memory_samples(spark, sf, stream_table(spark, sf, "events"))
+    start_bounded_memory_stream(samples, root + "/out", root + "/checkpoint", "2 days").awaitTermination()
+    return _flat(read_bounded_peaks(spark, root + "/out", root + "/checkpoint"))
+
+
 def q_stream_memory_peak(spark, sf):
     """ST2: the events table as a stream of memory samples (equals memory_peak)."""
     root = scratch_path(spark, "st2")
@@ -537,6 +557,8 @@ QUERIES = {
     "memory_peak": q_memory_peak,
     "stream_run_summary": q_stream_run_summary,
     "stream_memory_peak": q_stream_memory_peak,
+    "stream_summary_files": q_stream_summary_files,
+    "stream_memory_peak_bounded": q_stream_memory_peak_bounded,
     "examples_roundtrip": q_examples_roundtrip,
     "records_roundtrip": q_records_roundtrip,
     "traces_roundtrip": q_traces_roundtrip,
