@@ -1,11 +1,18 @@
 """Structured Streaming jobs equal their batch counterparts."""
 
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from thinkframe import streaming
 from thinkframe.operators import report, stats
 from thinkframe.plans import queries as Q
 from thinkframe.sources import fixtures
 from thinkframe.session import scratch_path
-from thinkframe.streaming import stream_files
-from thinkframe.streaming.memory import read_current_peaks, start_memory_stream
+from thinkframe.sources.summaries import SPARK_SUMMARIES, load_eval_summaries
+from thinkframe.streaming import rows_too_late, stream_files
+from thinkframe.streaming.memory import open_samples, read_bounded_peaks, read_current_peaks, start_bounded_memory_stream, start_memory_stream
 from thinkframe.streaming.run_summary import read_current_summary, start_run_summary_stream
 
 from conftest import SF_SMALL
@@ -43,8 +50,6 @@ def test_streams_over_empty_folders(spark):
 def test_stream_run_summary_incremental_restart(spark):
     """Repeats land over time; a restarted query continues from its
     checkpoint and the published summary always covers the landed repeats."""
-    from pyspark.sql import functions as F
-
     traces = Q._traces_f4(spark, SF_SMALL)
     root = scratch_path(spark, "st1-restart")
     stage, out, ck = root + "/traces", root + "/out", root + "/ck"
@@ -63,8 +68,6 @@ def test_stream_run_summary_incremental_restart(spark):
 
 
 def test_stream_memory_peak_restart(spark):
-    from pyspark.sql import functions as F
-
     s = fixtures.memory_samples(spark, SF_SMALL)
     cut = s.agg(F.percentile_approx(F.col("sample_ts").cast("long"), 0.5)).first()[0]
     root = scratch_path(spark, "st2-restart")
@@ -95,3 +98,111 @@ def test_stream_memory_peak_exact_times_and_late_rows(spark):
     cols = ["run_id", "peak_gpu_memory_mib_total", "num_samples"]
     got = _rows(read_current_peaks(spark, root + "/out"), cols)
     assert got == _rows(report.memory_peak(all_rows), cols) == [("q", 7.0, 2), ("r", 16.0, 3)]
+
+
+def _write_parts(spark, df, column, folder, parts):
+    """One folder a part, in order, each read as a batch of its own."""
+    for p in parts:
+        df.where(f"{column} = {p}").drop(column).coalesce(1).write.parquet(f"{folder}/part={p}")
+
+
+def test_readers_cost_follows_keys_not_batches(spark):
+    """Eleven batches, compacted every third: few folders are left, and nothing is lost or counted twice."""
+    root = scratch_path(spark, "compact")
+    samples = fixtures.memory_samples(spark, SF_SMALL)
+    samples.repartition(11, "run_id", "sample_ts").write.parquet(root + "/in")
+    start_memory_stream(stream_files(spark, root + "/in", samples.schema, 1), root + "/out", root + "/ck", compact_every=3).awaitTermination()
+    cols = ["run_id", "peak_gpu_memory_mib_total", "num_samples"]
+    assert _rows(read_current_peaks(spark, root + "/out"), cols) == _rows(report.memory_peak(samples), cols)
+    assert len(os.listdir(root + "/out/snapshots")) == 2
+    assert sorted(int(n) for n in os.listdir(root + "/out/batches")) == list(range(6, 11))
+    # A batch that is retried after its compaction gives the same snapshot.
+    before = _rows(read_current_peaks(spark, root + "/out"), cols)
+    streaming.compact(spark, root + "/out", streaming.latest(("run_id", "sample_ts")), 8)
+    assert _rows(read_current_peaks(spark, root + "/out"), cols) == before
+
+
+def _summaries(spark, root):
+    return sorted(str(r) for r in load_eval_summaries(spark, [root + "/summaries"], SPARK_SUMMARIES).drop("source_path").collect())
+
+
+def test_summary_files_after_a_killed_batch(spark):
+    """K5: every batch rewrites the runs it touches; a query that dies while it does and starts again leaves the same files."""
+    traces = Q._traces_f4(spark, SF_SMALL)
+    root = scratch_path(spark, "k5")
+    _write_parts(spark, traces.withColumn("p", F.col("repeat")), "p", root + "/in", range(3))
+    died = []
+
+    def run(name, records=None):
+        return start_run_summary_stream(stream_files(spark, root + "/in/*", traces.schema, 1), f"{root}/{name}/out", f"{root}/{name}/ck",
+                                        summaries_dir=f"{root}/{name}/summaries", records=records, compact_every=2)
+
+    def dies_once(summary):
+        if len(died) < 2:
+            died.append(1)
+            if len(died) == 2:
+                raise RuntimeError("executor lost")
+        return summary
+    run("whole").awaitTermination()
+    with pytest.raises(Exception, match="executor lost"):
+        run("killed", dies_once).awaitTermination()
+    first = _summaries(spark, root + "/killed")
+    run("killed").awaitTermination()
+    want = stats.run_summary(stats.repeat_stats(traces))
+    cols = [c for c in want.columns if c != "per_repeat"]
+    got = load_eval_summaries(spark, [root + "/killed/summaries"], SPARK_SUMMARIES)
+    assert _rows(got, cols) == _rows(want, cols)
+    assert first and _summaries(spark, root + "/killed") == _summaries(spark, root + "/whole") != first
+    assert all(r.num_repeats_completed == len(r.per_repeat) for r in got.collect())
+
+
+BOUND = "run_id string, gpu string, sample_ts timestamp, mem double"
+
+
+def _readings(spark, rows):
+    return spark.createDataFrame(rows, "run_id string, gpu string, ts string, mem double").selectExpr(
+        "run_id", "gpu", "cast('2024-01-01 00:' || ts as timestamp) as sample_ts", "mem")
+
+
+def test_bounded_memory_stream_keeps_open_samples_only(spark):
+    """Sixty samples of two GPUs, ten seconds a batch: the state never holds more than the delay's samples, and peaks equal the batch operator's."""
+    rows = [(f"r{k % 2}", f"g{k % 3}", f"{k // 10:02d}:{k % 60:02d}", float(k % 37) if k % 11 else None) for k in range(60) for _ in range(2)]
+    root = scratch_path(spark, "bounded")
+    whole = _readings(spark, rows)
+    for i in range(6):
+        _readings(spark, rows[20 * i:20 * i + 20]).coalesce(1).write.parquet(f"{root}/in/part={i}")
+        q = start_bounded_memory_stream(stream_files(spark, root + "/in/*", BOUND, 1), root + "/out", root + "/ck", "30 seconds", compact_every=2)
+        q.awaitTermination()
+        assert rows_too_late(q) == 0
+        newest = _readings(spark, rows[:20 * i + 20]).agg(F.max("sample_ts")).first()[0]
+        held = open_samples(spark, root + "/ck").collect()
+        assert held and all((newest - r.sample_ts).total_seconds() <= 30 for r in held)
+        cols = ["run_id", "peak_gpu_memory_mib_total", "num_samples"]
+        assert _rows(read_bounded_peaks(spark, root + "/out", root + "/ck"), cols) == _rows(report.memory_peak(_readings(spark, rows[:20 * i + 20])), cols)
+    assert _rows(read_bounded_peaks(spark, root + "/out", root + "/ck"), cols) == _rows(report.memory_peak(whole), cols)
+    closed = sum(r.num_samples for r in read_bounded_peaks(spark, root + "/out").collect())
+    assert 0 < closed < sum(r.num_samples for r in report.memory_peak(whole).collect())
+
+
+def test_bounded_memory_stream_leaves_late_readings_out(spark):
+    """A reading within the delay counts, one behind it does not, whether it failed or not, and is counted as late."""
+    root = scratch_path(spark, "late")
+    batches = [[("r", "g0", "00:00", 10.0), ("r", "g0", "00:20", 11.0), ("r", "g0", "00:50", 5.0)],
+               [("r", "g1", "00:45", 1.0), ("r", "g1", "00:50", 4.0), ("r", "g1", "00:00", 90.0), ("r", "g1", "00:20", None)],
+               [("r", "g0", "02:00", 3.0)]]
+    late = []
+    for i, rows in enumerate(batches):
+        _readings(spark, rows).coalesce(1).write.parquet(f"{root}/in/part={i}")
+        q = start_bounded_memory_stream(stream_files(spark, root + "/in/*", BOUND, 1), root + "/out", root + "/ck", "10 seconds")
+        q.awaitTermination()
+        late.append(rows_too_late(q))
+    assert late == [0, 2, 0]
+    assert [tuple(r) for r in read_bounded_peaks(spark, root + "/out").collect()] == [("r", 11.0, 4)]
+    assert [tuple(r) for r in read_bounded_peaks(spark, root + "/out", root + "/ck").collect()] == [("r", 11.0, 5)]
+
+
+def test_bounded_memory_stream_before_its_first_batch(spark):
+    root = scratch_path(spark, "none")
+    spark.createDataFrame([], BOUND).write.parquet(root + "/in")
+    start_bounded_memory_stream(stream_files(spark, root + "/in", BOUND), root + "/out", root + "/ck", "1 hour").awaitTermination()
+    assert read_bounded_peaks(spark, root + "/out", root + "/ck").count() == 0

@@ -28,6 +28,12 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder with all that is in it."""
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
 def empty_folder(spark: SparkSession, path: str) -> None:
     """An empty folder in the place of whatever is there."""
     fs, p = _hadoop(spark, path)
