@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from thinkframe import streaming
-from thinkframe.operators import report, stats
+from thinkframe.operators import evaluate, report, stats
 from thinkframe.plans import queries as Q
 from thinkframe.sources import fixtures
 from thinkframe.session import scratch_path
 from thinkframe.sources.summaries import SPARK_SUMMARIES, load_eval_summaries
 from thinkframe.streaming import rows_too_late, stream_files
 from thinkframe.streaming.memory import open_samples, read_bounded_peaks, read_current_peaks, start_bounded_memory_stream, start_memory_stream
+from thinkframe.streaming.rounds import read_folded_rounds, read_open_questions, start_round_stream
 from thinkframe.streaming.run_summary import read_current_summary, start_run_summary_stream
 
 from conftest import SF_SMALL
@@ -206,3 +207,42 @@ def test_bounded_memory_stream_before_its_first_batch(spark):
     spark.createDataFrame([], BOUND).write.parquet(root + "/in")
     start_bounded_memory_stream(stream_files(spark, root + "/in", BOUND), root + "/out", root + "/ck", "1 hour").awaitTermination()
     assert read_bounded_peaks(spark, root + "/out", root + "/ck").count() == 0
+
+
+ROUND = "repeat int, question_id long, round int, text string, prompt_tokens long, output_tokens long, finish_reason string"
+
+
+def _round_batches(spark, root, batches, most=2):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, ROUND).coalesce(1).write.parquet(f"{root}/in/part={i}")
+        start_round_stream(stream_files(spark, root + "/in/*", ROUND, 1), root + "/out", root + "/ck", most, compact_every=2).awaitTermination()
+        yield {(r.repeat, r.question_id): r for r in read_folded_rounds(spark, root + "/out").collect()}
+
+
+def test_round_stream_folds_as_rounds_arrive(spark):
+    """In any order; a question closes when it stops or has had its rounds, and later rounds count for nothing."""
+    root = scratch_path(spark, "rounds")
+    batches = [[(0, 1, 0, "a", 5, 10, "length"), (0, 2, 0, "x", 6, 3, "stop"), (0, 3, 1, "late", 7, 1, "stop")],
+               [(0, 1, 2, "c", 5, 12, "length"), (0, 3, 0, "early ", 7, 2, "length"), (0, 2, 1, "ignored", 6, 9, "stop")],
+               [(0, 1, 1, None, 5, None, "length"), (0, 1, 3, "beyond", 5, 1, "stop"), (1, 1, 0, "n", None, 4, None)]]
+    seen = list(_round_batches(spark, root, batches))
+    assert {k: (r.text, r.last_round, r.is_closed) for k, r in seen[0].items()} == {(0, 1): ("a", 0, False), (0, 2): ("x", 0, True)}
+    assert (seen[1][0, 1].text, seen[1][0, 3].text, seen[1][0, 2].text) == ("a", "early late", "x")
+    assert [r.question_id for r in read_open_questions(spark, root + "/out").collect()] == []
+    everything = spark.createDataFrame([r for b in batches for r in b], ROUND)
+    want = evaluate.fold_rounds(everything, 2)
+    assert _sorted(read_folded_rounds(spark, root + "/out").select(*want.columns)) == _sorted(want)
+    assert seen[2][0, 1].still_truncated and seen[2][0, 1].is_closed and seen[2][0, 1].text == "ac"
+    held = spark.read.format("statestore").load(root + "/ck").select("value.*").collect()
+    assert held and all("early " not in str(r) for r in held)  # closed questions hold no text
+
+
+def _sorted(df):
+    return sorted(str(r) for r in df.collect())
+
+
+def test_round_that_comes_twice_is_an_error(spark):
+    for second in (0, 1):  # of an open and of a closed question
+        root = scratch_path(spark, "twice")
+        with pytest.raises(Exception, match="a round occurs twice"):
+            list(_round_batches(spark, root, [[(0, 1, 0, "a", 5, 10, "length" if second else "stop"), (0, 1, 1, "b", 5, 10, "length")], [(0, 1, second, "b", 5, 1, "stop")]]))

@@ -642,6 +642,9 @@ SELECT run_id, {r9('CASE WHEN max(CASE WHEN n_fail=0 THEN total END)>0 THEN max(
 Q["stream_memory_peak"] = Q["memory_peak"]
 Q["stream_memory_peak_bounded"] = Q["memory_peak"]
 
+Q["stream_fold_rounds"] = Q["fold_rounds"]
+Q["stream_worklist"] = Q["continuation_worklist"]
+
 # ------------------------------------------------- written and read back again
 Q["examples_roundtrip"] = Q["examples_required_fields"]
 Q["records_roundtrip"] = with_(F1, SPLIT) + f"""

@@ -22,6 +22,8 @@ from ..sources.examples import load_examples, missing_fields
 from ..sources.summaries import SPARK_SUMMARIES, load_eval_summaries, load_train_summaries
 from ..sources.tables import read_table, stream_table
 from ..streaming.memory import read_bounded_peaks, read_current_peaks, start_bounded_memory_stream, start_memory_stream
+from ..streaming import stream_files
+from ..streaming.rounds import read_folded_rounds, read_open_questions, start_round_stream
 from ..streaming.run_summary import read_current_summary, start_run_summary_stream
 
 DATASET = "s1k11_all_qwen3"
@@ -215,21 +217,48 @@ def q_fold_rounds(spark, sf):
     return _flat(_folded(spark, sf))
 
 
-def q_continuation_worklist(spark, sf):
-    """P8-P10 + S11: rows needing another round, with prompt and budget."""
-    rounds = fixtures.generation_rounds(spark, sf)
+def _family_rounds(spark, sf):
+    """F3 rounds, families going round the questions, with each family's number of continuation rounds."""
+    from ..sources.families import eval_family_dim
     fam = F.element_at(F.array(*[F.lit(f) for f in EVAL_MODEL_FAMILIES]),
                        (F.col("question_id") % len(EVAL_MODEL_FAMILIES) + 1).cast("int"))
-    from ..sources.families import eval_family_dim
-    rounds = rounds.withColumn("model_family", fam).join(
+    return fixtures.generation_rounds(spark, sf).withColumn("model_family", fam).join(
         eval_family_dim(spark).select("model_family", "max_continuation_rounds"), "model_family")
-    folded = evaluate.fold_rounds(rounds, "max_continuation_rounds",
-                                  keys=("repeat", "question_id", "model_family"))
-    prompts = fixtures.round_questions(spark, sf).select("question_id", F.col("question").alias("prompt"))
-    wl = evaluate.continuation_worklist(folded, 1024, "model_family", prompts, prompt_headroom=256)
+
+
+def _prompts(spark, sf):
+    return fixtures.round_questions(spark, sf).select("question_id", F.col("question").alias("prompt"))
+
+
+FAMILY_KEYS = ("repeat", "question_id", "model_family")
+
+
+def q_continuation_worklist(spark, sf):
+    """P8-P10 + S11: rows needing another round, with prompt and budget."""
+    folded = evaluate.fold_rounds(_family_rounds(spark, sf), "max_continuation_rounds", keys=FAMILY_KEYS)
+    wl = evaluate.continuation_worklist(folded, 1024, "model_family", _prompts(spark, sf), prompt_headroom=256)
     return _flat(wl)
 
 
+def _streamed_rounds(spark, rounds, root, most, keys):
+    """The rounds written to files, and these folded as a stream, some files a batch."""
+    rounds.write.parquet(root + "/in")
+    start_round_stream(stream_files(spark, root + "/in", rounds.schema, 4), root + "/out", root + "/checkpoint", most, keys).awaitTermination()
+    return root + "/out"
+
+
+def q_stream_fold_rounds(spark, sf):
+    """G1 + P7 as a stream: F3 rounds from files in any order, folded in per-question state (equals fold_rounds)."""
+    out = _streamed_rounds(spark, fixtures.generation_rounds(spark, sf), scratch_path(spark, "g1"), 2, ("repeat", "question_id"))
+    return _flat(read_folded_rounds(spark, out).drop("is_closed"))
+
+
+def q_stream_worklist(spark, sf):
+    """P8-P10 as a stream: the questions whose state is still open, with prompt and budget of their next round (equals continuation_worklist)."""
+    out = _streamed_rounds(spark, _family_rounds(spark, sf), scratch_path(spark, "p8"), "max_continuation_rounds", FAMILY_KEYS)
+    return _flat(evaluate.continuation_worklist(read_open_questions(spark, out, FAMILY_KEYS), 1024, "model_family", _prompts(spark, sf), prompt_headroom=256))
+
+
 # --------------------------------------------------------------------- grading
 PREFIX_FAMILIES = ("qwen3", "dsr1_llama8b")
 
@@ -557,6 +586,8 @@ QUERIES = {
     "memory_peak": q_memory_peak,
     "stream_run_summary": q_stream_run_summary,
     "stream_memory_peak": q_stream_memory_peak,
+    "stream_fold_rounds": q_stream_fold_rounds,
+    "stream_worklist": q_stream_worklist,
     "stream_summary_files": q_stream_summary_files,
     "stream_memory_peak_bounded": q_stream_memory_peak_bounded,
     "examples_roundtrip": q_examples_roundtrip,
