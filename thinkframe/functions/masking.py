@@ -1,8 +1,8 @@
 """Reasoning-content loss mask over token arrays.
 
 Inputs are per-example arrays: ``token_texts`` (the decoded text of each
-token, so that decoding a prefix equals concatenating its texts) and
-``labels`` (``-100`` for ignored positions). The mask is computed in one
+token, so that decoding a prefix equals concatenating its texts, or the bytes of each
+token, where one may hold a part of a character) and ``labels`` (``-100`` for ignored positions). The mask is computed in one
 pass per array with ``transform``/``aggregate``; no Python runs per row.
 """
 
@@ -15,6 +15,33 @@ from ..constants import IGNORE_INDEX
 from ._util import col
 from .text import find_last
 
+_MORE = "(?:[89AB].)"
+#: What a UTF-8 decoder makes one character of, in hexadecimal: a whole sequence, as much of one as is right (a replacement
+#: character), or a byte that begins none (one too). The alternatives are the states of the decoder after a first byte.
+UTF8_UNIT = "|".join((
+    "[0-7].", f"(?:C[2-9A-F]|D.){_MORE}?", f"E0(?:[AB].{_MORE}?)?", f"(?:E[1-9A-CEF]){_MORE}{{0,2}}", f"ED(?:[89].{_MORE}?)?",
+    f"F0(?:[9AB].{_MORE}{{0,2}})?", f"F[1-3]{_MORE}{{0,3}}", f"F4(?:8.{_MORE}{{0,2}})?", ".."))
+
+
+def bytes_hex(token_bytes) -> Column:
+    """The bytes of all tokens, in hexadecimal."""
+    return F.array_join(F.transform(col(token_bytes), lambda t: F.hex(t)), "")
+
+
+def decoded_units(hex_text) -> Column:
+    """The bytes of each character of the decoded text, in hexadecimal; bytes that are no UTF-8 make replacement characters."""
+    return F.regexp_extract_all(col(hex_text), F.lit(f"({UTF8_UNIT})"), 1)
+
+
+def decoded_text(hex_text) -> Column:
+    """The decoded text, with as many characters as ``decoded_units`` has entries."""
+    return F.make_valid_utf8(F.unhex(col(hex_text)).cast("string"))
+
+
+def reached_byte(units, target: Column) -> Column:
+    """How many bytes a prefix needs so that it decodes to ``target`` characters: a character counts, as a replacement, from its first byte on."""
+    return F.when(target > 0, (F.length(F.array_join(F.slice(col(units), 1, F.greatest(target - 1, F.lit(0))), "")) / 2 + 1).cast("int")).otherwise(target)
+
 
 def response_start(labels) -> Column:
     """1-based position of the first label that is not ignored; 0 when none (A10)."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..constants import EVAL_THINK_CLOSE, EVAL_THINK_OPEN, IGNORE_INDEX
 from .grading import BOXED_MARK, _count_char, _letters, normalize_math_answer, numeric_equal
-from .masking import response_start
+from .masking import bytes_hex, decoded_text, decoded_units, reached_byte, response_start
 from .text import find_last, py_strip
 
 
@@ -110,18 +110,30 @@ def with_grade(df: DataFrame, benchmark_col: str, answer_col: str, reference_col
 def apply_think_mask(df: DataFrame, think_open: str, think_close: str, token_col: str = "token_texts",
                      label_col: str = "labels", out_col: str = "masked_labels") -> DataFrame:
     """A10-A13 (see ``think_mask``) as staged columns. Adds ``out_col``,
-    ``mask_status``, ``mask_start`` and ``mask_end``."""
+    ``mask_status``, ``mask_start`` and ``mask_end``.
+
+    ``token_col`` holds texts (array<string>) or bytes (array<binary>). The first i byte tokens cover as many characters as
+    decoding them gives, a character of which only a part is there counting as a replacement character. So characters are
+    looked up in the decoded text, their targets are turned into bytes, and tokens are walked by bytes."""
     toks, lab = F.col(token_col), F.col(label_col)
+    as_bytes = df.schema[token_col].dataType.elementType.typeName() == "binary"
     d = df.withColumn("_rs", response_start(lab))
     d = d.withColumn("_span", F.slice(toks, F.greatest(F.col("_rs"), F.lit(1)),
                                       F.greatest(F.size(toks) - F.col("_rs") + 1, F.lit(0))))
-    d = d.withColumn("_dec", F.array_join("_span", ""))
+    if as_bytes:
+        d = d.withColumn("_hex", bytes_hex("_span")).withColumn("_dec", decoded_text("_hex"))
+    else:
+        d = d.withColumn("_dec", F.array_join("_span", ""))
     d = d.withColumns({"_o": F.instr(F.col("_dec"), think_open) - 1, "_c": find_last(F.col("_dec"), think_close)})
-    init = F.struct(F.lit(0).alias("cum"), F.lit(0).alias("a"), F.lit(0).alias("b"),
-                    (F.col("_o") + F.lit(len(think_open))).alias("ta"), F.col("_c").alias("tb"))
+    opened, closed = F.col("_o") + F.lit(len(think_open)), F.col("_c")
+    if as_bytes:
+        found = (F.col("_o") >= 0) & (F.col("_c") > F.col("_o"))
+        d = d.withColumn("_units", F.when(found, decoded_units("_hex")))
+        opened, closed = reached_byte("_units", opened), reached_byte("_units", closed)
+    init = F.struct(F.lit(0).alias("cum"), F.lit(0).alias("a"), F.lit(0).alias("b"), opened.alias("ta"), closed.alias("tb"))
 
     def step(acc, t):
-        cum = acc["cum"] + F.length(t)
+        cum = acc["cum"] + (F.octet_length(t) if as_bytes else F.length(t))
         return F.struct(cum.alias("cum"),
                         (acc["a"] + F.when(cum < acc["ta"], 1).otherwise(0)).alias("a"),
                         (acc["b"] + F.when(cum < acc["tb"], 1).otherwise(0)).alias("b"),
@@ -142,4 +154,4 @@ def apply_think_mask(df: DataFrame, think_open: str, think_close: str, token_col
     d = d.withColumn(out_col, F.when(masked, F.concat(
         F.slice(lab, 1, lo), F.array_repeat(F.lit(IGNORE_INDEX), hi - lo),
         F.slice(lab, hi + 1, F.size(lab) - hi))).otherwise(lab))
-    return d.drop("_rs", "_span", "_dec", "_o", "_c", "_acc", "_cs", "_ce")
+    return d.drop("_rs", "_span", "_hex", "_dec", "_o", "_c", "_units", "_acc", "_cs", "_ce")

@@ -340,6 +340,10 @@ F9 = f"""f9 AS (
  m3 AS (SELECT *, CASE WHEN o<0 THEN 'no_open_tag' WHEN c<0 THEN 'no_close_tag' WHEN c<=o THEN 'close_before_open'
                        WHEN ce<=cs THEN 'empty_span' ELSE 'masked' END AS mask_status FROM m2)"""
 
+F10 = (F9.replace("f9 AS", "f10 AS").replace("FROM f9)", "FROM f10)").replace("ceil(length(prompt)/3.0)", "ceil(strlen(prompt)/3.0)")
+       .replace("cast(ceil(length(response)/3.0) as bigint) AS n,", "cast(ceil(strlen(response)/3.0) as bigint) AS n, response,")
+       .replace("ceil((o+8)/3.0)", "ceil((strlen(response[:o+7])+1)/3.0)").replace("ceil(c/3.0)", "ceil((strlen(response[:c-1])+1)/3.0)"))
+
 Q["think_mask"] = with_(F1, F9) + """
 SELECT ex_id, variant, mask_status,
  CASE WHEN mask_status='masked' THEN np+cs END AS mask_start, CASE WHEN mask_status='masked' THEN np+ce END AS mask_end,
@@ -348,6 +352,7 @@ SELECT ex_id, variant, mask_status,
       WHEN mask_status='masked' AND i>=np+cs AND i<np+ce THEN -100 ELSE i END), ',')) AS labels_md5
 FROM m3"""
 
+Q["think_mask_bytes"] = Q["think_mask"].replace(F9, F10)
 Q["mask_fail_open_audit"] = with_(F1, F9) + """
 SELECT variant, mask_status, count(*) AS n_rows,
  cast(sum(CASE WHEN mask_status='masked' THEN ce-cs ELSE 0 END) as bigint) AS n_masked_tokens

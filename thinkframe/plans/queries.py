@@ -126,9 +126,7 @@ def _masked(spark, sf):
     return staged.apply_think_mask(t, o, c)
 
 
-def q_think_mask(spark, sf):
-    """Reasoning-content loss mask over F9 token arrays."""
-    m = _masked(spark, sf)
+def _mask_flat(m: DataFrame) -> DataFrame:
     lab = F.col("masked_labels")
     return _flat(m.select(
         "ex_id", "variant", "mask_status", "mask_start", "mask_end",
@@ -137,6 +135,17 @@ def q_think_mask(spark, sf):
         F.md5(F.array_join(F.transform(lab, lambda x: x.cast("string")), ",")).alias("labels_md5")))
 
 
+def q_think_mask(spark, sf):
+    """Reasoning-content loss mask over F9 token arrays."""
+    return _mask_flat(_masked(spark, sf))
+
+
+def q_think_mask_bytes(spark, sf):
+    """A10-A13 over tokens of bytes that split characters (F10), as a byte-level tokenizer makes them."""
+    o, c = think_tags("qwen3")
+    return _mask_flat(staged.apply_think_mask(fixtures.token_bytes(spark, sf), o, c, "token_bytes"))
+
+
 def q_mask_fail_open_audit(spark, sf):
     """Mask outcome counts per fixture variant."""
     m = _masked(spark, sf)
@@ -559,6 +568,7 @@ QUERIES = {
     "catalog_upsert": q_catalog_upsert,
     "catalog_versions": q_catalog_versions,
     "think_mask": q_think_mask,
+    "think_mask_bytes": q_think_mask_bytes,
     "mask_fail_open_audit": q_mask_fail_open_audit,
     "benchmark_union": q_benchmark_union,
     "choice_permutation": q_choice_permutation,

@@ -211,3 +211,18 @@ def token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.concat(F.array_repeat(F.lit(IGNORE_INDEX), F.col("np")),
                       F.sequence(F.col("np"), F.size("token_texts") - 1))
     return toks.withColumn("labels", labels).drop("np")
+
+
+def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """as F9, but prompt and response are cut into tokens of three bytes of their UTF-8 form, so tokens split characters."""
+    ex = raw_examples(spark, sf_dir)
+    v = (F.floor(F.col("ex_id") / 100) % 5).cast("int")
+    df = ex.select("ex_id", v.alias("variant"), "prompt", mask_variant_response(F.col("thinking"), F.col("answer"), v).alias("response"))
+
+    def pieces(c):
+        cut = F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit(f"(.{{1,{2 * MASK_TOKEN_CHARS}}})"), 1)
+        return F.transform(cut, F.unhex)
+
+    toks = df.select("ex_id", "variant", F.size(pieces("prompt")).alias("np"), F.concat(pieces("prompt"), pieces("response")).alias("token_bytes"))
+    labels = F.concat(F.array_repeat(F.lit(IGNORE_INDEX), F.col("np")), F.sequence(F.col("np"), F.size("token_bytes") - 1))
+    return toks.withColumn("labels", labels).drop("np")
