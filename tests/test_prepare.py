@@ -167,3 +167,23 @@ def test_holdout_copies_keep_their_size_when_written(spark, tmpdir_path, frac):
     prepare.holdout_split(df, frac).write.parquet(path)
     got = {r["split"]: r["count"] for r in spark.read.parquet(path).groupBy("split").count().collect()}
     assert got == {"val": int(6000 * frac), "train": 6000 - int(6000 * frac)}
+
+
+def test_holdout_shuffles_no_rows(spark):
+    """The cut is found over ids, and the split is a comparison: no exchange, window or sort of the examples."""
+    df = spark.range(4000).select(F.col("id").alias("ex_id"), F.repeat(F.lit("text "), 20).alias("text"))
+    plan = prepare.holdout_split(df, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+
+
+def test_holdout_cut_among_rows_of_one_id(spark):
+    """Rows that share an id go by content; the same rows are picked however they are laid out, and null ids come first."""
+    df = spark.createDataFrame([(None if i % 2 else 5, f"t{i}") for i in range(40)], "ex_id int, text string")
+    picks = [sorted(r.text for r in prepare.holdout_split(df.repartition(p), 0.3).where("split = 'val'").collect()) for p in (1, 7)]
+    assert picks[0] == picks[1] and len(picks[0]) == 12 and all(int(t[1:]) % 2 for t in picks[0])
+
+
+def test_holdout_of_nothing_and_of_everything(spark):
+    df = spark.range(9).withColumnRenamed("id", "ex_id")
+    assert prepare.holdout_split(df.limit(0), 0.5).count() == 0
+    assert {r.split for r in prepare.holdout_split(df, 1.0).collect()} == {"val"}

@@ -15,7 +15,7 @@ from ..sources.families import eval_family
 ROUND_KEYS = ("repeat", "question_id")
 
 
-def fold_rounds(rounds: DataFrame, max_continuation_rounds, keys=ROUND_KEYS) -> DataFrame:
+def fold_rounds(rounds: DataFrame, max_continuation_rounds, keys=ROUND_KEYS, laid_by: str | None = None) -> DataFrame:
     """G1: one row per (repeat, question) from per-round generations.
 
     Rounds above ``max_continuation_rounds`` and rounds after the first one
@@ -27,10 +27,14 @@ def fold_rounds(rounds: DataFrame, max_continuation_rounds, keys=ROUND_KEYS) ->
 
     One shuffle on the keys with a bounded ``collect_list`` (at most
     ``1 + max_continuation_rounds`` rounds per key after the pushed filter).
-    ``max_continuation_rounds`` may be an int or a column of ``rounds``.
+    ``max_continuation_rounds`` may be an int or a column of ``rounds``. With ``laid_by`` (one of ``keys``) that
+    shuffle is by this key alone, so a later join on it, such as ``grade_traces`` with the questions, finds the folded texts where it needs
+    them and moves them no second time. A key then holds a question's rounds of all repeats.
     """
     maxr = F.lit(max_continuation_rounds) if isinstance(max_continuation_rounds, int) else F.col(max_continuation_rounds)
     r = rounds.where(F.col("round") <= maxr)
+    if laid_by:
+        r = r.repartition(laid_by)
     st = F.struct("round", F.col("finish_reason").alias("fin"), "text", "output_tokens", "prompt_tokens")
     g = r.groupBy(*keys).agg(F.array_sort(F.collect_list(st)).alias("_rs"))
     rs = F.col("_rs")

@@ -14,7 +14,8 @@ from ..constants import (CATALOG_COLUMNS, CATALOG_FORMATTING, CATALOG_TAGS, DEFA
 from ..functions.formatting import conversation_record, dataset_key, think_response
 from ..sources.families import think_tags
 
-BUCKET_DIGITS = 4                  # 65,536 buckets of the split hash
+BUCKET_DIGITS = 4                  # hex digits that a level of the split's search counts: 65,536 buckets
+COPY_CHUNK = 100_000               # equal rows that one task writes again
 
 
 def build_examples(raw: DataFrame, system_prompt: str = DEFAULT_SYSTEM_PROMPT,
@@ -32,46 +33,73 @@ def split_hash(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
+def _cut_of(hashes: DataFrame, keys: list[Column], n_val) -> tuple[str, int, int]:
+    """Where the ``n_val(rows)`` smallest of the rows end, in order of the concatenated hex ``keys``: (prefix, wanted, there).
+
+    All rows below ``prefix`` are wanted, and ``wanted`` of the ``there`` rows that begin with it; these numbers differ only if no key tells those rows
+    apart. One count a level, over the next digits of the rows that share the prefix so far: a level brings at most
+    16^BUCKET_DIGITS counts to the driver, and no row is sorted or ranked. A later key is computed only for rows equal in all before it.
+    """
+    prefix, wanted, done = "", None, 0
+    for i, key in enumerate(keys):
+        rows, inside = hashes, ""
+        for j in range(i):
+            rows = rows.where(keys[j] == prefix[32 * j:32 * j + 32])
+        rows = rows.select(key.alias("_k"))
+        while len(inside) < 32:
+            here = rows.where(F.col("_k").startswith(inside)) if inside else rows
+            digits = F.substring("_k", len(inside) + 1, BUCKET_DIGITS)
+            counts = sorted((r.d, r.n) for r in here.groupBy(digits.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
+            if wanted is None:
+                wanted = n_val(sum(n for _, n in counts))
+            for d, there in counts:
+                if wanted <= there:
+                    break
+                wanted -= there
+            else:
+                return prefix, 0, 0  # an empty table
+            inside, prefix = inside + d, prefix + d
+            if wanted == there:
+                return prefix, wanted, there
+    return prefix, wanted, there
+
+
 def holdout_split(df: DataFrame, val_fraction: float = DEFAULT_VAL_FRACTION, seed: int = DEFAULT_SEED,
                   id_col: str = "ex_id") -> DataFrame:
     """T1 + J6: add ``split`` = 'val' | 'train'.
 
     ``n_val = max(1, int(n * val_fraction))`` rows with the smallest
-    ``md5('{seed}:{id}')`` (ties by id, then by content) form the validation set; the rest is
+    ``md5('{seed}:{id}')`` (ties by content) form the validation set; the rest is
     train. ``val_fraction <= 0`` puts everything in train. Deterministic per
     seed, disjoint, complete and of exact size.
     (A seeded hash order, not Python's Mersenne shuffle: same contract,
     different picks.)
 
-    One lazy plan: rows are counted per hash bucket (65,536 rows, the bound of
-    the broadcast), all buckets but the one that holds the cut are settled by a
-    comparison, and the rows of that one are ranked. Equal rows are ranked as one with a count
-    and expanded again, so a group of copies that straddles the cut is split exactly however large it is.
+    The cut is found first, by radix refinement over the hashes (two or three small counting jobs that
+    read the id alone); the split itself is then a comparison of each row's hash with the cut, without any shuffle. Only
+    rows equal in every column, with the cut among them, take another way: they are counted and written again, in chunks,
+    so a group of copies that straddles the cut is split exactly however large it is.
     """
     if val_fraction <= 0:
         return df.withColumn("split", F.lit("train"))
     cols = df.columns
-    keyed = df.withColumn("_h", F.coalesce(split_hash(id_col, seed), F.lit("0" * 32)))
-    keyed = keyed.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
-    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    up_to = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n_val = F.greatest(F.lit(1), F.floor(F.sum("_n").over(total) * F.lit(val_fraction)).cast("long"))
-    cuts = counts.select("_b", (n_val - F.sum("_n").over(up_to) + F.col("_n")).alias("_need"), "_n")
-    placed = keyed.join(F.broadcast(cuts), "_b")
-    settled = placed.where((F.col("_need") <= 0) | (F.col("_need") >= F.col("_n"))).select(
-        *cols, F.when(F.col("_need") > 0, "val").otherwise("train").alias("split"))
-    distinct = placed.where((F.col("_need") > 0) & (F.col("_need") < F.col("_n"))).groupBy(*cols, "_h", "_need").agg(
-        F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy("_need").orderBy("_h", id_col, F.to_json(F.struct(*cols))).rowsBetween(
-        Window.unboundedPreceding, -1)
-    left = F.col("_need") - F.coalesce(F.sum("_n").over(order), F.lit(0))
-    ranked = distinct.withColumn("_val", F.least(F.greatest(left, F.lit(0)), F.col("_n")))
-    halves = F.array(F.struct(F.lit("val").alias("split"), F.col("_val").alias("k")),
-                     F.struct(F.lit("train").alias("split"), (F.col("_n") - F.col("_val")).alias("k")))
-    parts = ranked.select(*cols, F.explode(halves).alias("_s")).where("_s.k > 0")
-    again = parts.select(*cols, F.col("_s.split").alias("split"), F.explode(F.sequence(F.lit(1), F.col("_s.k"))).alias("_i"))
-    return settled.unionByName(again.drop("_i"))
+    by_id = F.coalesce(split_hash(id_col, seed), F.lit("0" * 32))
+    by_content = F.md5(F.to_json(F.struct(*cols)))
+    prefix, wanted, there = _cut_of(df, [by_id, by_content], lambda n: max(1, int(n * val_fraction)))
+    first, second = prefix[:32], prefix[32:]
+    mine = F.substring(by_id, 1, len(first))
+    in_val = mine <= first if not second else (mine < first) | ((mine == first) & (F.substring(by_content, 1, len(second)) <= second))
+    split = df.withColumn("split", F.when(in_val, "val").otherwise("train"))
+    if wanted == there:
+        return split
+    same = (by_id == first) & (by_content == second)
+    one = df.where(same).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.array(*[F.struct(F.lit(name).alias("split"), F.lit(k).cast("long").alias("k")) for name, k in (("val", wanted), ("train", there - wanted))])
+    size = F.least(F.lit(COPY_CHUNK), F.col("_s.k") - F.col("_from"))
+    chunks = (one.withColumn("_s", F.explode(parts)).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s.k") - 1, F.lit(COPY_CHUNK))))
+              .select(*cols, F.col("_s.split").alias("split"), size.alias("_k"), "_from"))
+    again = chunks.repartition(F.col("_from"), F.col("split")).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))))
+    return split.where(~same).unionByName(again.select(*cols, "split"))
 
 
 def fan_out_modes(df: DataFrame, modes=MODES) -> DataFrame:

@@ -89,7 +89,7 @@ def evaluate_rounds(rounds: DataFrame, questions: DataFrame, runs: DataFrame, be
     """
     keys = list(stats.RUN_KEYS)
     maxr = evaluate.eval_family(model_family)[7]
-    folded = evaluate.fold_rounds(rounds, maxr, keys=(*[k for k in keys if k != "benchmark"], "repeat", "question_id"))
+    folded = evaluate.fold_rounds(rounds, maxr, keys=(*[k for k in keys if k != "benchmark"], "repeat", "question_id"), laid_by="question_id")
     traces = evaluate.grade_traces(folded, questions, benchmark, model_family)
     traces = traces.join(repeat_elapsed, [*[k for k in keys if k != "benchmark"], "repeat"], "left")
     per_repeat = stats.repeat_stats(traces, keys)

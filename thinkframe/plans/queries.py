@@ -217,8 +217,8 @@ def q_generation_requests(spark, sf):
 
 
 # ------------------------------------------------------------------ generation
-def _folded(spark, sf, max_rounds=2):
-    return evaluate.fold_rounds(fixtures.generation_rounds(spark, sf), max_rounds)
+def _folded(spark, sf, max_rounds=2, laid_by=None):
+    return evaluate.fold_rounds(fixtures.generation_rounds(spark, sf), max_rounds, laid_by=laid_by)
 
 
 def q_fold_rounds(spark, sf):
@@ -312,7 +312,7 @@ def q_grade_letter(spark, sf):
 
 def q_eval_traces(spark, sf):
     """G1 + J7 + A1 + A7 + A15 + A16: graded trace rows from F3 rounds."""
-    folded = _folded(spark, sf)
+    folded = _folded(spark, sf, laid_by="question_id")
     qs = fixtures.round_questions(spark, sf)
     t = evaluate.grade_traces(folded, qs, "math500", ROUND_FAMILY)
     return _flat(t)
@@ -321,7 +321,7 @@ def q_eval_traces(spark, sf):
 def q_eval_run_stats(spark, sf):
     """G1 -> J7 -> A1/A7 -> A15/A16 -> G2-G5: per-repeat statistics of one run
     over graded traces from F3 rounds (elapsed seconds per repeat: 10 + repeat)."""
-    folded = _folded(spark, sf)
+    folded = _folded(spark, sf, laid_by="question_id")
     t = evaluate.grade_traces(folded, fixtures.round_questions(spark, sf), "math500", ROUND_FAMILY)
     t = t.withColumns({"dataset_name": F.lit("s1k11_all_dsr1_llama8b"), "mode": F.lit("cotgen"),
                        "run_id": F.lit("run1"), "elapsed_seconds": (F.lit(10) + F.col("repeat")).cast("double")})
