@@ -1,6 +1,9 @@
 """Skew: aggregations combine map-side before shuffling, and a run holding
 almost all rows is summarised correctly."""
 
+import random
+import statistics
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -48,3 +51,26 @@ def test_hot_run_statistics(spark):
                                     "AND benchmark = 'aime24'").first()
     assert s.num_repeats_completed == 3
     assert report.best_run_per_cell(report.eval_rows(Q.eval_summaries(spark, SF_SMALL))).count() > 0
+
+
+def test_spread_median_equals_the_sorted_middle(spark):
+    """Groups of every size, ties, negative and wide values, nulls in values and keys; one group holds almost all rows."""
+    rng = random.Random(6)
+    rows = [("hot", rng.choice((0, 7, 7, -3, 2**40, rng.randint(0, 10**6)))) for _ in range(4000)]
+    rows += [(f"g{n}", rng.randint(-5, 5)) for n in range(1, 9) for _ in range(n)]
+    rows += [(None, 4), (None, 9), ("hot", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(6)
+    got = {r.k: r.m for r in stats.spread_median(df, ["k"], F.col("v"), "m").collect()}
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    assert got == {k: statistics.median(v) for k, v in groups.items()} and "empty" not in got
+
+
+def test_hot_run_is_counted_by_all_tasks(spark):
+    """One run holds every row: its values are dealt by (run, value), and no window sees more than a share of them."""
+    df = spark.range(20000).select(F.lit("run").alias("k"), (F.col("id") * 7919 % 20000).alias("v"))
+    plan = _plan(stats.spread_median(df, ["k"], F.col("v"), "m"))
+    assert "partial_count" in plan and "percentile" not in plan
+    assert stats.spread_median(df, ["k"], F.col("v"), "m").first().m == 9999.5

@@ -3,7 +3,7 @@
 Both levels are hash aggregations with partial (map-side) aggregation, so a
 run holding a large share of all traces is pre-aggregated in every task
 before the shuffle. The exact medians use Spark's percentile buffer, which
-holds one entry per distinct value (token counts), not one per row.
+holds one entry per distinct value (token counts), not one per row, or a histogram that spreads over tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +21,40 @@ def _cnt(cond: Column) -> Column:
     return F.count_if(cond).cast("long")
 
 
-def repeat_stats(traces: DataFrame, run_keys=RUN_KEYS, elapsed_col: str = "elapsed_seconds") -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, keys, how: str) -> DataFrame:
+    other = right.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & left[k].eqNullSafe(other[f"_{i}"])
+    return left.join(other, match, how).drop(*[f"_{i}" for i in range(len(keys))])
+
+
+def spread_median(rows: DataFrame, keys, value: Column, name: str) -> DataFrame:
+    """(keys, ``name``): the exact median of an integer ``value`` in each group, by a histogram of two levels.
+
+    Equal values are counted first, dealt by (keys, value). The range of a group's values is cut into about as many buckets as a
+    bucket has values, the buckets are summed up in order to find those with the middle ranks, and only their values are
+    looked at. So a group that holds all rows is counted by all tasks, and no task orders more than the square root of its range. Nulls
+    count for nothing; a group without values has no row.
+    """
+    keys = list(keys)
+    counted = rows.select(*keys, value.cast("long").alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ends = counted.groupBy(*keys).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    width = F.ceil(F.sqrt(F.col("_max") - F.col("_min") + 1)).cast("long")
+    counted = _joined(counted, ends.select(*keys, "_min", width.alias("_width")), keys, "inner")
+    counted = counted.withColumn("_b", F.floor((F.col("_v") - F.col("_min")) / F.col("_width"))).drop("_min", "_width")
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n")).select(*keys, "_b", "_n", before.alias("_before"), F.sum("_n").over(group).alias("_all"))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = buckets.where((F.col("_before") <= high) & (F.col("_before") + F.col("_n") > low)).select(*keys, "_b", "_before", low.alias("_low"), high.alias("_high"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = _joined(counted, middle, [*keys, "_b"], "inner").withColumn("_at", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    held = ranked.where((F.col("_at") <= F.col("_high")) & (F.col("_at") + F.col("_n") > F.col("_low")))
+    return held.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / F.lit(2.0)).alias(name))
+
+
+def repeat_stats(traces: DataFrame, run_keys=RUN_KEYS, elapsed_col: str = "elapsed_seconds", medians: str = "buffer") -> DataFrame:
     """One row per (run, repeat).
 
     accuracy = correct / questions; accuracy_excl_extended counts extended
@@ -29,9 +62,13 @@ def repeat_stats(traces: DataFrame, run_keys=RUN_KEYS, elapsed_col: str = "elaps
     without extended rows; throughput divides by the repeat's elapsed
     seconds (an input column); mean/median reasoning tokens (0 when empty),
     and mean/median of added reasoning tokens over extended rows only.
+
+    ``medians="buffer"`` (the form for streams too) gathers the distinct token counts of a (run, repeat), which a model's context length
+    bounds, in one task; ``"histogram"`` spreads them over tasks (``spread_median``). Both are exact.
     """
     ok, ext, still = F.col("is_correct"), F.col("was_truncated"), F.col("still_truncated")
     added = F.when(ext, F.col("reasoning_tokens_added"))
+    of = {"median_reasoning_tokens": F.col("reasoning_tokens"), "median_extended_reasoning_tokens_added": added}
     g = traces.groupBy(*run_keys, "repeat").agg(
         F.count(F.lit(1)).cast("long").alias("num_questions"),
         _cnt(ok).alias("num_correct"),
@@ -44,10 +81,13 @@ def repeat_stats(traces: DataFrame, run_keys=RUN_KEYS, elapsed_col: str = "elaps
         F.sum("output_tokens").cast("long").alias("total_output_tokens"),
         F.max(elapsed_col).cast("double").alias("elapsed_seconds"),
         F.coalesce(F.avg("reasoning_tokens"), F.lit(0.0)).alias("mean_reasoning_tokens"),
-        F.coalesce(F.median("reasoning_tokens"), F.lit(0.0)).alias("median_reasoning_tokens"),
         F.coalesce(F.avg(added), F.lit(0.0)).alias("mean_extended_reasoning_tokens_added"),
-        F.coalesce(F.median(added), F.lit(0.0)).alias("median_extended_reasoning_tokens_added"),
+        *([F.coalesce(F.median(c), F.lit(0.0)).alias(n) for n, c in of.items()] if medians == "buffer" else []),
     )
+    if medians == "histogram":
+        for n, c in of.items():
+            g = _joined(g, spread_median(traces, (*run_keys, "repeat"), c, n), (*run_keys, "repeat"), "left")
+        g = g.fillna(0.0, list(of))
     e = F.col("elapsed_seconds")
     return g.select(
         *run_keys, "repeat",

@@ -501,6 +501,7 @@ def _typed(cols) -> str:
     return ", ".join(out)
 
 
+Q["repeat_stats_spread"] = Q["repeat_stats"]
 Q["run_summary"] = with_(F4, G2, RUNS) + f"SELECT {KEYS}, {_typed(RUN_OUT)} FROM runs"
 Q["stream_run_summary"] = Q["run_summary"]
 Q["stream_summary_files"] = Q["run_summary"]

@@ -344,6 +344,11 @@ def q_repeat_stats(spark, sf):
     return _flat(_per_repeat(spark, sf))
 
 
+def q_repeat_stats_spread(spark, sf):
+    """As repeat_stats, medians by a histogram of two levels, so that a run holding all rows spreads over tasks."""
+    return _flat(stats.repeat_stats(_traces_f4(spark, sf), medians="histogram"))
+
+
 def _summary_flat(s: DataFrame) -> DataFrame:
     return _flat(s.withColumn("repeats", F.array_join(F.transform("per_repeat", lambda x: x["repeat"].cast("string")), ","))
                  .drop("per_repeat"))
@@ -583,6 +588,7 @@ QUERIES = {
     "eval_traces": q_eval_traces,
     "eval_run_stats": q_eval_run_stats,
     "repeat_stats": q_repeat_stats,
+    "repeat_stats_spread": q_repeat_stats_spread,
     "run_summary": q_run_summary,
     "running_summary": q_running_summary,
     "summary_records": q_summary_records,
