@@ -281,6 +281,27 @@ def test_op6_round_trip(spark, docs, rows, nothing):
     assert bitpack.write_packed(docs, folder, file_mb=1).agg(F.sum("n_ids")).first()[0] == start
 
 
+def test_packed_files_follow_each_other_by_number(spark):
+    """Beyond any width of their names: a million partitions and ten thousand files in one."""
+    numbers = [(p, m) for p in (0, 1, 999_999, 1_000_000, 1_000_001, 3_100_000, 10**9) for m in (0, 1, 9_999, 10_000, 1_000_000)]
+    rows = [(p, m, 7 + i, bitpack.file_name(p, m)) for i, (p, m) in enumerate(numbers)]
+    got = bitpack.first_ids(spark.createDataFrame(rows[::-1], "part long, made long, n_ids long, name string"), group=4)
+    want, at = {}, 0
+    for p, m, n, _ in sorted(rows):
+        want[p, m], at = at, at + n
+    assert {(r.part, r.made): r.first_id for r in got.collect()} == want
+
+
+def test_rows_of_one_id_fill_several_files(spark):
+    rows = [(None, f"{i:04d} " * 400) for i in range(300)] + [(4, "x"), (4, "y")]
+    got = bitpack.packed_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None] * 300 + [4, 4]
+
+
 @pytest.mark.parametrize("width", [1, 7, 16, 17, 31])
 def test_op6_format(width):
     rng = np.random.default_rng(width)

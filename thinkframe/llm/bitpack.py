@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import partitions_for, shared_path, ship_package, staged
+from .staging import nfc, partitions_for, shared_path, ship_package, staged
 from .tokens import default_vocabulary, encoder
 
 MAGIC = b"BITPACK1"
@@ -110,6 +110,24 @@ class PackedFile:
             yield doc_id, a, part[a - base:b - base]
 
 
+def file_name(part: int, made: int) -> str:
+    """Of the ``made``-th file of a partition. Its numbers order files, its text need not."""
+    return f"ids-{part:09d}-{made:06d}.bin"
+
+
+def first_ids(files: DataFrame, group: int = 1024) -> DataFrame:
+    """``files`` (part, made, n_ids, ...) with ``first_id``: the ids of all files before, by the numbers of partition and file.
+
+    Partitions are summed in groups of ``group`` consecutive ones; groups are summed up in order, and files only inside their group.
+    """
+    rows = files.withColumn("_g", F.expr(f"part div {group}"))
+    sums = rows.groupBy("_g").agg(F.sum("n_ids").alias("_s"))
+    ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.select("_g", F.coalesce(F.sum("_s").over(ahead.orderBy("_g")), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("n_ids").over(ahead.partitionBy("_g").orderBy("part", "made")), F.lit(0))
+    return rows.withColumn("_in", inside).join(groups, "_g").withColumn("first_id", F.col("_base") + F.col("_in")).drop("_g", "_in", "_base")
+
+
 def _write(folder: str, path: str, end_id: int, file_bytes_limit: int):
     def run(batches):
         from pyarrow import fs
@@ -121,12 +139,12 @@ def _write(folder: str, path: str, end_id: int, file_bytes_limit: int):
 
         def flush():
             nonlocal made, names, ids, room
-            name = f"ids-{part:06d}-{made:04d}.bin"
+            name = file_name(part, made)
             # The same task always writes the same bytes, so a second attempt may write over the first.
             with store.open_output_stream(f"{base}/{name}") as out:
                 out.write(file_bytes(names, ids, id_bits(enc.size)))
-            row = pa.RecordBatch.from_pydict({"name": [name], "n_docs": [len(names)], "n_ids": [sum(map(len, ids))]},
-                                             schema=pa.schema([("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            row = pa.RecordBatch.from_pydict({"name": [name], "part": [part], "made": [made], "n_docs": [len(names)], "n_ids": [sum(map(len, ids))]},
+                                             schema=pa.schema([("name", pa.string()), *((c, pa.int64()) for c in ("part", "made", "n_docs", "n_ids"))]))
             made, names, ids, room = made + 1, [], [], 0
             return row
 
@@ -145,41 +163,41 @@ def _write(folder: str, path: str, end_id: int, file_bytes_limit: int):
 
 def write_packed(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
                  end_id: int = END_ID, file_mb: int = 4) -> DataFrame:
-    """Write the ids of all documents in ascending id order; returns the manifest (name, n_docs, n_ids, first_id).
+    """Write the ids of all documents in ascending id order; returns the manifest (name, part, made, n_docs, n_ids, first_id).
 
-    Files are named in that order; each holds documents of one range of ids. A null
-    text is empty, so it has the end id alone. Rows with a null id come first.
+    Files follow each other by the numbers ``part`` and ``made``; each holds documents of one range of ids. A null
+    text is empty, so it has the end id alone. Rows with a null id come first, rows of one id go by their text. A range may begin inside
+    an id, at a text with another beginning, so an id (or null) of many rows fills several.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(nfc(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(nfc(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = rows.repartitionByRange(partitions_for(spark, size), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(partitions_for(spark, size), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(folder)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
     uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    files = staged(ordered.mapInArrow(_write(uri, vocabulary or default_vocabulary(), end_id, file_mb << 20), "name string, n_docs long, n_ids long"), "manifest")
-    # One row a file of many megabytes.
-    before = F.sum("n_ids").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1))
-    return files.withColumn("first_id", F.coalesce(before, F.lit(0)))
+    written = ordered.mapInArrow(_write(uri, vocabulary or default_vocabulary(), end_id, file_mb << 20), "name string, part long, made long, n_docs long, n_ids long")
+    return first_ids(staged(written, "manifest"))
 
 
 def _read(batches):
     for batch in batches:
-        for content, base in zip(batch.column(0), batch.column(1).to_pylist()):
-            rows = [(None if d == NO_ID else d, base + a, len(ids), zlib.crc32(ids.tobytes())) for d, a, ids in PackedFile(content.as_buffer().to_pybytes()).documents()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        for content, path in zip(batch.column(0), batch.column(1).to_pylist()):
+            part, made = (int(n) for n in path.rsplit("/", 1)[-1][:-len(".bin")].split("-")[1:])
+            rows = [(None if d == NO_ID else d, part, made, a, len(ids), zlib.crc32(ids.tobytes())) for d, a, ids in PackedFile(content.as_buffer().to_pybytes()).documents()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "part", "made", "at", "n_tokens", "ids_crc32"])
 
 
 def read_packed(folder: str, manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document of the files in ``manifest``."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document of the files in ``manifest``. Files are read where they are; their documents' numbers meet the manifest."""
     spark = manifest.sparkSession
     ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bin").load(folder)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return (named.join(F.broadcast(manifest.select("name", "first_id")), "name").select("content", "first_id")  # a row a file
-            .mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+    found = files.select("content", "path").mapInArrow(_read, "doc_id long, part long, made long, at long, n_tokens long, ids_crc32 long")
+    return (found.join(manifest.select("part", "made", "first_id"), ["part", "made"])
+            .select("doc_id", (F.col("first_id") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"))
 
 
 def packed_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
