@@ -17,11 +17,10 @@ EVAL_THINK_CLOSE = "</think>"
 IGNORE_INDEX = -100
 
 # --- Fixed values: training-side model families ----------------------------
-# name: (template, think_open, think_close, freeze_vision, flash_attn,
-#        enable_liger_kernel, default_cutoff_len)
+# name: (template, think_open, think_close)
 TRAIN_FAMILIES = {
-    "qwen3": ("qwen3", "<think>\n", "\n</think>\n\n", False, None, False, 32768),
-    "gemma4": ("gemma4", "<|channel>thought\n", "<channel|>", True, "fa2", True, 28672),
+    "qwen3": ("qwen3", "<think>\n", "\n</think>\n\n"),
+    "gemma4": ("gemma4", "<|channel>thought\n", "<channel|>"),
 }
 
 # --- Fixed values: evaluation-side model families --------------------------

@@ -8,9 +8,6 @@ reference, choices)``; ``pos`` is the question's position in its source
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,39 +46,18 @@ def _md5_order(pos: Column, seed_prefix: str) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["j"])
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _python_random_order(pos: pd.Series) -> pd.Series:
-    """Python's ``random.Random(f"gpqa-{i}").shuffle`` order of 0..3 for each
-    position: a small per-row helper, Arrow-batched."""
-    out = []
-    for i in pos:
-        order = list(range(4))
-        random.Random(f"{CHOICE_SEED_PREFIX}-{int(i)}").shuffle(order)
-        out.append(order)
-    return pd.Series(out)
-
-
 def permute_choices(df: DataFrame, pos="pos", options=("o0", "o1", "o2", "o3"),
-                    method: str = "md5", seed_prefix: str = CHOICE_SEED_PREFIX) -> DataFrame:
+                    seed_prefix: str = CHOICE_SEED_PREFIX) -> DataFrame:
     """Shuffle four options (the first is correct) with a per-question seed.
 
     Adds ``choices`` (letter -> option text) and ``reference`` (letter of the
-    correct option). ``method="md5"`` orders options by
-    ``md5('{seed_prefix}-{pos}-{j}')``: deterministic, decorrelated from
-    position, fully JVM-side. ``method="python_random"`` reproduces Python's
-    seeded Mersenne shuffle exactly via an Arrow-batched pandas UDF.
+    correct option). Options are ordered by
+    ``md5('{seed_prefix}-{pos}-{j}')``: deterministic and decorrelated from
+    position.
     """
     p = col(pos)
-    if method == "md5":
-        order = _md5_order(p, seed_prefix)
-    elif method == "python_random":
-        if seed_prefix != CHOICE_SEED_PREFIX:
-            raise ValueError("python_random uses the fixed 'gpqa-{pos}' seed")
-        order = _python_random_order(p.cast("long"))
-    else:
-        raise ValueError(f"unknown method {method!r}")
     opts = F.array(*[col(o) for o in options])
-    tmp = df.withColumn("_order", order)
+    tmp = df.withColumn("_order", _md5_order(p, seed_prefix))
     shuffled = F.transform(F.col("_order"), lambda j: F.element_at(opts, j + 1))
     letter = F.element_at(F.array(*[F.lit(L) for L in CHOICE_LETTERS]),
                           F.array_position(F.col("_order"), 0).cast("int"))
@@ -89,10 +65,10 @@ def permute_choices(df: DataFrame, pos="pos", options=("o0", "o1", "o2", "o3"),
             .withColumn("reference", letter).drop("_order"))
 
 
-def gpqa_diamond(df: DataFrame, pos="pos", method: str = "md5") -> DataFrame:
+def gpqa_diamond(df: DataFrame, pos="pos") -> DataFrame:
     """Columns ``Record ID, Question, Correct Answer, Incorrect Answer 1-3``."""
     opts = ("Correct Answer", "Incorrect Answer 1", "Incorrect Answer 2", "Incorrect Answer 3")
-    p = permute_choices(df, pos, opts, method)
+    p = permute_choices(df, pos, opts)
     return p.select(F.lit("gpqa_diamond").alias("benchmark"), col(pos).cast("long").alias("pos"),
                     F.col("Record ID").alias("id"), F.col("Question").alias("question"), "reference", "choices")
 

@@ -18,10 +18,6 @@ TRAIN_FAMILY_SCHEMA = T.StructType([
     T.StructField("template", T.StringType(), False),
     T.StructField("think_open", T.StringType(), False),
     T.StructField("think_close", T.StringType(), False),
-    T.StructField("freeze_vision", T.BooleanType(), False),
-    T.StructField("flash_attn", T.StringType(), True),
-    T.StructField("enable_liger_kernel", T.BooleanType(), False),
-    T.StructField("default_cutoff_len", T.IntegerType(), False),
 ])
 
 EVAL_FAMILY_SCHEMA = T.StructType([
