@@ -653,6 +653,10 @@ Q["stream_worklist"] = Q["continuation_worklist"]
 
 # ------------------------------------------------- written and read back again
 Q["examples_roundtrip"] = Q["examples_required_fields"]
+Q["examples_json_array"] = with_(F1) + """
+SELECT ex_id, prompt, t AS thinking, a AS answer,
+ concat_ws(',', CASE WHEN prompt IS NULL THEN 'prompt' END, CASE WHEN t IS NULL THEN 'thinking' END, CASE WHEN a IS NULL THEN 'answer' END) AS missing_fields
+FROM (SELECT ex_id, prompt, CASE WHEN ex_id%1500>=100 THEN thinking END AS t, CASE WHEN ex_id%1000>=100 THEN answer END AS a FROM f1)"""
 Q["records_roundtrip"] = with_(F1, SPLIT) + f"""
 SELECT d.name||'_'||mode||'_'||split AS dataset_key, {sqlstr(SYSTEM_PROMPT)} AS system, human_from, human_value, gpt_from, gpt_value
 FROM recs CROSS JOIN (VALUES ('s1k11_all_qwen3'), ('s1k11_correct_only_qwen3')) d(name)"""

@@ -17,8 +17,9 @@ from ..operators import evaluate, prepare, report, stats
 from ..sources import benchmarks, families, fixtures
 from ..sources.families import forced_assistant_prefix, think_tags
 from ..session import scratch_path
-from ..sinks import catalog_history, commit_catalog, write_csv_table, write_records, write_run_summaries, write_traces
-from ..sources.examples import load_examples, missing_fields
+from ..sinks import catalog_history, commit_catalog, write_csv_table, write_json_arrays, write_records, write_run_summaries, write_traces
+from ..sources.examples import RAW_EXAMPLE_SCHEMA, load_examples, missing_fields
+from ..sources.json_arrays import read_json_arrays
 from ..sources.summaries import SPARK_SUMMARIES, load_eval_summaries, load_train_summaries
 from ..sources.tables import read_table, stream_table
 from ..streaming.memory import read_bounded_peaks, read_current_peaks, start_bounded_memory_stream, start_memory_stream
@@ -502,6 +503,15 @@ def q_examples_roundtrip(spark, sf):
                           (F.size("missing_fields") == 0).alias("is_valid")))
 
 
+def q_examples_json_array(spark, sf):
+    """S1 + K1: F1 with NULLs as JSON arrays, a few large files, each cut into pieces of 1 MB and read as whole objects again."""
+    path = scratch_path(spark, "arrays")
+    write_json_arrays(fixtures.with_injected_nulls(fixtures.raw_examples(spark, sf)).coalesce(4), path)
+    m = missing_fields(read_json_arrays(spark, path, RAW_EXAMPLE_SCHEMA, 1_000_000))
+    return _flat(m.select(F.col("ex_id").cast("long").alias("ex_id"), "prompt", "thinking", "answer",
+                          F.array_join("missing_fields", ",").alias("missing_fields")))
+
+
 def q_records_roundtrip(spark, sf):
     """K1: records of two datasets written one after the other into one folder and read back."""
     path = scratch_path(spark, "records")
@@ -607,6 +617,7 @@ QUERIES = {
     "stream_summary_files": q_stream_summary_files,
     "stream_memory_peak_bounded": q_stream_memory_peak_bounded,
     "examples_roundtrip": q_examples_roundtrip,
+    "examples_json_array": q_examples_json_array,
     "records_roundtrip": q_records_roundtrip,
     "traces_roundtrip": q_traces_roundtrip,
     "eval_summaries_roundtrip": q_eval_summaries_roundtrip,

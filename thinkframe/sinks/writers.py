@@ -16,6 +16,29 @@ def write_records(records: DataFrame, out_dir: str, fmt: str = "json", mode: str
     (w.json if fmt == "json" else w.parquet)(out_dir)
 
 
+def _as_array():
+    """Lines of JSON -> the lines of one array a task; workers import nothing of this package."""
+    def run(batches):
+        import pyarrow as pa
+
+        lead = "["
+        for batch in batches:
+            lines = [("[" if lead and not i else ",") + v for i, v in enumerate(batch.column(0).to_pylist())]
+            if lines:
+                lead = ""
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([lead + "]"])], ["value"])
+    return run
+
+
+def write_json_arrays(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K1, the array form: every file of the folder is one JSON array of its rows' objects (NULL fields are left out). Each task
+    writes a file of its own; ``sources.json_arrays.read_json_arrays`` reads a large one by many tasks again."""
+    lines = df.select(F.to_json(F.struct(*["`" + c.replace("`", "``") + "`" for c in df.columns])).alias("value"))
+    arrays = lines.mapInArrow(_as_array(), "value string")
+    arrays.write.mode(mode).format("text").save(path)
+
+
 def write_csv_table(df: DataFrame, path: str, columns: list[str] | None = None,
                     sort_by: list | None = None) -> None:
     """K3 / K6: a report table as one CSV with a header; NULL -> empty field.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import REQUIRED_FIELDS
+from .json_arrays import read_json_arrays
 
 RAW_EXAMPLE_SCHEMA = T.StructType([
     T.StructField("ex_id", T.StringType(), True),
@@ -20,8 +21,8 @@ def load_examples(spark: SparkSession, path: str, id_field: str = "ex_id", fmt:
     """Read raw ``{prompt, thinking, answer}`` examples.
 
     ``fmt``: ``"jsonl"`` (JSON lines; blank lines are skipped and the input
-    is splittable across tasks), ``"json"`` (one JSON array per file, not
-    splittable; prefer JSONL or Parquet at scale) or ``"parquet"``. By
+    is splittable across tasks), ``"json"`` (one JSON array per file, also
+    read by many tasks, see ``json_arrays``) or ``"parquet"``. By
     default it follows the suffix (``.jsonl``, ``.parquet``, else JSON
     array). The schema is explicit, so a missing key and an explicit null
     both read as NULL. Examples without an id get ``md5`` of their three
@@ -36,8 +37,10 @@ def load_examples(spark: SparkSession, path: str, id_field: str = "ex_id", fmt:
         raw = spark.read.parquet(path)
         df = raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                           for f in schema.fields])
-    elif fmt in ("json", "jsonl"):
-        df = spark.read.schema(schema).json(path, multiLine=(fmt == "json"))
+    elif fmt == "jsonl":
+        df = spark.read.schema(schema).json(path)
+    elif fmt == "json":
+        df = read_json_arrays(spark, path, schema)
     else:
         raise ValueError(f"unknown format {fmt!r}")
     if id_field != "ex_id":
