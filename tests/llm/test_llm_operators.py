@@ -411,18 +411,57 @@ def test_op8_pieces(docs, rows, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
-def test_op8_cuts_are_optimal():
+@pytest.mark.parametrize("window_cost", [0, 3])
+def test_op8_cuts_are_optimal(window_cost):
+    def pad(length):
+        return 0 if length & (length - 1) == 0 else 16 - length
+
     rng = random.Random(6)
-    for _ in range(40):
+    for _ in range(60):
         places = np.cumsum([rng.randint(1, 10) for _ in range(rng.randint(1, 14))])
         cost = np.array([rng.randint(0, 6) for _ in places])
         best = [0] + [10**9] * len(places)
         at = [0, *places.tolist()]
         for j in range(1, len(at)):
-            best[j] = min(best[i] + 16 - (at[j] - at[i]) + int(cost[j - 1]) for i in range(j) if at[j] - at[i] <= 16)
-        cuts = packing.best_cuts(places, cost, 16)
+            best[j] = min(best[i] + pad(at[j] - at[i]) + window_cost + int(cost[j - 1]) for i in range(j) if at[j] - at[i] <= 16)
+        cuts = packing.best_cuts(places, cost, 16, window_cost)
         price = dict(zip(places.tolist(), cost.tolist()))
-        assert sum(16 - (b - a) + price[b] for a, b in zip([0, *cuts], cuts)) == best[-1] and cuts[-1] == places[-1]
+        assert all(0 < b - a <= 16 for a, b in zip([0, *cuts], cuts))
+        assert sum(pad(b - a) + window_cost + price[b] for a, b in zip([0, *cuts], cuts)) == best[-1] and cuts[-1] == places[-1]
+
+
+def test_op8_plans_follow_places(spark):
+    """Places by a plain running sum over the ordered rows; a copied row spreads over the plans that its copies begin in."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, 3, 40, 500]), rng.choice("abc") * rng.randrange(0, 60)) for _ in range(150)] + [(7, "same text")] * 90
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = F.col("text")
+    keyed = df.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("h"),
+                      (F.octet_length(text) + 1).cast("long").alias("size"))
+    at, want = 0, Counter()
+    for r in sorted(keyed.collect(), key=lambda r: (not r.no_id, r.id, r.h, r["size"])):
+        want[tuple(r), at // 100] += 1
+        at += r["size"]
+    for parts in ("1", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = packing.plan_places(keyed, 100).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert {((r.no_id, r.id, r.h, r["size"]), r.plan): r.copies for r in got} == want
+    assert len({p for k, p in want if k[1] == 7}) > 5
+
+
+def test_op8_does_not_depend_on_partitions(spark, docs):
+    noted = docs.withColumn("a.b", F.lit(1)).withColumn("plan", F.lit(2)).withColumn("h", F.lit(3))
+    found = []
+    for parts in ("4", "8", "61"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            found.append(sorted(map(tuple, packing.pack_documents(noted.repartition(int(parts)), plan_bytes=20_000).collect()), key=repr))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert found[0] == found[1] == found[2] and len({r[5] >> 32 for r in found[0]}) > 1
 
 
 def removed(rows, n):
