@@ -1,4 +1,5 @@
-"""Small driver-side file operations through the Hadoop file systems Spark itself uses: what exists, and files that are published once."""
+"""Small driver-side file operations through the Hadoop file systems Spark itself uses: what exists, files that are published once, and
+parts that become one file."""
 
 from __future__ import annotations
 
@@ -41,6 +42,62 @@ def empty_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(p)
 
 
+def _place_of_part(name: str) -> tuple[int, str]:
+    """Spark numbers its files by task, in five digits or more."""
+    return int(name.split("-")[1]), name
+
+
+def join_parts(spark: SparkSession, folder: str, first: str) -> str:
+    """One file of ``folder``: the line ``first``, then its part files in the order of their numbers. Returns the file's path.
+
+    A file system that joins files by moving their blocks (as a cluster's does) moves no bytes; on any other the bytes
+    are copied through a buffer, part after part.
+    """
+    jvm = spark.sparkContext._jvm
+    fs, p = _hadoop(spark, folder)
+    parts = [jvm.org.apache.hadoop.fs.Path(p, n) for n in sorted((n for n in names_in(spark, folder) if n.startswith("part-")), key=_place_of_part)]
+    whole = jvm.org.apache.hadoop.fs.Path(p, "joined")
+    out = fs.create(whole, True)
+    try:
+        out.write(bytearray(first.encode()))
+    finally:
+        out.close()
+    parts = [x for x in parts if fs.getFileStatus(x).getLen()]
+    if not parts:
+        return whole.toString()
+    if fs.hasPathCapability(p, "fs.capability.paths.concat"):
+        listed = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts))
+        for i, x in enumerate(parts):
+            listed[i] = x
+        fs.concat(whole, listed)
+        return whole.toString()
+    out = fs.create(whole, True)
+    try:
+        out.write(bytearray(first.encode()))
+        for x in parts:
+            source = fs.open(x)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+    return whole.toString()
+
+
+def replace_folder(spark: SparkSession, source: str, folder: str, name: str) -> None:
+    """Make the file ``source`` the folder's only one, called ``name``. It takes the place of an older file of that name in one step."""
+    jvm = spark.sparkContext._jvm
+    fs, p = _hadoop(spark, folder)
+    if fs.exists(p) and not fs.getFileStatus(p).isDirectory():
+        fs.delete(p, False)
+    fs.mkdirs(p)
+    _rename(spark, jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(p, name), "OVERWRITE")
+    for old in names_in(spark, folder):
+        if old != name:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(p, old), True)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _hadoop(spark, path)
     stream = fs.open(p)
@@ -78,11 +135,11 @@ def _link(path: str, beside) -> bool:
         return False
 
 
-def _rename(spark: SparkSession, source, target) -> bool:
+def _rename(spark: SparkSession, source, target, how: str = "NONE") -> bool:
     jvm = spark.sparkContext._jvm
     rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = rename.NONE
+    options[0] = getattr(rename, how)
     try:
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(source, target, options)
         return True

@@ -1,11 +1,15 @@
-"""Sinks (K1-K6). All writes are distributed Spark writes; small report
-tables are coalesced to one file so a reader gets one CSV."""
+"""Sinks (K1-K6). All writes are distributed Spark writes; a report table's
+files are joined after the write so a reader gets one CSV."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import join_parts, remove, replace_folder
+
 
 def write_records(records: DataFrame, out_dir: str, fmt: str = "json", mode: str = "overwrite") -> None:
     """K1: ShareGPT records, one folder per ``dataset_key`` (JSON lines by
@@ -41,12 +45,22 @@ def write_json_arrays(df: DataFrame, path: str, mode: str = "overwrite") -> None
 
 def write_csv_table(df: DataFrame, path: str, columns: list[str] | None = None,
                     sort_by: list | None = None) -> None:
-    """K3 / K6: a report table as one CSV with a header; NULL -> empty field.
-    The tables are one row per run, so one output file is fine."""
-    out = df.select(*columns) if columns else df
+    """K3 / K6: a report table as one CSV with a header in the folder ``path``; NULL -> empty field.
+
+    Every task writes its own range of the order beside the folder; the files are then joined by the file system and
+    the whole table replaces the old one at once. A failed write leaves the old table as it was."""
+    spark = df.sparkSession
+    out = df.select(*["`" + c.replace("`", "``") + "`" for c in columns]) if columns else df
     if sort_by:
         out = out.orderBy(*sort_by)
-    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    names = [F.lit(c).alias(f"c{i}") for i, c in enumerate(out.columns)]
+    header = spark.range(1).select(F.to_csv(F.struct(*names))).first()[0]
+    parts = f"{path.rstrip('/')}.parts-{uuid.uuid4().hex}"
+    try:
+        out.write.csv(parts)
+        replace_folder(spark, join_parts(spark, parts, header + "\n"), path, "part-00000.csv")
+    finally:
+        remove(spark, parts)
 
 
 def write_traces(traces: DataFrame, path: str, partition_cols=("benchmark",)) -> None:
