@@ -195,9 +195,11 @@ def _compare(length: int):
 def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     """(d, th, spans): for each text of ``keyed`` (d, th, text) with repeats, the windows' byte ranges that occur earlier (may overlap)."""
     ship_package(keyed.sparkSession)
-    runs = keyed.mapInArrow(_runs(length), "anchor long, piece long, d long, th int, place long").where("anchor is not null").repartition("anchor")
+    runs = keyed.mapInArrow(_runs(length), "anchor long, piece long, d long, th int, place long").where("anchor is not null")
     often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("piece").alias("p"), F.max("piece").alias("q")).where("n > 1")
-    rows = staged(runs.join(often.select("anchor", (F.col("p") != F.col("q")).alias("mixed")), "anchor"), "runs")
+    # Counts are added up in each task and written first, so that the join is a plain one whose hot anchors Spark splits over tasks.
+    often = staged(often.select("anchor", (F.col("p") != F.col("q")).alias("mixed")), "often")
+    rows = staged(runs.join(often, "anchor"), "runs")
     firsts = staged(rows.groupBy("anchor", "piece", "mixed").agg(F.min(F.struct("d", "th", "place")).alias("f"), F.count(F.lit(1)).alias("n")), "firsts")
     # 1. Of equal pieces the first stays whole.
     again = firsts.where("n > 1").select("anchor", "piece", "f")
