@@ -190,8 +190,9 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(nfc(id_col).cast("long").alias("doc_id"), nfc(text_col).alias("text"))
     profile = staged(source.withColumn("th", F.xxhash64("text")).mapInArrow(_profile(k), "doc_id long, th long, n long, point long"), "profile")
     # 1. A set is a candidate if enough of its first shingles occur in another set. Copies of one set are one point.
-    probe = source.mapInArrow(_probe(k, percent), "key long, point long").where("key is not null").repartition("key")
-    shared = probe.groupBy("key").agg(F.min("point").alias("lo"), F.max("point").alias("hi")).where("lo <> hi").select("key")
+    probe = source.mapInArrow(_probe(k, percent), "key long, point long").where("key is not null")
+    # Least and largest points are found in each task and written first, so that the join is a plain one whose hot keys Spark splits over tasks.
+    shared = staged(probe.groupBy("key").agg(F.min("point").alias("lo"), F.max("point").alias("hi")).where("lo <> hi").select("key"), "shared")
     hits = probe.join(shared, "key").groupBy("point").agg(F.count(F.lit(1)).alias("hits"))
     points = profile.where("n > 0").groupBy("point").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
