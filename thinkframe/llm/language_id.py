@@ -48,14 +48,16 @@ class ContextTrees:
         self.cost: list[np.ndarray] = [np.full((1, n), 8.0)]
         self.escape: list[np.ndarray] = []
         self.index: list[KeyIndex] = [KeyIndex(np.array([1], dtype=np.int64))]
+        self.contexts: list[KeyIndex] = []
         keys_before = np.array([1], dtype=np.int64)  # the empty gram
         for length in range(1, ORDER + 2):
             keys = np.unique(np.concatenate([k for k, _ in counts[length]]))
             count = np.zeros((len(keys), n))
             for j, (k, c) in enumerate(counts[length]):
                 count[np.searchsorted(keys, k), j] = c
-            parent = np.searchsorted(keys_before, keys >> 8)
-            total, kinds = np.zeros((len(keys_before), n)), np.zeros((len(keys_before), n))
+            # A context need not be a gram of its own: the line breaks before a text are none.
+            contexts, parent = np.unique(keys >> 8, return_inverse=True)
+            total, kinds = np.zeros((len(contexts), n)), np.zeros((len(contexts), n))
             np.add.at(total, parent, count)
             np.add.at(kinds, parent, count > 0)
             seen = total > 0
@@ -67,6 +69,7 @@ class ContextTrees:
             self.escape.append(escape)
             self.cost.append(np.where(have, own, escape[parent] + shorter))
             self.index.append(KeyIndex(keys))
+            self.contexts.append(KeyIndex(contexts))
             keys_before = keys
         self.cost = [np.rint(c * _UNIT).astype(np.int32) for c in self.cost]
         self.escape = [np.rint(e * _UNIT).astype(np.int32) for e in self.escape]
@@ -83,7 +86,7 @@ class ContextTrees:
             if not len(todo):
                 break
             g = gram[todo] & ((1 << 8 * length) - 1) | 1 << 8 * length
-            context = self.index[length - 1].find(g >> 8)
+            context = self.contexts[length - 1].find(g >> 8)
             known = context >= 0
             bits[todo[known]] += self.escape[length - 1][context[known]]
             if length == 1:
