@@ -18,7 +18,7 @@ from thinkframe.llm import bitpack, host_rules, lm_scoring, mixing, packing, sha
 from thinkframe.llm.components import components
 from thinkframe.llm.embeddings import embedding_links
 from thinkframe.llm.jaccard_join import _Region, jaccard_components
-from thinkframe.llm.language_id import identify_languages
+from thinkframe.llm.language_id import identify_languages, learn_languages, with_language
 from thinkframe.llm.staging import shared_path
 from thinkframe.llm.tokens import Encoder, default_vocabulary
 
@@ -231,6 +231,62 @@ def test_op4_held_out(spark, docs, nothing):
     assert [r.lang_pred for r in untaught] == ["und"]
 
 
+def plain_ppm(taught):
+    """Code lengths of a text by language, byte by byte, from {language: texts}."""
+    seen = {lang: defaultdict(Counter) for lang in taught}
+    for lang, texts in taught.items():
+        for t in texts:
+            b = b"\n" * 4 + t.encode()
+            for i in range(4, len(b)):
+                for k in range(5):
+                    seen[lang][b[i - k:i]][b[i]] += 1
+
+    def escape(c):
+        return math.log2((c.total() + len(c)) / len(c)) if c else 0.0
+
+    def bits(lang, context, byte):
+        c = seen[lang].get(context, Counter())
+        if c[byte]:
+            return math.log2((c.total() + len(c)) / c[byte])
+        return escape(c) + (bits(lang, context[1:], byte) if context else 8.0)
+
+    def units(lang, context, byte):
+        if any(s.get(context, Counter())[byte] for s in seen.values()):
+            return round(4096 * bits(lang, context, byte))
+        return round(4096 * escape(seen[lang].get(context, Counter()))) + (units(lang, context[1:], byte) if context else 8 * 4096)
+
+    def lengths(t):
+        b = b"\n" * 4 + t.encode()
+        return {lang: sum(units(lang, b[i - 4:i], b[i]) for i in range(4, len(b))) for lang in sorted(taught)}
+    return lengths
+
+
+def test_op4_code_lengths_and_scores_by_brute_force(spark, docs, rows):
+    taught = defaultdict(set)
+    for r in rows:
+        if r[0] % 5 and r[1] and r[2]:
+            taught[r[2]].add(r[1])
+    plain = plain_ppm(taught)
+    texts = [r[1] for r in rows if len(r[1] or "") < 3000] + ["e", "zq", "日本 語", "Wörter, die keiner kennt\x00\x01"]
+    trees = learn_languages(docs.where("doc_id % 5 <> 0"))
+    full = [t for t in texts if t]
+    data = np.frombuffer("".join(full).encode(), dtype=np.uint8)
+    got = trees.code_lengths(data, np.cumsum([0, *[len(t.encode()) for t in full]]))
+    assert trees.languages == sorted(taught)
+    for t, row in zip(full, got.tolist()):
+        assert all(abs(a - b) <= 2 for a, b in zip(row, plain(t).values()))
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in with_language(asked, trees).collect():
+        t = texts[r.row.doc_id]
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        need = {lang: n / 4096 for lang, n in plain(t).items()}
+        best = min(need.values())
+        assert need[r.lang_pred] <= best + 1e-3
+        assert abs(r.score - 1 / sum(2.0 ** -min(n - best, 1000) for n in need.values())) < 1e-3
+
+
 def rule_counts(t):
     t = t or ""
     words = words_of(t)
@@ -347,6 +403,53 @@ def test_op7_scores(docs, rows, nothing, monkeypatch, frequent):
     assert {r.n_known for r in lm_scoring.score_texts(docs, F.lit(True)).collect()} == {0}
 
 
+@pytest.mark.parametrize("round_tokens", [3000, 4_000_000])
+def test_op7_score_by_plain_sums(docs, rows, monkeypatch, round_tokens):
+    caught, real = {}, lm_scoring.train
+
+    def train(texts, lbl, keys, *more):
+        real(texts, lbl, keys, *more)
+        caught.update(p={k: v.astype(float) for k, v in lbl.p.items()}, unit={k: lm_scoring.CLASSES + i for i, k in enumerate(keys.tolist())})
+    monkeypatch.setattr(lm_scoring, "train", train)
+    monkeypatch.setattr(lm_scoring, "ROUND_TOKENS", round_tokens)
+    got = sorted((r.doc_id, r.n_tokens, r.score) for r in lm_scoring.score_texts(docs, F.col("doc_id") % 7 == 2).collect())
+    p, own = caught["p"], caught["unit"]
+    assert own
+
+    def told(w):
+        data = np.frombuffer(w.encode(), dtype=np.uint8)
+        at = np.array([0]), np.array([len(data)])
+        return int(lm_scoring.word_hashes(data, *at).view(np.int64)[0]), int(lm_scoring.word_classes(data, *at)[0])
+    count = Counter(w for r in rows if r[0] % 7 != 2 for w in words_of(low(r[1])))
+    name = {w: told(w) for r in rows for w in words_of(low(r[1]))}
+    n, kinds = Counter(), Counter()
+    for w, c in count.items():
+        if name[w][0] not in own:
+            n[name[w][1]] += c
+            kinds[name[w][1]] += 1
+    known = {}
+
+    def log_p(a, b):
+        if (a, b) not in known:
+            s = (p["two"][a] + p["one"][b]) @ p["target"].T + p["bias"][:, 0]
+            known[a, b] = (s - s.max() - np.log(np.exp(s - s.max()).sum())) / np.log(10)
+        return known[a, b]
+
+    def score(t):
+        total, two, one, before = 0.0, 0, 0, 0
+        for w in [*words_of(low(t)), None]:
+            key, cls = name[w] if w else (None, 0)
+            unit = own.get(key, cls)
+            total += log_p(two, one)[unit]
+            if w and unit == cls:
+                total += math.log10((count[w] + 1) / (n[cls] + kinds[cls] + 1))
+            two, before, one = before, cls, unit
+        return total
+    want = sorted((r[0], len(words_of(r[1])) + 1, score(r[1])) for r in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) <= 2e-4 * g[1] + 1e-3 for g, w in zip(got, want))
+
+
 def test_op7_table_is_normalised():
     model = lm_scoring.LogBilinear(np.array([5, 700, 9000]), np.array([10, 5, 1]), steps=20)
     rows_ = (10.0 ** model.table().astype(float)).reshape(-1, lm_scoring.CLASSES).sum(axis=1)

@@ -29,8 +29,8 @@ NOISE = 64
 STEPS, BATCH = 1200, 2048
 #: Words with vectors of their own, at most, and the least count of one; the normaliser's cost grows with the square.
 OWN_WORDS, LEAST_COUNT = 8000, 8
-#: Each round reads one of so many parts of the corpus, all of them in turn; a corpus below ENOUGH tokens is read again, up to MOST times.
-PARTS, ENOUGH, MOST = 2, 4_000_000, 4
+#: Times the corpus is read, whatever its size, and the tokens that a task steps over before the tasks' models are averaged.
+PASSES, ROUND_TOKENS = 2, 4_000_000
 _PRIOR = 1e-7
 #: Words whose counts every worker holds; the rest are looked up by a join.
 FREQUENT_WORDS = 150_000
@@ -59,7 +59,9 @@ def token_stream(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _count(batches):
-    """Rows (kind, key, class, n): counts of words (kind 0) and of class trigrams (kind 1)."""
+    """Rows (kind, key, class, n): counts of words (kind 0), of class trigrams (kind 1) and of the task's tokens (kind 2)."""
+    from pyspark import TaskContext
+
     trigrams = np.zeros(CLASSES**3, dtype=np.int64)
 
     def rows(kind, key, cls, n):
@@ -79,6 +81,7 @@ def _count(batches):
             yield rows(0, u.view(np.int64), np.concatenate(classes)[at], np.bincount(inverse, weights=np.concatenate(counts)))
     seen = np.flatnonzero(trigrams)
     yield rows(1, seen, np.zeros(len(seen)), trigrams[seen])
+    yield rows(2, np.array([TaskContext.get().partitionId()]), np.zeros(1), trigrams.sum(keepdims=True))
 
 
 def _sums(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +178,7 @@ def _contexts(units: np.ndarray, classes: np.ndarray, first: np.ndarray) -> tupl
     return trigrams // CLASSES**2, np.concatenate([[END], unit[:-1]]), unit, begin
 
 
-def _learn(model, part, seed, rate, size):
+def _learn(model, part, parts, seed, rate, size):
     """Gradient steps over the slices of one part; rows (block, unit, how often met, vectors) of the units met."""
     def run(batches):
         from pyspark import TaskContext
@@ -190,7 +193,7 @@ def _learn(model, part, seed, rate, size):
         for batch in batches:
             for _, data, offsets in text_slices(batch.column("text")):
                 slices += 1
-                if slices % PARTS != part:
+                if slices % parts != part:
                     continue
                 starts, ends, first = word_spans(data, offsets)
                 classes = word_classes(data, starts, ends)
@@ -226,14 +229,16 @@ def _average(table):
     return pa.table({"unit": pa.array(unit.astype(np.int32)), "v": lists})
 
 
-def train(texts: DataFrame, lbl: LogBilinear, keys: np.ndarray, tokens: int) -> None:
-    """Rounds of steps in all tasks at once; every token is in one round of each pass."""
+def train(texts: DataFrame, lbl: LogBilinear, keys: np.ndarray, tokens: int, busiest: int) -> None:
+    """Rounds of steps in all tasks at once; every token is in one round of each pass, and the largest task of ``busiest`` tokens
+    steps over at most some ROUND_TOKENS in a round, so rounds grow with what a task holds."""
     spark = texts.sparkSession
     size = int(np.clip(tokens // 2000, 64, BATCH))  # small steps where there are few
-    rounds = PARTS * max(1, min(MOST, ENOUGH // max(tokens, 1)))
+    parts = max(2, -(-busiest // ROUND_TOKENS))
+    rounds = PASSES * parts
     for k in range(rounds):
         model = spark.sparkContext.broadcast((keys, lbl))
-        learned = texts.mapInArrow(_learn(model, k % PARTS, k, 0.1 / (1 + 2 * k / rounds), size), "block int, unit int, v array<float>")
+        learned = texts.mapInArrow(_learn(model, k % parts, parts, k, 0.1 / (1 + 2 * k / rounds), size), "block int, unit int, v array<float>")
         got = learned.groupBy("block").applyInArrow(_average, "unit int, v array<float>").toArrow()  # a row a unit
         model.unpersist()
         if not len(got):
@@ -313,6 +318,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     ends = int(n[key % CLASSES == END].sum())
     # A row a class.
     classes = words.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    busiest = totals.where("kind = 2").agg(F.max("n")).first()[0] or 0
     train_tokens = ends + sum(r.n for r in classes)
     kinds = (ends > 0) + sum(r.v for r in classes)
     # The frequent words are those above the least count that leaves no more of them than a worker may hold.
@@ -336,7 +342,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     rare_n[END] = ends
     lbl.widen(held_cls[:own], np.concatenate([rare_n, held_n[:own]]))
     if train_tokens:
-        train(rows.where(~F.col("held_out")).select("text"), lbl, held_key[:own], train_tokens)
+        train(rows.where(~F.col("held_out")).select("text"), lbl, held_key[:own], train_tokens, busiest)
     model = spark.sparkContext.broadcast((held_key, lbl))
     found = spark.range(len(lbl.p["one"]), numPartitions=max(1, min(64, len(lbl.p["one"]) // 100))).mapInArrow(_totals(model), "id long, v array<float>").toArrow()
     model.unpersist()
